@@ -1,0 +1,5 @@
+"""No stream operators: the capability set is batch only.
+
+Row-wise expressions from ``textloom.functions`` hold on streaming frames as
+they are, because they are plain columns.
+"""
