@@ -17,7 +17,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textloom.functions.text import trim_ws
+from textloom.functions.text import let, trim_ws
 
 # Texts read as booleans, and number shapes read from text.
 TRUE_TEXTS = ("1", "on", "t", "true", "y", "yes")
@@ -36,11 +36,17 @@ def parse_strict(c: Column) -> Column:
     is its own digest, so neither trailing text nor closing brackets inside
     the text can produce the expected shape.
     """
-    seal = F.md5(c)
-    boxed = F.try_parse_json(F.concat(F.lit("["), c, F.lit(',"'), seal, F.lit('"]')))
-    sealed = F.try_variant_get(boxed, "$[1]", "string") == seal
-    alone = F.try_variant_get(boxed, "$[2]", "variant").isNull()
-    return F.when(sealed & alone, F.try_variant_get(boxed, "$[0]", "variant"))
+
+
+    def unbox(text: Column, seal: Column, boxed: Column) -> Column:
+        sealed = F.try_variant_get(boxed, "$[1]", "string") == seal
+        alone = F.try_variant_get(boxed, "$[2]", "variant").isNull()
+        return F.when(sealed & alone, F.try_variant_get(boxed, "$[0]", "variant"))
+
+    def box(text: Column, seal: Column) -> Column:
+        return F.try_parse_json(F.concat(F.lit("["), text, F.lit(',"'), seal, F.lit('"]')))
+
+    return let(c, lambda t: let(F.md5(t), lambda seal: let(box(t, seal), lambda boxed: unbox(t, seal, boxed))))
 
 
 def parse_lenient(c: Column) -> Column:
@@ -57,9 +63,13 @@ def parse_unfenced(c: Column) -> Column:
 
 def parse_braces(c: Column) -> Column:
     """First ``{`` to last ``}`` when there is such a span, else the whole text."""
-    body = trim_ws(c)
-    span = F.regexp_extract(body, r"(?s)\{.*\}", 0)
-    return F.when(span != "", parse_strict(span)).otherwise(parse_strict(body))
+    return let(
+        trim_ws(c),
+        lambda body: let(
+            F.regexp_extract(body, r"(?s)\{.*\}", 0),
+            lambda span: parse_strict(F.when(span != "", span).otherwise(body)),
+        ),
+    )
 
 
 def parse_or_text(c: Column) -> Column:
@@ -68,10 +78,16 @@ def parse_or_text(c: Column) -> Column:
     The span from the first opening to the last closing bracket is tried, then
     the whole text; when both fail the trimmed text itself is the value.
     """
-    body = trim_ws(c)
-    span = F.regexp_extract(body, r"(?s)[{\[].*[}\]]", 0)
-    value = F.coalesce(parse_strict(span), parse_strict(body))
-    return F.struct(value.alias("value"), body.alias("text"), value.isNotNull().alias("is_json"))
+
+
+    def parts(body: Column) -> Column:
+        span = F.regexp_extract(body, r"(?s)[{\[].*[}\]]", 0)
+        return let(
+            F.coalesce(parse_strict(span), parse_strict(body)),
+            lambda value: F.struct(value.alias("value"), body.alias("text"), value.isNotNull().alias("is_json")),
+        )
+
+    return let(trim_ws(c), parts)
 
 
 # Kinds --------------------------------------------------------------------
@@ -168,26 +184,36 @@ def validate(v: Column, schema: T.StructType) -> Column:
 
     Unknown keys are ignored; the error names the first offending path.
     """
-    error = F.when(v.isNull(), F.lit("not JSON")).otherwise(_struct_problem(v, schema, "$"))
-    payload = F.when(error.isNull(), _struct_value(v, schema))
-    return F.struct(payload.alias("payload"), error.isNull().alias("ok"), error.alias("error"))
+
+    def result(v: Column, error: Column) -> Column:
+        payload = F.when(error.isNull(), _struct_value(v, schema))
+        return F.struct(payload.alias("payload"), error.isNull().alias("ok"), error.alias("error"))
+
+    def problem(v: Column) -> Column:
+        return F.when(v.isNull(), F.lit("not JSON")).otherwise(_struct_problem(v, schema, "$"))
+
+    return let(v, lambda v: let(problem(v), lambda error: result(v, error)))
 
 
 def _struct_problem(v: Column, schema: T.StructType, path: str) -> Column:
+    """A value that is no object has no members, so every key is missing."""
     problems = [
         _problem(member(v, f.name), f.dataType, f"{path}.{f.name}", f.nullable, f.metadata == OPTIONAL)
         for f in schema.fields
     ]
-    inner = F.coalesce(*problems) if problems else F.lit(None).cast("string")
-    return F.when(is_object(v), inner).otherwise(F.lit(f"{path}: not an object"))
+    if any(f.metadata != OPTIONAL for f in schema.fields):
+        return F.coalesce(*problems)
+    shape = F.when(~is_object(v), F.lit(f"{path}: not an object"))
+    return F.coalesce(shape, *problems)
 
 
 def _problem(x: Column, dtype: T.DataType, path: str, may_be_null: bool, may_be_absent: bool) -> Column:
     nothing = F.lit(None).cast("string")
-    return (
-        F.when(x.isNull(), nothing if may_be_absent else F.lit(f"{path}: missing"))
+    return let(
+        x,
+        lambda x: F.when(x.isNull(), nothing if may_be_absent else F.lit(f"{path}: missing"))
         .when(F.is_variant_null(x), nothing if may_be_null else F.lit(f"{path}: null"))
-        .otherwise(_type_problem(x, dtype, path))
+        .otherwise(_type_problem(x, dtype, path)),
     )
 
 
@@ -196,46 +222,47 @@ def _type_problem(x: Column, dtype: T.DataType, path: str) -> Column:
     if isinstance(dtype, T.StructType):
         return _struct_problem(x, dtype, path)
     if isinstance(dtype, T.ArrayType):
+        not_list = F.lit(f"{path}: not a list")
         if isinstance(dtype.elementType, T.VariantType):
-            return F.when(is_list(x), nothing).otherwise(F.lit(f"{path}: not a list"))
-        bad = F.exists(
+            return F.when(~is_list(x), not_list)
+
+        def bad(e: Column) -> Column:
+            return _problem(e, dtype.elementType, f"{path}[]", dtype.containsNull, False).isNotNull()
+
+        return let(
             as_list(x),
-            lambda e: _problem(e, dtype.elementType, f"{path}[]", dtype.containsNull, False).isNotNull(),
-        )
-        return (
-            F.when(~is_list(x), F.lit(f"{path}: not a list"))
-            .when(bad, F.lit(f"{path}: bad element"))
-            .otherwise(nothing)
+            lambda items: F.when(items.isNull(), not_list).when(F.exists(items, bad), F.lit(f"{path}: bad element")),
         )
     if isinstance(dtype, T.VariantType):
         return nothing
-    return F.when(_scalar_fits(x, dtype), nothing).otherwise(F.lit(f"{path}: not {dtype.simpleString()}"))
+    return F.when(~_scalar_fits(x, dtype), F.lit(f"{path}: not {dtype.simpleString()}"))
 
 
 def _scalar_fits(x: Column, dtype: T.DataType) -> Column:
-    k = kind(x)
+    if isinstance(dtype, T.StringType):
+        return is_text(x)
+    return let(kind(x), lambda k: F.coalesce(_number_fits(x, k, dtype), F.lit(False)))
+
+
+def _number_fits(x: Column, k: Column, dtype: T.DataType) -> Column:
     text = F.try_variant_get(x, "$", "string")
     number = F.try_variant_get(x, "$", "double")
     fractional = k.startswith("DECIMAL") | k.isin("DOUBLE", "FLOAT")
-    if isinstance(dtype, T.StringType):
-        fits = k == "STRING"
-    elif isinstance(dtype, T.LongType):
-        fits = (
+    if isinstance(dtype, T.LongType):
+        return (
             k.isin("BIGINT", "BOOLEAN")
             | (fractional & (number == F.floor(number)))
             | ((k == "STRING") & text.rlike(INT_TEXT))
         )
-    elif isinstance(dtype, T.DoubleType):
-        fits = k.isin("BIGINT", "BOOLEAN") | fractional | ((k == "STRING") & text.rlike(FLOAT_TEXT))
-    elif isinstance(dtype, T.BooleanType):
-        fits = (
+    if isinstance(dtype, T.DoubleType):
+        return k.isin("BIGINT", "BOOLEAN") | fractional | ((k == "STRING") & text.rlike(FLOAT_TEXT))
+    if isinstance(dtype, T.BooleanType):
+        return (
             (k == "BOOLEAN")
             | (((k == "BIGINT") | fractional) & number.isin(0.0, 1.0))
             | ((k == "STRING") & F.lower(text).isin(*TRUE_TEXTS, *FALSE_TEXTS))
         )
-    else:
-        raise ValueError(f"unsupported type {dtype.simpleString()}")
-    return F.coalesce(fits, F.lit(False))
+    raise ValueError(f"unsupported type {dtype.simpleString()}")
 
 
 def _struct_value(v: Column, schema: T.StructType) -> Column:
@@ -243,20 +270,23 @@ def _struct_value(v: Column, schema: T.StructType) -> Column:
 
 
 def _value(x: Column, dtype: T.DataType) -> Column:
-    if isinstance(dtype, T.StructType):
-        return F.when(is_object(x), _struct_value(x, dtype))
+    if isinstance(dtype, T.StringType):
+        return F.try_variant_get(x, "$", "string")
+    if isinstance(dtype, T.VariantType):
+        return x
     if isinstance(dtype, T.ArrayType):
         if isinstance(dtype.elementType, T.VariantType):
             return as_list(x)
         return F.transform(as_list(x), lambda e: _value(e, dtype.elementType))
-    if isinstance(dtype, T.VariantType):
-        return x
+    if isinstance(dtype, T.StructType):
+        return let(x, lambda x: F.when(x.isNotNull() & ~F.is_variant_null(x), _struct_value(x, dtype)))
+    return let(x, lambda x: _number(x, kind(x), dtype))
+
+
+def _number(x: Column, k: Column, dtype: T.DataType) -> Column:
     text = F.try_variant_get(x, "$", "string")
     number = F.try_variant_get(x, "$", "double")
-    if isinstance(dtype, T.StringType):
-        return text
     flag = F.try_variant_get(x, "$", "boolean")
-    k = kind(x)
     if isinstance(dtype, T.LongType):
         return (
             F.when(k == "BIGINT", F.try_variant_get(x, "$", "bigint"))

@@ -9,7 +9,7 @@ is both slower and a slightly different set.
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -34,6 +34,16 @@ HYPHEN_REPAIRS = (
 # --------------------------------------------------------------------------
 
 
+def let(c: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(c)`` with ``c`` evaluated once.
+
+    A column used several times is several copies of its expression, and
+    Catalyst shares them only where all are certain to run.  Binding it to a
+    lambda variable makes the sharing explicit.
+    """
+    return F.get(F.transform(F.array(c), body), F.lit(0))
+
+
 def trim_ws(c: Column) -> Column:
     """Strip every kind of white space from both ends."""
     return F.btrim(c, F.lit(WS_CHARS))
@@ -119,9 +129,10 @@ def truncate_tokens(c: Column, limit: int) -> Column:
     """
     if limit < 1:
         raise ValueError("limit must be at least 1")
-    toks = tokens(c)
-    kept = F.array_join(F.slice(toks, -limit, limit), " ")
-    return F.when(F.size(toks) <= limit, c).otherwise(kept)
+    return let(
+        tokens(c),
+        lambda toks: F.when(F.size(toks) <= limit, c).otherwise(F.array_join(F.slice(toks, -limit, limit), " ")),
+    )
 
 
 def row_as_text(*cols: Column | str) -> Column:

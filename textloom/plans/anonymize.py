@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from textloom.functions.jsonx import optional, parse_strict, required, validate
 from textloom.functions.prompts import REDACTION_TEMPLATE, RedactionOptions, redaction_prompt
 from textloom.functions.redact import Gazetteers, postprocess, redact
-from textloom.functions.text import empty_strings, split_sentences
+from textloom.functions.text import empty_strings, let, split_sentences
 from textloom.operators.model_map import Caller, Replay, Rules, model_map
 
 SENTENCE = T.StructType([required("original_index", T.LongType()), required("text", T.StringType())])
@@ -59,18 +59,29 @@ def rules_answer(
 
 def check_answer(response: Column, expected: Column) -> Column:
     """``struct<payload, ok, error>``: schema, index range and uniqueness."""
-    checked = validate(parse_strict(response), BATCH_ANSWER)
-    index = F.transform(checked["payload"]["sentences"], lambda s: s["original_index"])
-    error = F.coalesce(
-        checked["error"],
-        F.when(F.exists(index, lambda i: i < 0), F.lit("negative original_index")),
-        F.when(F.size(F.array_distinct(index)) < F.size(index), F.lit("duplicated original_index")),
-        F.when(
+
+
+    def result(checked: Column) -> Column:
+        index = F.transform(checked["payload"]["sentences"], lambda s: s["original_index"])
+        return let(
+            let(index, lambda index: F.coalesce(checked["error"], _index_problem(index, expected))),
+            lambda error: F.struct(
+                checked["payload"].alias("payload"), error.isNull().alias("ok"), error.alias("error")
+            ),
+        )
+
+    return let(validate(parse_strict(response), BATCH_ANSWER), result)
+
+
+def _index_problem(index: Column, expected: Column) -> Column:
+    return (
+        F.when(F.exists(index, lambda i: i < 0), F.lit("negative original_index"))
+        .when(F.size(F.array_distinct(index)) < F.size(index), F.lit("duplicated original_index"))
+        .when(
             (F.size(index) == expected) & F.exists(index, lambda i: i >= expected),
             F.lit("original_index out of range"),
-        ),
+        )
     )
-    return F.struct(checked["payload"].alias("payload"), error.isNull().alias("ok"), error.alias("error"))
 
 
 def answer_batches(
@@ -107,23 +118,21 @@ def batch_sentences_out(
     """
     if missing not in ("keep", "empty") or on_error not in ("keep", "null", "fail"):
         raise ValueError("missing is keep or empty; on_error is keep, null or fail")
-    found = F.when(
-        answer["ok"],
-        F.map_from_entries(
-            F.transform(answer["payload"]["sentences"], lambda s: F.struct(s["original_index"], s["text"]))
-        ),
-    )
-    own = F.transform(sentences, lambda s: postprocess(redact(s, options, gazetteers), options))
-    given = F.transform(
-        sentences,
-        lambda s, i: postprocess(
-            F.coalesce(
-                F.try_element_at(found, i.cast("bigint")),
-                F.lit("") if missing == "empty" else redact(s, options, gazetteers),
-            ),
-            options,
-        ),
+    def redacted(s: Column) -> Column:
+        return redact(s, options, gazetteers)
+
+    def fill(found: Column) -> Column:
+        def pick(s: Column, i: Column) -> Column:
+            absent = F.lit("") if missing == "empty" else redacted(s)
+            return postprocess(F.coalesce(F.try_element_at(found, i.cast("bigint")), absent), options)
+
+        return F.transform(sentences, pick)
+
+    by_index = F.map_from_entries(
+        F.transform(answer["payload"]["sentences"], lambda s: F.struct(s["original_index"], s["text"]))
     )
+    given = let(F.when(answer["ok"], by_index), fill)
+    own = F.transform(sentences, lambda s: postprocess(redacted(s), options))
     refused = {
         "keep": own,
         "null": F.lit(None).cast("array<string>"),
