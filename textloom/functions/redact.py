@@ -15,7 +15,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from textloom.functions.prompts import RedactionOptions
-from textloom.functions.text import apply_custom_rules, collapse_ws
+from textloom.functions.text import apply_custom_rules, collapse_ws, let
 
 # Patterns without look-around, so any engine can repeat them ---
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
@@ -65,9 +65,21 @@ def redaction_steps(options: RedactionOptions, gazetteers: Gazetteers) -> list[t
     return steps
 
 
+def _replace(c: Column, kind: str, pattern: str) -> Column:
+    """Replace one kind; a cheap test spares the pattern where it cannot match."""
+    possible = {
+        "email": lambda x: F.contains(x, F.lit("@")),
+        "id": lambda x: x.rlike("[0-9]{3}"),
+        "phone": lambda x: F.contains(x, F.lit("-")),
+    }.get(kind)
+    if possible is None:
+        return F.regexp_replace(c, pattern, TAGS[kind])
+    return let(c, lambda x: F.when(possible(x), F.regexp_replace(x, pattern, TAGS[kind])).otherwise(x))
+
+
 def redact(c: Column, options: RedactionOptions | None = None, gazetteers: Gazetteers = Gazetteers()) -> Column:
     for kind, pattern in redaction_steps(options or RedactionOptions(), gazetteers):
-        c = F.regexp_replace(c, pattern, TAGS[kind])
+        c = _replace(c, kind, pattern)
     return c
 
 
@@ -78,7 +90,7 @@ def redaction_counts(
     counts = []
     for kind, pattern in redaction_steps(options or RedactionOptions(), gazetteers):
         counts.append(F.regexp_count(c, F.lit(pattern)).cast("bigint").alias(kind))
-        c = F.regexp_replace(c, pattern, TAGS[kind])
+        c = _replace(c, kind, pattern)
     return F.struct(*counts)
 
 
