@@ -11,6 +11,7 @@ Two divergences from Python's parser remain: repeated object keys and the
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from typing import Any
 
 from pyspark.sql import Column
@@ -179,132 +180,150 @@ def _type_of(value: Any) -> T.DataType:
 
 
 # Validation ---------------------------------------------------------------
-def validate(v: Column, schema: T.StructType) -> Column:
-    """``struct<payload, ok, error>`` for a variant against a schema.
+# A schema becomes one SQL expression text: a nested record has dozens of
+# members, and one parse is far cheaper than thousands of column calls.
+def validate(column: str, schema: T.StructType) -> Column:
+    """``struct<payload, ok, error>`` of a variant column against a schema.
 
     Unknown keys are ignored; the error names the first offending path.
     """
+    names = iter(f"v{i}" for i in range(1_000_000))
+    problem = f"CASE WHEN {{v}} IS NULL THEN 'not JSON' ELSE {_struct_problem('{v}', schema, '$', names)} END"
+    value = _struct_value("{v}", schema, names)
+
+    def result(v: str, error: str) -> str:
+        return (
+            f"named_struct('payload', CASE WHEN {error} IS NULL THEN {value.replace('{v}', v)} END, "
+            f"'ok', {error} IS NULL, 'error', {error})"
+        )
+
+    text = _let(column, names, lambda v: _let(problem.replace("{v}", v), names, lambda error: result(v, error)))
+    return F.expr(text)
+
+
+def _let(x: str, names: Iterator[str], body: Callable[[str], str]) -> str:
+    """``body`` of a lambda variable that holds ``x``, evaluated once."""
+    name = next(names)
+    return f"get(transform(array({x}), {name} -> {body(name)}), 0)"
 
-    def result(v: Column, error: Column) -> Column:
-        payload = F.when(error.isNull(), _struct_value(v, schema))
-        return F.struct(payload.alias("payload"), error.isNull().alias("ok"), error.alias("error"))
 
-    def problem(v: Column) -> Column:
-        return F.when(v.isNull(), F.lit("not JSON")).otherwise(_struct_problem(v, schema, "$"))
+def _quoted(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
-    return let(v, lambda v: let(problem(v), lambda error: result(v, error)))
 
+def _get(x: str, path: str, kind: str) -> str:
+    return f"try_variant_get({x}, {_quoted(path)}, '{kind}')"
 
-def _struct_problem(v: Column, schema: T.StructType, path: str) -> Column:
+
+def _struct_problem(v: str, schema: T.StructType, path: str, names: Iterator[str]) -> str:
     """A value that is no object has no members, so every key is missing."""
-    problems = [
-        _problem(member(v, f.name), f.dataType, f"{path}.{f.name}", f.nullable, f.metadata == OPTIONAL)
-        for f in schema.fields
-    ]
-    if any(f.metadata != OPTIONAL for f in schema.fields):
-        return F.coalesce(*problems)
-    shape = F.when(~is_object(v), F.lit(f"{path}: not an object"))
-    return F.coalesce(shape, *problems)
+    problems = [_problem(_get(v, field_path(f.name), "variant"), f, f"{path}.{f.name}", names) for f in schema.fields]
+    if all(f.metadata == OPTIONAL for f in schema.fields):
+        shape = f"CASE WHEN {_get(v, '$', 'map<string,variant>')} IS NULL THEN {_quoted(path + ': not an object')} END"
+        problems.insert(0, shape)
+    return f"coalesce({', '.join(problems)})"
 
 
-def _problem(x: Column, dtype: T.DataType, path: str, may_be_null: bool, may_be_absent: bool) -> Column:
-    nothing = F.lit(None).cast("string")
-    return let(
+def _problem(x: str, f: T.StructField, path: str, names: Iterator[str]) -> str:
+    absent = "CAST(NULL AS STRING)" if f.metadata == OPTIONAL else _quoted(f"{path}: missing")
+    null = "CAST(NULL AS STRING)" if f.nullable else _quoted(f"{path}: null")
+    return _let(
         x,
-        lambda x: F.when(x.isNull(), nothing if may_be_absent else F.lit(f"{path}: missing"))
-        .when(F.is_variant_null(x), nothing if may_be_null else F.lit(f"{path}: null"))
-        .otherwise(_type_problem(x, dtype, path)),
+        names,
+        lambda x: f"CASE WHEN {x} IS NULL THEN {absent} WHEN is_variant_null({x}) THEN {null} "
+        f"ELSE {_type_problem(x, f.dataType, path, names)} END",
     )
 
 
-def _type_problem(x: Column, dtype: T.DataType, path: str) -> Column:
-    nothing = F.lit(None).cast("string")
+def _type_problem(x: str, dtype: T.DataType, path: str, names: Iterator[str]) -> str:
     if isinstance(dtype, T.StructType):
-        return _struct_problem(x, dtype, path)
+        return _struct_problem(x, dtype, path, names)
+    if isinstance(dtype, T.VariantType):
+        return "CAST(NULL AS STRING)"
     if isinstance(dtype, T.ArrayType):
-        not_list = F.lit(f"{path}: not a list")
+        not_list, items = _quoted(f"{path}: not a list"), _get(x, "$", "array<variant>")
         if isinstance(dtype.elementType, T.VariantType):
-            return F.when(~is_list(x), not_list)
-
-        def bad(e: Column) -> Column:
-            return _problem(e, dtype.elementType, f"{path}[]", dtype.containsNull, False).isNotNull()
-
-        return let(
-            as_list(x),
-            lambda items: F.when(items.isNull(), not_list).when(F.exists(items, bad), F.lit(f"{path}: bad element")),
+            return f"CASE WHEN {items} IS NULL THEN {not_list} END"
+        element = T.StructField("", dtype.elementType, dtype.containsNull)
+        e = next(names)
+        bad = f"{_problem(e, element, path + '[]', names)} IS NOT NULL"
+        return _let(
+            items,
+            names,
+            lambda a: f"CASE WHEN {a} IS NULL THEN {not_list} "
+            f"WHEN exists({a}, {e} -> {bad}) THEN {_quoted(path + ': bad element')} END",
         )
-    if isinstance(dtype, T.VariantType):
-        return nothing
-    return F.when(~_scalar_fits(x, dtype), F.lit(f"{path}: not {dtype.simpleString()}"))
+    wrong = _quoted(f"{path}: not {dtype.simpleString()}")
+    fits = _let(f"schema_of_variant({x})", names, lambda k: _scalar_fits(x, k, dtype))
+    return f"CASE WHEN NOT coalesce({fits}, false) THEN {wrong} END"
 
 
-def _scalar_fits(x: Column, dtype: T.DataType) -> Column:
+def _scalar_fits(x: str, k: str, dtype: T.DataType) -> str:
+    """Numbers and flags also fit when written as the other or as text."""
     if isinstance(dtype, T.StringType):
-        return is_text(x)
-    return let(kind(x), lambda k: F.coalesce(_number_fits(x, k, dtype), F.lit(False)))
-
-
-def _number_fits(x: Column, k: Column, dtype: T.DataType) -> Column:
-    text = F.try_variant_get(x, "$", "string")
-    number = F.try_variant_get(x, "$", "double")
-    fractional = k.startswith("DECIMAL") | k.isin("DOUBLE", "FLOAT")
+        return f"{k} = 'STRING'"
+    text, number = _get(x, "$", "string"), _get(x, "$", "double")
+    fractional = f"({k} LIKE 'DECIMAL%' OR {k} IN ('DOUBLE', 'FLOAT'))"
     if isinstance(dtype, T.LongType):
         return (
-            k.isin("BIGINT", "BOOLEAN")
-            | (fractional & (number == F.floor(number)))
-            | ((k == "STRING") & text.rlike(INT_TEXT))
+            f"{k} IN ('BIGINT', 'BOOLEAN') OR ({fractional} AND {number} = floor({number})) "
+            f"OR ({k} = 'STRING' AND {text} RLIKE {_quoted(INT_TEXT)})"
         )
     if isinstance(dtype, T.DoubleType):
-        return k.isin("BIGINT", "BOOLEAN") | fractional | ((k == "STRING") & text.rlike(FLOAT_TEXT))
+        return (
+            f"{k} IN ('BIGINT', 'BOOLEAN') OR {fractional} OR ({k} = 'STRING' AND {text} RLIKE {_quoted(FLOAT_TEXT)})"
+        )
     if isinstance(dtype, T.BooleanType):
+        words = ", ".join(_quoted(w) for w in (*TRUE_TEXTS, *FALSE_TEXTS))
         return (
-            (k == "BOOLEAN")
-            | (((k == "BIGINT") | fractional) & number.isin(0.0, 1.0))
-            | ((k == "STRING") & F.lower(text).isin(*TRUE_TEXTS, *FALSE_TEXTS))
+            f"{k} = 'BOOLEAN' OR (({k} = 'BIGINT' OR {fractional}) AND {number} IN (0.0D, 1.0D)) "
+            f"OR ({k} = 'STRING' AND lower({text}) IN ({words}))"
         )
     raise ValueError(f"unsupported type {dtype.simpleString()}")
 
 
-def _struct_value(v: Column, schema: T.StructType) -> Column:
-    return F.struct(*[_value(member(v, f.name), f.dataType).alias(f.name) for f in schema.fields])
+def _struct_value(v: str, schema: T.StructType, names: Iterator[str]) -> str:
+    members = [
+        f"{_quoted(f.name)}, {_value(_get(v, field_path(f.name), 'variant'), f.dataType, names)}" for f in schema.fields
+    ]
+    return f"named_struct({', '.join(members)})"
 
 
-def _value(x: Column, dtype: T.DataType) -> Column:
+def _value(x: str, dtype: T.DataType, names: Iterator[str]) -> str:
     if isinstance(dtype, T.StringType):
-        return F.try_variant_get(x, "$", "string")
+        return _get(x, "$", "string")
     if isinstance(dtype, T.VariantType):
         return x
     if isinstance(dtype, T.ArrayType):
+        items = _get(x, "$", "array<variant>")
         if isinstance(dtype.elementType, T.VariantType):
-            return as_list(x)
-        return F.transform(as_list(x), lambda e: _value(e, dtype.elementType))
+            return items
+        e = next(names)
+        return f"transform({items}, {e} -> {_value(e, dtype.elementType, names)})"
     if isinstance(dtype, T.StructType):
-        return let(x, lambda x: F.when(x.isNotNull() & ~F.is_variant_null(x), _struct_value(x, dtype)))
-    return let(x, lambda x: _number(x, kind(x), dtype))
+        return _let(
+            x,
+            names,
+            lambda x: f"CASE WHEN {x} IS NOT NULL AND NOT is_variant_null({x}) THEN {_struct_value(x, dtype, names)} END",
+        )
+    return _let(x, names, lambda x: _let(f"schema_of_variant({x})", names, lambda k: _scalar_value(x, k, dtype)))
 
 
-def _number(x: Column, k: Column, dtype: T.DataType) -> Column:
-    text = F.try_variant_get(x, "$", "string")
-    number = F.try_variant_get(x, "$", "double")
-    flag = F.try_variant_get(x, "$", "boolean")
+def _scalar_value(x: str, k: str, dtype: T.DataType) -> str:
+    text, number, flag = (_get(x, "$", t) for t in ("string", "double", "boolean"))
     if isinstance(dtype, T.LongType):
         return (
-            F.when(k == "BIGINT", F.try_variant_get(x, "$", "bigint"))
-            .when(k == "BOOLEAN", flag.cast("bigint"))
-            .when(k == "STRING", F.regexp_extract(text, r"[+-]?[0-9]+", 0).try_cast("bigint"))
-            .otherwise(F.floor(number).cast("bigint"))
+            f"CASE {k} WHEN 'BIGINT' THEN {_get(x, '$', 'bigint')} WHEN 'BOOLEAN' THEN CAST({flag} AS BIGINT) "
+            f"WHEN 'STRING' THEN try_cast(regexp_extract({text}, '[+-]?[0-9]+', 0) AS BIGINT) "
+            f"ELSE CAST(floor({number}) AS BIGINT) END"
         )
     if isinstance(dtype, T.DoubleType):
         return (
-            F.when(k == "BOOLEAN", flag.cast("double"))
-            .when(k == "STRING", F.trim(text).try_cast("double"))
-            .otherwise(number)
+            f"CASE {k} WHEN 'BOOLEAN' THEN CAST({flag} AS DOUBLE) "
+            f"WHEN 'STRING' THEN try_cast(trim({text}) AS DOUBLE) ELSE {number} END"
         )
-    return (
-        F.when(k == "BOOLEAN", flag)
-        .when(k == "STRING", F.lower(text).isin(*TRUE_TEXTS))
-        .otherwise(number == 1.0)
-    )
+    true = ", ".join(_quoted(w) for w in TRUE_TEXTS)
+    return f"CASE {k} WHEN 'BOOLEAN' THEN {flag} WHEN 'STRING' THEN lower({text}) IN ({true}) ELSE {number} = 1.0D END"
 
 
 # Failure lanes --------------------------------------------------------------

@@ -103,6 +103,9 @@ def model_map(
     already answered there are not asked again.  Without it the responses are
     computed in line, and writing them once is up to the user.
     """
+    clash = [c for c in (*ADDED, "prompt_hash") if c in df.columns]
+    if clash:
+        raise ValueError(f"the input already has {', '.join(clash)}")
     if isinstance(backend, Rules):
         return df.withColumns(
             {

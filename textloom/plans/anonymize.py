@@ -6,11 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textloom.functions.jsonx import optional, parse_strict, required, validate
+from textloom.functions.jsonx import optional, parse_strict, required
 from textloom.functions.prompts import REDACTION_TEMPLATE, RedactionOptions, redaction_prompt
 from textloom.functions.redact import Gazetteers, postprocess, redact
 from textloom.functions.text import empty_strings, let, split_sentences
 from textloom.operators.model_map import Caller, Replay, Rules, model_map
+from textloom.operators.once import add_checked, add_once
 
 SENTENCE = T.StructType([required("original_index", T.LongType()), required("text", T.StringType())])
 BATCH_ANSWER = T.StructType(
@@ -57,20 +58,13 @@ def rules_answer(
     return F.to_json(F.struct(done.alias("sentences")))
 
 
-def check_answer(response: Column, expected: Column) -> Column:
-    """``struct<payload, ok, error>``: schema, index range and uniqueness."""
-
-
-    def result(checked: Column) -> Column:
-        index = F.transform(checked["payload"]["sentences"], lambda s: s["original_index"])
-        return let(
-            let(index, lambda index: F.coalesce(checked["error"], _index_problem(index, expected))),
-            lambda error: F.struct(
-                checked["payload"].alias("payload"), error.isNull().alias("ok"), error.alias("error")
-            ),
-        )
-
-    return let(validate(parse_strict(response), BATCH_ANSWER), result)
+def check_indexes(checked: Column, expected: Column) -> Column:
+    """A checked answer whose indexes must also be unique and in range."""
+    index = F.transform(checked["payload"]["sentences"], lambda s: s["original_index"])
+    return let(
+        let(index, lambda index: F.coalesce(checked["error"], _index_problem(index, expected))),
+        lambda error: F.struct(checked["payload"].alias("payload"), error.isNull().alias("ok"), error.alias("error")),
+    )
 
 
 def _index_problem(index: Column, expected: Column) -> Column:
@@ -99,7 +93,9 @@ def answer_batches(
         "prompt", redaction_prompt(F.col("sentences"), options, template, numbered)
     )
     answered = model_map(batches, "prompt", backend, response_path)
-    return answered.withColumn("answer", check_answer(F.col("response"), F.size("sentences")))
+    checked = add_checked(answered, parse_strict(F.col("response")), BATCH_ANSWER)
+    answer = check_indexes(F.col("checked"), F.size("sentences"))
+    return add_once(checked, F.struct(answer.alias("answer"))).drop("checked")
 
 
 def batch_sentences_out(

@@ -10,10 +10,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textloom.functions.jsonx import as_list, is_list, parse_strict, parse_unfenced, required, validate
+from textloom.functions.jsonx import as_list, is_list, parse_strict, parse_unfenced, required
 from textloom.functions.prompts import class_system_prompt, class_user_prompt, document_labels_json, with_system
-from textloom.functions.text import is_blank, trim_ws
+from textloom.functions.text import is_blank, let, trim_ws
 from textloom.operators.model_map import Caller, Replay, Rules, model_map
+from textloom.operators.once import add_checked, add_once
 
 LABELS_ANSWER = T.StructType(
     [
@@ -66,7 +67,7 @@ def lexicon_scores(docs: DataFrame, classes: Sequence[Mapping[str, str]], text_f
 def confidences(scores: DataFrame) -> DataFrame:
     """Adds ``confidence``: the share of a class in its document's score."""
     total = F.sum("score").over(Window.partitionBy("doc_id"))
-    return scores.withColumn("confidence", F.round(F.col("score") / total, 4))
+    return scores.withColumn("confidence", F.col("score") / total)
 
 
 def rules_labels(docs: DataFrame, classes: Sequence[Mapping[str, str]], min_confidence: float = 0.5) -> DataFrame:
@@ -85,20 +86,21 @@ def label_prompts(docs: DataFrame, classes: Sequence[Mapping[str, str]], system:
     )
 
 
-def parse_labels(response: Column, class_ids: Sequence[str] | None = None) -> Column:
+def known_labels(checked: Column, class_ids: Sequence[str] | None = None) -> Column:
     """``struct<relevant_classes, rejected, ok, error>``; empty when refused.
 
     With ``class_ids`` only known classes stay, the others are ``rejected``.
     """
-    checked = validate(parse_strict(response), LABELS_ANSWER)
-    labels = F.coalesce(checked["payload"]["relevant_classes"], F.array().cast(LABELS_TYPE))
+    none = F.array().cast(LABELS_TYPE)
+    labels = F.coalesce(checked["payload"]["relevant_classes"], none)
     if class_ids is None:
-        known, other = labels, F.array().cast(LABELS_TYPE)
+        known, other = labels, none
     else:
         known = F.filter(labels, lambda c: c["class_id"].isin(*class_ids))
         other = F.filter(labels, lambda c: ~c["class_id"].isin(*class_ids))
     return F.struct(
-        known.alias("relevant_classes"), other.alias("rejected"), checked["ok"].alias("ok"), checked["error"].alias("error")
+        known.alias("relevant_classes"), other.alias("rejected"),
+        checked["ok"].alias("ok"), checked["error"].alias("error"),
     )
 
 
@@ -113,9 +115,10 @@ def classify_multilabel(
     """``doc_id, relevant_classes, n_labels, rejected, ok, error`` per document."""
     answered = model_map(label_prompts(docs, classes, system), "prompt", backend, response_path)
     ids = [c["id"].strip() for c in classes] if enforce_catalog else None
-    parsed = answered.select("doc_id", parse_labels(F.col("response"), ids).alias("_p"))
+    checked = add_checked(answered.select("doc_id", "response"), parse_strict(F.col("response")), LABELS_ANSWER)
+    parsed = add_once(checked.select("doc_id", "checked"), known_labels(F.col("checked"), ids))
     return parsed.select(
-        "doc_id", "_p.relevant_classes", F.size("_p.relevant_classes").alias("n_labels"), "_p.rejected", "_p.ok", "_p.error"
+        "doc_id", "relevant_classes", F.size("relevant_classes").alias("n_labels"), "rejected", "ok", "error"
     )
 
 
@@ -140,8 +143,10 @@ def _entries(v: Column) -> Column:
 
 
 def _nonempty_list(response: Column) -> Column:
-    v = parse_unfenced(response)
-    return F.when(is_list(v) & (F.size(as_list(v)) > 0), _entries(v))
+    def entries(v: Column) -> Column:
+        return F.when(is_list(v) & (F.size(as_list(v)) > 0), _entries(v))
+
+    return let(parse_unfenced(response), entries)
 
 
 def _catalogue_map(classes: Sequence[Mapping[str, str]], field: str) -> Column:
@@ -191,11 +196,12 @@ def classify_two_stage(
     """
     asked = docs.withColumn("prompt", generalist_prompt(F.col("text"), classes, generalist_system))
     one = model_map(asked, "prompt", generalist, response_paths[0])
-    one = one.select("doc_id", "text", _nonempty_list(F.col("response")).alias("stage1"))
+    one = add_once(one, F.struct(_nonempty_list(F.col("response")).alias("stage1"))).select("doc_id", "text", "stage1")
     asked = one.withColumn("prompt", specialist_prompt(F.col("text"), F.col("stage1"), classes, specialist_system))
     two = model_map(asked, "prompt", specialist, response_paths[1])
     stage2 = F.when(F.col("prompt").isNotNull(), _nonempty_list(F.col("response")))
-    done = two.select("doc_id", "text", "stage1", stage2.alias("stage2"))
+    done = add_once(two.select("doc_id", "text", "stage1", "prompt", "response"), F.struct(stage2.alias("stage2")))
+    done = done.select("doc_id", "text", "stage1", "stage2")
     status = (
         F.when(F.col("stage1").isNull(), F.lit("generalist_failed"))
         .when(F.col("stage2").isNull(), F.lit("specialist_failed"))

@@ -17,11 +17,11 @@ from textloom.functions.jsonx import (
     parse_or_text,
     parse_strict,
     schema_from_example,
-    validate,
 )
 from textloom.functions.prompts import example_system_prompt, inference_prompt, sft_text, with_system
 from textloom.functions.text import truncate_tokens
 from textloom.operators.model_map import Caller, Replay, Rules, model_map
+from textloom.operators.once import add_checked, add_once
 from textloom.operators.sampling import first_n
 
 # Fixed values
@@ -100,7 +100,7 @@ def label_records(
     prompt = with_system(example_system_prompt(variant_text(system), example), variant_text(user))
     asked = records.withColumns({"_problem": problem, "prompt": F.when(problem.isNull(), prompt)})
     answered = model_map(asked, "prompt", backend, response_path)
-    checked = answered.withColumn("_c", validate(parse_strict(F.col("response")), schema))
+    checked = add_checked(answered, parse_strict(F.col("response")), schema, "_c")
     payload = F.col("_c.payload")
     if output_field is None:
         output = F.to_json(payload, {"ignoreNullFields": "false"})
@@ -174,7 +174,7 @@ def batch_score(
     others = [c for c in records.columns if c != record]
     asked = kept.select(*others, system.alias("system_prompt"), user.alias("user_prompt"), prompt.alias("prompt"))
     answered = model_map(asked, "prompt", backend, response_path)
-    parsed = answered.withColumn("_p", parse_or_text(F.col("response")))
+    parsed = add_once(answered, F.struct(parse_or_text(F.col("response")).alias("_p")))
     output = F.when(F.col("_p.is_json"), F.to_json("_p.value")).otherwise(F.col("_p.text"))
     return parsed.select(
         *others, "system_prompt", "user_prompt", output.alias("student_output"), F.col("_p.is_json").alias("is_json")

@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from textloom.functions import metrics as M
 from textloom.functions.jsonx import is_object, parse_braces
 from textloom.functions.prompts import judge_prompt, paraphrase_prompt, with_system
-from textloom.functions.text import as_id, line_list
+from textloom.functions.text import as_id, let, line_list
 from textloom.operators.knn import KnnSizes
 from textloom.operators.model_map import Caller, Replay, Rules, model_map
+from textloom.operators.once import add_once
 from textloom.operators.sampling import sample_n
 from textloom.plans.faq import retrieve
 
@@ -167,21 +168,22 @@ def parse_judgement(response: Column, failed_as_zero: bool = False) -> Column:
     A failed judgement has null scores and stays out of every mean;
     ``failed_as_zero`` scores it 0 instead.
     """
-    v = parse_braces(response)
-    ok = is_object(v)
-
-    def score(name: str, kind: str) -> Column:
-        value = F.when(ok, F.try_variant_get(v, f"$.{name}", kind))
-        return F.when(~ok, F.lit(0).cast(kind)).otherwise(value) if failed_as_zero else value
-
-    return F.struct(
-        score("overall_score", "double").alias("llm_judge_score"),
-        score("correctness", "bigint").alias("llm_judge_correctness"),
-        score("completeness", "bigint").alias("llm_judge_completeness"),
-        score("relevance", "bigint").alias("llm_judge_relevance"),
-        F.when(ok, F.try_variant_get(v, "$.justification", "string")).alias("llm_judge_justification"),
-        ok.alias("judge_ok"),
-    )
+
+    def result(v: Column, ok: Column) -> Column:
+        def score(name: str, kind: str) -> Column:
+            value = F.when(ok, F.try_variant_get(v, f"$.{name}", kind))
+            return F.when(~ok, F.lit(0).cast(kind)).otherwise(value) if failed_as_zero else value
+
+        return F.struct(
+            score("overall_score", "double").alias("llm_judge_score"),
+            score("correctness", "bigint").alias("llm_judge_correctness"),
+            score("completeness", "bigint").alias("llm_judge_completeness"),
+            score("relevance", "bigint").alias("llm_judge_relevance"),
+            F.when(ok, F.try_variant_get(v, "$.justification", "string")).alias("llm_judge_justification"),
+            ok.alias("judge_ok"),
+        )
+
+    return let(parse_braces(response), lambda v: let(is_object(v), lambda ok: result(v, ok)))
 
 
 def judge(
@@ -194,9 +196,8 @@ def judge(
     """Adds the judge columns to rows ``question, generated_answer, answer``."""
     prompt = with_system(system, judge_prompt(F.col("question"), F.col("generated_answer"), F.col("answer")))
     answered = model_map(answers.withColumn("prompt", prompt), "prompt", backend, response_path)
-    return answered.withColumn("_j", parse_judgement(F.col("response"), failed_as_zero)).select(
-        *answers.columns, "_j.*"
-    )
+    judged = add_once(answered, parse_judgement(F.col("response"), failed_as_zero))
+    return judged.drop("prompt", "response", "attempts", "error", "backend")
 
 
 def consistent_judgement() -> Column:

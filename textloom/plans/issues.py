@@ -6,10 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textloom.functions.jsonx import nullable, parse_lenient, required, validate
+from textloom.functions.jsonx import nullable, parse_lenient, required
 from textloom.functions.prompts import with_system
+from textloom.functions.text import let
 from textloom.operators.matrix import SEVERITY_LEVELS
 from textloom.operators.model_map import Caller, Replay, Rules, model_map
+from textloom.operators.once import add_checked, add_once
 
 _TEXTS = T.ArrayType(T.StringType(), False)
 ENTITY_KINDS = ("persons", "organizations", "locations", "dates", "misc")
@@ -52,22 +54,23 @@ ISSUE_ANSWER = T.StructType(
 )
 
 
-def check_issue(response: Column, check_domains: bool = False) -> Column:
-    """``struct<payload, ok, error>``; ``check_domains`` also tests value ranges."""
-    checked = validate(parse_lenient(response), ISSUE_ANSWER)
-    if not check_domains:
-        return checked
+def check_domain_values(checked: Column) -> Column:
+    """A checked answer whose severity and confidence must also be in range."""
     analysis = checked["payload"]["issue_analysis"]
-    error = F.coalesce(
-        checked["error"],
-        F.when(~analysis["severity"]["level"].isin(*SEVERITY_LEVELS), F.lit("$.issue_analysis.severity.level: unknown")),
+    outside = (
         F.when(
+            ~analysis["severity"]["level"].isin(*SEVERITY_LEVELS), F.lit("$.issue_analysis.severity.level: unknown")
+        )
+        .when(
             ~analysis["category"]["confidence"].between(0.0, 1.0),
             F.lit("$.issue_analysis.category.confidence: outside 0..1"),
-        ),
+        )
     )
-    return F.struct(
-        F.when(error.isNull(), checked["payload"]).alias("payload"), error.isNull().alias("ok"), error.alias("error")
+    return let(
+        F.coalesce(checked["error"], outside),
+        lambda error: F.struct(
+            F.when(error.isNull(), checked["payload"]).alias("payload"), error.isNull().alias("ok"), error.alias("error")
+        ),
     )
 
 
@@ -81,9 +84,9 @@ def analyze_issues(
     """``id, response, payload, ok, error`` for rows ``id, text``; none is lost."""
     asked = docs.withColumn("prompt", with_system(system, F.col("text")))
     answered = model_map(asked, "prompt", backend, response_path)
-    return answered.select(
-        "id", "response", check_issue(F.col("response"), check_domains).alias("_c")
-    ).select("id", "response", "_c.payload", "_c.ok", "_c.error")
+    checked = add_checked(answered.select("id", "response"), parse_lenient(F.col("response")), ISSUE_ANSWER)
+    result = check_domain_values(F.col("checked")) if check_domains else F.col("checked")
+    return add_once(checked, result).drop("checked")
 
 
 def issue_records(analyzed: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from textloom.functions.jsonx import is_object, parse_strict
 from textloom.functions.prompts import tool_system_prompt, tool_user_prompt, with_system
 from textloom.operators.model_map import Caller, Replay, Rules, model_map
+from textloom.operators.once import add_once
 
 
 def tool_prompts(steps: DataFrame) -> DataFrame:
@@ -29,7 +30,8 @@ def tool_step(steps: DataFrame, backend: Replay | Rules | Caller, response_path:
     Only an object counts as parsed; a JSON list is reported as unparsed.
     """
     answered = model_map(tool_prompts(steps), "prompt", backend, response_path)
-    v = parse_strict(F.col("response"))
+    answered = add_once(answered, F.struct(parse_strict(F.col("response")).alias("_v")))
+    v = F.col("_v")
     problem = F.when(v.isNull(), F.lit("not JSON")).when(~is_object(v), F.lit("not an object"))
     return answered.select(
         *steps.columns,

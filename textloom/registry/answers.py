@@ -16,6 +16,7 @@ from textloom.operators.matrix import SEVERITY_LEVELS, risk_matrix as risk_matri
 from textloom.operators.model_map import Replay, Rules, model_map, prompt_hash
 from textloom.plans import distill as D, evaluate as E, faq as Q, issues as I, toolstep as S
 from textloom.operators import sets
+from textloom.operators.once import add_once
 from textloom.operators.sampling import sample_n
 from textloom.registry.base import documents, spread, sql_text, table
 
@@ -39,7 +40,7 @@ def _answers(spark, d):
 
 
 def _read(df, parser):
-    parsed = df.select("doc_id", parser(F.col("response")).alias("v"))
+    parsed = add_once(df, F.struct(parser(F.col("response")).alias("v")))
     return parsed.select(
         "doc_id", F.col("v").isNotNull().alias("ok"), J.is_object(F.col("v")).alias("is_object"),
         F.try_variant_get("v", "$.lang", "string").alias("lang"),
@@ -287,7 +288,9 @@ def _records(spark, d):
     )
     return documents(spark, d).select(
         "doc_id", "lang", "text", "n_chars",
-        F.parse_json(system).alias("system_prompt"), F.parse_json(user).alias("user_prompt"),
+        F.inline_outer(F.array(F.struct(
+            F.parse_json(system).alias("system_prompt"), F.parse_json(user).alias("user_prompt")
+        ))),
     )
 
 
@@ -328,7 +331,8 @@ def _training(spark, d):
         .when(shape == 1, F.concat(F.lit('{"user_prompt":'), user, F.lit("}")))
         .otherwise(whole)
     )
-    return marked.select("doc_id", F.parse_json(record).alias("record"))
+    return add_once(marked.select("doc_id", "text", "lang", "n_chars", "quality", "toxic"),
+                    F.struct(F.parse_json(record).alias("record"))).select("doc_id", "record")
 
 
 def require_keys(spark, d):

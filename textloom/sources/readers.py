@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from textloom.functions.jsonx import as_list, is_list, is_object, parse_strict
 from textloom.functions.text import is_blank, trim_ws
+from textloom.operators.once import add_once
 from textloom.plans.classify import clean_rows
 from textloom.plans.faq import with_chunk_id
 
@@ -117,8 +118,8 @@ def read_records(spark: SparkSession, path: str, bad: str = "fail", by_extension
         )
         rows = raw.select(F.explode(listed).alias("record")).withColumn("raw", F.to_json("record"))
     else:
-        raw = spark.read.text(path).filter(~is_blank(F.col("value")))
-        rows = raw.select(parse_strict(F.col("value")).alias("record"), F.col("value").alias("raw"))
+        raw = spark.read.text(path).filter(~is_blank(F.col("value"))).withColumnRenamed("value", "raw")
+        rows = add_once(raw, F.struct(parse_strict(F.col("raw")).alias("record"))).select("record", "raw")
     rows = rows.withColumn("ok", is_object(F.col("record")))
     if bad == "keep":
         return rows
