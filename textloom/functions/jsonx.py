@@ -324,9 +324,3 @@ def _scalar_value(x: str, k: str, dtype: T.DataType) -> str:
         )
     true = ", ".join(_quoted(w) for w in TRUE_TEXTS)
     return f"CASE {k} WHEN 'BOOLEAN' THEN {flag} WHEN 'STRING' THEN lower({text}) IN ({true}) ELSE {number} = 1.0D END"
-
-
-# Failure lanes --------------------------------------------------------------
-def or_fallback(ok: Column, payload: Column, default: Column | None = None) -> Column:
-    """Payload of good rows, a fallback (null unless given) for the others."""
-    return F.when(ok, payload) if default is None else F.when(ok, payload).otherwise(default)

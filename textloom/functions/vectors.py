@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from textloom.functions.text import let
+
 
 def dot(a: Column, b: Column) -> Column:
     products = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
@@ -17,12 +19,16 @@ def l2_norm(v: Column) -> Column:
 
 def l2_normalize(v: Column) -> Column:
     """Unit vector; the zero vector stays as it is."""
-    norm = l2_norm(v)
-    unit = F.transform(v, lambda x: x.cast("double") / norm)
-    return F.when(norm == 0, v.cast("array<double>")).otherwise(unit).cast("array<float>")
+
+    def scaled(norm: Column) -> Column:
+        unit = F.transform(v, lambda x: x.cast("double") / norm)
+        return F.when(norm == 0, v.cast("array<double>")).otherwise(unit).cast("array<float>")
+
+    return let(l2_norm(v), scaled)
 
 
 def cosine(a: Column, b: Column) -> Column:
     """Cosine similarity; 0 when either side is the zero vector."""
-    scale = l2_norm(a) * l2_norm(b)
-    return F.when(scale == 0, F.lit(0.0)).otherwise(dot(a, b) / scale)
+    return let(
+        l2_norm(a) * l2_norm(b), lambda scale: F.when(scale == 0, F.lit(0.0)).otherwise(dot(a, b) / scale)
+    )

@@ -33,6 +33,8 @@ SCORE_DECIMALS = 9
 ANGLE_SLACK = 1e-4
 #: Cells of a block product: bounds the score matrix a task holds.
 PRODUCT_CELLS = 4_000_000
+#: Rows of one batch of routed questions.
+ROUTED_ROWS = 32_768
 
 
 @dataclass(frozen=True)
@@ -235,42 +237,64 @@ def _blocks(
         return spark.createDataFrame([], out)
     pivots = _matrix(chosen.column("vec"))
 
+    near = k + 1 if exclude_self else k
+
     # A zero vector has no direction: the triangle inequality says nothing
     # about it, so it gets an infinite radius and its cell is always visited.
-    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def place(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        m = _matrix(batch.column("vec"))
+        angle = _angles(m, pivots)
+        cell = angle.argmin(axis=1)
+        radius = angle[np.arange(len(m)), cell]
+        radius[~m.any(axis=1)] = np.inf
+        return cell, radius
+
+    def survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[tuple[str, int], tuple[int, float, np.ndarray]] = {}
         for batch in batches:
             if not len(batch):
                 continue
-            m = _matrix(batch.column("vec"))
-            angle = _angles(m, pivots)
-            cell = angle.argmin(axis=1)
-            radius = angle[np.arange(len(m)), cell]
-            radius[~m.any(axis=1)] = np.inf
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(cell.astype(np.int32)), pa.array(radius)],
-                names=["id", "grp", "vec", "cell", "radius"],
-            )
-
-    fields = [*c.schema.fields, T.StructField("cell", T.IntegerType()), T.StructField("radius", T.DoubleType())]
-    placed = c.mapInArrow(assign, T.StructType(fields))
+            cell, radius = place(batch)
+            for name, at in _by_group(_ids(batch.column("grp"))):
+                for one in np.unique(cell[at]):
+                    r = radius[at[cell[at] == one]]
+                    n, far, low = seen.get((name, int(one)), (0, 0.0, np.empty(0)))
+                    low = np.sort(np.concatenate([low, r]))[:near]
+                    seen[name, int(one)] = (n + len(r), max(far, float(r.max())), low)
+        yield pa.RecordBatch.from_pydict(
+            {
+                "grp": pa.array([g for g, _ in seen], pa.string()),
+                "cell": pa.array([c for _, c in seen], pa.int32()),
+                "n": pa.array([v[0] for v in seen.values()], pa.int64()),
+                "rmax": pa.array([v[1] for v in seen.values()], pa.float64()),
+                "low": pa.array([v[2].tolist() for v in seen.values()], pa.list_(pa.float64())),
+            }
+        )
 
-    near = k + 1 if exclude_self else k
-    inner = Window.partitionBy("grp", "cell").orderBy("radius", "id")
-    radii = (
-        placed.select("grp", "cell", "radius", "id")
-        .withColumn("r", F.row_number().over(inner))
-        .filter(F.col("r") <= near)
-        .groupBy("grp", "cell")
-        .agg(F.sort_array(F.collect_list("radius")).alias("radii"))
+    # One pass for the statistics: a task reports each cell it saw once.
+    surveyed = c.mapInArrow(survey, "grp string, cell int, n bigint, rmax double, low array<double>")
+    summary = surveyed.groupBy("grp", "cell").agg(
+        F.sum("n").alias("n"),
+        F.max("rmax").alias("rmax"),
+        F.slice(F.sort_array(F.flatten(F.collect_list("low"))), 1, near).alias("low"),
     )
-    spans = placed.groupBy("grp", "cell").agg(F.count(F.lit(1)).alias("n"), F.max("radius").alias("rmax"))
     cells: dict[str, dict[int, tuple[int, float, np.ndarray]]] = {}
-    for row in spans.join(radii, ["grp", "cell"]).collect():  # at most max_cells rows
-        cells.setdefault(row["grp"], {})[row["cell"]] = (
-            -(-row["n"] // sizes.block_rows), row["rmax"], np.asarray(row["radii"]),
-        )
+    for row in summary.collect():  # at most max_cells rows
+        blocks = -(-row["n"] // sizes.block_rows)
+        cells.setdefault(row["grp"], {})[row["cell"]] = (blocks, row["rmax"], np.asarray(row["low"]))
     box = spark.sparkContext.broadcast(cells)
 
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            cell, _ = place(batch)
+            blocks = [box.value[g][int(one)][0] for g, one in zip(batch.column("grp").to_pylist(), cell)]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(cell, pa.int32()), pa.array(blocks, pa.int32())],
+                names=["id", "grp", "vec", "cell", "blocks"],
+            )
+
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not len(batch):
@@ -278,7 +302,6 @@ def _blocks(
             m = _matrix(batch.column("vec"))
             angle = _angles(m, pivots)
             zero = ~m.any(axis=1)
-            taken, cell_col, block_col = [], [], []
             for name, at in _by_group(_ids(batch.column("grp"))):
                 known = box.value.get(name)
                 if not known:
@@ -292,24 +315,27 @@ def _blocks(
                     bound = np.full(len(at), np.inf)
                 bound[zero[at]] = np.inf
                 rmax = np.array([known[i][1] for i in ids])
-                visit = theta - rmax <= bound[:, None] + ANGLE_SLACK
-                for row, j in np.argwhere(visit):
-                    for block in range(known[ids[j]][0]):
-                        taken.append(at[row])
-                        cell_col.append(ids[j])
-                        block_col.append(block)
-            rows = batch.take(pa.array(taken, pa.int64()))
-            yield pa.RecordBatch.from_arrays(
-                [*rows.columns, pa.array(cell_col, pa.int32()), pa.array(block_col, pa.int32())],
-                names=["id", "grp", "vec", "cell", "block"],
-            )
-
-    place = T.StructType([*q.schema.fields, T.StructField("cell", T.IntegerType()), T.StructField("block", T.IntegerType())])
-    routed = q.mapInArrow(route, place).withColumn("pack", F.pmod(F.xxhash64("id"), F.lit(packs)))
-    counts = spans.select("grp", "cell", F.ceil(F.col("n") / sizes.block_rows).cast("int").alias("blocks"))
-    blocked = placed.join(F.broadcast(counts), ["grp", "cell"]).withColumn(
-        "block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+                pairs = np.argwhere(theta - rmax <= bound[:, None] + ANGLE_SLACK)
+                blocks = np.array([known[i][0] for i in ids])[pairs[:, 1]]
+                rows = np.repeat(at[pairs[:, 0]], blocks)
+                cell = np.repeat(ids[pairs[:, 1]], blocks)
+                block = np.arange(len(rows)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+                for i in range(0, len(rows), ROUTED_ROWS):
+                    part = slice(i, i + ROUTED_ROWS)
+                    taken = batch.take(pa.array(rows[part], pa.int64()))
+                    yield pa.RecordBatch.from_arrays(
+                        [*taken.columns, pa.array(cell[part], pa.int32()), pa.array(block[part], pa.int32())],
+                        names=["id", "grp", "vec", "cell", "block"],
+                    )
+
+    number = T.IntegerType()
+    settled = c.mapInArrow(
+        settle, T.StructType([*c.schema.fields, T.StructField("cell", number), T.StructField("blocks", number)])
     )
+    blocked = settled.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    routed = q.mapInArrow(
+        route, T.StructType([*q.schema.fields, T.StructField("cell", number), T.StructField("block", number)])
+    ).withColumn("pack", F.pmod(F.xxhash64("id"), F.lit(packs)))
     return _products(routed, blocked.select("id", "grp", "vec", "cell", "block"), k, exclude_self, out, packs)
 
 

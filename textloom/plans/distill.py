@@ -55,6 +55,11 @@ def drop_counts(df: DataFrame, record: str, keys: Sequence[str]) -> DataFrame:
     )
 
 
+def error_counts(df: DataFrame, error: str = "error") -> DataFrame:
+    """Rows and failures of a finished job."""
+    return df.agg(F.count(F.lit(1)).alias("rows"), F.count(error).alias("errors"))
+
+
 def prompt_problem(system: Column, user: Column, keys: Sequence[str] = PROMPT_KEYS) -> Column:
     """Why a record's prompts are unusable, else null.
 

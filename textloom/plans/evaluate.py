@@ -161,6 +161,16 @@ def long_metrics(details: DataFrame, item: Sequence[str], ks: Sequence[int] = DE
     return details.select(*item, F.explode(rows).alias("_m")).select(*item, "_m.*")
 
 
+def last_per_question(rows: DataFrame, order: str, scope: Sequence[str] = ()) -> DataFrame:
+    """The last of the rows that share a question text.
+
+    Items have ids, so nothing collapses by default; this is for comparing
+    with results keyed by question text.
+    """
+    last = F.max_by(F.struct(*[F.col(c) for c in rows.columns]), F.col(order))
+    return rows.groupBy(*scope, "question").agg(last.alias("_r")).select("_r.*")
+
+
 # Judged answers ---------------------------------------------------------------
 def parse_judgement(response: Column, failed_as_zero: bool = False) -> Column:
     """``struct`` of four scores, a text and ``judge_ok``.

@@ -8,6 +8,7 @@ from textloom.functions.paths import parent_path, project_folder
 from textloom.functions.prompts import rag_prompt as rag_prompt_text
 from textloom.functions.vectors import cosine, l2_normalize
 from textloom.operators.knn import knn_topk as topk
+from textloom.operators.once import add_once
 from textloom.operators.sets import add_unseen, distinct_chunks as distinct_chunks_of
 from textloom.plans import evaluate as E, rollup as R
 from textloom.plans.faq import contexts, embed_tfidf, rag_answer, retrieve, tfidf_model
@@ -47,7 +48,7 @@ def knn_within_label(spark, d):
 
 
 def unit_vectors(spark, d):
-    e = _vectors(spark, d).withColumn("unit", l2_normalize(F.col("embedding")))
+    e = add_once(_vectors(spark, d), F.struct(l2_normalize(F.col("embedding")).alias("unit")))
     return e.select(
         "vec_id",
         F.round(cosine(F.col("unit"), F.col("embedding")), 5).alias("self_cosine"),
