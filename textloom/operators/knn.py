@@ -101,7 +101,7 @@ def _shape(df: DataFrame, id_col: str, vector: str, within: str | None) -> DataF
 
 
 # Dense arithmetic inside a task ---------------------------------------------
-def _matrix(column: pa.Array) -> np.ndarray:
+def _matrix(column: pa.Array, dim: int | None = None) -> np.ndarray:
     """Unit rows as float64; zero vectors stay zero."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
@@ -112,6 +112,8 @@ def _matrix(column: pa.Array) -> np.ndarray:
     if len(flat) % rows or len(set(np.diff(np.asarray(column.offsets)))) > 1:
         raise ValueError("vectors differ in length")
     m = flat.reshape(rows, -1)
+    if dim is not None and m.shape[1] != dim:
+        raise ValueError("vectors differ in length")
     norm = np.linalg.norm(m, axis=1, keepdims=True)
     return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
 
@@ -193,6 +195,7 @@ def _scan(q: DataFrame, c: DataFrame, k: int, exclude_self: bool, out: T.StructT
         qm, qids = _matrix(table.column("vec")), _ids(table.column("id"))
         for name, at in _by_group(_ids(table.column("grp"))):
             shared[name] = (qids[at], qm[at])
+    dim = qm.shape[1] if len(table) else None
     box = q.sparkSession.sparkContext.broadcast(shared)
     schema = _arrow_schema(out)
 
@@ -201,7 +204,7 @@ def _scan(q: DataFrame, c: DataFrame, k: int, exclude_self: bool, out: T.StructT
         for batch in batches:
             if not len(batch):
                 continue
-            cm, cids = _matrix(batch.column("vec")), _ids(batch.column("id"))
+            cm, cids = _matrix(batch.column("vec"), dim), _ids(batch.column("id"))
             for name, at in _by_group(_ids(batch.column("grp"))):
                 if name not in asked:
                     continue
@@ -242,7 +245,7 @@ def _blocks(
     # A zero vector has no direction: the triangle inequality says nothing
     # about it, so it gets an infinite radius and its cell is always visited.
     def place(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-        m = _matrix(batch.column("vec"))
+        m = _matrix(batch.column("vec"), pivots.shape[1])
         angle = _angles(m, pivots)
         cell = angle.argmin(axis=1)
         radius = angle[np.arange(len(m)), cell]
@@ -299,7 +302,7 @@ def _blocks(
         for batch in batches:
             if not len(batch):
                 continue
-            m = _matrix(batch.column("vec"))
+            m = _matrix(batch.column("vec"), pivots.shape[1])
             angle = _angles(m, pivots)
             zero = ~m.any(axis=1)
             for name, at in _by_group(_ids(batch.column("grp"))):
@@ -375,10 +378,9 @@ def _products(
         cids = _ids(right.column("id"))
         order = np.argsort(cids, kind="stable")
         qids = _ids(left.column("id"))
-        best = _best(
-            _matrix(left.column("vec")), _matrix(right.column("vec"))[order], cids[order], k,
-            qids if exclude_self else None,
-        )
+        qm = _matrix(left.column("vec"))
+        cm = _matrix(right.column("vec"), qm.shape[1])[order]
+        best = _best(qm, cm, cids[order], k, qids if exclude_self else None)
         return pa.Table.from_batches([_emit(qids, left.column("grp")[0].as_py(), best, schema)])
 
     return (

@@ -73,7 +73,9 @@ def distinct_prompts(df: DataFrame, prompt: str) -> DataFrame:
 
 
 def pending_prompts(df: DataFrame, prompt: str, stored: DataFrame) -> DataFrame:
-    """Distinct prompts without a stored response: what a resumed job still owes."""
+    """Distinct prompts without a good stored response: what a resumed job owes."""
+    if "error" in stored.columns:
+        stored = stored.filter(F.col("error").isNull())
     return distinct_prompts(df, prompt).join(stored.select("prompt_hash"), "prompt_hash", "left_anti")
 
 
