@@ -111,8 +111,8 @@ def read_records(spark: SparkSession, path: str, bad: str = "fail", by_extension
         head = spark.read.text(path).filter(~is_blank(F.col("value"))).select(trim_ws(F.col("value"))).first()
         whole = head is not None and head[0].startswith("[")
     if whole:
-        raw = spark.read.option("wholetext", True).text(path)
-        parsed = parse_strict(F.col("value"))
+        raw = add_once(spark.read.text(path, wholetext=True), F.struct(parse_strict(F.col("value")).alias("_parsed")))
+        parsed = F.col("_parsed")
         listed = F.when(is_list(parsed), as_list(parsed)).otherwise(
             F.raise_error(F.lit("the input must be a JSON list")).cast("array<variant>")
         )
