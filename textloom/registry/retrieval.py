@@ -220,7 +220,7 @@ QUERIES = {
 # Oracles ----------------------------------------------------------------------
 
 
-def _pairs(extra: str, k: int) -> str:
+def _pairs(extra: str, k: int, base: str = "embeddings") -> str:
     return f"""
       SELECT query_id, vec_id, label, wanted, cos, r AS rank FROM (
         SELECT q.vec_id AS query_id, e.vec_id, e.label, q.label AS wanted,
@@ -228,9 +228,11 @@ def _pairs(extra: str, k: int) -> str:
                CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY
                  round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])), 9) DESC,
                  e.vec_id) AS INTEGER) AS r
-        FROM embeddings q JOIN embeddings e ON {extra}) WHERE r <= {k}"""
+        FROM {base} q JOIN {base} e ON {extra}) WHERE r <= {k}"""
 
 
+#: Vectors whose id is also a document: the question-answer table.
+_KNOWN = "(SELECT v.* FROM embeddings v JOIN documents ON doc_id = v.vec_id)"
 _TOP5 = _pairs("q.vec_id <> e.vec_id", 5)
 _AT = ", ".join(
     [f"coalesce(pos <= {k}, false) AS hit_at_{k}" for k in KS]
@@ -271,7 +273,7 @@ _FAQ = """
   FROM embeddings JOIN documents ON doc_id = vec_id"""
 _FOUND = f"""
   SELECT query_id AS question_id, rank, faq_id, source_text, chunk_id, question, answer, cos
-  FROM ({_pairs('q.vec_id <> e.vec_id', 3)}) JOIN ({_FAQ}) ON faq_id = vec_id"""
+  FROM ({_pairs('q.vec_id <> e.vec_id', 3, _KNOWN)}) JOIN ({_FAQ}) ON faq_id = vec_id"""
 _PATHS = r"""concat(CASE WHEN vec_id % 2 = 0 THEN 'projects\' ELSE '/data//' END, 'b', label,
   CASE vec_id % 3 WHEN 0 THEN '/individual' WHEN 1 THEN '\unificado' ELSE '/x/' END)"""
 _CONTEXT = (
@@ -344,6 +346,6 @@ ORACLE = {
         SELECT query_id, wanted, string_agg(CAST(label AS VARCHAR), ',' ORDER BY rank) AS chunks,
                min(rank) FILTER (WHERE label = wanted) AS pos,
                {", ".join(f"CAST(count(*) FILTER (WHERE label = wanted AND rank <= {k}) AS DOUBLE) AS in_{k}" for k in KS)}
-        FROM ({_pairs('true', 5)}) GROUP BY query_id, wanted))""",
+        FROM ({_pairs('true', 5, _KNOWN)}) GROUP BY query_id, wanted))""",
     "distinct_chunks": f"SELECT DISTINCT source_text AS text, chunk_id FROM ({_FAQ})",
 }
