@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions.text import clean_text, is_blank, token_count, trim_ws
-from textloom.operators.numbering import number_rows
+from textloom.operators.numbering import number_rows, range_key
 
 
 def clean_pages(pages: DataFrame) -> DataFrame:
@@ -40,23 +40,24 @@ def chunk_pages(
     """
     if not 1 <= size <= range_rows or step < 1:
         raise ValueError("need 1 <= size <= range_rows and step >= 1")
+    measured = pages.select(
+        "doc_name", "page_number", "text",
+        token_count(F.col("text")).alias("_tokens"), is_blank(F.col("text")).alias("_blank"),
+    )
     if dense:
-        indexed = pages.withColumn("_at", F.col("page_number").cast("long") - 1)
+        indexed = measured.withColumn("_at", F.col("page_number").cast("long") - 1)
     else:
-        indexed = number_rows(pages, ["doc_name"], "page_number", "_at", range_rows)
+        indexed = number_rows(measured, ["doc_name"], "page_number", "_at", range_rows)
         indexed = indexed.withColumn("_at", F.col("_at") - 1)
     home = F.floor(F.col("_at") / range_rows)
     halo = (F.col("_at") % range_rows < size - 1) & (home > 0)
-    spread = indexed.select(
-        "doc_name", "page_number", "text", "_at",
-        token_count(F.col("text")).alias("_tokens"),
-        is_blank(F.col("text")).alias("_blank"),
-        F.explode(F.when(halo, F.array(home, home - 1)).otherwise(F.array(home))).alias("_range"),
-    )
-    frame = Window.partitionBy("doc_name", "_range").orderBy("_at").rowsBetween(0, size - 1)
+    spread = indexed.withColumn(
+        "_range", F.explode(F.when(halo, F.array(home, home - 1)).otherwise(F.array(home)))
+    ).withColumn("_part", range_key(["doc_name"], F.col("_range")))
+    frame = Window.partitionBy("_part").orderBy("_at").rowsBetween(0, size - 1)
     facts = F.collect_list(F.struct("page_number", "_tokens", "_blank")).over(frame)
     windows = spread.select(
-        "doc_name", "_range", "_at", facts.alias("_pages"), F.collect_list("text").over(frame).alias("_texts")
+        "doc_name", "_part", "_range", "_at", facts.alias("_pages"), F.collect_list("text").over(frame).alias("_texts")
     ).filter((F.floor(F.col("_at") / range_rows) == F.col("_range")) & (F.col("_at") % step == 0))
 
     start = F.struct(F.lit(False).alias("stop"), F.lit(0).cast("long").alias("total"), F.lit(0).alias("n"))
@@ -73,7 +74,7 @@ def chunk_pages(
         "_taken", F.slice("_pages", F.lit(1), F.col("_fold.n"))
     )
     kept = taken.filter(F.exists("_taken", lambda p: ~p["_blank"]))
-    numbered = number_rows(kept, ["doc_name"], "_at", "chunk_id", bucket="_range")
+    numbered = number_rows(kept, ["doc_name"], "_at", "chunk_id", part="_part")
     text = trim_ws(F.array_join(F.slice("_texts", F.lit(1), F.col("_fold.n")), "\n\n"))
     return numbered.select(
         "doc_name",

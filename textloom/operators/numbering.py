@@ -8,38 +8,43 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def range_key(keys: Sequence[str], at: Column) -> Column:
+    """Partition key of an order range: the keys and the range number.
+
+    As a struct it is equal to itself even where a key is null, so windows and
+    joins on it share one exchange.
+    """
+    return F.struct(*keys, at.cast("long").alias("range"))
+
+
 def number_rows(
     df: DataFrame,
     keys: Sequence[str],
     order: str,
     out: str,
     bucket_rows: int = 65_536,
-    bucket: str | None = None,
+    part: str | None = None,
 ) -> DataFrame:
     """1-based position of each row within ``keys`` by the integer ``order``.
 
     A key is cut into order ranges.  Rows are numbered inside their range and
     shifted by the size of the earlier ranges, which is a small table.  So a
     key with a third of all rows is spread over many tasks.  ``order`` must be
-    unique within a key.  ``bucket`` names an existing range column.
+    unique within a key.  ``part`` names an existing :func:`range_key` column.
     """
-    ranged = bucket or "_range"
-    if bucket is None:
-        df = df.withColumn(ranged, F.floor(F.col(order) / bucket_rows))
-    part = [*keys, ranged]
-    sizes = df.groupBy(*part).agg(F.count(F.lit(1)).alias("_size"))
-    earlier = Window.partitionBy(*keys).orderBy(ranged).rowsBetween(Window.unboundedPreceding, -1)
-    shifts = sizes.select(
-        *[F.col(c).alias(f"_k{i}") for i, c in enumerate(part)],
-        F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_shift"),
+    if part is None:
+        df = df.withColumn("_part", range_key(keys, F.floor(F.col(order) / bucket_rows)))
+    by = part or "_part"
+    sizes = df.groupBy(by).agg(F.count(F.lit(1)).alias("_size"))
+    earlier = (
+        Window.partitionBy(*[F.col(by)[k] for k in keys])
+        .orderBy(F.col(by)["range"])
+        .rowsBetween(Window.unboundedPreceding, -1)
     )
-    local = df.withColumn("_local", F.row_number().over(Window.partitionBy(*part).orderBy(order)))
-    same = F.lit(True)
-    for i, c in enumerate(part):
-        same = same & F.col(c).eqNullSafe(F.col(f"_k{i}"))
-    numbered = local.join(shifts, same).withColumn(out, (F.col("_local") + F.col("_shift")).cast("long"))
-    dropped = ["_local", "_shift", *[f"_k{i}" for i in range(len(part))]]
-    return numbered.drop(*dropped, *([] if bucket else [ranged]))
+    shifts = sizes.select(by, F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_shift"))
+    local = df.withColumn("_local", F.row_number().over(Window.partitionBy(by).orderBy(order)))
+    numbered = local.join(shifts, by).withColumn(out, (F.col("_local") + F.col("_shift")).cast("long"))
+    return numbered.drop("_local", "_shift", *([] if part else [by]))
 
 
 def hash_order(key: Column, seed: int) -> Column:
