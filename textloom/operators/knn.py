@@ -232,7 +232,8 @@ def _blocks(
     if size["g"] > sizes.max_cells:
         # So many groups that no per-group table is safe to hand out: a group
         # is one cell, cut into blocks by its own size.
-        return _one_cell_blocks(q, c, k, exclude_self, out, packs, sizes)
+        n_blocks = size["g"] + size["n"] // sizes.block_rows
+        return _one_cell_blocks(q, c, k, exclude_self, out, packs, n_blocks, sizes)
     n_pivots = min(sizes.max_pivots, -(-size["n"] // sizes.block_rows), sizes.max_cells // max(1, size["g"]))
     n_pivots = max(1, n_pivots)
     chosen = c.orderBy(F.xxhash64("id"), "id").limit(n_pivots).toArrow()
@@ -339,11 +340,12 @@ def _blocks(
     routed = q.mapInArrow(
         route, T.StructType([*q.schema.fields, T.StructField("cell", number), T.StructField("block", number)])
     ).withColumn("pack", F.pmod(F.xxhash64("id"), F.lit(packs)))
-    return _products(routed, blocked.select("id", "grp", "vec", "cell", "block"), k, exclude_self, out, packs)
+    n_blocks = sum(cell[0] for group in cells.values() for cell in group.values())
+    return _products(routed, blocked.select("id", "grp", "vec", "cell", "block"), k, exclude_self, out, packs, n_blocks)
 
 
 def _one_cell_blocks(
-    q: DataFrame, c: DataFrame, k: int, exclude_self: bool, out: T.StructType, packs: int, sizes: KnnSizes
+    q: DataFrame, c: DataFrame, k: int, exclude_self: bool, out: T.StructType, packs: int, n_blocks: int, sizes: KnnSizes
 ) -> DataFrame:
     counts = c.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / sizes.block_rows).cast("int").alias("blocks"))
     routed = (
@@ -355,13 +357,20 @@ def _one_cell_blocks(
     blocked = c.join(counts, "grp").select(
         "id", "grp", "vec", F.lit(0).alias("cell"), F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block")
     )
-    return _products(routed, blocked, k, exclude_self, out, packs)
+    return _products(routed, blocked, k, exclude_self, out, packs, n_blocks)
 
 
 def _products(
-    routed: DataFrame, blocked: DataFrame, k: int, exclude_self: bool, out: T.StructType, packs: int
+    routed: DataFrame, blocked: DataFrame, k: int, exclude_self: bool, out: T.StructType, packs: int, n_blocks: int
 ) -> DataFrame:
-    """Top-k of every (question pack, corpus block) pair that routing kept."""
+    """Top-k of every (question pack, corpus block) pair that routing kept.
+
+    The number of partitions is stated: the bytes are few for the work they
+    cause, and adaptive execution would join them into too few tasks.
+    """
+    session = routed.sparkSession
+    most = max(4 * session.sparkContext.defaultParallelism, int(session.conf.get("spark.sql.shuffle.partitions")))
+    parts = max(1, min(packs * n_blocks, most))
     key = ["grp", "cell", "block", "pack"]
     if packs == 1:
         corpus = blocked.withColumn("pack", F.lit(0).cast("long"))
@@ -384,7 +393,8 @@ def _products(
         return pa.Table.from_batches([_emit(qids, left.column("grp")[0].as_py(), best, schema)])
 
     return (
-        routed.groupBy(*key)
-        .cogroup(corpus.groupBy(*key))
+        routed.repartition(parts, *key)
+        .groupBy(*key)
+        .cogroup(corpus.repartition(parts, *key).groupBy(*key))
         .applyInArrow(product, out)
     )
