@@ -1,3 +1,4 @@
+import os
 import random
 
 import pytest
@@ -191,6 +192,8 @@ def test_resume_asks_only_what_is_missing(spark, tmp_path):
 def test_callable_setup_and_wrong_count(spark):
     once = Caller(lambda batch, tail: [p + tail for p in batch], setup=lambda: "?")
     assert model_map(prompts(spark, ["a"]), "p", once).first()["response"] == "a?"
+    used = model_map(prompts(spark, ["a", "b"]), "p", Caller(lambda batch: [f"{os.urandom(8).hex()}" for _ in batch]))
+    assert used.collect() == used.collect()
     short = Caller(lambda batch: [], max_tries=1)
     assert "0 responses" in model_map(prompts(spark, ["a"]), "p", short).first()["error"]
 

@@ -63,7 +63,9 @@ def knn_topk(
 
     ``within`` restricts each query to corpus rows of the same group;
     ``exclude_self`` drops the corpus row whose id equals the query's.
-    Ids must be unique on either side (the corpus side: within a group).
+    Ids must be unique on either side (the corpus side: within a group); the
+    group comes back as text.  Both tables are read more than once, so a table
+    that is costly to compute should be written first.
     """
     if k < 1:
         raise ValueError("k must be at least 1")

@@ -13,6 +13,7 @@ output is the same rows plus ``response``, ``attempts``, ``error`` and
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -20,6 +21,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textloom.session import ensure_checkpoint_dir
+
 RESPONSE_SCHEMA = "prompt_hash string, response string, attempts int, error string"
 ADDED = ("response", "attempts", "error", "backend")
 
@@ -80,8 +83,7 @@ def pending_prompts(df: DataFrame, prompt: str, stored: DataFrame) -> DataFrame:
 
 
 def call_model(prompts: DataFrame, backend: Caller) -> DataFrame:
-    """Responses for ``prompt_hash, prompt`` rows.  Write the result once and
-    read it back: Spark may otherwise run the calls again."""
+    """Responses for ``prompt_hash, prompt`` rows, not yet materialised."""
     if backend.calls:
         prompts = prompts.repartition(backend.calls, "prompt_hash")
     return prompts.select("prompt_hash", "prompt").mapInPandas(_caller(backend), RESPONSE_SCHEMA)
@@ -101,9 +103,11 @@ def model_map(
 ) -> DataFrame:
     """Add a response to every row of ``df``; see the module text.
 
-    With ``Caller``, ``response_path`` holds the response table: prompts
-    already answered there are not asked again.  Without it the responses are
-    computed in line, and writing them once is up to the user.
+    With ``Caller`` the prompts are asked now and the responses written to
+    ``response_path``, where prompts with a good answer are not asked again.
+    Without a path they go to a new table in the checkpoint folder.  Either
+    way the plan that follows reads a table, so a lost executor or a second
+    use of the result cannot repeat a call.
     """
     clash = [c for c in (*ADDED, "prompt_hash") if c in df.columns]
     if clash:
@@ -121,7 +125,8 @@ def model_map(
         return _attach(df, prompt, backend.responses, "replay")
     spark = df.sparkSession
     if response_path is None:
-        answers = call_model(distinct_prompts(df, prompt), backend)
+        fresh = f"{ensure_checkpoint_dir(spark)}/textloom-responses-{uuid.uuid4().hex}"
+        answers = store_responses(distinct_prompts(df, prompt), backend, fresh)
         return _attach(df, prompt, answers, "callable", unique=True)
     stored = _read_stored(spark, response_path)
     todo = distinct_prompts(df, prompt) if stored is None else pending_prompts(df, prompt, stored)

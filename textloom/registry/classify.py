@@ -92,7 +92,7 @@ def specialist_prompts(spark, d):
             c["explanation"].alias("explanation"),
         ),
     )
-    prompt = C.specialist_prompt(F.col("doc_id").cast("string"), bare, CLASSES, "Order them.")
+    prompt = C.specialist_prompt(F.col("text"), bare, CLASSES, "Order them.")
     return out.select("doc_id", prompt.alias("prompt"))
 
 
@@ -184,9 +184,9 @@ ORACLE = {
       FROM (SELECT *, {_STATUS} AS status FROM ({_STAGES}))""",
     "two_stage_status": f"SELECT {_STATUS} AS status, count(*) AS n FROM ({_STAGES}) GROUP BY 1",
     "specialist_prompts": f"""
-      SELECT r.doc_id, concat('Order them.', chr(10), chr(10), '{{"document":"', r.doc_id, '","labels":[',
+      SELECT r.doc_id, concat('Order them.', chr(10), chr(10), '{{"document":', to_json(any_value(d.text)), ',"labels":[',
              string_agg(CAST(to_json({{'id': class_id, 'label': label, 'context': context, 'confidence': 0.5,
                              'explanation': 'words in common'}}) AS VARCHAR), ',' ORDER BY ranking), ']}}') AS prompt
       FROM ({_RANKED.format(shares=_shares(CLASSES))}) r JOIN (VALUES {_CATALOGUE}) AS k(id, label, context)
-      ON k.id = class_id WHERE r.doc_id % 5 <> 2 GROUP BY r.doc_id""",
+      ON k.id = class_id JOIN documents d ON d.doc_id = r.doc_id WHERE r.doc_id % 5 <> 2 GROUP BY r.doc_id""",
 }
