@@ -15,6 +15,8 @@ def write(path, text):
 def test_documents_csv(spark, tmp_path):
     path = write(tmp_path / "d.csv", 'ID,TEXT,X\n 1 ,"a ""b"",\nc é",0\n2,  ,0\n,x,0\n003,ok,1\n')
     assert [tuple(r) for r in IN.read_documents(spark, path).collect()] == [("1", 'a "b",\nc é'), ("003", "ok")]
+    ordered = IN.read_documents(spark, path, order_column="at").orderBy("at").collect()
+    assert [r["doc_id"] for r in ordered] == ["1", "003"]
     with pytest.raises(ValueError, match="BODY"):
         IN.read_documents(spark, path, "ID", "BODY")
     issues = write(tmp_path / "i.csv", "id,text\n007,hello\n")

@@ -31,10 +31,10 @@ LABELS_TYPE = "array<struct<class_id:string,justification:string>>"
 WORD_BREAK = r"[^\p{L}\p{N}]+"
 
 
-def clean_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def clean_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: Sequence[str] = ()) -> DataFrame:
     """Trimmed id and text; rows where either is blank are dropped."""
     shaped = docs.select(
-        trim_ws(F.col(doc_id).cast("string")).alias("doc_id"), trim_ws(F.col(text)).alias("text")
+        trim_ws(F.col(doc_id).cast("string")).alias("doc_id"), trim_ws(F.col(text)).alias("text"), *keep
     )
     return shaped.filter(~is_blank(F.col("doc_id")) & ~is_blank(F.col("text")))
 

@@ -14,7 +14,7 @@ from textloom.functions import jsonx as J
 from textloom.functions.text import line_list
 from textloom.operators.matrix import SEVERITY_LEVELS, risk_matrix as risk_matrix_of
 from textloom.operators.model_map import Replay, Rules, model_map, prompt_hash
-from textloom.plans import distill as D, evaluate as E, faq as Q, issues as I, toolstep as S
+from textloom.plans import distill as D, evaluate as E, faq as Q, issues as I, rollup as R, toolstep as S
 from textloom.operators import sets
 from textloom.operators.once import add_once
 from textloom.operators.sampling import sample_n
@@ -256,6 +256,52 @@ def judge_means(spark, d):
     )
 
 
+def _judged_projects(spark, d):
+    """Evaluation rows with both kinds of scores; a length decides the rank at
+    which the right chunk was found, and one language only has originals."""
+    rank = F.col("n_chars") % 7
+    facts = _judged(spark, d).select(
+        "doc_id",
+        F.concat(F.lit("projects/"), "answer", F.lit("/"), "source", F.lit("/individual")).alias("project_path"),
+        ((F.col("answer") == "es") | (F.col("doc_id") % 5 == 0)).alias("is_original"),
+        F.when(rank > 0, rank.cast("int")).alias("correct_chunk_position"),
+        *[((rank > 0) & (rank <= k)).cast("int").alias(f"_in_{k}") for k in E.DEFAULT_KS],
+        *E.JUDGE_FIELDS,
+    )
+    details = E.with_metrics(facts, ["project_path", "is_original", *E.JUDGE_FIELDS])
+    return E.project_metrics(details, ["project_path"])
+
+
+_ROLLED = ("hit_at_3", "mrr", "precision_at_5", "recall_at_1", "ndcg_at_5", *E.JUDGE_MEANS)
+
+
+def judged_projects(spark, d):
+    p = _judged_projects(spark, d)
+    return p.select("project_path", "total_questions", "judged", *[F.round(c, 6).alias(c) for c in _ROLLED])
+
+
+def judged_rollup(spark, d):
+    """Parents over their projects; judge means weighted by all questions."""
+    r = R.parent_summaries(_judged_projects(spark, d))
+    top = R.overall_summary(_judged_projects(spark, d), judge_weight="judged")
+    shape = lambda df, key: df.select(
+        F.col(key).alias("level"), "total_questions", "total_evaluated", *[F.round(c, 6).alias(c) for c in _ROLLED]
+    )
+    return shape(r, "parent").unionByName(shape(top, "project_folder"))
+
+
+def error_counts(spark, d):
+    return D.error_counts(_labelled(spark, d))
+
+
+def last_per_question(spark, d):
+    """Many documents ask the same; the last one of each question stays."""
+    rows = documents(spark, d).select(
+        "doc_id", F.concat(F.lit("About "), "source", F.lit(" in "), "lang").alias("question"), "n_chars"
+    )
+    return E.last_per_question(rows, "doc_id")
+
+
 # Model boundary ---------------------------------------------------------------
 def replay_join(spark, d):
     """Stored answers exist for two of the languages, keyed by prompt digest."""
@@ -405,6 +451,10 @@ QUERIES = {
     "lines": lines,
     "judge_scores": judge_scores,
     "judge_means": judge_means,
+    "judged_projects": judged_projects,
+    "judged_rollup": judged_rollup,
+    "error_counts": error_counts,
+    "last_per_question": last_per_question,
     "replay_join": replay_join,
     "label_records": label_records,
     "label_field": label_field,
@@ -463,6 +513,33 @@ _JUDGED = """
   SELECT doc_id, source, doc_id % 4 <> 2 AS judge_ok, n_chars % 5 + 1 AS c, n_chars % 3 + 3 AS m, n_chars % 2 + 4 AS r
   FROM documents"""
 _SCORE = "round(CAST(c + m + r AS DOUBLE) / 3.0, 1)"
+_JUDGED_ROWS = f"""
+  SELECT concat('projects/', d.lang, '/', d.source, '/individual') AS project_path,
+         d.lang = 'es' OR doc_id % 5 = 0 AS is_original, nullif(d.n_chars % 7, 0) AS pos, judge_ok, c, m, r,
+         {_SCORE} AS score
+  FROM ({_JUDGED}) JOIN documents d USING (doc_id)"""
+_JUDGED_PROJECTS = """
+  SELECT project_path, count(*) AS total_questions, count(*) FILTER (WHERE judge_ok) AS judged,
+         avg(CAST(coalesce(pos <= 3, false) AS DOUBLE)) AS hit_at_3, avg(coalesce(1.0 / pos, 0.0)) AS mrr,
+         avg(CASE WHEN pos <= 5 THEN 1 / 5.0 ELSE 0.0 END) AS precision_at_5,
+         avg(CAST(coalesce(pos <= 1, false) AS DOUBLE)) AS recall_at_1,
+         avg(CASE WHEN pos <= 5 THEN 1.0 / log2(pos + 1.0) ELSE 0.0 END) AS ndcg_at_5,
+         avg(score) FILTER (WHERE judge_ok) AS avg_llm_score, avg(c) FILTER (WHERE judge_ok) AS avg_correctness,
+         avg(m) FILTER (WHERE judge_ok) AS avg_completeness, avg(r) FILTER (WHERE judge_ok) AS avg_relevance
+  FROM (SELECT *, bool_or(NOT is_original) OVER (PARTITION BY project_path) AS has FROM (@ROWS@))
+  WHERE NOT is_original OR NOT has GROUP BY project_path""".replace("@ROWS@", _JUDGED_ROWS)
+
+
+def _rolled(weight: str) -> str:
+    w = f"CASE WHEN avg_llm_score IS NOT NULL THEN {weight} END"
+    plain = [f"round(sum({c} * total_questions) / sum(total_questions), 6) AS {c}" for c in _ROLLED[:5]]
+    judged = [f"round(sum({c} * ({w})) / nullif(sum({w}), 0), 6) AS {c}" for c in _ROLLED[5:]]
+    return (
+        "CAST(sum(total_questions) AS BIGINT) AS total_questions, "
+        f"CAST(coalesce(sum({w}), 0) AS BIGINT) AS total_evaluated, " + ", ".join(plain + judged)
+    )
+
+
 _TEXT_JSON = "CAST(to_json(text) AS VARCHAR)"
 _LABELLED = """
   SELECT doc_id, lang, text, n_chars, n_chars % 5 AS s, doc_id % 6 AS u, n_chars % 4 AS shape FROM documents"""
@@ -571,6 +648,17 @@ ORACLE = {
              round(avg(m) FILTER (WHERE judge_ok), 6) AS avg_completeness,
              round(avg(r) FILTER (WHERE judge_ok), 6) AS avg_relevance, count(*) FILTER (WHERE judge_ok) AS judged
       FROM ({_JUDGED}) GROUP BY source""",
+    "judged_projects": f"""
+      SELECT project_path, total_questions, judged, {", ".join(f"round({c}, 6) AS {c}" for c in _ROLLED)}
+      FROM ({_JUDGED_PROJECTS})""",
+    "judged_rollup": f"""
+      SELECT concat('projects/', split_part(project_path, '/', 2), '/', split_part(project_path, '/', 3)) AS level,
+             {_rolled('total_questions')} FROM ({_JUDGED_PROJECTS}) GROUP BY 1
+      UNION ALL SELECT split_part(project_path, '/', 2), {_rolled('judged')} FROM ({_JUDGED_PROJECTS}) GROUP BY 1""",
+    "error_counts": f"SELECT count(*) AS rows, count(e) AS errors FROM (SELECT {_LABEL_ERROR} AS e FROM ({_LABELLED}))",
+    "last_per_question": """
+      SELECT max(doc_id) AS doc_id, concat('About ', source, ' in ', lang) AS question, arg_max(n_chars, doc_id) AS n_chars
+      FROM documents GROUP BY source, lang""",
     "replay_join": """
       WITH stored AS (SELECT DISTINCT sha256(text) AS h, concat('answer ', md5(text)) AS response
                       FROM documents WHERE lang IN ('en', 'fr'))

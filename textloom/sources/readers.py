@@ -42,10 +42,19 @@ def need_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df
 
 
-def read_documents(spark: SparkSession, path: str, id_column: str = "ID", text_column: str = "TEXT") -> DataFrame:
-    """``doc_id, text``: trimmed, blank rows dropped."""
+def read_documents(
+    spark: SparkSession, path: str, id_column: str = "ID", text_column: str = "TEXT", order_column: str | None = None
+) -> DataFrame:
+    """``doc_id, text``: trimmed, blank rows dropped.
+
+    ``order_column`` adds a number that increases in file order, for a sink
+    that is to keep it.  It is taken at the scan; it is no stable key.
+    """
     df = need_columns(read_table(spark, path), [id_column, text_column])
-    return clean_rows(df, id_column, text_column)
+    if order_column is None:
+        return clean_rows(df, id_column, text_column)
+    ordered = df.withColumn(order_column, F.monotonically_increasing_id())
+    return clean_rows(ordered, id_column, text_column, keep=[order_column])
 
 
 def read_issue_texts(spark: SparkSession, path: str) -> DataFrame:
