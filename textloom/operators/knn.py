@@ -169,9 +169,9 @@ def _emit(qids: np.ndarray, group: str, best, schema: pa.Schema) -> pa.RecordBat
     rows = np.repeat(np.arange(len(qids)), scores.shape[1])[keep.ravel()]
     return pa.RecordBatch.from_arrays(
         [
-            pa.array(qids[rows].tolist(), schema.field(0).type),
+            pa.array(qids[rows], schema.field(0).type),
             pa.array([group] * len(rows), schema.field(1).type),
-            pa.array(ids.ravel()[keep.ravel()].tolist(), schema.field(2).type),
+            pa.array(ids.ravel()[keep.ravel()], schema.field(2).type),
             pa.array(scores.ravel()[keep.ravel()], schema.field(3).type),
         ],
         schema=schema,
@@ -295,7 +295,12 @@ def _blocks(
             if not len(batch):
                 continue
             cell, _ = place(batch)
-            blocks = [box.value[g][int(one)][0] for g, one in zip(batch.column("grp").to_pylist(), cell)]
+            blocks = np.empty(len(cell), dtype=np.int32)
+            for name, at in _by_group(_ids(batch.column("grp"))):
+                sizes_of = np.zeros(n_pivots, dtype=np.int32)
+                for one, known in box.value[name].items():
+                    sizes_of[one] = known[0]
+                blocks[at] = sizes_of[cell[at]]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(cell, pa.int32()), pa.array(blocks, pa.int32())],
                 names=["id", "grp", "vec", "cell", "blocks"],

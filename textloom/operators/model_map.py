@@ -145,7 +145,9 @@ def _attach(df: DataFrame, prompt: str, answers: DataFrame, name: str, unique: b
 
     The right side has one row per digest, so rows never multiply.  When many
     rows share a prompt the skewed side is the left one, which adaptive
-    execution splits.
+    execution splits - but only where both sides reach the join straight from
+    an exchange.  Joining on the binary digest, not on the text one the right
+    side was grouped by, puts an exchange there.
     """
     have = set(answers.columns)
     attempts = F.col("attempts") if "attempts" in have else F.lit(1)
@@ -157,8 +159,9 @@ def _attach(df: DataFrame, prompt: str, answers: DataFrame, name: str, unique: b
             F.struct(F.col("error").isNotNull(), F.coalesce("response", F.lit(""))),
         )
         right = right.groupBy("prompt_hash").agg(first.alias("_a")).select("prompt_hash", "_a.*")
-    keyed = df.withColumn("prompt_hash", prompt_hash(F.col(prompt)))
-    joined = keyed.join(right, "prompt_hash", "left").drop("prompt_hash")
+    right = right.select(F.unhex("prompt_hash").alias("_digest"), "response", "attempts", "error")
+    keyed = df.withColumn("_digest", F.unhex(prompt_hash(F.col(prompt))))
+    joined = keyed.join(right, "_digest", "left").drop("_digest")
     missing = F.col("response").isNull() & F.col("error").isNull()
     return joined.withColumns(
         {
