@@ -138,6 +138,8 @@ def test_replay_keeps_every_row_and_key(spark):
         ("a!", None, 1, "replay"), (None, "no response", 0, "replay"), ("a!", None, 1, "replay"),
         (None, "no response", 0, "replay"), ("é!", None, 1, "replay"),
     ]
+    once = model_map(df, "p", Replay(stored.distinct(), unique=True)).orderBy("i").collect()
+    assert [r["response"] for r in once] == [r["response"] for r in rows]
     nothing = stored.limit(0)
     assert all(r["error"] for r in model_map(df, "p", Replay(nothing)).collect())
 

@@ -33,9 +33,14 @@ def prompt_hash(prompt: Column) -> Column:
 
 @dataclass(frozen=True)
 class Replay:
-    """Stored responses: ``prompt_hash, response`` and optionally the rest."""
+    """Stored responses: ``prompt_hash, response`` and optionally the rest.
+
+    Of several rows for a prompt the good one counts, then the first in text
+    order.  ``unique`` promises one row per prompt and saves that step.
+    """
 
     responses: DataFrame
+    unique: bool = False
 
 
 @dataclass(frozen=True)
@@ -122,7 +127,7 @@ def model_map(
             }
         )
     if isinstance(backend, Replay):
-        return _attach(df, prompt, backend.responses, "replay")
+        return _attach(df, prompt, backend.responses, "replay", backend.unique)
     spark = df.sparkSession
     if response_path is None:
         fresh = f"{ensure_checkpoint_dir(spark)}/textloom-responses-{uuid.uuid4().hex}"
