@@ -12,9 +12,10 @@ sets are one class, kept by its smallest id.  Between classes:
 3. The set of one side of a named pair goes to the cell of the other, which holds an
    inverted index of its own sets.  A T-occurrence search merges the short lists,
    probes the long ones by binary search and keeps sets that reach the overlap.
-4. Long lists whose members are in one component are done.  In the others the pairs
-   between components are searched too, in blocks, so no link between
-   components is lost.
+4. Long lists whose members are in one component are done.  In the others, what is
+   outside the largest component is searched for beside a few of its members, twice; then the
+   pairs still between components are searched, in blocks, so no link
+   between components is lost.
 
 Defined cases: null and empty texts and texts without words have an empty set and
 link with nothing; fewer than five words are one shingle; rows with one id are one node of
@@ -28,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.llm.cells import (
@@ -40,6 +41,8 @@ from textloom.llm.words import BLANKS, Words, grams, whole
 SIZE = 5
 #: Lists up to this length name all their pairs at once; longer ones go by stars first.
 SHORT_LIST = 16
+#: Turns in which the rest of a long list is tied to so many members of its largest component, before all that is left.
+STAR_TURNS, STAR_CENTERS = 2, 8
 BLOCK = 2048
 _LOW = np.uint64(0xFFFFFFFF)
 
@@ -244,22 +247,16 @@ def link_components(
     first = _search(texts, known, pairs, count, num, den)
     near = store(components(first), "near")
 
-    # long lists: only what is still apart
     members = named.where("rank >= 0").select("h", F.col("a").alias("node"), F.col("b").alias("n"), "rank")
-    members = members.join(near, "node", "left").withColumn("c", F.coalesce("component_id", "node")).drop("component_id")
-    apart = members.groupBy("h").agg(F.min("c").alias("x"), F.max("c").alias("y"), F.count("*").alias("size")).where("x <> y")
-    split = members.join(apart.select("h", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "h")
-    mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    split = split.withColumn("own", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    split = split.withColumns({"p": F.least("own", "other"), "q": F.greatest("own", "other")})
-
-    def across(batches: pa.Table) -> pa.Table:
-        return _across(batches, num, den)
-
-    second = store(split.groupBy("h", "p", "q").applyInArrow(across, "a long, b long").distinct(), "across")
-    links = first
-    if second.head(1):
-        links = first.unionByName(_search(texts, known, second.join(pairs, ["a", "b"], "left_anti"), count, num, den))
+    links, tried = first, pairs
+    for turn in range(STAR_TURNS + 1):
+        apart = store(_apart(members, near), "apart")
+        if not apart.head(1):
+            break
+        more = _stars(apart, turn, num, den) if turn < STAR_TURNS else _blocks(apart, num, den)
+        more = store(more.distinct().join(tried, ["a", "b"], "left_anti"), "more")
+        tried = tried.unionByName(more)
+        links = links.unionByName(_search(texts, known, more, count, num, den))
         near = store(components(links), "near")
     whole_class = classes.join(near, classes["rep"] == near["node"], "left").select(
         "d1", "d2", F.coalesce("component_id", "rep").alias("component_id")
@@ -275,6 +272,38 @@ def _packed(column: str):
     return F.unhex(F.lpad(F.hex(column), 16, "0")).alias("data")
 
 
+def _apart(members: DataFrame, near: DataFrame) -> DataFrame:
+    """Members of the long lists that hold more than one component ``c``, with the list's ``size``."""
+    now = members.join(near, "node", "left").withColumn("c", F.coalesce("component_id", "node")).drop("component_id")
+    lists = now.groupBy("h").agg(F.min("c").alias("x"), F.max("c").alias("y"), F.count("*").alias("size")).where("x <> y")
+    return now.join(lists.select("h", "size"), "h")
+
+
+def _stars(apart: DataFrame, turn: int, num: int, den: int) -> DataFrame:
+    """Members outside the largest component of their list, beside a few members of it."""
+    largest = apart.groupBy("h", "c").count().groupBy("h").agg(F.max_by("c", F.struct("count", "c")).alias("top"))
+    marked = apart.join(largest, "h")
+    order = Window.partitionBy("h").orderBy(F.xxhash64(F.lit(turn), "node"), "node")
+    inner = marked.where("c = top").withColumn("at", F.row_number().over(order)).where(F.col("at") <= STAR_CENTERS)
+    inner = inner.select("h", F.col("node").alias("center"), F.col("n").alias("m"))
+    sizes = F.least("n", "m") * den >= F.greatest("n", "m") * num
+    tied = marked.where("c <> top").join(inner, "h").where(sizes)
+    return tied.select(F.least("node", "center").alias("a"), F.greatest("node", "center").alias("b"))
+
+
+def _blocks(apart: DataFrame, num: int, den: int) -> DataFrame:
+    """All pairs of the lists between components, in block pairs of bounded size."""
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    split = apart.withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int"))
+    split = split.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    split = split.withColumns({"p": F.least("own", "other"), "q": F.greatest("own", "other")})
+
+    def across(group: pa.Table) -> pa.Table:
+        return _across(group, num, den)
+
+    return split.groupBy("h", "p", "q").applyInArrow(across, "a long, b long")
+
+
 def _across(group: pa.Table, num: int, den: int) -> pa.Table:
     """Pairs of one block pair of a long list that are in different components."""
     group = group.sort_by([("n", "ascending"), ("node", "ascending")])
