@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from textloom.session import ensure_checkpoint_dir
 
@@ -70,6 +71,12 @@ def answered(right: pa.Table, kind: int, count: int) -> dict[int, bytes]:
     return dict(zip(own["to"].to_pylist(), own["data"].to_pylist()))
 
 
+def with_fields(schema: T.StructType, **fields: str) -> T.StructType:
+    """A new schema with columns appended (``StructType.add`` changes the one that a DataFrame caches)."""
+    added = T.StructType.fromDDL(", ".join(f"{name} {kind}" for name, kind in fields.items()))
+    return T.StructType([*schema.fields, *added.fields])
+
+
 def store(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared checkpoint folder and read back: the work is done once, lineage ends."""
     spark = df.sparkSession

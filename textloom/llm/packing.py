@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.cells import store
+from textloom.llm.cells import store, with_fields
 
 CAPACITY = 4096
 GROUP_ROWS = 8192
@@ -112,5 +112,5 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group_rows: int = GROUP_RO
         return out
 
     dealt = pieces.withColumn("_group", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "start", "ids_crc32"), F.lit(groups)))
-    schema = pieces.schema.add("sequence_id", "long").add("offset", "long").add("sequence_length", "long")
+    schema = with_fields(pieces.schema, sequence_id="long", offset="long", sequence_length="long")
     return dealt.groupBy("_group").applyInArrow(fill, schema)

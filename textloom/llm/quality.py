@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textloom.llm.cells import with_fields
 from textloom.llm.words import buffers, grams, mix, word_hashes
 
 BITS = 18
@@ -233,7 +234,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score")
             )
 
     given = docs.select("*", F.col(text).alias("_score_text"))
-    schema = docs.schema.add(out, "double")
+    schema = with_fields(docs.schema, **{out: "double"})
     return given.mapInArrow(run, schema)
 
 

@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import decontaminate, jaccard, lines, packing, quality
+from textloom.llm import decontaminate, jaccard, lines, packing, quality, rules, tokencount, warc
 
 #: Folder of the public tokenizer files.
 TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
@@ -59,7 +59,24 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(pieces)
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_quality, op3_jaccard, op5_lines, op6_packing)}
+def op7_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: unigram tokens under the pieces and scores of the public 32k model."""
+    return tokencount.token_counts(_documents(spark, sf_dir), f"{TOKENIZERS}/piece_bpe_32k.model").select("doc_id", "n_tokens")
+
+
+def op8_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = rules.judge(rules.text_stats(_documents(spark, sf_dir)))
+    return judged.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "p_good"
+    )
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages", "page_id", "url", "html")
+    return warc.archive_roundtrip(pages).withColumnRenamed("id", "page_id")
+
+
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_quality, op3_jaccard, op5_lines, op6_packing, op7_token_count, op8_rules, op9_warc)}
 
 _WORDS = r"list_filter(regexp_split_to_array(translate({c}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{s}'), lambda x: x <> '')"
 _ASCII_GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -92,4 +109,10 @@ both_ways AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
 r(v, c) AS (SELECT doc_id, doc_id FROM d UNION SELECT b, c FROM r JOIN both_ways ON v = a)
 SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, q.c AS component_id
 FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT v, min(c) AS c FROM r GROUP BY 1) q ON q.v = d.doc_id""",
+    "op9_warc": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+q AS (SELECT page_id, strlen(h) AS n, sha1(h) AS s, max(page_id) OVER (PARTITION BY h) AS first FROM p)
+SELECT page_id, n::BIGINT AS payload_bytes, s AS payload_digest,
+  CASE WHEN n >= 1000 AND first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN n >= 1000 AND first <> page_id THEN first END AS refers_to FROM q""",
 }
