@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import decontaminate, jaccard, lines, packing, quality, rules, tokencount, warc
+from textloom.llm import debruijn, decontaminate, jaccard, lines, packing, quality, rules, tokencount, warc
 
 #: Folder of the public tokenizer files.
 TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
@@ -44,6 +44,11 @@ def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.link_components(_documents(spark, sf_dir))
 
 
+def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = debruijn.remove_repeats(_documents(spark, sf_dir))
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: its lines, how many went, and a digest of what stays."""
     docs = _documents(spark, sf_dir).withColumn("n_lines", F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0)).cast("long"))
@@ -76,12 +81,27 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_roundtrip(pages).withColumnRenamed("id", "page_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_quality, op3_jaccard, op5_lines, op6_packing, op7_token_count, op8_rules, op9_warc)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_quality, op3_jaccard, op4_substrings, op5_lines, op6_packing, op7_token_count, op8_rules, op9_warc)}
 
 _WORDS = r"list_filter(regexp_split_to_array(translate({c}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{s}'), lambda x: x <> '')"
 _ASCII_GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _BLANK_GAP = r"[\x20\x09-\x0D]+"
 
+
+
+def _repeats_sql(n: int) -> str:
+    """Words in windows of n words that start in a document with a smaller id go."""
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(list_filter(regexp_split_to_array(text, '{_BLANK_GAP}'), lambda x: x <> ''), []) AS w FROM documents),
+g AS (SELECT doc_id, i, array_to_string(w[i:i + {n - 1}], ' ') AS g FROM d, unnest(range(1, len(w) - {n - 2})) AS t(i)),
+f AS (SELECT g, min(doc_id) AS first FROM g GROUP BY 1),
+x AS (SELECT DISTINCT doc_id, p FROM g JOIN f USING (g), unnest(range(i, i + {n})) AS t(p) WHERE first < doc_id),
+r AS (SELECT doc_id, list(p) AS p FROM x GROUP BY 1)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(p), 0)::BIGINT AS n_removed,
+  sha256(array_to_string(CASE WHEN p IS NULL THEN w ELSE list_filter(w, lambda v, i: NOT list_contains(p, i)) END, ' ')) AS kept_sha256
+FROM d LEFT JOIN r USING (doc_id)"""
+
+
 ORACLE = {
     "op1_decontaminate": f"""
 WITH d AS (SELECT doc_id, coalesce({_WORDS.format(c="text", s=_ASCII_GAP)}, []) AS w FROM documents),
@@ -109,6 +129,7 @@ both_ways AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
 r(v, c) AS (SELECT doc_id, doc_id FROM d UNION SELECT b, c FROM r JOIN both_ways ON v = a)
 SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, q.c AS component_id
 FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT v, min(c) AS c FROM r GROUP BY 1) q ON q.v = d.doc_id""",
+    "op4_substrings": _repeats_sql(13),
     "op9_warc": """
 WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
 q AS (SELECT page_id, strlen(h) AS n, sha1(h) AS s, max(page_id) OVER (PARTITION BY h) AS first FROM p)
