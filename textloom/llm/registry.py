@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import debruijn, decontaminate, jaccard, lines, packing, quality, rules, tokencount, warc
+from textloom.llm import debruijn, decontaminate, jaccard, lines, packing, quality, rules, suffixes, tokencount, warc
 
 #: Folder of the public tokenizer files.
 TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
@@ -81,7 +81,12 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_roundtrip(pages).withColumnRenamed("id", "page_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_quality, op3_jaccard, op4_substrings, op5_lines, op6_packing, op7_token_count, op8_rules, op9_warc)}
+def op10_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffixes.remove_passages(_documents(spark, sf_dir))
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_quality, op3_jaccard, op4_substrings, op5_lines, op6_packing, op7_token_count, op8_rules, op9_warc, op10_suffixes)}
 
 _WORDS = r"list_filter(regexp_split_to_array(translate({c}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{s}'), lambda x: x <> '')"
 _ASCII_GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -130,6 +135,7 @@ r(v, c) AS (SELECT doc_id, doc_id FROM d UNION SELECT b, c FROM r JOIN both_ways
 SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, q.c AS component_id
 FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT v, min(c) AS c FROM r GROUP BY 1) q ON q.v = d.doc_id""",
     "op4_substrings": _repeats_sql(13),
+    "op10_suffixes": _repeats_sql(50),
     "op9_warc": """
 WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
 q AS (SELECT page_id, strlen(h) AS n, sha1(h) AS s, max(page_id) OVER (PARTITION BY h) AS first FROM p)
