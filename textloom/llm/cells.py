@@ -25,8 +25,12 @@ MESSAGE = pa.schema([("to", pa.int32()), ("cell", pa.int32()), ("kind", pa.int32
 MESSAGE_DDL = "to int, cell int, kind int, data binary"
 
 
-def group_count(spark: SparkSession) -> int:
-    return max(64, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+def cell_count(spark: SparkSession) -> int:
+    return max(64, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def bucket_count(spark: SparkSession) -> int:
+    return max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
 def cell_of(count: int, *keys: str | Column) -> Column:
@@ -65,7 +69,7 @@ def heard(docs: DataFrame, answers: DataFrame, fn: Callable[[pa.Table, pa.Table]
     return docs.groupBy("cell").cogroup(answers.groupBy("cell")).applyInArrow(fn, schema)
 
 
-def answered(right: pa.Table, kind: int, count: int) -> dict[int, bytes]:
+def answered(right: pa.Table, kind: int) -> dict[int, bytes]:
     """Answers of one kind, by the bucket that gave them."""
     own = right.filter(pa.compute.equal(right["kind"], kind))
     return dict(zip(own["to"].to_pylist(), own["data"].to_pylist()))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.cells import MESSAGE_DDL, answered, ask, bucket_of, cell_of, group_count, heard, messages, split_by, store
+from textloom.llm.cells import MESSAGE_DDL, answered, ask, bucket_count, bucket_of, cell_count, cell_of, heard, messages, split_by, store
 from textloom.llm.repeats import Cell, ask_minimisers, cut_words, shared_minimisers, text_cells
 from textloom.llm.words import grams, mix
 
@@ -114,13 +114,13 @@ def _paths(cell: Cell, edges: np.ndarray, said: np.ndarray, places: np.ndarray)
 
 def compact_paths(texts: DataFrame, size: int = WINDOW, part: int = PART) -> DataFrame:
     """``key, proof, id, sig, start, edges``: every occurrence of every compacted path."""
-    count = group_count(texts.sparkSession)
+    buckets = bucket_count(texts.sparkSession)
     shared = ask_minimisers(texts, size, part)
 
     def tell(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         cell = Cell(left, size, part)
-        node, _, _ = _nodes(cell, shared_minimisers(cell, right, count), size)
-        order, present, cuts = split_by(bucket_of(node["u"], count))
+        node, _, _ = _nodes(cell, shared_minimisers(cell, right, buckets), size)
+        order, present, cuts = split_by(bucket_of(node["u"], buckets))
         node = node[order]
         return messages(present, key[0].as_py(), 1, [node[a:b].tobytes() for a, b in zip(cuts, cuts[1:])])
 
@@ -128,10 +128,10 @@ def compact_paths(texts: DataFrame, size: int = WINDOW, part: int = PART) -> Dat
 
     def walk(left: pa.Table, right: pa.Table) -> pa.Table:
         cell = Cell(left, size, part)
-        edges = shared_minimisers(cell, right, count)
+        edges = shared_minimisers(cell, right, buckets)
         node, number, places = _nodes(cell, edges, size)
-        order, present, _ = split_by(bucket_of(node["u"], count))
-        told = answered(right, 1, count)
+        order, present, _ = split_by(bucket_of(node["u"], buckets))
+        told = answered(right, 1)
         said = np.empty(len(node), np.uint8)
         said[order] = np.frombuffer(b"".join(told[b] for b in present.tolist()), "u1")
         first, last = _paths(cell, edges, said[number], places)
@@ -156,7 +156,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", siz
     paths = store(compact_paths(texts, size), "paths")
     source = paths.groupBy("key", "edges").agg(F.min(F.struct("id", "start", "proof")).alias("source"))
     copies = paths.join(source, ["key", "edges"]).where("id > source.id and proof = source.proof")
-    count = group_count(docs.sparkSession)
+    count = cell_count(docs.sparkSession)
     spans = copies.select(
         cell_of(count, "id").alias("cell"), "id", "sig", "start", (F.col("start") + F.col("edges") + (size - 1)).alias("stop")
     )

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.llm.cells import (
-    MESSAGE_DDL, answered, ask, bucket_of, cell_of, group_count, heard, in_cells, messages, split_by, store,
+    MESSAGE_DDL, answered, ask, bucket_count, bucket_of, cell_count, cell_of, heard, in_cells, messages, split_by, store,
 )
 from textloom.llm.components import components
 from textloom.llm.words import BLANKS, Words, grams, whole
@@ -155,7 +155,7 @@ def link_components(
 ) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row of ``docs``."""
     spark = docs.sparkSession
-    count = group_count(spark)
+    count, buckets = cell_count(spark), bucket_count(spark)
     given = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("t"))
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,7 +190,7 @@ def link_components(
 
     def cell_keys(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         h = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-        short = (bucket_of(h, count).astype(np.uint64) << np.uint64(32)) | (h & _LOW)
+        short = (bucket_of(h, buckets).astype(np.uint64) << np.uint64(32)) | (h & _LOW)
         keys, at, held = np.unique(short, return_inverse=True, return_counts=True)
         present, first = np.unique((keys >> np.uint64(32)).astype(np.int64), return_index=True)
         return keys, at, held, present, np.r_[first, len(keys)]
@@ -220,7 +220,7 @@ def link_components(
         if not ids:
             return messages(np.zeros(0), key[0].as_py(), 0, [])
         _, at, _, present, _ = cell_keys(sets)
-        told = answered(right, 0, count)
+        told = answered(right, 0)
         power = np.frombuffer(b"".join(told[b] for b in present.tolist()), "u1")[at]
         h = np.concatenate(sets)
         n = np.array([len(s) for s in sets])
@@ -231,7 +231,7 @@ def link_components(
         posts = np.empty(int(kept.sum()), _POST)
         posts["h"], posts["rank"] = h[order][kept], rank[kept]
         posts["node"], posts["n"] = np.array(ids)[owner[kept]], n[owner[kept]]
-        order, present, cuts = split_by(bucket_of(posts["h"], count))
+        order, present, cuts = split_by(bucket_of(posts["h"], buckets))
         posts = posts[order]
         return messages(present, key[0].as_py(), 0, [posts[a:b].tobytes() for a, b in zip(cuts, cuts[1:])])
 

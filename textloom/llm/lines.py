@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.cells import MESSAGE_DDL, ask, bucket_of, cell_of, group_count, heard, messages, split_by, store
+from textloom.llm.cells import MESSAGE_DDL, ask, bucket_of, bucket_count, cell_count, cell_of, heard, messages, split_by, store
 from textloom.llm.words import BLANKS, bounds, buffers, word_hashes
 
 MIN_WORDS = 10
@@ -183,13 +183,13 @@ def _partners(left: pa.Table, right: pa.Table, min_words: int) -> Iterator[tuple
 
 def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """``id, sig, removed``: packed numbers of the deleted lines of each (id, text hash) that loses any."""
-    count = group_count(docs.sparkSession)
+    count, buckets = cell_count(docs.sparkSession), bucket_count(docs.sparkSession)
     rows = store(line_table(docs, key, text), "lines")
     dealt = rows.withColumn("cell", cell_of(count, "id", "sig")).repartition("cell")
 
     def tell(key: tuple, left: pa.Table) -> pa.Table:
         keys = _cell_keys(left, min_words)
-        order, present, cuts = split_by(bucket_of(keys["h"], count))
+        order, present, cuts = split_by(bucket_of(keys["h"], buckets))
         keys = keys[order]
         return messages(present, key[0].as_py(), 0, [keys[a:b].tobytes() for a, b in zip(cuts, cuts[1:])])
 

@@ -52,15 +52,52 @@ class FirstFit:
         return own, offset
 
 
+#: Words a Python worker remembers the ids of.
+MEMORY = 1_000_000
 _TOKENIZERS: dict = {}
 
 
-def _tokenizer(path: str):
-    if path not in _TOKENIZERS:
+class WordIds(dict):
+    """Packed 32-bit ids of blank-separated words, worked out when first asked for.
+
+    For tokenizers that drop white space and never look across it: the ids of a
+    text are those of its words, one after the other.  They lower-case ASCII letters too.
+    """
+
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        _TOKENIZERS[path] = Tokenizer.from_file(path)
-        _TOKENIZERS[path].encode_special_tokens = True
+        super().__init__()
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True
+
+    def of(self, text: str) -> np.ndarray:
+        words = text.encode().lower().split()
+        parts = list(map(self.get, words))
+        if None in parts:
+            self._learn({w for w, p in zip(words, parts) if p is None})
+            parts = map(self.__getitem__, words) if len(self) < MEMORY else self._forget(words)
+        return np.frombuffer(b"".join(parts), "<u4")
+
+    def _learn(self, words: set[bytes]) -> None:
+        """Ids of new words from one call: a token belongs to the word in which it starts."""
+        plain = [w.decode() for w in words]
+        starts = np.cumsum([0, *(len(w) + 1 for w in plain)])
+        found = self.tokenizer.encode(" ".join(plain), add_special_tokens=False)
+        ids = np.array(found.ids, "<u4").tobytes()
+        owner = np.searchsorted(starts, [a for a, _ in found.offsets], side="right") - 1
+        cuts = (np.searchsorted(owner, np.arange(len(plain) + 1)) * 4).tolist()
+        self.update(zip(words, (ids[x:y] for x, y in zip(cuts, cuts[1:]))))
+
+    def _forget(self, words: list[bytes]) -> list[bytes]:
+        parts = [self[w] for w in words]
+        self.clear()
+        return parts
+
+
+def _word_ids(path: str) -> WordIds:
+    if path not in _TOKENIZERS:
+        _TOKENIZERS[path] = WordIds(path)
     return _TOKENIZERS[path]
 
 
@@ -70,13 +107,13 @@ def token_pieces(
     """``doc_id, start, length, ids_crc32, doc_tokens`` of every piece; texts are read a few at a time."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = _tokenizer(tokenizer)
+        own = _word_ids(tokenizer)
         for batch in batches:
             for i in range(0, batch.num_rows, _TEXTS):
                 rows = [[], [], [], [], []]
                 ids, texts = batch.column(0)[i : i + _TEXTS].to_pylist(), batch.column(1)[i : i + _TEXTS].to_pylist()
                 for doc, value in zip(ids, texts):
-                    tokens = np.array([*_ids(own, value or ""), end_id], "<u4")
+                    tokens = np.append(own.of(value or ""), np.uint32(end_id)).astype("<u4")
                     for start in range(0, len(tokens), capacity):
                         piece = tokens[start : start + capacity]
                         for column, x in zip(rows, (doc, start, len(piece), zlib.crc32(piece.tobytes()), len(tokens))):
@@ -89,10 +126,6 @@ def token_pieces(
     return given.mapInArrow(cut, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
 
 
-def _ids(tokenizer, text: str) -> list[int]:
-    return tokenizer.encode(text, add_special_tokens=False).ids
-
-
 def pack(pieces: DataFrame, capacity: int = CAPACITY, group_rows: int = GROUP_ROWS, seed: int = 17) -> DataFrame:
     """``pieces`` plus ``sequence_id, offset, sequence_length``; a sequence never leaves its group."""
     pieces = store(pieces, "pieces")

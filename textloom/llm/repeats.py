@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.cells import MESSAGE_DDL, answered, ask, bucket_of, group_count, heard, in_cells, messages, store
+from textloom.llm.cells import MESSAGE_DDL, answered, ask, bucket_count, bucket_of, cell_count, heard, in_cells, messages, store
 from textloom.llm.words import BLANKS, Words, grams
 
 _LOW = np.uint64(0xFFFFFFFF)
@@ -22,7 +22,7 @@ _LOW = np.uint64(0xFFFFFFFF)
 def text_cells(docs: DataFrame, key: str, text: str) -> DataFrame:
     """``cell, id, sig, t``: the rows of ``docs`` dealt to cells."""
     given = docs.select(F.col(key).cast("long").alias("id"), F.xxhash64(text).alias("sig"), F.col(text).alias("t"))
-    return in_cells(given, group_count(docs.sparkSession), "id")
+    return in_cells(given, cell_count(docs.sparkSession), "id")
 
 
 class Cell:
@@ -47,8 +47,8 @@ class Cell:
         self.least, self.small = least, small
 
 
-def _keys(h: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    short = (bucket_of(h, count).astype(np.uint64) << np.uint64(32)) | (h & _LOW)
+def _keys(h: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    short = (bucket_of(h, buckets).astype(np.uint64) << np.uint64(32)) | (h & _LOW)
     keys, at = np.unique(short, return_inverse=True)
     present, first = np.unique((keys >> np.uint64(32)).astype(np.int64), return_index=True)
     return keys, at, present, np.r_[first, len(keys)]
@@ -67,12 +67,12 @@ def _twice(group: pa.Table) -> pa.Table:
 
 def ask_minimisers(texts: DataFrame, size: int, part: int) -> DataFrame:
     """Answers on the minimisers of each cell, to be read with ``shared_minimisers``."""
-    count = group_count(texts.sparkSession)
+    buckets = bucket_count(texts.sparkSession)
 
     def tell(key: tuple, left: pa.Table) -> pa.Table:
         cell = Cell(left, size, part)
         h, doc = cell.least[cell.valid], cell.doc[cell.row[: len(cell.valid)][cell.valid]]
-        keys, at, present, cuts = _keys(h, count)
+        keys, at, present, cuts = _keys(h, buckets)
         first, last = np.full(len(keys), len(cell.ids)), np.full(len(keys), -1)
         np.minimum.at(first, at, doc)
         np.maximum.at(last, at, doc)
@@ -82,11 +82,11 @@ def ask_minimisers(texts: DataFrame, size: int, part: int) -> DataFrame:
     return store(ask(texts.groupBy("cell").applyInArrow(tell, MESSAGE_DDL), _twice), "minimisers")
 
 
-def shared_minimisers(cell: Cell, right: pa.Table, count: int) -> np.ndarray:
+def shared_minimisers(cell: Cell, right: pa.Table, buckets: int) -> np.ndarray:
     """Windows of a cell whose minimiser is in two documents or more."""
     out = np.zeros(len(cell.valid), bool)
-    keys, at, present, cuts = _keys(cell.least[cell.valid], count)
-    told = answered(right, 0, count)
+    keys, at, present, cuts = _keys(cell.least[cell.valid], buckets)
+    told = answered(right, 0)
     bits = [np.unpackbits(np.frombuffer(told[b], "u1"), count=int(n)) for b, n in zip(present.tolist(), np.diff(cuts))]
     out[cell.valid] = np.concatenate(bits)[at].astype(bool) if bits else np.zeros(0, bool)
     return out

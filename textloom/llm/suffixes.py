@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from textloom.llm.cells import MESSAGE_DDL, answered, ask, bucket_of, group_count, heard, messages, split_by, store
+from textloom.llm.cells import MESSAGE_DDL, answered, ask, bucket_count, bucket_of, heard, messages, split_by, store
 from textloom.llm.repeats import Cell, ask_minimisers, cut_words, shared_minimisers, text_cells
 from textloom.llm.words import mix
 
@@ -109,16 +109,16 @@ def remove_passages(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     """``doc_id, n_words, n_removed, kept``: rows without the words of passages of ``size`` words or more that a smaller id has."""
     if size - part > 63:
         raise ValueError("an anchor reaches at most 63 words to the left")
-    count = group_count(docs.sparkSession)
+    buckets = bucket_count(docs.sparkSession)
     texts = text_cells(docs, key, text)
     shared = ask_minimisers(texts, size, part)
     kind = _record(size, part)
 
     def dealt(left: pa.Table, right: pa.Table) -> tuple[Cell, np.ndarray, np.ndarray]:
         cell = Cell(left, size, part)
-        anchors = _anchors(cell, shared_minimisers(cell, right, count), size, part)
-        order, _, _ = split_by(bucket_of(cell.small[anchors], count))
-        return cell, anchors[order], bucket_of(cell.small[anchors], count)[order]
+        anchors = _anchors(cell, shared_minimisers(cell, right, buckets), size, part)
+        order, _, _ = split_by(bucket_of(cell.small[anchors], buckets))
+        return cell, anchors[order], bucket_of(cell.small[anchors], buckets)[order]
 
     def tell(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         cell, anchors, buckets = dealt(left, right)
@@ -136,7 +136,7 @@ def remove_passages(docs: DataFrame, key: str = "doc_id", text: str = "text", si
 
     def spans(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         cell, anchors, buckets = dealt(left, right)
-        told = answered(right, 1, count)
+        told = answered(right, 1)
         bits = np.frombuffer(b"".join(told[b] for b in np.unique(buckets).tolist()), "<u8")
         start = [np.zeros(0, np.int64)]
         for left_words in range(size - part + 1):
