@@ -100,7 +100,7 @@ def _scan(batches: Iterator[pa.RecordBatch], items: list[tuple[int, str]], text:
             [*batch.columns, pa.array(counts, pa.int64()),
              pa.array([[dict(zip(SPAN.names, s)) for s in row] for row in spans], pa.list_(kind)),
              pa.array(owners, pa.list_(pa.int64()))],
-            names=[*batch.schema.names, "_words", "_spans", "_items"],
+            names=[*batch.schema.names, "_block_words", "_block_spans", "_block_items"],
         )
 
 
@@ -139,16 +139,16 @@ def find_contamination(
         own = sizes.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == number).select("i", "t")
         items = [(r["i"], r["t"]) for r in own.collect()]
         schema = T.StructType([
-            *out.schema.fields, T.StructField("_words", T.LongType()), T.StructField("_spans", T.ArrayType(SPAN)),
-            T.StructField("_items", T.ArrayType(T.LongType())),
+            *out.schema.fields, T.StructField("_block_words", T.LongType()), T.StructField("_block_spans", T.ArrayType(SPAN)),
+            T.StructField("_block_items", T.ArrayType(T.LongType())),
         ])
         found = out.mapInArrow(lambda batches, items=items: _scan(batches, items, text, size), schema)
         if number:
             merge = F.udf(_merge, T.ArrayType(SPAN))
-            spans, hit = merge(F.concat(columns[1], "_spans")), F.array_sort(F.array_union(columns[2], "_items"))
+            spans, hit = merge(F.concat(columns[1], "_block_spans")), F.array_sort(F.array_union(columns[2], "_block_items"))
         else:
-            spans, hit = F.col("_spans"), F.col("_items")
-        out = found.withColumns({columns[0]: F.col("_words"), columns[1]: spans, columns[2]: hit}).drop("_words", "_spans", "_items")
+            spans, hit = F.col("_block_spans"), F.col("_block_items")
+        out = found.withColumns({columns[0]: F.col("_block_words"), columns[1]: spans, columns[2]: hit}).drop("_block_words", "_block_spans", "_block_items")
     return out
 
 
