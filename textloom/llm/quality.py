@@ -33,7 +33,7 @@ from textloom.llm.words import buffers, grams, mix, word_hashes
 
 BITS = 18
 #: Rows the linear model is fit on (documented bound); class counts cover all labelled rows.
-MAX_FIT_ROWS = 12_000
+MAX_FIT_ROWS = 5_000
 _SLICE = 4 << 20
 _FLOOR = 1e-6
 
@@ -144,7 +144,8 @@ def hinge_fit(
     cut = np.searchsorted(rows, np.arange(len(y) + 1))
     scale = ratio[slots]
     norm = np.sqrt(np.bincount(rows, scale**2, len(y)))
-    x = scale / np.maximum(norm, _FLOOR)[rows]
+    x = (scale / np.maximum(norm, _FLOOR)[rows]).astype(np.float32)
+    del scale
     sign = np.where(y == 1, 1.0, -1.0)
     upper = c * len(y) / (2 * np.maximum(1, np.where(y == 1, (y == 1).sum(), (y == 0).sum())))  # classes weigh the same
     diagonal = np.where(norm > _FLOOR, 1.0, 0.0) + 1.0
@@ -206,15 +207,16 @@ def fit(labelled: DataFrame, key: str, text: str, label: str, bits: int = BITS,
     rows = known.where(picked <= int(share * (1 << 30))).select(
         picked.alias("k"), F.col(text).alias("t"), F.col(label).cast("long").alias("y")
     )
+    del counts, body, n, p
     got = rows.mapInArrow(sample, "k long, y long, slots array<int>").orderBy("k", "y").limit(max_fit_rows).toArrow()
     y = got["y"].to_numpy()
     lists = got["slots"].combine_chunks()
     lists = lists if isinstance(lists, pa.Array) else pa.concat_arrays(lists.chunks)
     lengths = np.asarray(lists.value_lengths().to_numpy(zero_copy_only=False), np.int64)
-    slots = lists.flatten().to_numpy().astype(np.int64)
+    slots = lists.flatten().to_numpy()
     if len(set(y.tolist())) < 2:
         return Model(flat, flat, float(np.log((total[1] + 1) / (total[0] + 1))), 1.0, bits)
-    w, b, margin = hinge_fit(np.repeat(np.arange(len(y)), lengths), slots, y, ratio)
+    w, b, margin = hinge_fit(np.repeat(np.arange(len(y), dtype=np.int32), lengths), slots, y, ratio)
     return Model(ratio, w * ratio, b, _slope(margin, y), bits)
 
 

@@ -67,13 +67,19 @@ def _suffixes(cell: Cell, anchors: np.ndarray, size: int, part: int) -> np.ndarr
 
 def _reach_of_neighbours(suffixes: np.ndarray, reach: int) -> np.ndarray:
     """Longest common run to the right of the anchor start with a neighbour in suffix order."""
-    right = np.ascontiguousarray(suffixes["w"][:, reach:])
-    order = np.lexsort((*[right[:, j] for j in range(right.shape[1] - 1, -1, -1)], suffixes["h"]))
-    s, h = right[order], suffixes["h"][order]
-    same = (s[1:] == s[:-1]) & (s[1:] > 0) & (h[1:] == h[:-1])[:, None]
-    common = np.where(same.all(1), right.shape[1], np.argmin(same, 1)) if len(s) > 1 else np.zeros(0, np.int64)
-    out = np.zeros(len(s), np.int64)
-    out[order] = np.maximum(np.r_[0, common], np.r_[common, 0]) if len(s) else 0
+    words = suffixes["w"]
+    last = words.shape[1]
+    order = np.lexsort((*[words[:, j] for j in range(last - 1, reach - 1, -1)], suffixes["h"]))
+    out = np.zeros(len(order), np.int64)
+    if not len(order):
+        return out
+    h = suffixes["h"][order]
+    going, common = h[1:] == h[:-1], np.zeros(len(order) - 1, np.int64)
+    for j in range(reach, last):
+        word = words[order, j]
+        going &= (word[1:] == word[:-1]) & (word[1:] > 0)
+        common += going
+    out[order] = np.maximum(np.r_[0, common], np.r_[common, 0])
     return out
 
 
@@ -84,16 +90,27 @@ def _earlier_windows(suffixes: np.ndarray, size: int, part: int) -> np.ndarray:
     near = np.flatnonzero(_reach_of_neighbours(suffixes, reach) >= part)
     if not len(near):
         return bits
-    words, ids = suffixes["w"][near], suffixes["id"][near]
-    gaps = np.zeros((len(near), words.shape[1] + 1), np.int32)
-    np.cumsum(words == 0, axis=1, out=gaps[:, 1:])
-    sums = np.zeros((len(near), words.shape[1] + 1), np.uint64)
+    words, ids, anchor = suffixes["w"], suffixes["id"][near], suffixes["h"][near]
     power = np.multiply.accumulate(np.r_[np.uint64(1), np.full(words.shape[1] - 1, _STEP)])
-    np.cumsum(mix(words.astype(np.uint64)) * power, axis=1, out=sums[:, 1:])
+    gaps, total = np.zeros(len(near), np.int64), np.zeros(len(near), np.uint64)
+
+    def turn(j: int, come: bool) -> None:
+        """Word j joins or leaves the running sum of the window; columns one at a time keep memory to a few numbers a suffix."""
+        nonlocal total
+        word = words[near, j]
+        term = mix(word.astype(np.uint64)) * power[j]
+        total = total + term if come else total - term
+        gaps[word == 0] += 1 if come else -1
+
+    for j in range(reach, reach + size):
+        turn(j, True)
     for left in range(reach + 1):
         a = reach - left
-        full = np.flatnonzero(gaps[:, a + size] == gaps[:, a])
-        window = mix(sums[full, a + size] - sums[full, a]) ^ suffixes["h"][near][full]
+        if left:
+            turn(a, True)
+            turn(a + size, False)
+        full = np.flatnonzero(gaps == 0)
+        window = mix(total[full]) ^ anchor[full]
         order = np.lexsort((ids[full], window))
         w, d = window[order], ids[full][order]
         if not len(w):
