@@ -89,3 +89,14 @@ def test_redaction_is_idempotent_and_switchable(spark):
 def test_names_match_whole_words_only(spark):
     names = Gazetteers(persons=["Éva"])
     assert column(spark, ["éva, Évariste", "ÉVA"], lambda c: redact(c, None, names)) == ["<PERSON>, Évariste", "<PERSON>"]
+
+
+def test_email_pattern_is_linear_in_an_unbroken_run(spark):
+    import time
+
+    from textloom.functions.redact import EMAIL
+
+    df = spark.createDataFrame([("a" * 1_000_000 + " x@y.org",)], "t string")
+    start = time.perf_counter()
+    out = df.select(F.regexp_replace("t", EMAIL, "<EMAIL>").alias("t")).first()["t"]
+    assert out.endswith("a <EMAIL>") and time.perf_counter() - start < 5

@@ -18,7 +18,8 @@ from textloom.functions.prompts import RedactionOptions
 from textloom.functions.text import apply_custom_rules, collapse_ws, let
 
 # Patterns without look-around, so any engine can repeat them ---
-EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
+# Bounded, so that a long unbroken run costs its length and not its square.
+EMAIL = r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9.-]{1,253}\.[A-Za-z]{2,63}"
 ID = r"[0-9]{3}\.[0-9]{3}\.[0-9]{3}-[0-9]{2}|[0-9]{3}-[0-9]{2}-[0-9]{4}|[0-9]{11,19}"
 PHONE = r"(?:\+[0-9]{1,3}[ -]?)?\(?[0-9]{2,3}\)?[ -]?[0-9]{3,5}-[0-9]{4}"
 TAGS = {

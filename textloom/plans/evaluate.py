@@ -32,13 +32,13 @@ def metric_columns(ks: Sequence[int] = DEFAULT_KS) -> list[str]:
 def make_eval_set(
     faq: DataFrame,
     backend: Replay | Rules | Caller,
-    num_questions: int | None = 10,
+    num_questions: int | None = None,
     num_variations: int = 3,
     project: str | None = None,
     seed: int = 42,
     response_path: str | None = None,
 ) -> DataFrame:
-    """Sampled questions and their variations as evaluation items.
+    """Questions and their variations as evaluation items: all, or a seeded sample of ``num_questions``.
 
     An unanswered paraphrase falls back on the original question, which then
     counts as original; ``variation_ok`` tells the two apart.

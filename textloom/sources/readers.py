@@ -93,10 +93,11 @@ def class_catalogue(rows: Sequence[Mapping[str, str]]) -> list[dict[str, str]]:
 
 def read_classes(spark: SparkSession, path: str, max_classes: int = 10_000) -> list[dict[str, str]]:
     """Classes from a file.  The whole list goes into every prompt, so it is
-    small by nature; a longer one is an error, not a cut."""
+    small by nature; a longer one is an error, not a cut.  Rows are sorted."""
     rows = read_table(spark, path).limit(max_classes + 1).collect()
     if len(rows) > max_classes:
         raise ValueError(f"more than {max_classes} classes")
+    rows.sort(key=lambda r: tuple(map(str, r)))  # the list is part of every prompt, so its order must not follow the files
     return class_catalogue([{k: v for k, v in r.asDict().items() if v is not None} for r in rows])
 
 
