@@ -14,8 +14,8 @@ sets are one class, kept by its smallest id.  Between classes:
    probes the long ones by binary search and keeps sets that reach the overlap.
 4. Long lists whose members are in one component are done.  In the others, what is
    outside the largest component is searched for beside a few of its members, twice; then the
-   pairs still between components are searched, in blocks, so no link
-   between components is lost.
+   sets that are left meet in blocks, where each is searched for among those that sizes and ranks
+   allow, so no link between components is lost and a block emits fewer links than it has sets.
 
 Defined cases: null and empty texts and texts without words have an empty set and
 link with nothing; fewer than five words are one shingle; rows with one id are one node of
@@ -43,7 +43,8 @@ SIZE = 5
 SHORT_LIST = 16
 #: Turns in which the rest of a long list is tied to so many members of its largest component, before all that is left.
 STAR_TURNS, STAR_CENTERS = 2, 8
-BLOCK = 2048
+#: Members and shingles of one block.
+BLOCK, BLOCK_SHINGLES = 2048, 1 << 22
 _LOW = np.uint64(0xFFFFFFFF)
 
 
@@ -253,10 +254,14 @@ def link_components(
         apart = store(_apart(members, near), "apart")
         if not apart.head(1):
             break
-        more = _stars(apart, turn, num, den) if turn < STAR_TURNS else _blocks(apart, num, den)
-        more = store(more.distinct().join(tried, ["a", "b"], "left_anti"), "more")
-        tried = tried.unionByName(more)
-        links = links.unionByName(_search(texts, known, more, count, num, den))
+        if turn < STAR_TURNS:
+            more = store(_stars(apart, turn, num, den).distinct().join(tried, ["a", "b"], "left_anti"), "more")
+            tried = tried.unionByName(more)
+            found = _search(texts, known, more, count, num, den)
+        else:
+            sets = _gather(texts, known, apart.select(F.col("node").alias("id")).distinct(), count)
+            found = store(_blocks(apart, sets, num, den), "found")
+        links = links.unionByName(found)
         near = store(components(links), "near")
     whole_class = classes.join(near, classes["rep"] == near["node"], "left").select(
         "d1", "d2", F.coalesce("component_id", "rep").alias("component_id")
@@ -291,46 +296,56 @@ def _stars(apart: DataFrame, turn: int, num: int, den: int) -> DataFrame:
     return tied.select(F.least("node", "center").alias("a"), F.greatest("node", "center").alias("b"))
 
 
-def _blocks(apart: DataFrame, num: int, den: int) -> DataFrame:
-    """All pairs of the lists between components, in block pairs of bounded size."""
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    split = apart.withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int"))
-    split = split.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    split = split.withColumns({"p": F.least("own", "other"), "q": F.greatest("own", "other")})
+def _blocks(apart: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """``a, b``: links that tie the components of each list together, from block pairs of bounded size."""
+    weight = apart.groupBy("h").agg(F.sum("n").alias("weight"))
+    blocks = F.ceil(F.greatest(F.col("size") / BLOCK, F.col("weight") / BLOCK_SHINGLES)).cast("int")
+    split = apart.join(weight, "h").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    split = split.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    split = split.select("h", "node", "n", "rank", "c", "own", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"))
+    held = sets.select(F.col("id").alias("node"), (F.octet_length("shingles") / 8).cast("long").alias("n"), "shingles")
 
     def across(group: pa.Table) -> pa.Table:
         return _across(group, num, den)
 
-    return split.groupBy("h", "p", "q").applyInArrow(across, "a long, b long")
+    return split.join(held, ["node", "n"]).groupBy("h", "p", "q").applyInArrow(across, "a long, b long")
 
 
 def _across(group: pa.Table, num: int, den: int) -> pa.Table:
-    """Pairs of one block pair of a long list that are in different components."""
+    """Links of one block pair of a long list: each ties two components that were still apart.
+
+    Sizes and ranks choose what a set is searched for in; links inside a component are not looked for.
+    """
     group = group.sort_by([("n", "ascending"), ("node", "ascending")])
     posts = np.empty(group.num_rows, _POST)
     for name in ("node", "n", "rank"):
         posts[name] = group[name].to_numpy()
-    c, own = group["c"].to_numpy(), group["own"].to_numpy()
+    c, own = group["c"].to_numpy().copy(), group["own"].to_numpy()
+    sets = [np.frombuffer(s, "<u8") for s in group["shingles"].to_pylist()]
     p, q = group["p"][0].as_py(), group["q"][0].as_py()
     n = posts["n"].astype(np.int64)
     reach = np.searchsorted(n * num, n * den, side="right")
-    found = [np.zeros((0, 2), np.int64)]
+    a, b = [], []
     for i in range(len(posts)):
         other = posts[i + 1 : reach[i]]
         ok = (c[i + 1 : reach[i]] != c[i]) & _allowed(other, np.broadcast_to(posts[i], len(other)), num, den)
         if p != q:
             ok &= own[i + 1 : reach[i]] != own[i]
-        found.append(np.stack([np.full(int(ok.sum()), posts["node"][i]), other["node"][ok]], 1))
-    out = np.concatenate(found)
-    out = np.unique(np.sort(out, 1), axis=0) if len(out) else out
-    return pa.table([pa.array(out[:, 0]), pa.array(out[:, 1])], names=["a", "b"])
-
-
-def _search(texts: DataFrame, known, pairs: DataFrame, count: int, num: int, den: int) -> DataFrame:
-    """``a, b``: links found by sending the set of the first of each pair to the cell of the second."""
-    pairs = store(pairs, "pairs")
-    ids = pairs.select("a").union(pairs.select("b")).distinct()
-    asked = ids.select(F.lit(0).alias("to"), cell_of(count, "a").alias("cell"), F.lit(-2).alias("kind"), _packed("a"))
+        at = np.flatnonzero(ok) + i + 1
+        if not len(at):
+            continue
+        for j in at[t_occurrence(sets[i], build_index([sets[j] for j in at]), n[at], num, den)]:
+            if c[j] != c[i]:
+                a.append(posts["node"][i])
+                b.append(posts["node"][j])
+                c[c == c[j]] = c[i]
+    ends = np.sort(np.array([a, b], np.int64).reshape(2, -1), 0)
+    return pa.table([pa.array(ends[0]), pa.array(ends[1])], names=["a", "b"])
+
+
+def _gather(texts: DataFrame, known, ids: DataFrame, count: int) -> DataFrame:
+    """``cell, id, shingles``: the sets of the rows with these ids."""
+    asked = ids.select(F.lit(0).alias("to"), cell_of(count, "id").alias("cell"), F.lit(-2).alias("kind"), _packed("id"))
 
     def gather(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         own, sets = known(left, right, -2)
@@ -339,7 +354,13 @@ def _search(texts: DataFrame, known, pairs: DataFrame, count: int, num: int, den
             names=["cell", "id", "shingles"],
         )
 
-    sets = store(heard(texts, asked, gather, "cell int, id long, shingles binary"), "sets")
+    return store(heard(texts, asked, gather, "cell int, id long, shingles binary"), "sets")
+
+
+def _search(texts: DataFrame, known, pairs: DataFrame, count: int, num: int, den: int) -> DataFrame:
+    """``a, b``: links found by sending the set of the first of each pair to the cell of the second."""
+    pairs = store(pairs, "pairs")
+    sets = _gather(texts, known, pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), count)
     wanted = pairs.select(F.col("a").alias("id"), cell_of(count, "b").alias("cell")).distinct()
     asker = sets.select(F.col("id").alias("query"), F.col("shingles").alias("asked"))
     queries = wanted.join(asker, wanted["id"] == asker["query"]).select("cell", "query", "asked")
