@@ -104,3 +104,10 @@ def test_vectors_helpers(spark):
     rows = df.select(l2_normalize(F.col("a")).alias("u"), cosine(F.col("a"), F.col("b")).alias("c")).collect()
     assert [round(x, 6) for x in rows[0]["u"]] == [0.6, 0.8] and rows[1]["u"] == [0.0, 0.0]
     assert [round(r["c"], 9) for r in rows] == [0.96, 0.0]
+
+
+@pytest.mark.parametrize("path", ["scan", "cells"])
+def test_vectors_that_are_not_finite_take_no_place(spark, path):
+    good = [(i, "a", [1.0, float(i)]) for i in range(60)]
+    bad = [(100, "a", [float("inf"), 1.0]), (101, "a", [float("nan"), 1.0]), (102, "a", [None, 1.0]), (103, "a", [-float("inf"), 0.0])]
+    assert run(spark, good + bad, good + bad, 5, PATHS[path], True) == brute(good, good, 5, True)

@@ -427,7 +427,7 @@ def test_tool_steps(spark):
     step = {"system_prompt": F.lit("S"), "user_prompt": F.lit("U"), "input_dict": inputs, "output_schema": F.lit("{}")}
     shaped = df.withColumns(step)
     prompt = S.tool_prompts(shaped).first()["prompt"]
-    assert prompt == "S\n\nThe output MUST be in this JSON format:\n{}\n\nU\n\n## b\n\nada\n## a\n\n2"
+    assert prompt == "S\n\nWrite JSON of this shape:\n{}\n\nU\n\n## b\n\nada\n## a\n\n2"
     cases = {'{"k": 1}': ('{"k":1}', None), "[1]": (None, "not an object"), "x": (None, "not JSON")}
     for response, want in cases.items():
         row = S.tool_step(shaped, Rules(F.lit(response))).first()

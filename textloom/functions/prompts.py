@@ -213,7 +213,7 @@ def tool_user_prompt(user_prompt: Column, inputs: Column) -> Column:
 
 
 def tool_system_prompt(system_prompt: Column, output_schema: Column) -> Column:
-    return F.concat(system_prompt, F.lit("\n\nThe output MUST be in this JSON format:\n"), output_schema)
+    return F.concat(system_prompt, F.lit("\n\nWrite JSON of this shape:\n"), output_schema)
 
 
 def example_system_prompt(system_prompt: Column, example: Mapping[str, Any] | None) -> Column:

@@ -24,7 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -99,7 +99,12 @@ def _shape(df: DataFrame, id_col: str, vector: str, within: str | None) -> DataF
     group = F.col(within).cast("string") if within else F.lit("")
     return df.select(
         F.col(id_col).alias("id"), group.alias("grp"), F.col(vector).cast("array<float>").alias("vec")
-    ).filter(F.col("vec").isNotNull() & F.col("grp").isNotNull())
+    ).filter(F.col("vec").isNotNull() & F.col("grp").isNotNull() & F.forall("vec", _is_finite))
+
+
+def _is_finite(x: Column) -> Column:
+    """False for null, NaN and infinity: no cosine is defined, so such a vector is neither question nor neighbour."""
+    return F.coalesce(F.abs(x) < float("inf"), F.lit(False))
 
 
 # Dense arithmetic inside a task ---------------------------------------------

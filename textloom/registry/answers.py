@@ -688,7 +688,7 @@ ORACLE = {
              AS student_output, doc_id % 3 <> 2 AS is_json
       FROM ({_TRAINING}) WHERE shape > 1""",
     "tool_prompt": f"""
-      SELECT event_id, concat('Read the event.', {_NL}, {_NL}, 'The output MUST be in this JSON format:', {_NL},
+      SELECT event_id, concat('Read the event.', {_NL}, {_NL}, 'Write JSON of this shape:', {_NL},
              '{{"k": int}}', {_NL}, {_NL}, 'What is k?', {_NL}, {_NL}, '## type', {_NL}, {_NL}, event_type, {_NL},
              '## props', {_NL}, {_NL}, props) AS prompt FROM events""",
     "tool_step": """
