@@ -246,7 +246,10 @@ def is_held_out(key: str) -> F.Column:
 
 
 def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality") -> Model:
-    """A model of the labelled rows that are not held out."""
+    """A model of the labelled rows that are not held out.
+
+    Labels grow with the documents, so they are merged at every size and never broadcast.
+    """
     marks = labels.groupBy(key).agg(F.max(label).alias("_label")).where(~is_held_out(key))
     texts = docs.where(~is_held_out(key)).select(key, text)
-    return fit(texts.join(marks, key), key, text, "_label")
+    return fit(texts.join(marks.hint("merge"), key), key, text, "_label")
