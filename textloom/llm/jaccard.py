@@ -83,9 +83,14 @@ def t_occurrence(query: np.ndarray, index: tuple[np.ndarray, np.ndarray, np.ndar
     skipped = min(least - 1, int(least / (0.0085 * np.log2(longest + 1) + 1))) if longest > 8 else 0
     short, long_ = at[: len(at) - skipped], at[len(at) - skipped :]
     merged = lists[_ranges(cuts[short], cuts[short + 1])]
-    found, count = np.unique(merged, return_counts=True)
-    keep = count >= least - skipped
-    found, count = found[keep], count[keep]
+    if len(merged) * 4 > len(sizes):
+        count = np.bincount(merged, minlength=len(sizes))
+        found = np.flatnonzero(count >= least - skipped)
+        count = count[found]
+    else:
+        found, count = np.unique(merged, return_counts=True)
+        keep = count >= least - skipped
+        found, count = found[keep], count[keep]
     for s in long_.tolist():
         own = lists[cuts[s] : cuts[s + 1]]
         spot = np.minimum(np.searchsorted(own, found), len(own) - 1)
@@ -325,16 +330,18 @@ def _across(group: pa.Table, num: int, den: int) -> pa.Table:
     p, q = group["p"][0].as_py(), group["q"][0].as_py()
     n = posts["n"].astype(np.int64)
     reach = np.searchsorted(n * num, n * den, side="right")
+    index = build_index(sets)
     a, b = [], []
     for i in range(len(posts)):
         other = posts[i + 1 : reach[i]]
         ok = (c[i + 1 : reach[i]] != c[i]) & _allowed(other, np.broadcast_to(posts[i], len(other)), num, den)
         if p != q:
             ok &= own[i + 1 : reach[i]] != own[i]
-        at = np.flatnonzero(ok) + i + 1
-        if not len(at):
+        if not ok.any():
             continue
-        for j in at[t_occurrence(sets[i], build_index([sets[j] for j in at]), n[at], num, den)]:
+        found = t_occurrence(sets[i], index, n, num, den)
+        found = found[(found > i) & (found < reach[i])]
+        for j in found[ok[found - i - 1]]:
             if c[j] != c[i]:
                 a.append(posts["node"][i])
                 b.append(posts["node"][j])
