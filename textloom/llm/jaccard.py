@@ -181,9 +181,9 @@ def link_components(
     texts = in_cells(given.where("id is not null"), count, "id")
     reps = classes.select(F.lit(0).alias("to"), cell_of(count, "rep").alias("cell"), F.lit(-1).alias("kind"), _packed("rep"))
 
-    def known(left: pa.Table, right: pa.Table, kind: int) -> tuple[list[int], list[np.ndarray]]:
-        """Ids and sets of the rows of a cell that a message of this kind names."""
-        own = [int.from_bytes(d, "big", signed=True) for d, k in zip(right["data"].to_pylist(), right["kind"].to_pylist()) if k == kind]
+    def known(left: pa.Table, right: pa.Table) -> tuple[list[int], list[np.ndarray]]:
+        """Ids and sets of the rows of a cell that are named as their class."""
+        own = [int.from_bytes(d, "big", signed=True) for d, k in zip(right["data"].to_pylist(), right["kind"].to_pylist()) if k == -1]
         left = left.filter(pa.compute.is_in(left["id"], pa.array(own, pa.int64())))
         sets, ids, seen = [], [], set()
         for doc, s in zip(left["id"].to_pylist(), shingle_sets(left["t"], size)):
@@ -202,7 +202,7 @@ def link_components(
         return keys, at, held, present, np.r_[first, len(keys)]
 
     def tell(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        keys, _, held, present, cuts = cell_keys(known(left, right, -1)[1])
+        keys, _, held, present, cuts = cell_keys(known(left, right)[1])
         low, held = (keys & _LOW).astype("<u4"), np.minimum(held, 255).astype("u1")
         return messages(present, key[0].as_py(), 0, [low[a:b].tobytes() + held[a:b].tobytes() for a, b in zip(cuts, cuts[1:])])
 
@@ -222,7 +222,7 @@ def link_components(
     powers = store(ask(heard(texts, reps, tell, MESSAGE_DDL), rarity), "rarity").unionByName(reps)
 
     def post(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        ids, sets = known(left, right, -1)
+        ids, sets = known(left, right)
         if not ids:
             return messages(np.zeros(0), key[0].as_py(), 0, [])
         _, at, _, present, _ = cell_keys(sets)
@@ -250,7 +250,7 @@ def link_components(
 
     named = store(ask(heard(texts, powers, post, MESSAGE_DDL), name, "h long, a long, b long, rank long"), "named")
     pairs = named.where("rank < 0").select("a", "b").distinct()
-    first = _search(texts, known, pairs, count, num, den)
+    first = _search(given, pairs, count, size, num, den)
     near = store(components(first), "near")
 
     members = named.where("rank >= 0").select("h", F.col("a").alias("node"), F.col("b").alias("n"), "rank")
@@ -262,9 +262,9 @@ def link_components(
         if turn < STAR_TURNS:
             more = store(_stars(apart, turn, num, den).distinct().join(tried, ["a", "b"], "left_anti"), "more")
             tried = tried.unionByName(more)
-            found = _search(texts, known, more, count, num, den)
+            found = _search(given, more, count, size, num, den)
         else:
-            sets = _gather(texts, known, apart.select(F.col("node").alias("id")).distinct(), count)
+            sets = _gather(given, apart.select(F.col("node").alias("id")).distinct(), count, size)
             found = store(_blocks(apart, sets, num, den), "found")
         links = links.unionByName(found)
         near = store(components(links), "near")
@@ -350,24 +350,32 @@ def _across(group: pa.Table, num: int, den: int) -> pa.Table:
     return pa.table([pa.array(ends[0]), pa.array(ends[1])], names=["a", "b"])
 
 
-def _gather(texts: DataFrame, known, ids: DataFrame, count: int) -> DataFrame:
-    """``cell, id, shingles``: the sets of the rows with these ids."""
-    asked = ids.select(F.lit(0).alias("to"), cell_of(count, "id").alias("cell"), F.lit(-2).alias("kind"), _packed("id"))
+def _gather(given: DataFrame, ids: DataFrame, count: int, size: int) -> DataFrame:
+    """``cell, id, shingles``: the distinct sets of the rows with these ids; only their texts are dealt out."""
+    wanted = given.join(ids, "id", "left_semi").select(cell_of(count, "id").alias("cell"), "id", "t").repartition("cell")
 
-    def gather(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        own, sets = known(left, right, -2)
-        return pa.table(
-            [pa.array([key[0].as_py()] * len(own), pa.int32()), pa.array(own, pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())],
-            names=["cell", "id", "shingles"],
-        )
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
+        for batch in batches:
+            sets = shingle_sets(batch.column(2), size)
+            marks = [(i, xxhash.xxh3_128_digest(s.tobytes())) for i, s in zip(batch.column(1).to_pylist(), sets)]
+            new = []
+            for at, (s, mark) in enumerate(zip(sets, marks)):
+                if len(s) and mark not in seen:
+                    seen.add(mark)
+                    new.append(at)
+            own = batch.take(pa.array(new, pa.int64()))
+            yield pa.RecordBatch.from_arrays(
+                [own.column(0), own.column(1), pa.array([sets[at].tobytes() for at in new], pa.binary())], names=["cell", "id", "shingles"]
+            )
 
-    return store(heard(texts, asked, gather, "cell int, id long, shingles binary"), "sets")
+    return store(wanted.mapInArrow(gather, "cell int, id long, shingles binary"), "sets")
 
 
-def _search(texts: DataFrame, known, pairs: DataFrame, count: int, num: int, den: int) -> DataFrame:
+def _search(given: DataFrame, pairs: DataFrame, count: int, size: int, num: int, den: int) -> DataFrame:
     """``a, b``: links found by sending the set of the first of each pair to the cell of the second."""
     pairs = store(pairs, "pairs")
-    sets = _gather(texts, known, pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), count)
+    sets = _gather(given, pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), count, size)
     wanted = pairs.select(F.col("a").alias("id"), cell_of(count, "b").alias("cell")).distinct()
     asker = sets.select(F.col("id").alias("query"), F.col("shingles").alias("asked"))
     queries = wanted.join(asker, wanted["id"] == asker["query"]).select("cell", "query", "asked")
