@@ -302,22 +302,30 @@ def _stars(apart: DataFrame, turn: int, num: int, den: int) -> DataFrame:
 
 
 def _blocks(apart: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """``a, b``: links that tie the components of each list together, from block pairs of bounded size."""
-    weight = apart.groupBy("h").agg(F.sum("n").alias("weight"))
+    """``a, b``: links that tie the components of each list together, from block pairs of bounded size.
+
+    Lists with the same first member (in hash order), so mostly lists with the same members, are
+    joined into one; each member keeps its lowest rank, so no pair that one of them allows is lost
+    and a set is sent once for all of them.
+    """
+    first = apart.groupBy("h").agg(F.min(F.struct(F.xxhash64(F.lit(5), "node").alias("k"), "node")).alias("first"))
+    named = apart.join(first.select("h", F.col("first.node").alias("g")), "h")
+    members = store(named.groupBy("g", "node", "n", "c").agg(F.min("rank").alias("rank")), "members")
+    weight = members.groupBy("g").agg(F.count("*").alias("size"), F.sum("n").alias("weight"))
     blocks = F.ceil(F.greatest(F.col("size") / BLOCK, F.col("weight") / BLOCK_SHINGLES)).cast("int")
-    split = apart.join(weight, "h").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    split = members.join(weight, "g").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
     split = split.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    split = split.select("h", "node", "n", "rank", "c", "own", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"))
+    split = split.select("g", "node", "n", "rank", "c", "own", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"))
     held = sets.select(F.col("id").alias("node"), (F.octet_length("shingles") / 8).cast("long").alias("n"), "shingles")
 
     def across(group: pa.Table) -> pa.Table:
         return _across(group, num, den)
 
-    return split.join(held, ["node", "n"]).groupBy("h", "p", "q").applyInArrow(across, "a long, b long")
+    return split.join(held, ["node", "n"]).groupBy("g", "p", "q").applyInArrow(across, "a long, b long")
 
 
 def _across(group: pa.Table, num: int, den: int) -> pa.Table:
-    """Links of one block pair of a long list: each ties two components that were still apart.
+    """Links of one block pair of joined long lists: each ties two components that were still apart.
 
     Sizes and ranks choose what a set is searched for in; links inside a component are not looked for.
     """
