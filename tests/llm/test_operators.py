@@ -222,6 +222,32 @@ def test_lines(table, odd):
     assert set(df.columns) < set(out.columns) and lines.dedup_lines(df.limit(0)).count() == 0
 
 
+def all_pairs_lines(docs, min_words=lines.MIN_WORDS):
+    """Every document with distinct id and a text, aligned with every earlier one."""
+    out = []
+    for doc, text in docs:
+        own, gone = text.split("\n"), set()
+        for other, earlier in docs:
+            if other < doc:
+                gone.update(lines.common_blocks(earlier.split("\n"), own, [len(split(x)) for x in own], min_words))
+        out.append((doc, "\n".join(x for i, x in enumerate(own) if i not in gone), len(gone)))
+    return sorted(out, key=repr)
+
+
+def check_all_pairs(table, docs):
+    out = lines.dedup_lines(table(docs).repartition(5)).withColumn("n", F.coalesce(F.octet_length("removed_lines") / 4, F.lit(0)).cast("int"))
+    assert rows(out, "doc_id", "text", "n") == all_pairs_lines(docs)
+
+
+def test_blocks_of_short_lines(table):
+    """A common block without a single line of ten words, and blocks that begin or end with blank and short lines."""
+    verse = "\n".join(f"v{i} and four words" for i in range(30))
+    long = " ".join(f"g{i}" for i in range(12))
+    docs = [(1, "first\n" + verse), (2, verse + "\nlast"), (3, f"own\n{long}\nx"), (4, f"other\n\n{long}\nend y\n"), (5, f"five\n\n{long}\nend y\n")]
+    check_all_pairs(table, docs)
+    assert [n for _, _, n in all_pairs_lines(docs)] == [0, 30, 0, 1, 4]
+
+
 def test_patience():
     assert lines.patience([1, 2, 3, 4], [9, 2, 3, 8, 4]) == [(1, 1), (2, 2), (3, 4)]
     assert lines.patience([], [1]) == [] and lines.patience([5, 5], [5, 5, 5]) == [(0, 0), (1, 1)]

@@ -1,10 +1,12 @@
 """Line de-duplication by pairwise alignment.
 
 Lines are the pieces between line feeds.  Documents overlap when they share a
-line with at least ``min_words`` words.  Each such line of a document names one
-partner: the document with the smallest id that holds it, so a line that
-thousands of documents share makes one pair for each of them and no pair is left
-out.  A document is aligned with its partners by patience diff, those named by its rarest lines
+run of consecutive lines with at least ``min_words`` words together.  The keys of
+a document are its shortest such runs, one that starts and one that ends at each
+line; every line of a common block is in a run that lies in the block.  Each run
+names one partner: the document with the smallest id that holds it, so a run that
+thousands of documents share makes one pair for each of them.  A document is
+aligned with its partners by patience diff, those named by its rarest runs
 first, and aligned common blocks of at least ``min_words`` words are deleted from
 the document with the larger id.  Alignment reads the input, not what is left.
 
@@ -25,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm.cells import MESSAGE_DDL, ask, bucket_of, bucket_count, cell_count, cell_of, heard, messages, split_by, store
-from textloom.llm.words import BLANKS, bounds, buffers, word_hashes
+from textloom.llm.words import BLANKS, bounds, buffers, mix, word_hashes
 
 MIN_WORDS = 10
 
@@ -130,14 +132,42 @@ def line_table(docs: DataFrame, key: str, text: str) -> DataFrame:
     return given.mapInArrow(_hash_lines, "id long, sig long, lines binary, words binary")
 
 
+_BASE = 0x9E3779B97F4A7C15
+_RISE = np.uint64(0xD1B54A32D192ED03)
+
+
+def _powers(base: int, size: int) -> np.ndarray:
+    return np.cumprod(np.r_[np.uint64(1), np.full(size - 1, base, np.uint64)], dtype=np.uint64)
+
+
+def line_runs(h: np.ndarray, words: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, first line and end of the shortest runs of ``min_words`` words, one from each line on and one up to each line.
+
+    Equal hashes of unequal runs name a partner too many, which aligns nothing.
+    """
+    size = len(h)
+    if not size:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    total, at = np.r_[0, np.cumsum(words, dtype=np.int64)], np.arange(size)
+    ends = np.maximum(np.searchsorted(total, total[:-1] + min_words), at + 1)
+    starts = np.minimum(np.searchsorted(total, total[1:] - min_words, side="right") - 1, at)
+    on, back = ends <= size, starts >= 0
+    firsts, stops = np.r_[at[on], starts[back]], np.r_[ends[on], at[back] + 1]
+    _, one = np.unique(firsts * (size + 1) + stops, return_index=True)
+    firsts, stops = firsts[one], stops[one]
+    sums = np.r_[np.uint64(0), np.cumsum((h + _RISE) * _powers(_BASE, size), dtype=np.uint64)]
+    hashes = mix((sums[stops] - sums[firsts]) * _powers(pow(_BASE, -1, 2**64), size)[firsts] + (stops - firsts).astype(np.uint64))
+    return hashes, firsts, stops
+
+
 _KEY = np.dtype([("h", "<u8"), ("doc", "<i8"), ("n", "<i8")])
 
 
 def _cell_keys(left: pa.Table, min_words: int) -> np.ndarray:
-    """Each line hash of a cell once: with its smallest holder and the number of holders; sorted by hash."""
+    """Each run hash of a cell once: with its smallest holder and the number of holders; sorted by hash."""
     hashes, docs = [], []
     for doc, lines, words in zip(left["id"].to_pylist(), left["lines"].to_pylist(), left["words"].to_pylist()):
-        own = np.unique(np.frombuffer(lines, "<u8")[np.frombuffer(words, "<i4") >= min_words])
+        own = np.unique(line_runs(np.frombuffer(lines, "<u8"), np.frombuffer(words, "<i4"), min_words)[0])
         hashes.append(own)
         docs.append(np.full(len(own), doc, np.int64))
     h, d = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (hashes, docs))
@@ -152,7 +182,7 @@ def _cell_keys(left: pa.Table, min_words: int) -> np.ndarray:
 
 
 def _first_holders(group: pa.Table) -> pa.Table:
-    """For what each cell asked: the smallest holder anywhere and how many documents hold the line."""
+    """For what each cell asked: the smallest holder anywhere and how many documents hold the run."""
     parts = [np.frombuffer(x, _KEY) for x in group["data"].to_pylist()]
     keys = np.concatenate(parts)
     _, at = np.unique(keys["h"], return_inverse=True)
@@ -166,12 +196,12 @@ def _first_holders(group: pa.Table) -> pa.Table:
 
 
 def _partners(left: pa.Table, right: pa.Table, min_words: int) -> Iterator[tuple[tuple[int, int], np.ndarray, np.ndarray, list[int]]]:
-    """((id, text hash), line hashes, word counts, partners by the rarest line that names them) of each row with partners."""
+    """((id, text hash), line hashes, word counts, partners by the rarest run that names them) of each row with partners."""
     known = [np.frombuffer(x, _KEY) for x, kind in zip(right["data"].to_pylist(), right["kind"].to_pylist()) if kind == 0]
     keys = np.sort(np.concatenate(known), order="h") if known else np.zeros(0, _KEY)
     for doc, sig, lines, words in zip(*(left[c].to_pylist() for c in ("id", "sig", "lines", "words"))):
         h, n = np.frombuffer(lines, "<u8"), np.frombuffer(words, "<i4")
-        own = np.unique(h[n >= min_words])
+        own = np.unique(line_runs(h, n, min_words)[0])
         at = np.searchsorted(keys["h"], own)
         at = at[(at < len(keys)) & (keys["h"][np.minimum(at, len(keys) - 1)] == own)] if len(keys) else at[:0]
         found = keys[at]
