@@ -248,6 +248,20 @@ def test_blocks_of_short_lines(table):
     assert [n for _, _, n in all_pairs_lines(docs)] == [0, 30, 0, 1, 4]
 
 
+def test_lines_of_all_pairs(table):
+    """Later copies whose first holders have the lines in another order, or hold a frequent line beside other lines."""
+    one, two, hot = (" ".join(f"{k}{i}" for i in range(12)) for k in "abh")
+    docs = [(1, f"{two}\n{one}"), (2, f"{one}\n{two}"), (3, f"{one}\n{two}")]
+    check_all_pairs(table, docs)
+    assert all_pairs_lines(docs)[2][2] == 2
+    docs = [(i, f"s{i}\n{hot}\nt{i}") for i in range(90)]
+    docs += [(200, f"{hot}\nmine\n{hot}"), (201, f"x\n{hot}\ny {one}\nz"), (202, f"{hot}\nmine\n{hot}"), (203, f"y {one}\nz\n{hot}\nyours")]
+    check_all_pairs(table, docs)
+    rng = random.Random(12)
+    pool = [" ".join(f"l{k}w{i}" for i in range(rng.randrange(1, 15))) for k in range(14)] + ["", "  "]
+    check_all_pairs(table, [(i, "\n".join(rng.choices(pool, k=rng.randrange(1, 14)))) for i in range(70)])
+
+
 def test_patience():
     assert lines.patience([1, 2, 3, 4], [9, 2, 3, 8, 4]) == [(1, 1), (2, 2), (3, 4)]
     assert lines.patience([], [1]) == [] and lines.patience([5, 5], [5, 5, 5]) == [(0, 0), (1, 1)]

@@ -4,11 +4,13 @@ Lines are the pieces between line feeds.  Documents overlap when they share a
 run of consecutive lines with at least ``min_words`` words together.  The keys of
 a document are its shortest such runs, one that starts and one that ends at each
 line; every line of a common block is in a run that lies in the block.  Each run
-names one partner: the document with the smallest id that holds it, so a run that
-thousands of documents share makes one pair for each of them.  A document is
-aligned with its partners by patience diff, those named by its rarest runs
-first, and aligned common blocks of at least ``min_words`` words are deleted from
-the document with the larger id.  Alignment reads the input, not what is left.
+names one partner first: the document with the smallest id that holds it, so a run
+that thousands of documents share makes one pair for each of them.  A run that
+alignment left a line of names its next earlier holders, 8 times as many each
+round, until it is covered or has none left: what is deleted is what all pairs
+would delete.  A document is aligned with its partners by patience diff, and
+aligned common blocks of at least ``min_words`` words are deleted from the
+document with the larger id.  Alignment reads the input, not what is left.
 
 Defined cases: null texts stay null and have no lines; blank lines alone never
 make a block; rows with the same id count as one holder and each row is aligned by
@@ -19,14 +21,14 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.cells import MESSAGE_DDL, ask, bucket_of, bucket_count, cell_count, cell_of, heard, messages, split_by, store
+from textloom.llm.cells import MESSAGE, MESSAGE_DDL, ask, bucket_of, bucket_count, cell_count, cell_of, heard, messages, split_by, store
 from textloom.llm.words import BLANKS, bounds, buffers, mix, word_hashes
 
 MIN_WORDS = 10
@@ -195,24 +197,128 @@ def _first_holders(group: pa.Table) -> pa.Table:
     return messages(group["to"].to_numpy(), group["cell"].to_numpy(), 0, data)
 
 
-def _partners(left: pa.Table, right: pa.Table, min_words: int) -> Iterator[tuple[tuple[int, int], np.ndarray, np.ndarray, list[int]]]:
-    """((id, text hash), line hashes, word counts, partners by the rarest run that names them) of each row with partners."""
+def _partners(left: pa.Table, right: pa.Table, min_words: int) -> Iterator[tuple[dict, tuple, np.ndarray]]:
+    """Each row that has partners, its runs, and the keys of its runs with an earlier first holder."""
     known = [np.frombuffer(x, _KEY) for x, kind in zip(right["data"].to_pylist(), right["kind"].to_pylist()) if kind == 0]
     keys = np.sort(np.concatenate(known), order="h") if known else np.zeros(0, _KEY)
-    for doc, sig, lines, words in zip(*(left[c].to_pylist() for c in ("id", "sig", "lines", "words"))):
-        h, n = np.frombuffer(lines, "<u8"), np.frombuffer(words, "<i4")
-        own = np.unique(line_runs(h, n, min_words)[0])
+    for row in left.select(["id", "sig", "lines", "words"]).to_pylist():
+        runs = line_runs(np.frombuffer(row["lines"], "<u8"), np.frombuffer(row["words"], "<i4"), min_words)
+        own = np.unique(runs[0])
         at = np.searchsorted(keys["h"], own)
         at = at[(at < len(keys)) & (keys["h"][np.minimum(at, len(keys) - 1)] == own)] if len(keys) else at[:0]
         found = keys[at]
-        found = found[found["doc"] < doc]
+        found = found[found["doc"] < row["id"]]
         if len(found):
-            found = found[np.lexsort((found["doc"], found["n"]))]
-            yield (doc, sig), h, n, list(dict.fromkeys(found["doc"].tolist()))
+            yield row, runs, found
+
+
+def _uncovered(runs: tuple, cut: set[int], size: int) -> np.ndarray:
+    """Hashes of the runs with a line that is not cut."""
+    kept = np.ones(size + 1, np.int64)
+    kept[[0, *(x + 1 for x in cut)]] = 0
+    kept = np.cumsum(kept)
+    return np.unique(runs[0][kept[runs[2]] > kept[runs[1]]])
+
+
+_STATE = pa.schema([
+    ("id", pa.int64()), ("sig", pa.int64()), ("cell", pa.int32()), ("lines", pa.binary()), ("words", pa.binary()),
+    ("removed", pa.binary()), ("tried", pa.binary()), ("open", pa.binary()),
+])
+_STATE_DDL = "id long, sig long, cell int, lines binary, words binary, removed binary, tried binary, open binary"
+
+
+def _state(row: dict, cell: int, cut: set[int], tried: set[int], open_: np.ndarray) -> dict:
+    """A row after a round; what the next one needs only if runs are still open."""
+    out = {"id": row["id"], "sig": row["sig"], "cell": cell, "removed": np.array(sorted(cut), "<i4").tobytes() if cut else None}
+    if len(open_):
+        out |= {"lines": row["lines"], "words": row["words"], "tried": np.array(sorted(tried), "<i8").tobytes(), "open": open_.astype("<u8").tobytes()}
+    return out
+
+
+def _sent_lines(right: pa.Table) -> dict[int, list[int]]:
+    """The lines of each partner sent to a cell."""
+    sent = zip(right["data"].to_pylist(), right["kind"].to_pylist())
+    return {int.from_bytes(d[:8], "big", signed=True): np.frombuffer(d[8:], "<u8").tolist() for d, kind in sent if kind == 1}
+
+
+def _without_foreign(lines: list[int], own: set[int]) -> tuple[int, ...]:
+    """``lines`` with each stretch of lines that are not in ``own`` as one -1, which aligns the same blocks."""
+    out = []
+    for x in lines:
+        x = x if x in own else -1
+        if x >= 0 or not out or out[-1] >= 0:
+            out.append(x)
+    return tuple(out)
+
+
+def _holders(cell: int, left: pa.Table, right: pa.Table, min_words: int, buckets: int) -> pa.Table:
+    """All (run, document) of a cell for the runs that are asked for."""
+    wanted, found = np.concatenate([np.zeros(0, "<u8"), *(np.frombuffer(x, "<u8") for x in right["data"].to_pylist())]), []
+    for doc, lines, words in zip(*(left[c].to_pylist() for c in ("id", "lines", "words"))) if len(wanted) else ():
+        own = np.unique(line_runs(np.frombuffer(lines, "<u8"), np.frombuffer(words, "<i4"), min_words)[0])
+        own = own[np.isin(own, wanted)]
+        part = np.zeros(len(own), _KEY)
+        part["h"], part["doc"] = own, doc
+        found.append(part)
+    keys = np.unique(np.concatenate(found)) if found else np.zeros(0, _KEY)
+    order, present, cuts = split_by(bucket_of(keys["h"], buckets))
+    keys = keys[order]
+    return messages(present, cell, 0, [keys[a:b].tobytes() for a, b in zip(cuts, cuts[1:])])
+
+
+def _ranked(keys: np.ndarray) -> np.ndarray:
+    """Distinct (run, document), sorted, with the rank of the document among the holders in ``n``."""
+    keys["n"] = 0
+    keys = np.unique(keys)
+    new = np.flatnonzero(np.r_[True, keys["h"][1:] != keys["h"][:-1]]) if len(keys) else np.zeros(0, np.int64)
+    keys["n"] = np.arange(len(keys)) - np.repeat(new, np.diff(np.r_[new, len(keys)]))
+    return keys
+
+
+def _ask_open(cell: int, left: pa.Table, buckets: int) -> pa.Table:
+    keys = np.unique(np.concatenate([np.frombuffer(x, "<u8") for x in left["open"].to_pylist()]))
+    order, present, cuts = split_by(bucket_of(keys, buckets))
+    keys = keys[order]
+    return messages(present, cell, 1, [keys[a:b].tobytes() for a, b in zip(cuts, cuts[1:])])
+
+
+def _route(told: pa.Table, asks: pa.Table) -> pa.Table:
+    """The open runs of a bucket, sent to the cells that have them."""
+    asked = [np.frombuffer(x, "<u8") for x in asks["data"].to_pylist()]
+    if not asked or not told.num_rows:
+        return MESSAGE.empty_table()
+    wanted = np.unique(np.concatenate(asked))
+    data = [h[np.isin(h, wanted)].tobytes() for h in (np.frombuffer(x, _KEY)["h"] for x in told["data"].to_pylist())]
+    return messages(told["to"].to_numpy(), told["cell"].to_numpy(), 0, data).filter(pa.array([len(d) > 0 for d in data], pa.bool_()))
+
+
+def _next_holders(listed: pa.Table, asks: pa.Table, low: int, high: int) -> pa.Table:
+    """For each asking cell the holders of its open runs with rank ``low`` to ``high``."""
+    if not asks.num_rows or not listed.num_rows:
+        return MESSAGE.empty_table()
+    keys = _ranked(np.concatenate([np.frombuffer(x, _KEY) for x in listed["data"].to_pylist()]))
+    keys = keys[(keys["n"] >= low) & (keys["n"] <= high)]
+    data = [keys[np.isin(keys["h"], np.frombuffer(x, "<u8"))].tobytes() for x in asks["data"].to_pylist()]
+    return messages(asks["to"].to_numpy(), asks["cell"].to_numpy(), 0, data)
+
+
+def _named(left: pa.Table, right: pa.Table) -> Iterator[tuple[dict, dict[int, list[int]]]]:
+    """Each open row with the earlier holders that came for each of its open runs."""
+    parts = [np.frombuffer(x, _KEY) for x, kind in zip(right["data"].to_pylist(), right["kind"].to_pylist()) if kind == 0]
+    keys = np.sort(np.concatenate(parts), order=["h", "n"]) if parts else np.zeros(0, _KEY)
+    for row in left.to_pylist():
+        named = {}
+        for h in np.frombuffer(row["open"], "<u8"):
+            part = keys[np.searchsorted(keys["h"], h) : np.searchsorted(keys["h"], h, side="right")]
+            named[int(h)] = part[part["doc"] < row["id"]]
+        yield row, named
 
 
 def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """``id, sig, removed``: packed numbers of the deleted lines of each (id, text hash) that loses any."""
+    """``id, sig, removed``: packed numbers of the deleted lines of each (id, text hash) that loses any.
+
+    Nothing is collected but, each round, whether runs are still open.
+    """
     count, buckets = cell_count(docs.sparkSession), bucket_count(docs.sparkSession)
     rows = store(line_table(docs, key, text), "lines")
     dealt = rows.withColumn("cell", cell_of(count, "id", "sig")).repartition("cell")
@@ -223,36 +329,100 @@ def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_
         keys = keys[order]
         return messages(present, key[0].as_py(), 0, [keys[a:b].tobytes() for a, b in zip(cuts, cuts[1:])])
 
-    answers = store(ask(dealt.groupBy("cell").applyInArrow(tell, MESSAGE_DDL), _first_holders), "holders")
+    told = store(dealt.groupBy("cell").applyInArrow(tell, MESSAGE_DDL), "runs")
+    answers = store(ask(told, _first_holders), "holders")
 
     def name(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        named = sorted({p for _, _, _, ps in _partners(left, right, min_words) for p in ps})
+        named = sorted({p for _, _, found in _partners(left, right, min_words) for p in found["doc"].tolist()})
         return pa.table([pa.array(named, pa.int64()), pa.array([key[0].as_py()] * len(named), pa.int32())], names=["id", "cell"])
 
-    wanted = store(heard(dealt, answers, name, "id long, cell int"), "wanted")
-    # the lines of each partner, once for each cell that asked
-    partner_rows = rows.join(wanted.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.min("lines").alias("lines"))
-    sent = wanted.join(partner_rows, "id").select(
-        F.lit(0).alias("to"), "cell", F.lit(1).alias("kind"), F.concat(F.unhex(F.lpad(F.hex("id"), 16, "0")), "lines").alias("data")
-    )
+    def lines_for(wanted: DataFrame) -> DataFrame:
+        """The lines of each partner, once for each cell that asked."""
+        partner_rows = rows.join(wanted.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.min("lines").alias("lines"))
+        return wanted.join(partner_rows, "id").select(
+            F.lit(0).alias("to"), "cell", F.lit(1).alias("kind"), F.concat(F.unhex(F.lpad(F.hex("id"), 16, "0")), "lines").alias("data")
+        )
 
     def align(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        lines = {}
-        for data, kind in zip(right["data"].to_pylist(), right["kind"].to_pylist()):
-            if kind == 1:
-                lines[int.from_bytes(data[:8], "big", signed=True)] = np.frombuffer(data[8:], "<u8").tolist()
-        ids, sigs, gone = [], [], []
-        for (doc, sig), h, n, partners in _partners(left, right, min_words):
-            own, words, cut = h.tolist(), n.tolist(), set()
+        lines, out = _sent_lines(right), []
+        for row, runs, found in _partners(left, right, min_words):
+            own, words, cut = np.frombuffer(row["lines"], "<u8").tolist(), np.frombuffer(row["words"], "<i4").tolist(), set()
+            partners = set(found["doc"].tolist())
             for partner in partners:
                 cut.update(common_blocks(lines[partner], own, words, min_words))
-            if cut:
-                ids.append(doc)
-                sigs.append(sig)
-                gone.append(np.array(sorted(cut), "<i4").tobytes())
-        return pa.table([pa.array(ids, pa.int64()), pa.array(sigs, pa.int64()), pa.array(gone, pa.binary())], names=["id", "sig", "removed"])
+            more = found["h"][found["n"] > 2]  # two holders are the first one and the row's own
+            open_ = np.intersect1d(more, _uncovered(runs, cut, len(own))) if len(more) else more
+            if cut or len(open_):
+                out.append(_state(row, key[0].as_py(), cut, partners, open_))
+        return pa.Table.from_pylist(out, _STATE)
 
-    return heard(dealt, answers.unionByName(sent), align, "id long, sig long, removed binary")
+    wanted = store(heard(dealt, answers, name, "id long, cell int"), "wanted")
+    state = store(heard(dealt, answers.unionByName(lines_for(wanted)), align, _STATE_DDL), "aligned")
+    done, left = state.where("open is null"), state.where("open is not null")
+    holders, low, high = None, 1, 9
+    while not left.isEmpty():
+        asks = store(left.groupBy("cell").applyInArrow(lambda key, t: _ask_open(key[0].as_py(), t, buckets), MESSAGE_DDL), "open")
+        if holders is None:
+            route = told.groupBy("to").cogroup(asks.groupBy("to")).applyInArrow(_route, MESSAGE_DDL)
+            listed = heard(dealt, route, lambda key, l, r: _holders(key[0].as_py(), l, r, min_words, buckets), MESSAGE_DDL)
+            holders = store(listed, "all-holders")
+        state = store(_align_next(left, holders, asks, low, high, lines_for, min_words), "aligned")
+        done, left = done.unionByName(state.where("open is null")), state.where("open is not null")
+        low, high = high, 8 * high + 1
+    return done.where("removed is not null").select("id", "sig", "removed")
+
+
+def _align_next(left: DataFrame, holders: DataFrame, asks: DataFrame, low: int, high: int, lines_for: Callable, min_words: int) -> DataFrame:
+    """Open rows aligned with the holders of rank ``low`` to below ``high`` of their open runs."""
+
+    def lowest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """What a cell lists, cut to the ranks that can matter."""
+        for batch in batches:
+            data = []
+            for x in batch.column(3).to_pylist():
+                keys = _ranked(np.frombuffer(x, _KEY).copy())
+                data.append(keys[keys["n"] <= high].tobytes())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(data, pa.binary())], schema=MESSAGE)
+
+    def answer(listed: pa.Table, asked: pa.Table) -> pa.Table:
+        return _next_holders(listed, asked, low, high)
+
+    def name(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        named = set()
+        for row, found in _named(left, right):
+            new = {p for part in found.values() for p in part["doc"][part["n"] < high].tolist()}
+            named |= new.difference(np.frombuffer(row["tried"], "<i8").tolist())
+        named = sorted(named)
+        return pa.table([pa.array(named, pa.int64()), pa.array([key[0].as_py()] * len(named), pa.int32())], names=["id", "cell"])
+
+    def align(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        lines, out = _sent_lines(right), []
+        for row, found in _named(left, right):
+            h, n = np.frombuffer(row["lines"], "<u8"), np.frombuffer(row["words"], "<i4")
+            own, words, runs = h.tolist(), n.tolist(), line_runs(h, n, min_words)
+            cut = set(np.frombuffer(row["removed"] or b"", "<i4").tolist())
+            tried, seen, known = set(np.frombuffer(row["tried"], "<i8").tolist()), set(), set(own)
+            bare = set(_uncovered(runs, cut, len(own)).tolist())
+            for run, part in found.items():
+                for partner in part["doc"][part["n"] < high].tolist():
+                    if run not in bare:
+                        break
+                    if partner in tried:
+                        continue
+                    tried.add(partner)
+                    shape = _without_foreign(lines[partner], known)
+                    if shape not in seen:
+                        seen.add(shape)
+                        cut.update(common_blocks(list(shape), own, words, min_words))
+                        bare = set(_uncovered(runs, cut, len(own)).tolist())
+            more = [run for run, part in found.items() if run in bare and len(part) and part["n"][-1] == high]
+            out.append(_state(row, key[0].as_py(), cut, tried, np.array(more, np.uint64)))
+        return pa.Table.from_pylist(out, _STATE)
+
+    listed = holders.mapInArrow(lowest, MESSAGE_DDL)
+    pairs = store(listed.groupBy("to").cogroup(asks.groupBy("to")).applyInArrow(answer, MESSAGE_DDL), "next-holders")
+    wanted = store(heard(left, pairs, name, "id long, cell int"), "wanted")
+    return heard(left, pairs.unionByName(lines_for(wanted)), align, _STATE_DDL)
 
 
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, out: str = "removed_lines") -> DataFrame:
@@ -262,7 +432,8 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_wo
     """
     docs = docs.drop(out)
     gone = removed_lines(docs, key, text, min_words).dropDuplicates(["id", "sig"]).withColumnRenamed("removed", out)
-    joined = docs.join(gone, (F.col(key).cast("long") == gone["id"]) & (F.xxhash64(text) == gone["sig"]), "left")
+    # merged at every size: a small answer would be broadcast and a large one not
+    joined = docs.join(gone.hint("merge"), (F.col(key).cast("long") == gone["id"]) & (F.xxhash64(text) == gone["sig"]), "left")
     joined = joined.select(*(docs[c] for c in docs.columns), gone[out])
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
