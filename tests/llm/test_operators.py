@@ -109,6 +109,14 @@ def test_jaccard_odd_rows(odd):
     assert jaccard.link_components(odd.limit(0)).count() == 0
 
 
+def test_jaccard_id_with_two_texts(table):
+    """An id that is the first holder of neither of its texts ties them."""
+    x, y = (" ".join(f"{k}{i}" for i in range(20)) for k in "xy")
+    df = table([(3, y), (4, x), (5, x), (5, y), (6, x), (7, "other words only here today"), (8, None), (8, y)])
+    check_components(df)
+    assert {r["component_id"] for r in jaccard.link_components(df).where("doc_id between 3 and 6").collect()} == {3}
+
+
 def near_copies(rng, n, words, edits):
     base = [f"b{rng.randrange(10**6)}" for _ in range(words)]
     out = []

@@ -250,7 +250,7 @@ def link_components(
 
     named = store(ask(heard(texts, powers, post, MESSAGE_DDL), name, "h long, a long, b long, rank long"), "named")
     pairs = named.where("rank < 0").select("a", "b").distinct()
-    first = _search(given, pairs, count, size, num, den)
+    first = _search(given, pairs, count, size, num, den).unionByName(_same_id(rows, classes))
     near = store(components(first), "near")
 
     members = named.where("rank >= 0").select("h", F.col("a").alias("node"), F.col("b").alias("n"), "rank")
@@ -278,6 +278,15 @@ def link_components(
     )
 
 
+def _same_id(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """``a, b``: ties between the classes that one id is in."""
+    held, mark = rows.where("n > 0 and id is not null"), F.struct("d1", "d2")
+    several = held.groupBy("id").agg(F.min(mark).alias("x"), F.max(mark).alias("y")).where("x <> y").select("id")
+    reps = held.join(several, "id").join(classes, ["d1", "d2"]).select("id", "rep").distinct()
+    least = reps.groupBy("id").agg(F.min("rep").alias("b"))
+    return reps.join(least, "id").where("rep <> b").select(F.col("rep").alias("a"), "b").distinct()
+
+
 def _packed(column: str):
     return F.unhex(F.lpad(F.hex(column), 16, "0")).alias("data")
 
