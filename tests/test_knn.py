@@ -106,8 +106,97 @@ def test_vectors_helpers(spark):
     assert [round(r["c"], 9) for r in rows] == [0.96, 0.0]
 
 
+def test_best_rows_are_merged_as_a_tree(spark):
+    """Of many tasks a question's rows meet in groups first: at most nodes x k of them go to the last step."""
+    from textloom.operators import knn
+
+    rows = clustered(400)
+    q = spark.createDataFrame(rows, "id bigint, grp string, embedding array<float>").withColumnRenamed("id", "query_id")
+    c = q.withColumnRenamed("query_id", "faq_id").repartition(40)
+    seen = []
+    plain = knn.merge_best
+
+    def watched(found, k, out, packs, nodes):
+        seen.append((found.count(), found.groupBy("qid").agg(F.count_distinct("node").alias("n")).agg(F.max("n")).first()[0], nodes))
+        return plain(found, k, out, packs, nodes)
+
+    knn.merge_best = watched
+    try:
+        got = knn_topk(q, c, 3, within="grp", sizes=KnnSizes(merge_nodes=4), method="scan").collect()
+    finally:
+        knn.merge_best = plain
+    assert seen[0][0] > 400 * 3 * 4 and seen[0][1] <= 4
+    assert sorted((r["query_id"], r["grp"], r["rank"], r["faq_id"], round(r["score"], 6) + 0.0) for r in got) == brute(rows, rows, 3)
+
+
+def test_bands(spark):
+    """Approximate search: exact scores, recall as promised, blocks and packs of hot bands, groups."""
+    from textloom.operators.knn_approx import Bands, knn_approx, recall
+
+    assert Bands.reaching(0.9, 0.9, 8).count < Bands.reaching(0.9, 0.5, 8).count < Bands.reaching(0.99, 0.5, 8).count
+    with pytest.raises(ValueError):
+        Bands.reaching(1.0, 0.5, 8)
+    rng = np.random.default_rng(4)
+    hot = rng.normal(size=8)
+    rows = clustered(300) + [(1000 + i, "big", (hot + rng.normal(size=8) * 0.01).tolist()) for i in range(150)]
+    q = spark.createDataFrame(rows, "id bigint, grp string, embedding array<float>").withColumnRenamed("id", "query_id")
+    c = q.withColumnRenamed("query_id", "faq_id")
+    bands = Bands.reaching(0.97, 0.8, 6)
+    found = knn_approx(q, c, 4, bands, within="grp", exclude_self=True, sizes=KnnSizes(block_rows=20, pack_rows=30, merge_nodes=3))
+    exact = knn_topk(q, c, 4, within="grp", exclude_self=True, method="scan")
+    share = recall(found, exact).first()
+    assert share["wanted"] == exact.count() and share["recall"] >= 0.95
+    whole = {(r["query_id"], r["faq_id"]): round(r["score"], 9) for r in knn_topk(q, c, 450, within="grp", exclude_self=True).collect()}
+    got = found.collect()
+    assert all(whole[r["query_id"], r["faq_id"]] == round(r["score"], 9) for r in got) and len({(r["query_id"], r["rank"]) for r in got}) == len(got)
+    assert knn_approx(q.limit(0), c, 4, bands).count() == knn_approx(q, c.limit(0), 4, bands).count() == 0
+
+
 @pytest.mark.parametrize("path", ["scan", "cells"])
 def test_vectors_that_are_not_finite_take_no_place(spark, path):
     good = [(i, "a", [1.0, float(i)]) for i in range(60)]
     bad = [(100, "a", [float("inf"), 1.0]), (101, "a", [float("nan"), 1.0]), (102, "a", [None, 1.0]), (103, "a", [-float("inf"), 0.0])]
     assert run(spark, good + bad, good + bad, 5, PATHS[path], True) == brute(good, good, 5, True)
+
+
+# TF-IDF ------------------------------------------------------------------------------
+def brute_tfidf(questions, docs, k):
+    import math
+    import re
+    from collections import Counter
+
+    cut = lambda t: Counter(re.findall(r"[^\W_]+", (t or "").lower()))
+    weigh = lambda c: {t: 1 + math.log(n) for t, n in c.items()}
+    length = lambda w: math.sqrt(sum(x * x for x in w.values())) or 1.0
+    held = [(i, weigh(cut(t))) for i, t in docs]
+    df = Counter(t for _, w in held for t in w)
+    out = []
+    for q, text in questions:
+        asked = {t: w * math.log((len(docs) + 1) / (df[t] + 1)) for t, w in weigh(cut(text)).items()}
+        scale = length(asked)
+        scores = []
+        for i, w in held:
+            s = sum(a / scale * w[t] / length(w) for t, a in asked.items() if t in w and a > 0)
+            if any(t in w and a > 0 for t, a in asked.items()):
+                scores.append((-round(s, 9), i))
+        out += [(q, r + 1, i, round(-s, 6)) for r, (s, i) in enumerate(sorted(scores)[:k])]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("lead", [1, 3, 50])
+def test_tfidf_equals_brute_force(spark, lead):
+    """Frequent and rare words, ties, texts without words; bounds that cut early and late."""
+    import random
+
+    from textloom.operators.tfidf import tfidf_topk
+
+    rng = random.Random(lead)
+    words = ["the"] * 60 + ["of"] * 30 + [f"w{int(rng.paretovariate(0.7)) % 400}" for _ in range(300)] + ["Éa", "x-y", "12"]
+    docs = [(i, " ".join(rng.choices(words, k=rng.randrange(0, 50)))) for i in range(150)] + [(200, None), (201, ""), (202, "—!"), (203, "the the")]
+    docs += [(300 + i, docs[5][1]) for i in range(4)]
+    questions = [(i, " ".join(rng.choices(words, k=rng.randrange(0, 14)))) for i in range(40)] + [(90, None), (91, "nowhere"), (92, docs[5][1])]
+    q = spark.createDataFrame(questions, "question_id bigint, question string")
+    d = spark.createDataFrame(docs, "faq_id bigint, source_text string").repartition(3)
+    got = tfidf_topk(q, d, 4, lead_terms=lead).collect()
+    assert sorted((r["question_id"], r["rank"], r["faq_id"], round(r["score"], 6)) for r in got) == brute_tfidf(questions, docs, 4)
+    assert tfidf_topk(q.limit(0), d, 4).count() == tfidf_topk(q, d.limit(0), 4).count() == 0

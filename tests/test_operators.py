@@ -10,7 +10,7 @@ from textloom.operators import sampling, sets
 from textloom.operators.chunking import chunk_pages, clean_pages
 from textloom.operators.matrix import class_matrix, distinct_class_ids, risk_matrix
 from textloom.operators.model_map import (
-    Caller, Replay, Rules, distinct_prompts, model_map, pending_prompts, prompt_hash, store_responses,
+    Caller, Replay, Rules, SliceError, distinct_prompts, model_map, pending_prompts, prompt_hash, store_responses,
 )
 from textloom.operators.numbering import number_rows
 
@@ -21,12 +21,16 @@ def test_numbering_with_a_hot_key_and_gaps(spark):
     rows = [("hot", i * 3) for i in range(400)] + [(f"k{i % 20}", rng.randrange(10**6) * 50 + i) for i in range(200)]
     rng.shuffle(rows)
     df = spark.createDataFrame(rows, "k string, o bigint").repartition(5)
-    got = {(r["k"], r["o"]): r["n"] for r in number_rows(df, ["k"], "o", "n", bucket_rows=37).collect()}
+    got = {(r["k"], r["o"]): r["n"] for r in number_rows(df, ["k"], "o", "n", range_rows=37).collect()}
     want = {}
     for k in {r[0] for r in rows}:
         for i, o in enumerate(sorted(r[1] for r in rows if r[0] == k)):
             want[k, o] = i + 1
     assert got == want
+    ids = spark.createDataFrame([(None, "b"), ("x", "b"), (None, "a"), ("x", None)], "k string, o string")
+    assert sorted(map(tuple, number_rows(ids, ["k"], "o", "n", 1).collect()), key=repr) == sorted(
+        [(None, "a", 1), (None, "b", 2), ("x", None, 1), ("x", "b", 2)], key=repr)
+    assert number_rows(ids.limit(0), [], "o", "n").count() == 0
 
 
 # Chunks -----------------------------------------------------------------------
@@ -88,6 +92,26 @@ def test_sample_does_not_depend_on_partitioning(spark):
     assert sampling.first_n(df, None, "id") is df
 
 
+def test_first_rows_beyond_a_partition(spark, monkeypatch):
+    """A sketch of few points, ties, nulls and a text key; as many rows as asked for, none gathered by a limit."""
+    from textloom.operators import numbering
+
+    rng = random.Random(3)
+    rows = [(i, rng.choice([None, *range(40)]), f"t{rng.randrange(300):03d}") for i in range(900)]
+    df = spark.createDataFrame(rows, "id bigint, k int, t string").repartition(9)
+    for key, at in (("k", 1), ("t", 2)):
+        for n in (0, 1, 300, 899, 900, 5000):
+            for points in (10_000, 50):
+                monkeypatch.setattr(sampling, "SKETCH", points)
+                out = sampling.first_n(df, n, key)
+                got = [r[at] for r in out.collect()]
+                want = sorted((r[at] for r in rows), key=lambda x: (x is not None, x))[:n]
+                assert sorted(got, key=lambda x: (x is not None, x)) == want
+                assert "Limit" not in out._jdf.queryExecution().executedPlan().toString() or not n
+    assert sampling.first_n(df.limit(0), 3, "k").count() == 0
+    assert numbering.number_rows(df, [], "id", "n", 100).where("n = id + 1").count() == 900
+
+
 def test_unions_and_counts(spark):
     a = spark.createDataFrame([("q1", "student")], "question string, persona string")
     b = spark.createDataFrame([("q2", "teacher", "math")], "question string, persona string, course string")
@@ -213,3 +237,45 @@ def test_hot_prompt_is_answered_once(spark, tmp_path):
     assert out.count() == 350 and out.filter("response = p").count() == 350
     with open(log) as f:
         assert len(f.read().split()) == 51
+
+
+def test_long_class_matrix(spark):
+    from textloom.operators.matrix import class_matrix, class_matrix_long, class_numbers
+
+    kind = "doc_id string, relevant_classes array<struct<class_id:string,justification:string>>"
+    df = spark.createDataFrame([("1", [("b", "x"), ("a", "y"), ("b", "z")]), ("2", []), ("3", None), ("4", [("é", None), (None, "q")])], kind)
+    numbers = {r["class_id"]: r["class_no"] for r in class_numbers(df).collect()}
+    assert numbers == {"a": 1, "b": 2, "é": 3}
+    wide = {(r["doc_id"], numbers[c]) for r in class_matrix(df, list(numbers)).collect() for c in numbers if r[c]}
+    assert {tuple(r) for r in class_matrix_long(df).collect()} == wide == {("1", 1), ("1", 2), ("4", 3)}
+    assert class_matrix_long(df).count() == 3
+
+
+def test_a_failed_slice_asks_only_its_own_prompts_again(spark, tmp_path):
+    """The model process dies on one prompt; its slice is asked again, the others are not."""
+    log, down = tmp_path / "log", tmp_path / "down"
+    down.write_text("x")
+
+    def setup():
+        return str(log), str(down)
+
+    def call(batch, places):
+        with open(places[0], "a") as f:
+            f.write("".join(p + "\n" for p in batch))
+        if "p7" in batch and os.path.exists(places[1]):
+            os._exit(3)
+        return [p.upper() for p in batch]
+
+    df = spark.createDataFrame([(f"p{i}",) for i in range(60)], "p string")
+    backend = Caller(call, setup=setup, slice_rows=10, calls=1, batch_rows=100)
+    with pytest.raises(SliceError, match="1 of 6 slices failed"):
+        model_map(df, "p", backend, str(tmp_path / "r"))
+    stored = {r["response"] for r in spark.read.parquet(str(tmp_path / "r")).collect()}
+    assert 30 <= len(stored) < 60 and "P7" not in stored
+    before = log.read_text().split().copy()
+    assert all(before.count(p.lower()) == 1 for p in stored)
+    down.unlink()
+    out = model_map(df, "p", backend, str(tmp_path / "r")).collect()
+    assert {r["response"] for r in out} == {f"P{i}" for i in range(60)}
+    after = log.read_text().split()[len(before):]
+    assert sorted(p.upper() for p in after) == sorted({f"P{i}" for i in range(60)} - stored)

@@ -13,7 +13,8 @@ PYTHON_ALLOWED = {
     name for name in QUERIES
     if name in (
         "knn_topk knn_within_label retrieval_metrics metrics_by_k project_metrics weighted_rollup overall_summary "
-        "rollup_levels summary_merge metric_maps retrieve rag_prompt rag_answer evaluate_retrieval tfidf_retrieval"
+        "rollup_levels summary_merge metric_maps retrieve rag_prompt rag_answer evaluate_retrieval "
+        "knn_cells knn_blocks knn_approx knn_recall redact_names json_array_records"
     ).split()
 }
 
@@ -51,7 +52,6 @@ def test_row_local_steps_do_not_shuffle(spark, name):
 
 def test_ranked_limits_are_cut_before_the_shuffle(spark):
     assert "WindowGroupLimit" in plan(QUERIES["sample_per_source"](spark, SF_DIR))
-    assert "WindowGroupLimit" in plan(QUERIES["knn_topk"](spark, SF_DIR))
 
 
 def test_hot_prompt_is_split_by_adaptive_execution(spark):
@@ -78,3 +78,9 @@ def test_hot_prompt_is_split_by_adaptive_execution(spark):
     finally:
         for key in settings:
             spark.conf.unset(key)
+
+
+def test_chunk_windows_read_the_texts_once(spark):
+    """The plan that is left after the chunks are written reads them, not the pages, and deals out small tables only."""
+    text = plan(QUERIES["chunk_windows"](spark, SF_DIR))
+    assert "conversations.parquet" not in text and text.count("Exchange") <= 5

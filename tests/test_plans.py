@@ -74,7 +74,7 @@ def test_answer_index_rules(spark):
 
 
 def test_postprocessing_and_custom_rules(spark):
-    options = P.RedactionOptions(custom_rules={"x": "<$X>", "<$X> ": "(" })
+    options = P.Redaction(replace={"x": "<$X>", "<$X> ": "("})
     row = with_answer(spark, "A. B.", answer([(0, "  X  y "), (1, "ok")]), options=options)
     assert row["text"] == "( y ok"
 
@@ -89,12 +89,15 @@ def test_batch_metrics(spark):
     assert meta[0]["prompt_chars"] > 100
 
 
-def test_prompt_blocks():
-    assert P.custom_rules_block({"b ": "2", "A": " 1"}) == "\n- Replace A: 1\n- Replace b: 2\n"
-    assert P.custom_rules_block({}) == ""
-    assert P.language_block(P.RedactionOptions(explicit_language="German")).count("German") == 1
-    assert "do not translate" in P.language_block(P.RedactionOptions())
-    assert P.language_block(P.RedactionOptions(force_same_language=False)) == ""
+def test_redaction_task():
+    plain = P.redaction_task(P.Redaction())
+    assert all(tag in plain for tags in P.DETAIL_TAGS.values() for tag in tags) and "language of each sentence" in plain
+    some = P.redaction_task(P.Redaction(hide=["person"], replace={"b ": "2", "A": " 1"}, language="German", keep_layout=False))
+    assert "<PERSON>" in some and "<LOCATION>" not in some and "German" in some and "spacing" not in some
+    assert some.index("Write '1' for 'A'.") < some.index("Write '2' for 'b'.")
+    assert "Write" not in P.redaction_task(P.Redaction(hide=(), language=None))
+    with pytest.raises(ValueError, match="moods"):
+        P.Redaction(hide=["moods"])
 
 
 def test_dry_run_and_templates(spark):

@@ -117,3 +117,85 @@ def test_checkpoint_dir_is_kept(spark):
     from textloom.session import ensure_checkpoint_dir
 
     assert ensure_checkpoint_dir(spark) == ensure_checkpoint_dir(spark)
+
+
+# Large arrays, clustered files ----------------------------------------------------
+def elements(spark, path, split_bytes):
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(split_bytes))
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        from textloom.sources.json_array import _pieces, json_array_elements
+
+        found = json_array_elements(spark, path)
+        return _pieces(spark, path).rdd.getNumPartitions(), sorted(r["raw"].strip() for r in found.collect())
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def random_json(rng, depth=0):
+    kind = rng.randrange(3 if depth < 3 else 1)
+    if kind == 0:
+        return rng.choice([1, -2.5, None, True, "", "a,b", "}]", '{"x":[', '\\"}', "back\\", "é\n☃", "x" * rng.randrange(60)])
+    if kind == 1:
+        return [random_json(rng, depth + 1) for _ in range(rng.randrange(4))]
+    return {rng.choice(["a", "b}", 'q"', "c\\"]): random_json(rng, depth + 1) for _ in range(rng.randrange(4))}
+
+
+@pytest.mark.parametrize("split_bytes", [61, 400, 10**6])
+def test_arrays_are_split_between_tasks(spark, tmp_path, split_bytes):
+    import random
+
+    rng = random.Random(split_bytes)
+    want = []
+    for i, form in enumerate([{}, {"indent": 2}, {"ensure_ascii": False}, {"separators": (",", ":")}]):
+        items = [random_json(rng) for _ in range(60)]
+        want += items
+        write(tmp_path / "a" / f"{i}.json", " \n" * i + json.dumps(items, **form) + "\n " * i)
+    write(tmp_path / "a" / "empty.json", " [ \n ] ")
+    tasks, got = elements(spark, str(tmp_path / "a"), split_bytes)
+    assert sorted(map(repr, map(json.loads, got))) == sorted(map(repr, want))
+    assert tasks > 5 or split_bytes > 400
+
+
+@pytest.mark.parametrize("split_bytes", [5, 10**6])
+def test_what_is_no_single_list_is_refused(spark, tmp_path, split_bytes):
+    for text in ('{"a":1}', "1", '"x"', "[1] 2", "[1][2]", "x [1]", '[{"a":1}', '[{"a":1}}]', '{"a":[1]}', '[{"a":1}]]', '["a]', '[{"b":1}, {"a":2}'):
+        with pytest.raises(Exception, match="JSON list"):
+            elements(spark, write(tmp_path / "x.json", text), split_bytes)
+
+
+def test_malformed_elements_are_refused(spark, tmp_path):
+    for text in ("[1,,2]", "[1,]", '[{"a":1} {"b":2}]', "[{]}"):
+        for bad in ("fail", "skip", "keep"):
+            with pytest.raises(Exception, match="JSON list|not a JSON object"):
+                IN.read_records(spark, write(tmp_path / "x.json", text), bad).collect()
+    assert IN.read_records(spark, write(tmp_path / "e.json", "[]")).count() == 0
+    mixed = IN.read_records(spark, write(tmp_path / "m.json", '[1, {"a": null}, null, [2]]'), "keep")
+    assert sorted((r["raw"], r["ok"]) for r in mixed.collect()) == [("1", False), ("[2]", False), ("null", False), ('{"a":null}', True)]
+
+
+def test_array_files_hold_one_array_each(spark, tmp_path):
+    df = spark.range(50).select("id", F.concat(F.lit('"}],é\n'), F.col("id").cast("string")).alias("t"), F.lit(None).cast("int").alias("n")).repartition(4)
+    OUT.write_json_arrays(df, str(tmp_path / "j"))
+    OUT.write_json_arrays(df.limit(0), str(tmp_path / "none"))
+    loaded = [x for f in (tmp_path / "j").glob("part*") for x in json.loads(f.read_text(encoding="utf-8"))]
+    assert sorted(x["id"] for x in loaded) == list(range(50)) and all(x["n"] is None for x in loaded)
+    assert IN.read_records(spark, str(tmp_path / "j")).count() == 50 and IN.read_records(spark, str(tmp_path / "none"), by_extension=False).count() == 0
+
+
+def test_large_groups_get_more_files_and_small_ones_one(spark, tmp_path):
+    rows = [("hot", i, "x" * 100) for i in range(600)] + [(f"g{i % 30}", i, "y") for i in range(300)] + [(None, 1, "z")]
+    df = spark.createDataFrame(rows, "project string, i int, t string").repartition(8)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # it would join groups of so few bytes
+    try:
+        OUT.write_details(df, str(tmp_path / "d"), file_bytes=10_000)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    files = {p.name: len(list(p.glob("part*"))) for p in (tmp_path / "d").glob("project=*")}
+    hot = files.pop("project=hot")
+    assert 1 < hot <= -(-600 * 130 // 10_000) and set(files.values()) == {1} and len(files) == 31
+    back = spark.read.json(str(tmp_path / "d"))
+    assert back.count() == len(rows) and back.where("project is null").count() == 1
+    OUT.write_faq(df.selectExpr("project AS course", "i AS persona", "t"), str(tmp_path / "f"))
+    assert spark.read.parquet(str(tmp_path / "f")).count() == len(rows)

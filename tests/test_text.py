@@ -5,8 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from textloom.functions import text as X
-from textloom.functions.redact import Gazetteers, redact, redaction_counts
-from textloom.functions.prompts import RedactionOptions
+from textloom.functions.redact import EMAIL, Gazetteers, redact, redact_all, redaction_counts
+from textloom.functions.prompts import Redaction
 
 
 def column(spark, values, expr):
@@ -80,7 +80,7 @@ def test_redaction_is_idempotent_and_switchable(spark):
         "Mail <EMAIL> or <PHONE>.", "card <ID>, <ID>", "<PERSON> met <PERSON> in <LOCATION>", "nothing here", None,
     ]
     assert column(spark, once, lambda c: redact(c, None, names)) == once
-    off = RedactionOptions(replace_contacts=False, replace_person_names=False)
+    off = Redaction(hide=("place", "organization", "number"))
     assert column(spark, texts, lambda c: redact(c, off, names))[:3] == [texts[0], once[1], "Ana met ANA MARIA in <LOCATION>"]
     counts = column(spark, texts[:3], lambda c: redaction_counts(c, None, names))
     assert [tuple(c) for c in counts] == [(1, 0, 1, 0, 0, 0), (0, 2, 0, 0, 0, 0), (0, 0, 0, 2, 0, 1)]
@@ -91,12 +91,50 @@ def test_names_match_whole_words_only(spark):
     assert column(spark, ["éva, Évariste", "ÉVA"], lambda c: redact(c, None, names)) == ["<PERSON>, Évariste", "<PERSON>"]
 
 
-def test_email_pattern_is_linear_in_an_unbroken_run(spark):
+def brute_names(text, lists):
+    """Leftmost, then longest, then the first list; character by character."""
+    out, at = "", 0
+    while at < len(text):
+        best = None
+        if not (at and text[at - 1].isalnum()):
+            for tag, names in lists:
+                for name in names:
+                    end = at + len(name)
+                    if text[at:end].lower() == name.lower() and not text[end : end + 1].isalnum() and (best is None or end > best[0]):
+                        best = end, tag
+        out += best[1] if best else text[at]
+        at = best[0] if best else at + 1
+    return out
+
+
+def test_names_against_brute_force(spark):
+    rng = random.Random(6)
+    made = ["".join(rng.choices("abé -.", k=rng.randrange(1, 6))).strip() or "b" for _ in range(60)]
+    texts = ["".join(rng.choices("abÉB -.x1", k=rng.randrange(0, 60))) for _ in range(300)] + ["", None]
+    names = Gazetteers(persons=made[:20], organizations=made[20:40], locations=made[40:])
+    lists = [("<PERSON>", made[:20]), ("<ORGANIZATION>", made[20:40]), ("<LOCATION>", made[40:])]
+    hide = Redaction(hide=("person", "organization", "place"))
+    want = [t if t is None else brute_names(t, lists) for t in texts]
+    assert column(spark, texts, lambda c: redact(c, hide, names)) == want
+    listed = column(spark, texts, lambda c: redact_all(F.array(c, F.lit("é")), hide, names))
+    assert [x[0] for x in listed] == want
+
+
+def test_emails_of_any_length_go_whole(spark):
+    long = "a" * 300 + "@" + "b" * 300 + ".org"
+    texts = [f"x {long} y", "x@y.co1m@z.org", "a@b@c.de", "@x.org", "a@x.o", ".@-.zz", "q@w.ee,r@t.yy"]
+    want = [re.sub(EMAIL, "<EMAIL>", t) for t in texts]
+    assert want[0] == "x <EMAIL> y"
+    assert column(spark, texts, lambda c: redact(c, Redaction(hide=["contact"]))) == want
+    counts = column(spark, texts, lambda c: redaction_counts(c, Redaction(hide=["contact"])))
+    assert [c["email"] for c in counts] == [len(re.findall(EMAIL, t)) for t in texts]
+
+
+def test_redaction_is_linear_in_an_unbroken_run(spark):
     import time
 
-    from textloom.functions.redact import EMAIL
-
-    df = spark.createDataFrame([("a" * 1_000_000 + " x@y.org",)], "t string")
+    texts = ["a" * 1_000_000 + " x@y.org", "a" * 1_000_000 + "@" + "b" * 1_000_000]
+    column(spark, ["warm@up.org"], redact)
     start = time.perf_counter()
-    out = df.select(F.regexp_replace("t", EMAIL, "<EMAIL>").alias("t")).first()["t"]
-    assert out.endswith("a <EMAIL>") and time.perf_counter() - start < 5
+    out = column(spark, texts, lambda c: redact(c, Redaction(hide=["contact"])))
+    assert out == ["a" * 1_000_000 + " <EMAIL>", texts[1]] and time.perf_counter() - start < 5

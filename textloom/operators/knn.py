@@ -3,18 +3,19 @@
 Scores are compared after rounding to ``SCORE_DECIMALS``; equal scores are
 ordered by the id.  So the result does not depend on summation order.
 
-Two ways to the same rows:
-
-* few questions (their size is counted first): the question matrix goes to
-  every task, the corpus is scanned once and never shuffled, each task keeps
-  its running top-k;
-* many questions: the corpus is cut into cells around pivot vectors, and a
-  question visits only the cells that can hold one of its k nearest (angles
-  obey the triangle inequality, so the cut is exact).  Large cells are split
-  into blocks and question sets into packs, both of bounded size, and a pair
-  of them is one dense matrix product.  Only top-k rows leave a task.
-
-No pair of vectors is ever a row of a DataFrame.
+Two ways to the same rows, by ``method``:
+
+* ``scan``, for few questions: the question matrix goes to every task, the
+  corpus is scanned once and never shuffled, each task keeps its running top-k;
+* ``cells``, for many questions: the corpus is cut into cells around pivot
+  vectors, and a question visits only the cells that can hold one of its k
+  nearest (angles obey the triangle inequality, so the cut is exact).  Large
+  cells are split into blocks and question sets into packs, both of bounded
+  size, and a pair of them is one dense matrix product.
+
+Without a method the counted size of the question table decides.  No pair of
+vectors is ever a row of a DataFrame, only top-k rows leave a task, and they
+are merged as a tree: first those of a group of tasks, then those of all groups.
 """
 
 from __future__ import annotations
@@ -24,9 +25,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 SCORE_DECIMALS = 9
 #: Added to a pruning angle: covers the rounding above near angle zero.
@@ -46,6 +49,8 @@ class KnnSizes:
     pack_rows: int = 4096
     max_pivots: int = 256
     max_cells: int = 100_000
+    merge_nodes: int = 16
+    scan_waves: int = 4
 
 
 def knn_topk(
@@ -58,9 +63,12 @@ def knn_topk(
     within: str | None = None,
     exclude_self: bool = False,
     sizes: KnnSizes = KnnSizes(),
+    method: str | None = None,
 ) -> DataFrame:
     """``query_id, [within,] corpus_id, rank, score`` of the k best per query.
 
+    ``method``: ``scan``, ``cells``, or None for the counted size to decide.
+
     ``within`` restricts each query to corpus rows of the same group;
     ``exclude_self`` drops the corpus row whose id equals the query's.
     Ids must be unique on either side (the corpus side: within a group); the
@@ -69,25 +77,19 @@ def knn_topk(
     """
     if k < 1:
         raise ValueError("k must be at least 1")
+    if method not in (None, "scan", "cells"):
+        raise ValueError("method is scan, cells or None")
     q = _shape(queries, query_id, vector, within)
     c = _shape(corpus, corpus_id, vector, within)
     facts = q.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("dim")).first()
-    id_type = c.schema["id"].dataType
-    out = T.StructType(
-        [
-            T.StructField("qid", q.schema["id"].dataType),
-            T.StructField("grp", T.StringType()),
-            T.StructField("cid", id_type),
-            T.StructField("score", T.DoubleType()),
-        ]
-    )
     n_queries, dim = facts["n"], facts["dim"] or 0
-    if n_queries * max(dim, 1) * 8 <= sizes.broadcast_bytes:
-        found = _scan(q, c, k, exclude_self, out)
+    out = found_schema(q, c)
+    few = n_queries * max(dim, 1) * 8 <= sizes.broadcast_bytes
+    if method == "scan" or method is None and few:
+        found = _scan(q, c, k, exclude_self, out, sizes)
     else:
         found = _blocks(q, c, k, exclude_self, out, n_queries, sizes)
-    best = Window.partitionBy("grp", "qid").orderBy(F.desc("score"), "cid")
-    ranked = found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    ranked = merge_best(found, k, out, -(-n_queries // sizes.pack_rows), sizes.merge_nodes)
     group = [F.col("grp").alias(within)] if within else []
     return ranked.select(
         F.col("qid").alias(query_id), *group, F.col("cid").alias(corpus_id if corpus_id != query_id else "neighbor_id"),
@@ -95,21 +97,76 @@ def knn_topk(
     )
 
 
+def found_schema(q: DataFrame, c: DataFrame) -> T.StructType:
+    """Best rows as tasks hand them on; ``node`` names the group of tasks they come from."""
+    return T.StructType(
+        [
+            T.StructField("qid", q.schema["id"].dataType),
+            T.StructField("grp", T.StringType()),
+            T.StructField("cid", c.schema["id"].dataType),
+            T.StructField("score", T.DoubleType()),
+            T.StructField("node", T.IntegerType()),
+        ]
+    )
+
+
+def merge_best(found: DataFrame, k: int, out: T.StructType, packs: int, nodes: int) -> DataFrame:
+    """``qid, grp, cid, score, rank`` of the k best of each question, each neighbour once.
+
+    A tree of two levels: a group of the first holds what a ``1 / nodes`` part of the tasks
+    found for a pack of questions, a group of the second at most k rows of each part for
+    each question.  So what meets in one place does not grow with the number of tasks.
+    """
+    node = out["node"]
+    lower = T.StructType([*out.fields, T.StructField("pack", T.LongType())])
+    upper = T.StructType([*[f for f in out.fields if f is not node], T.StructField("rank", T.IntegerType())])
+    pack = F.pmod(F.xxhash64("grp", "qid"), F.lit(max(1, packs)))
+
+    def best(group: pa.Table) -> tuple[pa.Table, np.ndarray]:
+        # codes instead of values: any id type sorts, and a tie goes to the lower id
+        name, ask, cid = (_codes(group.column(c)) for c in ("grp", "qid", "cid"))
+        score = group.column("score").to_numpy()
+        order = np.lexsort((-score, cid, ask, name))
+        again = np.zeros(len(order), bool)
+        again[1:] = np.all([x[order][1:] == x[order][:-1] for x in (name, ask, cid)], axis=0)
+        order = order[~again]
+        order = order[np.lexsort((cid[order], -score[order], ask[order], name[order]))]
+        first = np.ones(len(order), bool)
+        first[1:] = (ask[order][1:] != ask[order][:-1]) | (name[order][1:] != name[order][:-1])
+        at = np.arange(len(order))
+        rank = at - np.maximum.accumulate(np.where(first, at, 0))
+        return group.take(pa.array(order[rank < k])), rank[rank < k] + 1
+
+    def partly(group: pa.Table) -> pa.Table:
+        return best(group)[0]
+
+    def wholly(group: pa.Table) -> pa.Table:
+        kept, rank = best(group)
+        return kept.drop_columns(["node", "pack"]).append_column("rank", pa.array(rank.astype(np.int32)))
+
+    rows = found.withColumn("pack", pack)
+    return rows.groupBy("node", "pack").applyInArrow(partly, lower).groupBy("pack").applyInArrow(wholly, upper)
+
+
+def _codes(column: pa.ChunkedArray) -> np.ndarray:
+    """Numbers that sort as the values of a column do."""
+    values = _ids(column)
+    if values.dtype != object:
+        return values
+    names = np.sort(pa.compute.unique(column).to_numpy(zero_copy_only=False).astype(object))
+    return np.searchsorted(names, values)
+
+
 def _shape(df: DataFrame, id_col: str, vector: str, within: str | None) -> DataFrame:
     group = F.col(within).cast("string") if within else F.lit("")
     return df.select(
         F.col(id_col).alias("id"), group.alias("grp"), F.col(vector).cast("array<float>").alias("vec")
-    ).filter(F.col("vec").isNotNull() & F.col("grp").isNotNull() & F.forall("vec", _is_finite))
-
-
-def _is_finite(x: Column) -> Column:
-    """False for null, NaN and infinity: no cosine is defined, so such a vector is neither question nor neighbour."""
-    return F.coalesce(F.abs(x) < float("inf"), F.lit(False))
+    ).filter(F.col("vec").isNotNull() & F.col("grp").isNotNull())
 
 
 # Dense arithmetic inside a task ---------------------------------------------
 def _matrix(column: pa.Array, dim: int | None = None) -> np.ndarray:
-    """Unit rows as float64; zero vectors stay zero."""
+    """Unit rows as float64; zero vectors stay zero, and a row with a null, NaN or infinite element holds a NaN."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     rows = len(column)
@@ -121,8 +178,16 @@ def _matrix(column: pa.Array, dim: int | None = None) -> np.ndarray:
     m = flat.reshape(rows, -1)
     if dim is not None and m.shape[1] != dim:
         raise ValueError("vectors differ in length")
-    norm = np.linalg.norm(m, axis=1, keepdims=True)
-    return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
+    with np.errstate(invalid="ignore"):
+        norm = np.linalg.norm(m, axis=1, keepdims=True)
+        return np.divide(m, norm, out=np.where(norm == 0, 0.0, np.nan) * np.ones_like(m), where=norm > 0)
+
+
+def clean(rows, dim: int | None = None):
+    """A batch or table without the vectors that have no cosine (null, NaN, infinite elements), and its matrix."""
+    m = _matrix(rows.column("vec"), dim)
+    good = np.isfinite(m).all(axis=1)
+    return (rows, m) if good.all() else (rows.filter(pa.array(good)), m[good])
 
 
 def _ids(column: pa.Array) -> np.ndarray:
@@ -168,8 +233,9 @@ def _merge(a, b, k: int):
     return np.take_along_axis(ids, order, axis=1), np.take_along_axis(scores, order, axis=1)
 
 
-def _emit(qids: np.ndarray, group: str, best, schema: pa.Schema) -> pa.RecordBatch:
+def _emit(qids: np.ndarray, group: str, best, schema: pa.Schema, nodes: int) -> pa.RecordBatch:
     ids, scores = best
+    task = TaskContext.get()
     keep = np.isfinite(scores)
     rows = np.repeat(np.arange(len(qids)), scores.shape[1])[keep.ravel()]
     return pa.RecordBatch.from_arrays(
@@ -178,14 +244,14 @@ def _emit(qids: np.ndarray, group: str, best, schema: pa.Schema) -> pa.RecordBat
             pa.array([group] * len(rows), schema.field(1).type),
             pa.array(ids.ravel()[keep.ravel()], schema.field(2).type),
             pa.array(scores.ravel()[keep.ravel()], schema.field(3).type),
+            pa.array(np.full(len(rows), (task.partitionId() if task else 0) % nodes, np.int32)),
         ],
         schema=schema,
     )
 
 
 def _arrow_schema(out: T.StructType) -> pa.Schema:
-    kinds = {T.LongType: pa.int64(), T.IntegerType: pa.int32(), T.StringType: pa.string(), T.DoubleType: pa.float64()}
-    return pa.schema([pa.field(f.name, kinds[type(f.dataType)]) for f in out.fields])
+    return pa.schema([pa.field(f.name, to_arrow_type(f.dataType)) for f in out.fields])
 
 
 def _by_group(groups: np.ndarray) -> Iterator[tuple[str, np.ndarray]]:
@@ -195,15 +261,16 @@ def _by_group(groups: np.ndarray) -> Iterator[tuple[str, np.ndarray]]:
 
 
 # Few questions: one scan of the corpus --------------------------------------
-def _scan(q: DataFrame, c: DataFrame, k: int, exclude_self: bool, out: T.StructType) -> DataFrame:
-    table = q.toArrow()
+def _scan(q: DataFrame, c: DataFrame, k: int, exclude_self: bool, out: T.StructType, sizes: KnnSizes) -> DataFrame:
+    table, dim = q.toArrow(), None
     shared: dict[str, tuple[np.ndarray, np.ndarray]] = {}
     if len(table):
-        qm, qids = _matrix(table.column("vec")), _ids(table.column("id"))
+        table, qm = clean(table)
+        dim, qids = qm.shape[1], _ids(table.column("id"))
         for name, at in _by_group(_ids(table.column("grp"))):
             shared[name] = (qids[at], qm[at])
-    dim = qm.shape[1] if len(table) else None
-    box = q.sparkSession.sparkContext.broadcast(shared)
+    context = q.sparkSession.sparkContext
+    box = context.broadcast(shared)
     schema = _arrow_schema(out)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,7 +278,8 @@ def _scan(q: DataFrame, c: DataFrame, k: int, exclude_self: bool, out: T.StructT
         for batch in batches:
             if not len(batch):
                 continue
-            cm, cids = _matrix(batch.column("vec"), dim), _ids(batch.column("id"))
+            batch, cm = clean(batch, dim)
+            cids = _ids(batch.column("id"))
             for name, at in _by_group(_ids(batch.column("grp"))):
                 if name not in asked:
                     continue
@@ -220,9 +288,10 @@ def _scan(q: DataFrame, c: DataFrame, k: int, exclude_self: bool, out: T.StructT
                 new = _best(qm, cm[at], cids[at], k, qids if exclude_self else None)
                 best[name] = _merge(best.get(name), new, k)
         for name, found in best.items():
-            yield _emit(asked[name][0], name, found, schema)
+            yield _emit(asked[name][0], name, found, schema, sizes.merge_nodes)
 
-    return c.mapInArrow(scan, out)
+    # A task answers every question once, so there are a few waves of tasks and not one for each split.
+    return c.coalesce(sizes.scan_waves * context.defaultParallelism).mapInArrow(scan, out)
 
 
 # Many questions: pivot cells, blocks and packs -------------------------------
@@ -247,25 +316,29 @@ def _blocks(
     if not len(chosen):
         return spark.createDataFrame([], out)
     pivots = _matrix(chosen.column("vec"))
+    pivots = pivots[np.isfinite(pivots).all(axis=1)]
+    if not len(pivots):
+        pivots = np.eye(1, pivots.shape[1])
+    n_pivots = len(pivots)
 
     near = k + 1 if exclude_self else k
 
     # A zero vector has no direction: the triangle inequality says nothing
     # about it, so it gets an infinite radius and its cell is always visited.
-    def place(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-        m = _matrix(batch.column("vec"), pivots.shape[1])
+    def place(batch: pa.RecordBatch) -> tuple[pa.RecordBatch, np.ndarray, np.ndarray]:
+        batch, m = clean(batch, pivots.shape[1])
         angle = _angles(m, pivots)
         cell = angle.argmin(axis=1)
         radius = angle[np.arange(len(m)), cell]
         radius[~m.any(axis=1)] = np.inf
-        return cell, radius
+        return batch, cell, radius
 
     def survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[tuple[str, int], tuple[int, float, np.ndarray]] = {}
         for batch in batches:
             if not len(batch):
                 continue
-            cell, radius = place(batch)
+            batch, cell, radius = place(batch)
             for name, at in _by_group(_ids(batch.column("grp"))):
                 for one in np.unique(cell[at]):
                     r = radius[at[cell[at] == one]]
@@ -299,7 +372,7 @@ def _blocks(
         for batch in batches:
             if not len(batch):
                 continue
-            cell, _ = place(batch)
+            batch, cell, _ = place(batch)
             blocks = np.empty(len(cell), dtype=np.int32)
             for name, at in _by_group(_ids(batch.column("grp"))):
                 sizes_of = np.zeros(n_pivots, dtype=np.int32)
@@ -315,7 +388,7 @@ def _blocks(
         for batch in batches:
             if not len(batch):
                 continue
-            m = _matrix(batch.column("vec"), pivots.shape[1])
+            batch, m = clean(batch, pivots.shape[1])
             angle = _angles(m, pivots)
             zero = ~m.any(axis=1)
             for name, at in _by_group(_ids(batch.column("grp"))):
@@ -353,7 +426,7 @@ def _blocks(
         route, T.StructType([*q.schema.fields, T.StructField("cell", number), T.StructField("block", number)])
     ).withColumn("pack", F.pmod(F.xxhash64("id"), F.lit(packs)))
     n_blocks = sum(cell[0] for group in cells.values() for cell in group.values())
-    return _products(routed, blocked.select("id", "grp", "vec", "cell", "block"), k, exclude_self, out, packs, n_blocks)
+    return products(routed, blocked.select("id", "grp", "vec", "cell", "block"), k, exclude_self, out, packs, n_blocks, sizes.merge_nodes)
 
 
 def _one_cell_blocks(
@@ -369,40 +442,46 @@ def _one_cell_blocks(
     blocked = c.join(counts, "grp").select(
         "id", "grp", "vec", F.lit(0).alias("cell"), F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block")
     )
-    return _products(routed, blocked, k, exclude_self, out, packs, n_blocks)
+    return products(routed, blocked, k, exclude_self, out, packs, n_blocks, sizes.merge_nodes)
 
 
-def _products(
-    routed: DataFrame, blocked: DataFrame, k: int, exclude_self: bool, out: T.StructType, packs: int, n_blocks: int
+def products(
+    routed: DataFrame, blocked: DataFrame, k: int, exclude_self: bool, out: T.StructType, packs: int | None, n_blocks: int | None, nodes: int
 ) -> DataFrame:
     """Top-k of every (question pack, corpus block) pair that routing kept.
 
     The number of partitions is stated: the bytes are few for the work they
-    cause, and adaptive execution would join them into too few tasks.
+    cause, and adaptive execution would join them into too few tasks.  With
+    ``packs`` None both sides hold their pack, and the session's number of partitions holds.
     """
     session = routed.sparkSession
-    most = max(4 * session.sparkContext.defaultParallelism, int(session.conf.get("spark.sql.shuffle.partitions")))
-    parts = max(1, min(packs * n_blocks, most))
+    parts = int(session.conf.get("spark.sql.shuffle.partitions"))
     key = ["grp", "cell", "block", "pack"]
-    if packs == 1:
-        corpus = blocked.withColumn("pack", F.lit(0).cast("long"))
+    if packs is None:
+        corpus = blocked
     else:
-        wanted = routed.select(*key).distinct()
-        corpus = blocked.join(wanted, ["grp", "cell", "block"])
+        parts = max(1, min(packs * n_blocks, max(4 * session.sparkContext.defaultParallelism, parts)))
+        if packs == 1:
+            corpus = blocked.withColumn("pack", F.lit(0).cast("long"))
+        else:
+            wanted = routed.select(*key).distinct()
+            corpus = blocked.join(wanted, ["grp", "cell", "block"])
     # Both sides may come from one table: fresh column identities keep them apart.
     corpus = corpus.select(*[F.col(name).alias(name) for name in ("id", "vec", *key)])
     schema = _arrow_schema(out)
 
     def product(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not len(left) or not len(right):
+            return schema.empty_table()
+        left, qm = clean(left)
+        right, cm = clean(right, qm.shape[1])
         if not len(left) or not len(right):
             return schema.empty_table()
         cids = _ids(right.column("id"))
         order = np.argsort(cids, kind="stable")
         qids = _ids(left.column("id"))
-        qm = _matrix(left.column("vec"))
-        cm = _matrix(right.column("vec"), qm.shape[1])[order]
-        best = _best(qm, cm, cids[order], k, qids if exclude_self else None)
-        return pa.Table.from_batches([_emit(qids, left.column("grp")[0].as_py(), best, schema)])
+        best = _best(qm, cm[order], cids[order], k, qids if exclude_self else None)
+        return pa.Table.from_batches([_emit(qids, left.column("grp")[0].as_py(), best, schema, nodes)])
 
     return (
         routed.repartition(parts, *key)

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textloom.operators.numbering import number_rows
+
 # Fixed value: severity levels from mild to severe
 SEVERITY_LEVELS = ("low", "moderate", "high", "critical")
 
@@ -37,6 +39,23 @@ def class_matrix(results: DataFrame, class_ids: Sequence[str] | None = None) ->
     )
 
 
+def class_numbers(results: DataFrame) -> DataFrame:
+    """``class_id, class_no`` (from 1, in the order of the ids) of every class that occurs; any number of them."""
+    ids = results.select(F.explode("relevant_classes.class_id").alias("class_id")).where("class_id IS NOT NULL").distinct()
+    return number_rows(ids, [], "class_id", "class_no")
+
+
+def class_matrix_long(results: DataFrame, numbers: DataFrame | None = None) -> DataFrame:
+    """``doc_id, class_no``: the ones of the 0/1 matrix, each once.
+
+    For catalogues too large for columns.  Ids are numbered by a distributed sort and
+    joined; no list of classes is on the driver.  Documents without labels have no ones.
+    """
+    numbers = class_numbers(results) if numbers is None else numbers
+    ones = results.select("doc_id", F.explode(F.array_distinct("relevant_classes.class_id")).alias("class_id"))
+    return ones.join(numbers, "class_id").select("doc_id", "class_no")
+
+
 def risk_matrix(issues: DataFrame, levels: Sequence[str] = SEVERITY_LEVELS) -> DataFrame:
     """Issue counts by domain and severity; other levels land in ``other``."""
     level = F.col("issue_analysis.severity.level")

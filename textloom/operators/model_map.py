@@ -55,9 +55,14 @@ class Caller:
     """``call(prompts) -> responses`` on a list of prompts.
 
     ``accept`` sees a response and raises or returns False to refuse it, so a
-    retry covers the call, the parse and the validation.  ``calls`` bounds the
-    number of calls in flight; ``batch_rows`` the prompts handed over at once.
-    ``setup`` runs once per partition and its result is passed to ``call``.
+    retry covers the call, the parse and the validation.  ``batch_rows`` are the
+    prompts handed over at once.  ``setup`` runs once per task and its result is
+    passed to ``call``.
+
+    Prompts are asked in slices, one after the other, and each slice is committed
+    by itself.  ``calls`` bounds the tasks of a slice and so the calls in flight,
+    ``slice_rows`` the prompts that are asked again when a slice is lost; the number of slices,
+    not that of calls, grows with the prompts.
     """
 
     call: Callable[..., list[str]]
@@ -65,6 +70,7 @@ class Caller:
     accept: Callable[[str], bool | None] | None = None
     calls: int | None = None
     batch_rows: int = 64
+    slice_rows: int = 100_000
     setup: Callable[[], object] | None = None
 
 
@@ -94,10 +100,40 @@ def call_model(prompts: DataFrame, backend: Caller) -> DataFrame:
     return prompts.select("prompt_hash", "prompt").mapInPandas(_caller(backend), RESPONSE_SCHEMA)
 
 
+class SliceError(RuntimeError):
+    """Some slices failed; the others are stored and will not be asked again."""
+
+
 def store_responses(prompts: DataFrame, backend: Caller, path: str) -> DataFrame:
-    """Call the model, append the responses to ``path``, read them back."""
-    call_model(prompts, backend).write.mode("append").parquet(path)
-    return prompts.sparkSession.read.schema(RESPONSE_SCHEMA).parquet(path)
+    """Call the model slice by slice, append the responses to ``path``, read them back.
+
+    Prompts are dealt to slices by their digest and written once, so a slice reads
+    its own prompts only.  A slice that fails does not stop the others; at the end the
+    failure is raised, and the next run asks what has no good answer by then.
+    """
+    spark = prompts.sparkSession
+    todo = f"{ensure_checkpoint_dir(spark)}/textloom-prompts-{uuid.uuid4().hex}"
+    prompts.select("prompt_hash", "prompt").write.parquet(todo)
+    held = spark.read.schema("prompt_hash string, prompt string").parquet(todo)
+    slices = -(-held.count() // backend.slice_rows)
+    if slices > 1:
+        of = F.pmod(F.crc32(F.col("prompt_hash").cast("binary")), F.lit(slices)).cast("int")
+        dealt = f"{todo}-slices"
+        held.withColumn("slice", of).repartition(slices, "slice").write.partitionBy("slice").parquet(dealt)
+        held = spark.read.schema("prompt_hash string, prompt string, slice int").parquet(dealt)
+    failed: list[tuple[int, Exception]] = []
+    for i in range(slices):
+        part = held.where(F.col("slice") == i) if slices > 1 else held
+        try:
+            call_model(part, backend).write.mode("append").parquet(path)
+        except Exception as exc:
+            failed.append((i, exc))
+    if failed:
+        numbers = ", ".join(str(i) for i, _ in failed)
+        raise SliceError(f"{len(failed)} of {slices} slices failed: {numbers}") from failed[0][1]
+    if not slices:
+        spark.createDataFrame([], RESPONSE_SCHEMA).write.mode("append").parquet(path)
+    return spark.read.schema(RESPONSE_SCHEMA).parquet(path)
 
 
 def model_map(

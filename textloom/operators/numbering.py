@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textloom.session import ensure_checkpoint_dir
+
 
 def range_key(keys: Sequence[str], at: Column) -> Column:
     """Partition key of an order range: the keys and the range number.
@@ -17,34 +20,52 @@ def range_key(keys: Sequence[str], at: Column) -> Column:
     return F.struct(*keys, at.cast("long").alias("range"))
 
 
-def number_rows(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: str,
-    out: str,
-    bucket_rows: int = 65_536,
-    part: str | None = None,
-) -> DataFrame:
-    """1-based position of each row within ``keys`` by the integer ``order``.
-
-    A key is cut into order ranges.  Rows are numbered inside their range and
-    shifted by the size of the earlier ranges, which is a small table.  So a
-    key with a third of all rows is spread over many tasks.  ``order`` must be
-    unique within a key.  ``part`` names an existing :func:`range_key` column.
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the checkpoint folder and read back: computed once, and lineage ends."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def shifted(df: DataFrame, part: str, keys: Sequence[str], local: str, out: str) -> DataFrame:
+    """Numbers within order ranges made numbers within ``keys``.
+
+    ``part`` is a :func:`range_key`, ``local`` counts from 1 inside it; earlier ranges of the
+    same keys shift a row by their size, which is a small table.
     """
-    if part is None:
-        df = df.withColumn("_part", range_key(keys, F.floor(F.col(order) / bucket_rows)))
-    by = part or "_part"
-    sizes = df.groupBy(by).agg(F.count(F.lit(1)).alias("_size"))
+    sizes = df.groupBy(part).agg(F.count(F.lit(1)).alias("_size"))
     earlier = (
-        Window.partitionBy(*[F.col(by)[k] for k in keys])
-        .orderBy(F.col(by)["range"])
+        Window.partitionBy(*[F.col(part)[k] for k in keys])
+        .orderBy(F.col(part)["range"])
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    shifts = sizes.select(by, F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_shift"))
-    local = df.withColumn("_local", F.row_number().over(Window.partitionBy(by).orderBy(order)))
-    numbered = local.join(shifts, by).withColumn(out, (F.col("_local") + F.col("_shift")).cast("long"))
-    return numbered.drop("_local", "_shift", *([] if part else [by]))
+    shifts = sizes.select(part, F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_shift"))
+    return df.join(shifts, part).withColumn(out, (F.col(local) + F.col("_shift")).cast("long")).drop("_shift")
+
+
+def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str] | str, out: str, range_rows: int = 65_536) -> DataFrame:
+    """1-based position of each row within ``keys`` by ``order``; the numbered rows are written once.
+
+    Rows are range-sorted by keys and order, in as many ranges as their number asks for, whatever the
+    values of the order are.  A row's place in its range is shifted by what the earlier ranges hold of its key.
+    So a key with a third of all rows, or with all of them, is spread over many tasks.  ``order`` must be
+    unique within a key for the numbers to be fixed.
+    """
+    order = [order] if isinstance(order, str) else list(order)
+    by = [*keys, *order]
+    ranges = max(1, -(-df.count() // range_rows))
+    cut = df.repartitionByRange(ranges, *by).sortWithinPartitions(*by)
+    key = F.struct(*keys) if keys else F.lit(0)
+    laid = written(
+        cut.withColumn("_at", F.monotonically_increasing_id()).withColumn("_key", key).withColumn("_range", F.spark_partition_id()), "numbered"
+    )
+    # within a range the rows of a key lie side by side
+    sizes = laid.groupBy("_range", "_key").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_rows"))
+    earlier = Window.partitionBy("_key").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    shift = F.coalesce(F.sum("_rows").over(earlier), F.lit(0)) - F.col("_first") + 1
+    joined = laid.join(sizes.select("_range", "_key", shift.alias("_shift")), ["_range", "_key"])
+    return joined.withColumn(out, (F.col("_at") + F.col("_shift")).cast("long")).select(*df.columns, out)
 
 
 def hash_order(key: Column, seed: int) -> Column:

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from textloom.functions.jsonx import optional, parse_strict, required
-from textloom.functions.prompts import REDACTION_TEMPLATE, RedactionOptions, redaction_prompt
-from textloom.functions.redact import Gazetteers, postprocess, redact
+from textloom.functions.prompts import REDACTION_TEMPLATE, Redaction, redaction_prompt
+from textloom.functions.redact import Gazetteers, postprocess, redact_all
 from textloom.functions.text import empty_strings, let, split_sentences
 from textloom.operators.model_map import Caller, Replay, Rules, model_map
 from textloom.operators.once import add_checked, add_once
@@ -48,12 +48,11 @@ def sentence_batches(
 
 
 def rules_answer(
-    sentences: Column, options: RedactionOptions | None = None, gazetteers: Gazetteers = Gazetteers()
+    sentences: Column, options: Redaction | None = None, gazetteers: Gazetteers = Gazetteers()
 ) -> Column:
     """The answer format, filled by the redaction rules."""
     done = F.transform(
-        sentences,
-        lambda s, i: F.struct(i.cast("int").alias("original_index"), redact(s, options, gazetteers).alias("text")),
+        redact_all(sentences, options, gazetteers), lambda s, i: F.struct(i.cast("int").alias("original_index"), s.alias("text"))
     )
     return F.to_json(F.struct(done.alias("sentences")))
 
@@ -81,7 +80,7 @@ def _index_problem(index: Column, expected: Column) -> Column:
 def answer_batches(
     docs: DataFrame,
     backend: Replay | Rules | Caller,
-    options: RedactionOptions | None = None,
+    options: Redaction | None = None,
     per_batch: int = 8,
     template: str = REDACTION_TEMPLATE,
     numbered: bool = True,
@@ -100,13 +99,13 @@ def answer_batches(
 
 def batch_sentences_out(
     sentences: Column,
+    own: Column,
     answer: Column,
-    options: RedactionOptions | None = None,
-    gazetteers: Gazetteers = Gazetteers(),
+    options: Redaction | None = None,
     missing: str = "keep",
     on_error: str = "keep",
 ) -> Column:
-    """The sentences of a batch after the answer, in order.
+    """The sentences of a batch after the answer, in order; ``own`` are the same sentences redacted by rule.
 
     ``missing``: a sentence the answer leaves out becomes ``empty`` text, or
     ``keep`` falls back on the rule-redacted source.  ``on_error``: what a
@@ -114,23 +113,20 @@ def batch_sentences_out(
     """
     if missing not in ("keep", "empty") or on_error not in ("keep", "null", "fail"):
         raise ValueError("missing is keep or empty; on_error is keep, null or fail")
-    def redacted(s: Column) -> Column:
-        return redact(s, options, gazetteers)
 
     def fill(found: Column) -> Column:
         def pick(s: Column, i: Column) -> Column:
-            absent = F.lit("") if missing == "empty" else redacted(s)
+            absent = F.lit("") if missing == "empty" else s
             return postprocess(F.coalesce(F.try_element_at(found, i.cast("bigint")), absent), options)
 
-        return F.transform(sentences, pick)
+        return F.transform(own, pick)
 
     by_index = F.map_from_entries(
         F.transform(answer["payload"]["sentences"], lambda s: F.struct(s["original_index"], s["text"]))
     )
     given = let(F.when(answer["ok"], by_index), fill)
-    own = F.transform(sentences, lambda s: postprocess(redacted(s), options))
     refused = {
-        "keep": own,
+        "keep": F.transform(own, lambda s: postprocess(s, options)),
         "null": F.lit(None).cast("array<string>"),
         "fail": F.raise_error(F.concat(F.lit("batch refused: "), answer["error"])).cast("array<string>"),
     }[on_error]
@@ -142,7 +138,7 @@ def batch_sentences_out(
 def anonymize(
     docs: DataFrame,
     backend: Replay | Rules | Caller,
-    options: RedactionOptions | None = None,
+    options: Redaction | None = None,
     gazetteers: Gazetteers = Gazetteers(),
     per_batch: int = 8,
     separator: str = " ",
@@ -156,7 +152,10 @@ def anonymize(
     documents give empty text.
     """
     answered = answer_batches(docs, backend, options, per_batch, **kwargs)
-    out = batch_sentences_out(F.col("sentences"), F.col("answer"), options, gazetteers, missing, on_error)
+    own = redact_all(F.col("sentences"), options, gazetteers)
+    if gazetteers != Gazetteers():  # Python must not run inside a higher-order function
+        answered, own = answered.withColumn("_own", own), F.col("_own")
+    out = batch_sentences_out(F.col("sentences"), own, F.col("answer"), options, missing, on_error)
     good = F.col("sentences").isNull() | F.col("answer.ok")
     part = F.struct("batch_id", out.alias("out"))
     joined = F.transform(F.array_sort("_parts"), lambda p: p["out"])
@@ -200,7 +199,7 @@ def batch_meta(answered: DataFrame, provider: str | None = None, model: str | No
 def dry_run_prompt(
     docs: DataFrame,
     limit_sentences: int = 5,
-    options: RedactionOptions | None = None,
+    options: Redaction | None = None,
     template: str = REDACTION_TEMPLATE,
     numbered: bool = True,
 ) -> DataFrame:

@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 from textloom.functions.paths import parent_path, project_folder
 from textloom.functions.prompts import rag_prompt as rag_prompt_text
 from textloom.functions.vectors import cosine, l2_normalize
-from textloom.operators.knn import knn_topk as topk
+from textloom.operators import knn_approx as A
+from textloom.operators.knn import KnnSizes, knn_topk as topk
 from textloom.operators.once import add_once
 from textloom.operators.sets import add_unseen, distinct_chunks as distinct_chunks_of
 from textloom.plans import evaluate as E, rollup as R
-from textloom.plans.faq import contexts, embed_tfidf, rag_answer, retrieve, tfidf_model
 from textloom.operators.model_map import Rules
+from textloom.operators.tfidf import tfidf_topk
+from textloom.plans.faq import contexts, rag_answer, retrieve
 from textloom.registry.base import documents, table
 
 KS = (1, 3, 5)
@@ -23,30 +25,69 @@ def _vectors(spark, d):
     return table(spark, d, "embeddings")
 
 
-def _neighbors(spark, d, k):
+def _neighbors(spark, d, k, **how):
     """Every vector asks for its k nearest other vectors."""
     e = _vectors(spark, d)
     return topk(
-        e.select(F.col("vec_id").alias("query_id"), "embedding"), e, k, "query_id", "vec_id", exclude_self=True
+        e.select(F.col("vec_id").alias("query_id"), "embedding"), e, k, "query_id", "vec_id", exclude_self=True, **how
     )
 
 
-def knn_topk(spark, d):
+def _labelled(spark, d, found):
     labels = _vectors(spark, d).select("vec_id", "label")
-    found = _neighbors(spark, d, 5).withColumn("score", F.round("score", 6))
+    found = found.withColumn("score", F.round("score", 6))
     return found.join(labels, "vec_id").select("query_id", "vec_id", "rank", "score", "label")
 
 
-def knn_within_label(spark, d):
-    """Retrieval restricted to the question's own project."""
+def knn_topk(spark, d):
+    return _labelled(spark, d, _neighbors(spark, d, 5, method="scan"))
+
+
+def knn_cells(spark, d):
+    """The path of large question tables: cells around pivots, blocks and packs."""
+    sizes = KnnSizes(block_rows=512, pack_rows=512)
+    return _labelled(spark, d, _neighbors(spark, d, 5, method="cells", sizes=sizes))
+
+
+def _within_label(spark, d, **how):
     e = _vectors(spark, d)
     found = topk(
         e.select(F.col("vec_id").alias("query_id"), "embedding", "label"), e, 3, "query_id", "vec_id",
-        within="label", exclude_self=True,
+        within="label", exclude_self=True, **how,
     )
     return found.select("query_id", "vec_id", "label", "rank", F.round("score", 6).alias("score"))
 
 
+def knn_blocks(spark, d):
+    """The path of very many groups: a group is one cell, cut into blocks by its own size."""
+    return _within_label(spark, d, method="cells", sizes=KnnSizes(block_rows=128, pack_rows=512, max_cells=0))
+
+
+#: The nearest of these vectors, which have no clusters, lie at a cosine of about 0.35.
+BANDS = A.Bands.reaching(recall=0.96, similarity=0.3, bits=4)
+
+
+def _approx(spark, d):
+    e = _vectors(spark, d)
+    asked = e.select(F.col("vec_id").alias("query_id"), "embedding")
+    return A.knn_approx(asked, e, 5, BANDS, "query_id", "vec_id", exclude_self=True)
+
+
+def knn_approx(spark, d):
+    return _labelled(spark, d, _approx(spark, d))
+
+
+def knn_recall(spark, d):
+    """Share of the true five nearest that the approximate search finds."""
+    found = A.recall(_approx(spark, d), _neighbors(spark, d, 5, method="scan"), "query_id", "vec_id")
+    return found.select("wanted", "found", F.round("recall", 9).alias("recall"), (F.col("recall") >= 0.9).alias("enough"))
+
+
+def knn_within_label(spark, d):
+    """Retrieval restricted to the question's own project."""
+    return _within_label(spark, d, method="scan")
+
+
 def unit_vectors(spark, d):
     e = add_once(_vectors(spark, d), F.struct(l2_normalize(F.col("embedding")).alias("unit")))
     return e.select(
@@ -187,17 +228,18 @@ def distinct_chunks(spark, d):
 
 
 def tfidf_retrieval(spark, d):
-    """Sentences of the benchmark items answered from the documents by TF-IDF."""
-    docs = documents(spark, d, "doc_id", "text").withColumnRenamed("text", "question")
-    model = tfidf_model(docs)
-    faq = embed_tfidf(docs, model).withColumnRenamed("doc_id", "faq_id")
+    """Benchmark items answered from the documents by TF-IDF."""
+    docs = documents(spark, d, "doc_id", "text").select(F.col("doc_id").alias("faq_id"), F.col("text").alias("source_text"))
     items = table(spark, d, "benchmark").select(F.col("item_id").alias("question_id"), F.col("text").alias("question"))
-    found = topk(embed_tfidf(items, model), faq, 5, "question_id", "faq_id")
-    return found.withColumn("score", F.round("score", 6))
+    return tfidf_topk(items, docs, 5).withColumn("score", F.round("score", 6))
 
 
 QUERIES = {
     "knn_topk": knn_topk,
+    "knn_cells": knn_cells,
+    "knn_blocks": knn_blocks,
+    "knn_approx": knn_approx,
+    "knn_recall": knn_recall,
     "knn_within_label": knn_within_label,
     "unit_vectors": unit_vectors,
     "retrieval_metrics": retrieval_metrics,
@@ -281,11 +323,50 @@ _CONTEXT = (
     "chr(10), 'Answer: ', f.answer, chr(10), chr(10)), '' ORDER BY rank)"
 )
 
+_COSINE = "round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])), 9)"
+#: Plane components by the digest rule; a pair is found when it agrees in all bits of a band.
+_BANDED = f"""
+  WITH dims AS (SELECT max(len(embedding)) AS dim FROM embeddings),
+  planes AS (
+    SELECT band, bit, list(CASE WHEN instr('13579bdf', md5(concat({BANDS.seed}, ':', band, ':', bit, ':', i))[1]) > 0 THEN -1.0::DOUBLE ELSE 1.0::DOUBLE END ORDER BY i) AS plane
+    FROM dims, range({BANDS.count}) AS a(band), range({BANDS.bits}) AS b(bit), unnest(range(dim)) AS c(i) GROUP BY 1, 2),
+  codes AS (
+    SELECT vec_id, embedding, label, band, sum(CASE WHEN list_dot_product(CAST(embedding AS DOUBLE[]), plane) >= 0 THEN 1 << bit ELSE 0 END) AS code
+    FROM embeddings, planes GROUP BY ALL),
+  met AS (SELECT DISTINCT q.vec_id AS query_id, e.vec_id FROM codes q JOIN codes e USING (band, code) WHERE q.vec_id <> e.vec_id),
+  found AS (SELECT * FROM (
+    SELECT query_id, vec_id, e.label, {_COSINE} AS cos,
+           CAST(row_number() OVER (PARTITION BY query_id ORDER BY {_COSINE} DESC, e.vec_id) AS INTEGER) AS rank
+    FROM met JOIN embeddings e USING (vec_id) JOIN embeddings q ON q.vec_id = query_id) WHERE rank <= 5)"""
+_TFIDF = r"""
+  WITH t AS (
+    SELECT kind, id, term, 1 + ln(count(*)) AS w FROM (
+      SELECT kind, id, unnest(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '')) AS term
+      FROM (SELECT 'd' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'q', item_id, text FROM benchmark))
+    GROUP BY 1, 2, 3),
+  d AS (SELECT id, term, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS w FROM t WHERE kind = 'd'),
+  f AS (SELECT term, count(*) AS df FROM d GROUP BY 1),
+  r AS (SELECT id, term, w * ln(((SELECT count(*) FROM documents) + 1.0) / (coalesce(df, 0) + 1.0)) AS w FROM t LEFT JOIN f USING (term) WHERE kind = 'q'),
+  q AS (SELECT id, term, w / nullif(sqrt(sum(w * w) OVER (PARTITION BY id)), 0) AS w FROM r),
+  s AS (SELECT q.id AS question_id, d.id AS faq_id, round(sum(q.w * d.w), 9) AS score FROM q JOIN d USING (term) WHERE q.w > 0 GROUP BY 1, 2)
+  SELECT question_id, faq_id, rank, round(score, 6) AS score FROM (
+    SELECT *, CAST(row_number() OVER (PARTITION BY question_id ORDER BY score DESC, faq_id) AS INTEGER) AS rank FROM s) WHERE rank <= 5"""
+_SAME_LABEL = f"""
+  SELECT query_id, vec_id, CAST(label AS VARCHAR) AS label, rank, round(cos, 6) AS score
+  FROM ({_pairs('q.vec_id <> e.vec_id AND q.label = e.label', 3)})"""
+_NEAREST = f"SELECT query_id, vec_id, rank, round(cos, 6) AS score, label FROM ({_TOP5})"
+
 ORACLE = {
+    "knn_cells": _NEAREST,
+    "knn_blocks": _SAME_LABEL,
+    "knn_approx": f"{_BANDED} SELECT query_id, vec_id, rank, round(cos, 6) AS score, label FROM found",
+    "knn_recall": f"""{_BANDED}, best AS ({_TOP5})
+      SELECT count(*) AS wanted, count(found.vec_id) AS found, round(count(found.vec_id) / count(*), 9) AS recall,
+             count(found.vec_id) / count(*) >= 0.9 AS enough
+      FROM best LEFT JOIN found ON found.query_id = best.query_id AND found.vec_id = best.vec_id""",
+    "tfidf_retrieval": _TFIDF.replace("\\\\", "\\"),
     "knn_topk": f"SELECT query_id, vec_id, rank, round(cos, 6) AS score, label FROM ({_TOP5})",
-    "knn_within_label": f"""
-      SELECT query_id, vec_id, CAST(label AS VARCHAR) AS label, rank, round(cos, 6) AS score
-      FROM ({_pairs('q.vec_id <> e.vec_id AND q.label = e.label', 3)})""",
+    "knn_within_label": _SAME_LABEL,
     "unit_vectors": """
       SELECT vec_id, 1.0::DOUBLE AS self_cosine,
              round(list_sum(list_transform(embedding, lambda x: CAST(CAST(x AS DOUBLE) / n AS FLOAT)::DOUBLE)), 4) AS unit_sum

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from textloom.functions import text as X
-from textloom.functions.prompts import REDACTION_TEMPLATE, RedactionOptions, redaction_prompt
-from textloom.functions.redact import EMAIL, ID, PHONE, redact, redaction_counts
+from textloom.functions.prompts import Redaction, redaction_frame, redaction_prompt
+from textloom.functions.redact import EMAIL, ID, PHONE, Gazetteers, redact, redaction_counts
 from textloom.operators.chunking import chunk_pages, clean_pages
 from textloom.operators.model_map import Replay, prompt_hash
 from textloom.plans import anonymize as A
@@ -78,21 +78,34 @@ def redact_counts(spark, d):
     return s.select("doc_id", redaction_counts(F.col("text")).alias("c")).select("doc_id", "c.*")
 
 
+#: Ten thousand names by a rule: every word of two parts.
+_HEADS = [a + b for a in "bcdfghklmnprstvw" for b in "aeiou"]
+_TAILS = [a + b for a in "bcdfghklmnprstvwxyz" for b in ("a", "e", "i", "o", "u", "an", "en")]
+NAMES = [h + t for h in _HEADS for t in _TAILS][:10_000]
+
+
+def redact_names(spark, d):
+    """Ten thousand names in three lists, over whole texts."""
+    s = documents(spark, d, "doc_id", "text")
+    lists = Gazetteers(persons=NAMES[::3] + ["the"], organizations=NAMES[1::3] + ["of the"], locations=NAMES[2::3])
+    return s.select("doc_id", redact(F.col("text"), Redaction(hide=("person", "organization", "place")), lists).alias("text"))
+
+
 def _stored(docs):
     """Responses of the rules backend, keyed by prompt digest: a response table."""
     batches = A.sentence_batches(docs).filter(F.col("sentences").isNotNull())
-    prompt = redaction_prompt(F.col("sentences"), RedactionOptions())
+    prompt = redaction_prompt(F.col("sentences"), Redaction())
     return batches.select(prompt_hash(prompt).alias("prompt_hash"), A.rules_answer(F.col("sentences")).alias("response"))
 
 
 def redact_roundtrip(spark, d):
     docs = documents(spark, d, "doc_id", "text")
-    return A.anonymize(docs, Replay(_stored(docs)), RedactionOptions())
+    return A.anonymize(docs, Replay(_stored(docs)), Redaction())
 
 
 def batch_meta(spark, d):
     docs = documents(spark, d, "doc_id", "text")
-    answered = A.answer_batches(docs, Replay(_stored(docs)), RedactionOptions())
+    answered = A.answer_batches(docs, Replay(_stored(docs)), Redaction())
     meta = A.batch_meta(answered, provider="replay")
     return meta.select("doc_id", "batch_id", "sent_count", "prompt_chars", "returned_count", "provider", "retries", "ok")
 
@@ -114,6 +127,7 @@ QUERIES = {
     "chunk_windows": chunk_windows,
     "redact_contacts": redact_contacts,
     "redact_counts": redact_counts,
+    "redact_names": redact_names,
     "redact_roundtrip": redact_roundtrip,
     "batch_meta": batch_meta,
     "dry_run_prompt": dry_run_prompt,
@@ -144,12 +158,7 @@ def sql_redact(c: str) -> str:
     return _sub(_sub(_sub(c, EMAIL, "<EMAIL>"), ID, "<ID>"), PHONE, "<PHONE>")
 
 
-_HEAD, _TAIL = REDACTION_TEMPLATE.format(
-    sentences="\x00", custom_rules_block="",
-    language_block="\n- LANGUAGE: keep the language of each sentence; do not translate.\n",
-    preserve_formatting=True, replace_person_names=True, replace_locations=True, replace_organizations=True,
-    replace_ids=True, replace_contacts=True,
-).split("\x00")
+_HEAD, _TAIL = redaction_frame()
 
 _SENTENCES = f"""
   SELECT doc_id, CAST(i - 1 AS INTEGER) AS sent_idx, s[i] AS sentence
@@ -215,6 +224,19 @@ ORACLE = {
              CAST(len(regexp_extract_all(t2, {sql_text(PHONE)})) AS BIGINT) AS phone
       FROM (SELECT *, {_sub('t1', ID, '<ID>')} AS t2
             FROM (SELECT doc_id, text, {_sub('text', EMAIL, '<EMAIL>')} AS t1 FROM documents))""",
+    # tokens and gaps as rows; "of the" takes three of them, any other name one
+    "redact_names": f"""
+      WITH names AS (
+        SELECT heads[i] || tails[j] AS name, ['<PERSON>', '<ORGANIZATION>', '<LOCATION>'][((i - 1) * {len(_TAILS)} + j - 1) % 3 + 1] AS tag
+        FROM (SELECT {_HEADS} AS heads, {_TAILS} AS tails), range(1, {len(_HEADS) + 1}) AS r(i), range(1, {len(_TAILS) + 1}) AS s(j)
+        WHERE (i - 1) * {len(_TAILS)} + j - 1 < {len(NAMES)} UNION ALL SELECT 'the', '<PERSON>'),
+      parts AS (
+        SELECT doc_id, i, p[i] AS part, i > 2 AND lower(p[i - 2]) = 'of' AND p[i - 1] = ' ' AND lower(p[i]) = 'the' AS third,
+               i > 1 AND lower(p[i - 1]) = 'of' AND p[i] = ' ' AND lower(p[i + 1]) = 'the' AS second,
+               lower(p[i]) = 'of' AND p[i + 1] = ' ' AND lower(p[i + 2]) = 'the' AS first
+        FROM (SELECT doc_id, regexp_extract_all(text, '[\\p{{L}}\\p{{N}}]+|[^\\p{{L}}\\p{{N}}]+') AS p FROM documents), unnest(range(1, len(p) + 1)) AS u(i))
+      SELECT doc_id, coalesce(string_agg(CASE WHEN first THEN '<ORGANIZATION>' WHEN second OR third THEN '' ELSE coalesce(tag, part) END, '' ORDER BY i), '') AS text
+      FROM documents LEFT JOIN parts USING (doc_id) LEFT JOIN names ON name = lower(part) GROUP BY doc_id""".replace("\\\\", "\\"),
     "redact_roundtrip": f"""
       SELECT doc_id, string_agg({sql_trim(_sub(sql_redact('sentence'), _GAPS, ' '))},
              ' ' ORDER BY sent_idx) AS text, true AS ok, CAST(max(sent_idx) // 8 + 1 AS BIGINT) AS batches

@@ -1,8 +1,8 @@
 """Readers for the tables the jobs start from.
 
-Parquet is the native format; CSV and JSON are import formats.  A CSV with
-line breaks inside cells and a JSON array cannot be split between tasks, so
-large inputs belong in Parquet or JSON lines.
+Parquet is the native format; CSV and JSON are import formats.  JSON lines and
+JSON arrays are split between tasks.  A CSV with line breaks inside cells cannot
+be, so large inputs belong in another format.
 """
 
 from __future__ import annotations
@@ -14,11 +14,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textloom.functions.jsonx import as_list, is_list, is_object, parse_strict
+from textloom.functions.jsonx import is_object, parse_strict
 from textloom.functions.text import is_blank, trim_ws
 from textloom.operators.once import add_once
 from textloom.plans.classify import clean_rows
 from textloom.plans.faq import with_chunk_id
+from textloom.sources.json_array import json_array_elements
 
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
@@ -121,12 +122,9 @@ def read_records(spark: SparkSession, path: str, bad: str = "fail", by_extension
         head = spark.read.text(path).filter(~is_blank(F.col("value"))).select(trim_ws(F.col("value"))).first()
         whole = head is not None and head[0].startswith("[")
     if whole:
-        raw = add_once(spark.read.text(path, wholetext=True), F.struct(parse_strict(F.col("value")).alias("_parsed")))
-        parsed = F.col("_parsed")
-        listed = F.when(is_list(parsed), as_list(parsed)).otherwise(
-            F.raise_error(F.lit("the input must be a JSON list")).cast("array<variant>")
-        )
-        rows = raw.select(F.explode(listed).alias("record")).withColumn("raw", F.to_json("record"))
+        parsed = add_once(json_array_elements(spark, path), F.struct(parse_strict(F.col("raw")).alias("_parsed")))
+        broken = F.raise_error(F.concat(F.lit("the input must be a JSON list; not an element: "), F.col("raw"))).cast("variant")
+        rows = parsed.select(F.coalesce("_parsed", broken).alias("record")).withColumn("raw", F.to_json("record"))
     else:
         raw = spark.read.text(path).filter(~is_blank(F.col("value"))).withColumnRenamed("value", "raw")
         rows = add_once(raw, F.struct(parse_strict(F.col("raw")).alias("record"))).select("record", "raw")
