@@ -200,46 +200,45 @@ def test_paths_are_maximal_and_do_not_branch(table):
 
 # 5 lines
 
-def brute_lines(docs, min_words=lines.MIN_WORDS):
-    holders = {}
-    for doc, text in docs:
-        for line in set((text or "").split("\n")):
-            if doc is not None and text and len(split(line)) >= min_words:
-                holders.setdefault(line, set()).add(doc)
-    first = {doc: min(t for d, t in docs if d == doc and t is not None) for doc in {d for d, t in docs if d is not None and t is not None}}
+def all_pairs_lines(docs, min_words=lines.MIN_WORDS):
+    """Every row with an id and a text, aligned with every text of every smaller id."""
     out = []
     for doc, text in docs:
         gone = set()
         if doc is not None and text:
             own = text.split("\n")
-            for partner in {min(holders[x]) for x in own if len(split(x)) >= min_words and min(holders[x]) < doc}:
-                gone.update(lines.common_blocks(first[partner].split("\n"), own, [len(split(x)) for x in own], min_words))
+            for earlier in {t for d, t in docs if d is not None and t and d < doc}:
+                gone.update(lines.common_blocks(earlier.split("\n"), own, [len(split(x)) for x in own], min_words))
             text = "\n".join(x for i, x in enumerate(own) if i not in gone)
         out.append((doc, text, len(gone)))
     return sorted(out, key=repr)
 
 
 def test_lines(table, odd):
+    """Odd rows, and ids with up to three texts."""
     rng = random.Random(9)
     pool = [" ".join(f"l{k}w{i}" for i in range(rng.randrange(1, 15))) for k in range(25)] + ["", "  "]
-    extra = [(50 + i, "\n".join(rng.choices(pool, k=rng.randrange(1, 14)))) for i in range(60)]
+    extra = [(50 + i % 45, "\n".join(rng.choices(pool, k=rng.randrange(1, 14)))) for i in range(60)]
+    extra += [(80, "x\n"), (81, "\n"), (82, "\n" + extra[0][1]), (83, extra[0][1] + "\n")]
     df = odd.unionByName(table(extra)).repartition(5)
     docs = [(r["doc_id"], r["text"]) for r in df.select("doc_id", "text").collect()]
     out = lines.dedup_lines(df).withColumn("n", F.coalesce(F.octet_length("removed_lines") / 4, F.lit(0)).cast("int"))
-    assert rows(out, "doc_id", "text", "n") == brute_lines(docs)
+    assert rows(out, "doc_id", "text", "n") == all_pairs_lines(docs)
     assert set(df.columns) < set(out.columns) and lines.dedup_lines(df.limit(0)).count() == 0
 
 
-def all_pairs_lines(docs, min_words=lines.MIN_WORDS):
-    """Every document with distinct id and a text, aligned with every earlier one."""
-    out = []
-    for doc, text in docs:
-        own, gone = text.split("\n"), set()
-        for other, earlier in docs:
-            if other < doc:
-                gone.update(lines.common_blocks(earlier.split("\n"), own, [len(split(x)) for x in own], min_words))
-        out.append((doc, "\n".join(x for i, x in enumerate(own) if i not in gone), len(gone)))
-    return sorted(out, key=repr)
+def test_lines_of_an_id_with_two_texts(table):
+    x, y = ("\n".join(" ".join(f"{k}{j}w{i}" for i in range(12)) for j in range(3)) for k in "xy")
+    docs = [(2, x), (2, y), (5, "q\n" + x), (6, "q\n" + y)]
+    check_all_pairs(table, docs)
+    assert [n for _, _, n in all_pairs_lines(docs)] == [0, 0, 3, 3]
+
+
+def test_lines_by_a_key_of_an_inner_name(spark):
+    x = "\n".join(" ".join(f"{j}w{i}" for i in range(12)) for j in range(3))
+    df = spark.createDataFrame([(1, x, "a", 0), (2, "own\n" + x, "b", 0)], "id long, text string, sig string, lines int")
+    out = lines.dedup_lines(df, key="id", out="removed")
+    assert [(r["id"], r["text"], r["sig"]) for r in out.orderBy("id").collect()] == [(1, x, "a"), (2, "own", "b")]
 
 
 def check_all_pairs(table, docs):

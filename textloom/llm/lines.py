@@ -13,8 +13,9 @@ aligned common blocks of at least ``min_words`` words are deleted from the
 document with the larger id.  Alignment reads the input, not what is left.
 
 Defined cases: null texts stay null and have no lines; blank lines alone never
-make a block; rows with the same id count as one holder and each row is aligned by
-itself, not with the others of its id; a row whose id is null is kept as it is; a row that keeps no line has an empty text.
+make a block; rows with the same id count as one holder with several texts, and each row is aligned by
+itself, not with the others of its id; a row whose id is null is kept as it is; a row that keeps no line has an empty
+text; texts of any length are read whole; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -108,24 +109,24 @@ def common_blocks(a: list[int], b: list[int], words: list[int], min_words: int)
 def _hash_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         body, at = buffers(batch.column(2))
-        hashes, words = [], []
-        for r in range(batch.num_rows):
-            part = body[at[r] : at[r + 1]]
-            if not len(part):
-                hashes.append(b"")
-                words.append(b"")
-                continue
-            cuts = np.flatnonzero(part == 0x0A)
-            starts, stops = np.r_[0, cuts + 1], np.r_[cuts, len(part)]
-            first, _ = bounds(part, np.array([0, len(part)]), BLANKS)
-            count = np.searchsorted(first, stops) - np.searchsorted(first, starts)
-            hashes.append(word_hashes(part, starts, stops, False).tobytes())
-            words.append(count.astype(np.int32).tobytes())
+        feeds, filled = np.flatnonzero(body == 0x0A), np.diff(at) > 0
+        starts, stops = np.sort(np.r_[at[:-1][filled], feeds + 1]), np.sort(np.r_[feeds, at[1:][filled]])
+        words, _ = bounds(body, at, BLANKS)  # a line feed is a blank, so no word crosses lines
+        count = (np.searchsorted(words, stops) - np.searchsorted(words, starts)).astype("<i4")
+        own = np.diff(np.searchsorted(feeds, at))
+        first = np.r_[0, np.cumsum(np.where(filled, own + 1, 0))]  # a row without text has no lines
+        hashes = word_hashes(body, starts, stops, False)
         yield pa.RecordBatch.from_arrays(
-            [*batch.columns[:2], pa.array(hashes, pa.binary()), pa.array(words, pa.binary())], names=["id", "sig", "lines", "words"]
+            [*batch.columns[:2], _packed_rows(hashes, first, 8), _packed_rows(count, first, 4)], names=["id", "sig", "lines", "words"]
         )
 
 
+def _packed_rows(values: np.ndarray, first: np.ndarray, width: int) -> pa.Array:
+    """A binary array whose row r holds ``values[first[r]:first[r + 1]]``."""
+    offsets = pa.py_buffer((first * width).astype("<i4").tobytes())
+    return pa.Array.from_buffers(pa.binary(), len(first) - 1, [None, offsets, pa.py_buffer(np.ascontiguousarray(values).tobytes())])
+
+
 def line_table(docs: DataFrame, key: str, text: str) -> DataFrame:
     """``id, sig, lines, words``: a text hash, and packed hashes and word counts of the lines of each row."""
     given = docs.where(F.col(key).isNotNull()).select(
@@ -142,18 +143,22 @@ def _powers(base: int, size: int) -> np.ndarray:
     return np.cumprod(np.r_[np.uint64(1), np.full(size - 1, base, np.uint64)], dtype=np.uint64)
 
 
-def line_runs(h: np.ndarray, words: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def line_runs(h: np.ndarray, words: np.ndarray, min_words: int, first: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hash, first line and end of the shortest runs of ``min_words`` words, one from each line on and one up to each line.
 
+    ``first``: where each of several documents begins, and the end of the last one; a run never crosses documents.
     Equal hashes of unequal runs name a partner too many, which aligns nothing.
     """
     size = len(h)
     if not size:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    low, high = np.zeros(size, np.int64), np.full(size, size)
+    if first is not None:
+        low, high = np.repeat(first[:-1], np.diff(first)), np.repeat(first[1:], np.diff(first))
     total, at = np.r_[0, np.cumsum(words, dtype=np.int64)], np.arange(size)
     ends = np.maximum(np.searchsorted(total, total[:-1] + min_words), at + 1)
     starts = np.minimum(np.searchsorted(total, total[1:] - min_words, side="right") - 1, at)
-    on, back = ends <= size, starts >= 0
+    on, back = ends <= high, starts >= low
     firsts, stops = np.r_[at[on], starts[back]], np.r_[ends[on], at[back] + 1]
     _, one = np.unique(firsts * (size + 1) + stops, return_index=True)
     firsts, stops = firsts[one], stops[one]
@@ -162,19 +167,32 @@ def line_runs(h: np.ndarray, words: np.ndarray, min_words: int) -> tuple[np.ndar
     return hashes, firsts, stops
 
 
+class Runs:
+    """The runs of all rows of a table, worked out together: ``h``, ``firsts``, ``stops`` and the ``row`` of each."""
+
+    def __init__(self, table: pa.Table, min_words: int):
+        lines, at = buffers(table["lines"])
+        words, _ = buffers(table["words"])
+        self.first = at // 8
+        self.h, self.firsts, self.stops = line_runs(lines.view("<u8"), words.view("<i4"), min_words, self.first)
+        self.row = np.searchsorted(self.first, self.firsts, side="right") - 1
+        self.cuts = np.searchsorted(self.row, np.arange(len(self.first)))
+
+    def of(self, row: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The runs of one row, by lines of that row."""
+        part = slice(self.cuts[row], self.cuts[row + 1])
+        return self.h[part], self.firsts[part] - self.first[row], self.stops[part] - self.first[row]
+
+
 _KEY = np.dtype([("h", "<u8"), ("doc", "<i8"), ("n", "<i8")])
 
 
 def _cell_keys(left: pa.Table, min_words: int) -> np.ndarray:
     """Each run hash of a cell once: with its smallest holder and the number of holders; sorted by hash."""
-    hashes, docs = [], []
-    for doc, lines, words in zip(left["id"].to_pylist(), left["lines"].to_pylist(), left["words"].to_pylist()):
-        own = np.unique(line_runs(np.frombuffer(lines, "<u8"), np.frombuffer(words, "<i4"), min_words)[0])
-        hashes.append(own)
-        docs.append(np.full(len(own), doc, np.int64))
-    h, d = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (hashes, docs))
+    runs = Runs(left, min_words)
+    h, d = runs.h, left["id"].to_numpy()[runs.row]
     order = np.lexsort((d, h))
-    h, d = h[order].astype(np.uint64), d[order]
+    h, d = h[order], d[order]
     new = np.r_[True, h[1:] != h[:-1]] if len(h) else np.zeros(0, bool)
     other = new | np.r_[True, d[1:] != d[:-1]] if len(h) else new
     out = np.empty(int(new.sum()), _KEY)
@@ -200,16 +218,18 @@ def _first_holders(group: pa.Table) -> pa.Table:
 def _partners(left: pa.Table, right: pa.Table, min_words: int) -> Iterator[tuple[dict, tuple, np.ndarray]]:
     """Each row that has partners, its runs, and the keys of its runs with an earlier first holder."""
     known = [np.frombuffer(x, _KEY) for x, kind in zip(right["data"].to_pylist(), right["kind"].to_pylist()) if kind == 0]
-    keys = np.sort(np.concatenate(known), order="h") if known else np.zeros(0, _KEY)
-    for row in left.select(["id", "sig", "lines", "words"]).to_pylist():
-        runs = line_runs(np.frombuffer(row["lines"], "<u8"), np.frombuffer(row["words"], "<i4"), min_words)
-        own = np.unique(runs[0])
-        at = np.searchsorted(keys["h"], own)
-        at = at[(at < len(keys)) & (keys["h"][np.minimum(at, len(keys) - 1)] == own)] if len(keys) else at[:0]
-        found = keys[at]
-        found = found[found["doc"] < row["id"]]
-        if len(found):
-            yield row, runs, found
+    keys = np.concatenate(known) if known else np.zeros(0, _KEY)
+    keys = keys[np.argsort(keys["h"], kind="stable")]
+    if not len(keys) or not left.num_rows:
+        return
+    runs = Runs(left, min_words)
+    at = np.minimum(np.searchsorted(keys["h"], runs.h), len(keys) - 1)
+    hit = (keys["h"][at] == runs.h) & (keys["doc"][at] < left["id"].to_numpy()[runs.row])
+    rows = np.unique(runs.row[hit])
+    picked = left.select(["id", "sig", "lines", "words"]).take(pa.array(rows)).to_pylist()
+    for r, row in zip(rows.tolist(), picked):
+        part = slice(runs.cuts[r], runs.cuts[r + 1])
+        yield row, runs.of(r), keys[np.unique(at[part][hit[part]])]
 
 
 def _uncovered(runs: tuple, cut: set[int], size: int) -> np.ndarray:
@@ -235,10 +255,13 @@ def _state(row: dict, cell: int, cut: set[int], tried: set[int], open_: np.ndarr
     return out
 
 
-def _sent_lines(right: pa.Table) -> dict[int, list[int]]:
-    """The lines of each partner sent to a cell."""
-    sent = zip(right["data"].to_pylist(), right["kind"].to_pylist())
-    return {int.from_bytes(d[:8], "big", signed=True): np.frombuffer(d[8:], "<u8").tolist() for d, kind in sent if kind == 1}
+def _sent_lines(right: pa.Table) -> dict[int, list[list[int]]]:
+    """The lines of each text of each partner sent to a cell."""
+    out: dict[int, list[list[int]]] = {}
+    for d, kind in zip(right["data"].to_pylist(), right["kind"].to_pylist()):
+        if kind == 1:
+            out.setdefault(int.from_bytes(d[:8], "big", signed=True), []).append(np.frombuffer(d[8:], "<u8").tolist())
+    return out
 
 
 def _without_foreign(lines: list[int], own: set[int]) -> tuple[int, ...]:
@@ -253,14 +276,15 @@ def _without_foreign(lines: list[int], own: set[int]) -> tuple[int, ...]:
 
 def _holders(cell: int, left: pa.Table, right: pa.Table, min_words: int, buckets: int) -> pa.Table:
     """All (run, document) of a cell for the runs that are asked for."""
-    wanted, found = np.concatenate([np.zeros(0, "<u8"), *(np.frombuffer(x, "<u8") for x in right["data"].to_pylist())]), []
-    for doc, lines, words in zip(*(left[c].to_pylist() for c in ("id", "lines", "words"))) if len(wanted) else ():
-        own = np.unique(line_runs(np.frombuffer(lines, "<u8"), np.frombuffer(words, "<i4"), min_words)[0])
-        own = own[np.isin(own, wanted)]
-        part = np.zeros(len(own), _KEY)
-        part["h"], part["doc"] = own, doc
-        found.append(part)
-    keys = np.unique(np.concatenate(found)) if found else np.zeros(0, _KEY)
+    wanted = np.concatenate([np.zeros(0, "<u8"), *(np.frombuffer(x, "<u8") for x in right["data"].to_pylist())])
+    if len(wanted) and left.num_rows:
+        runs = Runs(left, min_words)
+        asked = np.isin(runs.h, wanted)
+        found = np.zeros(int(asked.sum()), _KEY)
+        found["h"], found["doc"] = runs.h[asked], left["id"].to_numpy()[runs.row[asked]]
+    else:
+        found = np.zeros(0, _KEY)
+    keys = np.unique(found)
     order, present, cuts = split_by(bucket_of(keys["h"], buckets))
     keys = keys[order]
     return messages(present, cell, 0, [keys[a:b].tobytes() for a, b in zip(cuts, cuts[1:])])
@@ -337,8 +361,8 @@ def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_
         return pa.table([pa.array(named, pa.int64()), pa.array([key[0].as_py()] * len(named), pa.int32())], names=["id", "cell"])
 
     def lines_for(wanted: DataFrame) -> DataFrame:
-        """The lines of each partner, once for each cell that asked."""
-        partner_rows = rows.join(wanted.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.min("lines").alias("lines"))
+        """The lines of each text of each partner, once for each cell that asked."""
+        partner_rows = rows.join(wanted.select("id").distinct(), "id", "left_semi").select("id", "lines").distinct()
         return wanted.join(partner_rows, "id").select(
             F.lit(0).alias("to"), "cell", F.lit(1).alias("kind"), F.concat(F.unhex(F.lpad(F.hex("id"), 16, "0")), "lines").alias("data")
         )
@@ -349,7 +373,8 @@ def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_
             own, words, cut = np.frombuffer(row["lines"], "<u8").tolist(), np.frombuffer(row["words"], "<i4").tolist(), set()
             partners = set(found["doc"].tolist())
             for partner in partners:
-                cut.update(common_blocks(lines[partner], own, words, min_words))
+                for text in lines[partner]:
+                    cut.update(common_blocks(text, own, words, min_words))
             more = found["h"][found["n"] > 2]  # two holders are the first one and the row's own
             open_ = np.intersect1d(more, _uncovered(runs, cut, len(own))) if len(more) else more
             if cut or len(open_):
@@ -410,8 +435,7 @@ def _align_next(left: DataFrame, holders: DataFrame, asks: DataFrame, low: int,
                     if partner in tried:
                         continue
                     tried.add(partner)
-                    shape = _without_foreign(lines[partner], known)
-                    if shape not in seen:
+                    for shape in {_without_foreign(text, known) for text in lines[partner]} - seen:
                         seen.add(shape)
                         cut.update(common_blocks(list(shape), own, words, min_words))
                         bare = set(_uncovered(runs, cut, len(own)).tolist())
@@ -433,7 +457,8 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_wo
     docs = docs.drop(out)
     gone = removed_lines(docs, key, text, min_words).dropDuplicates(["id", "sig"]).withColumnRenamed("removed", out)
     # merged at every size: a small answer would be broadcast and a large one not
-    joined = docs.join(gone.hint("merge"), (F.col(key).cast("long") == gone["id"]) & (F.xxhash64(text) == gone["sig"]), "left")
+    same = (docs[key].cast("long") == gone["id"]) & (F.xxhash64(docs[text]) == gone["sig"])
+    joined = docs.join(gone.hint("merge"), same, "left")
     joined = joined.select(*(docs[c] for c in docs.columns), gone[out])
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
