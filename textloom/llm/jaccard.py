@@ -254,7 +254,7 @@ def link_components(
     near = store(components(first), "near")
 
     members = named.where("rank >= 0").select("h", F.col("a").alias("node"), F.col("b").alias("n"), "rank")
-    links, tried = first, pairs
+    tried = pairs
     for turn in range(STAR_TURNS + 1):
         apart = store(_apart(members, near), "apart")
         if not apart.head(1):
@@ -266,8 +266,9 @@ def link_components(
         else:
             sets = _gather(given, apart.select(F.col("node").alias("id")).distinct(), count, size)
             found = store(_blocks(apart, sets, num, den), "found")
-        links = links.unionByName(found)
-        near = store(components(links), "near")
+        # what is known of the components is as good as the links it came from
+        tied = near.where("node <> component_id").select(F.col("node").alias("a"), F.col("component_id").alias("b"))
+        near = store(components(tied.unionByName(found)), "near")
     whole_class = classes.join(near, classes["rep"] == near["node"], "left").select(
         "d1", "d2", F.coalesce("component_id", "rep").alias("component_id")
     )
