@@ -22,10 +22,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm.cells import store, with_fields
+from textloom.llm.words import BLANKS, Words, buffers, mix, word_hashes
 
 CAPACITY = 4096
 GROUP_ROWS = 8192
-_TEXTS = 64
 
 
 class FirstFit:
@@ -52,47 +52,75 @@ class FirstFit:
         return own, offset
 
 
-#: Words a Python worker remembers the ids of.
-MEMORY = 1_000_000
+#: Bytes of text that are worked on together, and bytes of words and ids that a Python worker remembers.
+_TEXT_BYTES, _MEMORY = 4 << 20, 256 << 20
 _TOKENIZERS: dict = {}
 
 
-class WordIds(dict):
-    """Packed 32-bit ids of blank-separated words, worked out when first asked for.
+class WordIds:
+    """Ids of the blank-separated words of texts, each distinct word worked out when first met.
 
-    For tokenizers that drop white space and never look across it: the ids of a
-    text are those of its words, one after the other.  They lower-case ASCII letters too.
+    For tokenizers that drop white space, never look across it and lower-case: the ids of a text are
+    those of its words, one after the other.  Words that differ in the case of ASCII letters are one, but
+    for those that may hold a special token, which is told by its exact letters.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-
-    def of(self, text: str) -> np.ndarray:
-        words = text.encode().lower().split()
-        parts = list(map(self.get, words))
-        if None in parts:
-            self._learn({w for w, p in zip(words, parts) if p is None})
-            parts = map(self.__getitem__, words) if len(self) < MEMORY else self._forget(words)
-        return np.frombuffer(b"".join(parts), "<u4")
-
-    def _learn(self, words: set[bytes]) -> None:
-        """Ids of new words from one call: a token belongs to the word in which it starts."""
-        plain = [w.decode() for w in words]
-        starts = np.cumsum([0, *(len(w) + 1 for w in plain)])
-        found = self.tokenizer.encode(" ".join(plain), add_special_tokens=False)
-        ids = np.array(found.ids, "<u4").tobytes()
-        owner = np.searchsorted(starts, [a for a, _ in found.offsets], side="right") - 1
-        cuts = (np.searchsorted(owner, np.arange(len(plain) + 1)) * 4).tolist()
-        self.update(zip(words, (ids[x:y] for x, y in zip(cuts, cuts[1:]))))
-
-    def _forget(self, words: list[bytes]) -> list[bytes]:
-        parts = [self[w] for w in words]
-        self.clear()
-        return parts
+        self._keep(np.zeros(0, np.uint64), np.zeros(1, np.int64), np.zeros(0, "<u4"))
+
+    def _keep(self, keys: np.ndarray, cuts: np.ndarray, ids: np.ndarray) -> None:
+        """The ids of the word with the hash ``keys[i]`` are ``ids[cuts[i]:cuts[i + 1]]``; keys rise."""
+        self.keys, self.cuts, self.ids = keys, cuts, ids
+
+    def of(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of a text column, and the cuts between its rows."""
+        words = Words(column, BLANKS, fold=True)
+        keys = words.h
+        marks = np.flatnonzero((words.body[:-1] == ord("<")) & (words.body[1:] == ord("|"))) if len(words.body) > 1 else np.zeros(0, np.int64)
+        exact = np.unique(np.searchsorted(words.starts, marks, side="right") - 1)
+        if len(exact):
+            keys = keys.copy()
+            keys[exact] = mix(word_hashes(words.body, words.starts[exact], words.ends[exact], False) + np.uint64(1))
+        distinct, first, place = np.unique(keys, return_index=True, return_inverse=True)
+        at = self._find(distinct)
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            self._learn(distinct, new, words, first[new])
+            at = self._find(distinct)
+        at = at[place]
+        sizes = self.cuts[at + 1] - self.cuts[at]
+        ends = np.cumsum(sizes)
+        out = self.ids[np.repeat(self.cuts[at] - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        return out, np.r_[0, ends][words.first]
+
+    def _find(self, keys: np.ndarray) -> np.ndarray:
+        """Where each key is kept, or -1."""
+        if not len(self.keys):
+            return np.full(len(keys), -1)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, at, -1)
+
+    def _learn(self, wanted: np.ndarray, new: np.ndarray, words: Words, at: np.ndarray) -> None:
+        """Ids of new words, kept beside what is known; beyond the memory only the ``wanted`` words stay."""
+        body, starts, ends = words.body.tobytes(), words.starts[at].tolist(), words.ends[at].tolist()
+        found = [e.ids for e in self.tokenizer.encode_batch_fast([body[a:b].decode() for a, b in zip(starts, ends)], add_special_tokens=False)]
+        keys, cuts, ids = self.keys, self.cuts, self.ids
+        if 16 * len(keys) + 4 * len(ids) > _MEMORY:
+            old = np.flatnonzero(np.isin(keys, wanted))
+            sizes = np.diff(cuts)[old]
+            ids = ids[np.repeat(cuts[old] - np.r_[0, np.cumsum(sizes)[:-1]], sizes) + np.arange(int(sizes.sum()))] if len(old) else ids[:0]
+            keys, cuts = keys[old], np.r_[0, np.cumsum(sizes)]
+        sizes = np.r_[np.diff(cuts), [len(x) for x in found]].astype(np.int64)
+        pool = np.concatenate([ids, np.fromiter((i for x in found for i in x), "<u4")])
+        keys = np.r_[keys, wanted[new]]
+        order = np.argsort(keys, kind="stable")
+        begins = (np.cumsum(sizes) - sizes)[order]
+        sizes = sizes[order]
+        cuts = np.r_[0, np.cumsum(sizes)]
+        self._keep(keys[order], cuts, pool[np.repeat(begins - cuts[:-1], sizes) + np.arange(len(pool))])
 
 
 def _word_ids(path: str) -> WordIds:
@@ -101,22 +129,35 @@ def _word_ids(path: str) -> WordIds:
     return _TOKENIZERS[path]
 
 
+def by_bytes(column: pa.Array, most: int) -> Iterator[slice]:
+    """Slices of rows of about ``most`` bytes of text; a longer text is one by itself."""
+    _, at = buffers(column)
+    row = 0
+    while row < len(column):
+        end = max(row + 1, int(np.searchsorted(at, at[row] + most, side="right")) - 1)
+        yield slice(row, end)
+        row = end
+
+
 def token_pieces(
     docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end_id: int = 2,
 ) -> DataFrame:
-    """``doc_id, start, length, ids_crc32, doc_tokens`` of every piece; texts are read a few at a time."""
+    """``doc_id, start, length, ids_crc32, doc_tokens`` of every piece; texts are read a few MB at a time."""
+    end = np.array([end_id], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = _word_ids(tokenizer)
         for batch in batches:
-            for i in range(0, batch.num_rows, _TEXTS):
+            for part in by_bytes(batch.column(1), _TEXT_BYTES):
                 rows = [[], [], [], [], []]
-                ids, texts = batch.column(0)[i : i + _TEXTS].to_pylist(), batch.column(1)[i : i + _TEXTS].to_pylist()
-                for doc, value in zip(ids, texts):
-                    tokens = np.append(own.of(value or ""), np.uint32(end_id)).astype("<u4")
-                    for start in range(0, len(tokens), capacity):
-                        piece = tokens[start : start + capacity]
-                        for column, x in zip(rows, (doc, start, len(piece), zlib.crc32(piece.tobytes()), len(tokens))):
+                docs, texts = (c.slice(part.start, part.stop - part.start) for c in batch.columns)
+                ids, cuts = own.of(texts)
+                for doc, a, b in zip(docs.to_pylist(), cuts[:-1].tolist(), cuts[1:].tolist()):
+                    total = b - a + 1
+                    tokens = ids[a:b].tobytes() + end
+                    for start in range(0, total, capacity):
+                        piece = tokens[4 * start : 4 * (start + capacity)]
+                        for column, x in zip(rows, (doc, start, len(piece) // 4, zlib.crc32(piece), total)):
                             column.append(x)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, pa.int64()) for c in rows], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"]

@@ -3,17 +3,17 @@
 from __future__ import annotations
 
 import hashlib
-import os
 from collections.abc import Iterator
 
+import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.llm import audit, crosspolytope, debruijn, decontaminate, jaccard, lines, merkle, packing, quality, rules, suffixes, tokencount, warc
 
-#: Folder of the public tokenizer files.
-TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
+#: Place of a public tokenizer file.
+tokenizer_path = public_tokenizers.path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -63,13 +63,13 @@ def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = packing.token_pieces(_documents(spark, sf_dir), f"{TOKENIZERS}/word_bpe_49k.json")
+    pieces = packing.token_pieces(_documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"))
     return packing.pack(pieces)
 
 
 def op7_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: unigram tokens under the pieces and scores of the public 32k model."""
-    return tokencount.token_counts(_documents(spark, sf_dir), f"{TOKENIZERS}/piece_bpe_32k.model").select("doc_id", "n_tokens")
+    return tokencount.token_counts(_documents(spark, sf_dir), tokenizer_path("piece_bpe_32k.model")).select("doc_id", "n_tokens")
 
 
 def op8_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
