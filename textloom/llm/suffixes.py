@@ -6,8 +6,8 @@ minimisers, so every repeated passage of ``size`` words holds such an anchor at
 same place in all its copies.
 
 1. Anchors that no other document has are left out (one question a cell).
-2. The others go to the bucket of their anchor, with the words a window around them can reach.
-   A bucket sorts its suffixes by their words to the right and compares
+2. The others go to the bucket of their anchor, with the words a window around them can reach; what
+   a cell holds several times goes once, with its smallest id.  A bucket sorts its suffixes by their words to the right and compares
    neighbours; what matches no neighbour far enough for any window goes no further.
 3. Matches are extended left: for each number of words to the left, the suffixes
    that begin there are sorted and neighbours compared over ``size`` words; the
@@ -65,6 +65,34 @@ def _suffixes(cell: Cell, anchors: np.ndarray, size: int, part: int) -> np.ndarr
     return out
 
 
+def _alike(suffixes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first of each kind of equal anchors and words, by the smallest id, and for every suffix the number of its kind."""
+    words, key = suffixes["w"], suffixes["h"].copy()
+    power = np.multiply.accumulate(np.r_[np.uint64(1), np.full(words.shape[1] - 1, _STEP)])
+    for j in range(words.shape[1]):
+        key += mix(words[:, j].astype(np.uint64)) * power[j]
+    order = np.lexsort((suffixes["id"], key))
+    new = np.ones(len(order), bool)
+    same = np.flatnonzero(key[order][1:] == key[order][:-1])
+    x, y = suffixes[order[same + 1]], suffixes[order[same]]
+    new[same + 1] = (x["h"] != y["h"]) | (x["w"] != y["w"]).any(axis=1)
+    kind = np.empty(len(order), np.int64)
+    kind[order] = np.cumsum(new) - 1
+    return order[new], kind
+
+
+def _whole_windows(suffixes: np.ndarray, size: int, part: int) -> np.ndarray:
+    """Bit l of each suffix: the window that begins l words left of the anchor lies in the document."""
+    words, reach = suffixes["w"], size - part
+    inside = words > 0
+    first, stop = inside.argmax(axis=1), words.shape[1] - inside[:, ::-1].argmax(axis=1)
+    bits = np.zeros(len(suffixes), np.uint64)
+    for left in range(reach + 1):
+        a = reach - left
+        bits[(first <= a) & (a + size <= stop)] |= np.uint64(1) << np.uint64(left)
+    return bits
+
+
 def _reach_of_neighbours(suffixes: np.ndarray, reach: int) -> np.ndarray:
     """Longest common run to the right of the anchor start with a neighbour in suffix order."""
     words = suffixes["w"]
@@ -140,7 +168,10 @@ def remove_passages(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     def tell(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         cell, anchors, buckets = dealt(left, right)
         _, present, cuts = split_by(buckets)
-        data = [_suffixes(cell, anchors[a:b], size, part).tobytes() for a, b in zip(cuts, cuts[1:])]
+        data = []
+        for a, b in zip(cuts, cuts[1:]):
+            own = _suffixes(cell, anchors[a:b], size, part)
+            data.append(own[_alike(own)[0]].tobytes())
         return messages(present, key[0].as_py(), 1, data)
 
     def compare(group: pa.Table) -> pa.Table:
@@ -154,7 +185,15 @@ def remove_passages(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     def spans(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         cell, anchors, buckets = dealt(left, right)
         told = answered(right, 1)
-        bits = np.frombuffer(b"".join(told[b] for b in np.unique(buckets).tolist()), "<u8")
+        _, present, cuts = split_by(buckets)
+        each = [np.zeros(0, np.uint64)]
+        for bucket, a, b in zip(present.tolist(), cuts, cuts[1:]):
+            own = _suffixes(cell, anchors[a:b], size, part)
+            first, number = _alike(own)
+            said = np.frombuffer(told[bucket], "<u8")[number]
+            # what the smallest id of the cell holds too is earlier for all others
+            each.append(np.where(own["id"] > own["id"][first][number], _whole_windows(own, size, part), said))
+        bits = np.concatenate(each)
         start = [np.zeros(0, np.int64)]
         for left_words in range(size - part + 1):
             start.append(anchors[(bits >> np.uint64(left_words) & np.uint64(1)) > 0] - left_words)
