@@ -56,6 +56,20 @@ def test_decontamination(spark, table, odd, block):
             assert len(brute_hits(raw, items)[2]) and brute_hits(raw, items)[0] == s["last_word"] - s["first_word"] + 1
 
 
+def test_decontamination_of_little(spark, odd):
+    """Empty tables, items without an id, and columns of inner names."""
+    named = odd.withColumns({"_block_words": F.lit(1), "hit_spans": F.lit("x"), "n_words": F.lit(None).cast("int")})
+    none = spark.createDataFrame([], "item_id long, text string")
+    for bench in (none, spark.createDataFrame([(None, "one two")], "item_id long, text string")):
+        out = decontaminate.find_contamination(named, bench)
+        assert out.where("size(hit_items) = 0 and size(hit_spans) = 0").count() == odd.count() and "_block_words" in out.columns
+    some = spark.createDataFrame([(1, "one two"), (2, "ONE")], "item_id long, text string")
+    assert decontaminate.find_contamination(named.limit(0), some).count() == 0
+    for block in (decontaminate.BLOCK_BYTES, 4):
+        got = decontaminate.find_contamination(named, some, block_bytes=block).where("doc_id = 6").first()
+        assert got["hit_items"] == [1, 2] and got["n_words"] == 2 and len(got["hit_spans"]) == 1
+
+
 # 2 quality
 
 def test_quality_on_held_out_rows(spark):
@@ -282,8 +296,28 @@ def test_patience():
 
 # 6 packing
 
+def test_word_ids_are_those_of_the_tokenizer():
+    """Special tokens, case, apostrophes, marks that combine, odd blanks; also when words are forgotten."""
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    path = registry.tokenizer_path("word_bpe_49k.json")
+    tokenizer, rng = Tokenizer.from_file(path), random.Random(7)
+    parts = ["a", "B", "don't", "'S", "<|endoftext|>", "<|ENDOFTEXT|>", "<|startoftext|>", "<|", "|>", "é", "e\u0301", "Σ", "ß", "12", "\u00a0", "\u2028", "\x1c", "☃", "İ", " ", " ", "\n", "\t"]
+    texts = ["".join(rng.choices(parts, k=rng.randrange(12))) for _ in range(600)] + ["a<|endoftext|>b", "<|endoftext|>", None, "", "x<|endoftext|> <|EndOfText|>"]
+    own = packing.WordIds(path)
+    for memory in (packing._MEMORY, 100):
+        packing_memory, packing._MEMORY = packing._MEMORY, memory
+        for at in range(0, len(texts), 100):
+            ids, cuts = own.of(pa.array(texts[at : at + 100]))
+            got = [ids[a:b].tolist() for a, b in zip(cuts, cuts[1:])]
+            assert got == [tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts[at : at + 100]]
+        packing._MEMORY = packing_memory
+    assert own.of(pa.array(["a<|endoftext|>b"]))[0].tolist() == [320, 49407, 321]
+
+
 def test_packing(odd):
-    path = f"{registry.TOKENIZERS}/word_bpe_49k.json"
+    path = registry.tokenizer_path("word_bpe_49k.json")
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
@@ -323,19 +357,23 @@ def test_first_fit_is_first_fit():
 def test_token_counts_match_the_public_unigram_tokenizer(spark, odd):
     from tokenizers import Tokenizer, models
 
-    pieces, _ = tokencount.model_pieces(f"{registry.TOKENIZERS}/piece_bpe_32k.model")
+    pieces, _ = tokencount.model_pieces(registry.tokenizer_path("piece_bpe_32k.model"))
     public = Tokenizer(models.Unigram([("<unk>", 0.0), *pieces], 0, False))
     rng = random.Random(8)
     texts = [r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").limit(60).collect()]
     texts += ["".join(rng.choices("abe  nthé\n.1", k=rng.randrange(40))) for _ in range(200)]
     counts = tokencount.SegmentCounts(pieces, False)
-    for text in texts:
-        marked = tokencount.MARK + text.replace(" ", tokencount.MARK)
-        ids = public.encode(marked).ids if text else []
-        known = [i for k, i in enumerate(ids) if i or not k or ids[k - 1]]  # the public tokenizer merges unknown neighbours
-        own = tokencount.count_text(counts, text)
-        assert own == len(ids) or (0 in ids and own >= len(known))
-    out = tokencount.token_counts(odd, f"{registry.TOKENIZERS}/piece_bpe_32k.model")
+    texts += ["".join(rng.choices("\u0e01\u0e02 a\U0001f600\U0001f601", k=rng.randrange(30))) for _ in range(100)] + ["ab\u0e01" * 60, "é" * 300]
+    ids = [public.encode(tokencount.MARK + t.replace(" ", tokencount.MARK)).ids if t else [] for t in texts]
+    assert any(0 in i for i in ids)
+    assert counts.totals(texts) == [len(i) for i in ids] == [tokencount.count_text(counts, t) for t in texts]
+    real = [("<unk>", 0.0), *((p, s / 7) for p, s in pieces[:3000])]
+    other = Tokenizer(models.Unigram(real, 0, False))
+    fine = tokencount.SegmentCounts(real[1:], False)
+    want = [len(other.encode(tokencount.MARK + t.replace(" ", tokencount.MARK)).ids) if t else 0 for t in texts]
+    assert sum(a != b for a, b in zip(fine.totals(texts), want)) <= 2  # the public one sums in 64 bits
+    assert tokencount.token_counts(odd.limit(0), registry.tokenizer_path("piece_bpe_32k.model")).count() == 0
+    out = tokencount.token_counts(odd, registry.tokenizer_path("piece_bpe_32k.model"))
     got = {(r["doc_id"], r["text"]): r["n_tokens"] for r in out.collect()}
     assert got[3, None] == got[4, ""] == 0 and got[1, odd.first()["text"]] > 80 and out.where("doc_id = 2").select("n_tokens").distinct().count() == 1
 
@@ -348,6 +386,20 @@ def test_token_count_ties_and_unknowns():
     assert counts.count("▁aé") == 3 and tokencount.SegmentCounts(pieces, False).count("▁aé") == 2
     real = tokencount.SegmentCounts([(p, s / 3) for p, s in pieces], False)
     assert real.count("▁abab") == 3
+    rng = random.Random(5)
+    for byte_pieces in (True, False):
+        for scale in (1, 3):
+            own = tokencount.SegmentCounts([(p, s / scale) for p, s in pieces], byte_pieces)
+            texts = ["▁" + "".join(rng.choices("abcé☃", k=rng.randrange(60))) for _ in range(200)]
+            assert own.count_all(texts) == [own._viterbi_one(t) for t in texts]
+
+
+def test_token_memory_keeps_two_generations(monkeypatch):
+    monkeypatch.setattr(tokencount, "MEMORY", 40)
+    own = tokencount.SegmentCounts([("▁", -1.0), ("a", -1.0), ("aa", -1.5)], False)
+    for n in range(30):
+        assert own.totals(["a" * n + " a", None, ""]) == [(1 + (n + 1) // 2 if n else 1) + 2, 0, 0]
+        assert sum(map(len, own.young)) + sum(map(len, own.old)) <= 80 + 2 * 33
 
 
 # 8 rules
@@ -378,6 +430,55 @@ def test_rules(spark, odd):
     assert rules.judge(stats.limit(0)).count() == 0
 
 
+def brute_posteriors(patterns, turns=200, right=8.0, wrong=2.0):
+    """EM for {votes: count}, document class by document class, in plain arithmetic."""
+    import math
+
+    m = len(next(iter(patterns)))
+    good, bad, share, post = [right / (right + wrong)] * m, [right / (right + wrong)] * m, 0.8, dict.fromkeys(patterns, 0.5)
+    for _ in range(turns):
+        new = {}
+        for votes in patterns:
+            a, b = share, 1 - share
+            for k, v in enumerate(votes):
+                a *= good[k] if v == rules.GOOD else 1 - good[k] if v == rules.BAD else 1
+                b *= bad[k] if v == rules.BAD else 1 - bad[k] if v == rules.GOOD else 1
+            new[votes] = a / (a + b)
+        moved, post = max(abs(new[v] - post[v]) for v in patterns), new
+        hold = lambda x: min(max(x, 0.55), 0.999)
+        for k in range(m):
+            said = lambda c: sum(n * post[v] for v, n in patterns.items() if v[k] == c)
+            said_bad = lambda c: sum(n * (1 - post[v]) for v, n in patterns.items() if v[k] == c)
+            good[k] = hold((said(rules.GOOD) + right) / (said(rules.GOOD) + right + said(rules.BAD) + wrong))
+            bad[k] = hold((said_bad(rules.BAD) + right) / (said_bad(rules.BAD) + right + said_bad(rules.GOOD) + wrong))
+        n = sum(patterns.values())
+        share = min(max((sum(c * post[v] for v, c in patterns.items()) + right) / (n + right + wrong), 0.02), 0.98)
+        if moved < 1e-9:
+            break
+    assert all(math.isfinite(p) for p in post.values())
+    return post
+
+
+def test_verdicts_against_brute_force(spark, odd):
+    """Posterior and verdict of every row, with columns of inner and of result names."""
+    docs = odd.select("doc_id", "text").union(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text"))
+    stats = rules.text_stats(docs).withColumns({"_vote_size": F.lit(9), "_vote0": F.lit(8), "p_good": F.lit(0.1)})
+    named = rules.default_rules()
+    voted = stats.withColumns({f"v{k}": v for k, v in enumerate(named.values())}).withColumn("failed", rules.base_failed())
+    want, patterns = voted.collect(), {}
+    for r in want:
+        if not r["failed"]:
+            key = tuple(r[f"v{k}"] for k in range(len(named)))
+            patterns[key] = patterns.get(key, 0) + 1
+    post = brute_posteriors(patterns)
+    expected = sorted((r["doc_id"] or 0, r["n_words"], r["word_chars"], not r["failed"] and post[tuple(r[f"v{k}"] for k in range(len(named)))] >= 0.5) for r in want)
+    out = rules.judge(stats)
+    assert {"_vote_size", "_vote0", "p_good"} < set(out.columns) and out.where("_vote_size = 9 and _vote0 = 8").count() == len(want)
+    assert sorted((r["doc_id"] or 0, r["n_words"], r["word_chars"], r["kept"]) for r in out.collect()) == expected
+    near = {tuple(r[f"v{k}"] for k in range(len(named))): post.get(tuple(r[f"v{k}"] for k in range(len(named)))) for r in want}
+    assert any(p is not None and 0.01 < p < 0.99 for p in near.values()) or len(patterns) > 3
+
+
 def test_rules_keep_clean_documents(spark):
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     out = registry.op8_rules(spark, "/root/testdata/sf0.01").join(labels, "doc_id")

@@ -81,6 +81,13 @@ def with_fields(schema: T.StructType, **fields: str) -> T.StructType:
     return T.StructType([*schema.fields, *added.fields])
 
 
+def free_name(df: DataFrame, wanted: str) -> str:
+    """``wanted``, with underscores behind it while a column of ``df`` begins so."""
+    while any(c.lower().startswith(wanted.lower()) for c in df.columns):
+        wanted += "_"
+    return wanted
+
+
 def store(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared checkpoint folder and read back: the work is done once, lineage ends."""
     spark = df.sparkSession

@@ -6,14 +6,16 @@ once.  A document is normalised the same way, scanned once, and the end of each
 match is mapped to word numbers and to byte offsets of the original text.
 
 Defined cases: null and empty texts have no words and no hits; an item without
-words has no window; windows shared by items hit all of them; equal rows give
+words or without an id has no window; an empty benchmark hits nothing; texts of any length are scanned whole; windows shared by items hit all of them; equal rows give
 equal rows; other columns of ``docs`` pass through, and input columns that have the
 name of a result column (``columns``) are replaced.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
+from functools import partial
 
 import ahocorasick
 import numpy as np
@@ -67,8 +69,23 @@ def automaton(items: list[tuple[int, str]], size: int = WINDOW) -> tuple[ahocora
     return found, list(owners.values())
 
 
-def _scan(batches: Iterator[pa.RecordBatch], items: list[tuple[int, str]], text: str, size: int) -> Iterator[pa.RecordBatch]:
-    built = automaton(items, size)
+#: Automata of a Python worker, by the digest of their items; the last few are kept.
+_BUILT: dict[tuple[str, int], tuple | None] = {}
+
+
+def _automaton_of(digest: str, items: list[tuple[int, str]], size: int):
+    if (digest, size) not in _BUILT:
+        if len(_BUILT) >= 2:
+            _BUILT.pop(next(iter(_BUILT)))
+        _BUILT[digest, size] = automaton(items, size)
+    return _BUILT[digest, size]
+
+
+def _scan(
+    batches: Iterator[pa.RecordBatch], digest: str, items: list[tuple[int, str]], text: str, size: int, columns: tuple[str, str, str],
+) -> Iterator[pa.RecordBatch]:
+    """Batches with the result columns; where they are there, from another automaton, results are merged."""
+    built = _automaton_of(digest, items, size)
     kind = pa.struct([(f.name, pa.int64()) for f in SPAN])
     for batch in batches:
         column = batch.column(text)
@@ -96,11 +113,16 @@ def _scan(batches: Iterator[pa.RecordBatch], items: list[tuple[int, str]], text:
             for a, b in zip(first[order][new], reach[np.r_[np.flatnonzero(new)[1:] - 1, len(reach) - 1]]):
                 spans[-1].append((int(a), int(b), int(starts[a]), int(ends[b])))
             owners[-1] = sorted({i for _, (_, w) in hits for i in built[1][w]})
+        if columns[0] in batch.schema.names:
+            known, seen = (batch.column(c).to_pylist() for c in columns[1:])
+            spans = [_merge([tuple(x.values()) for x in a] + b) for a, b in zip(known, spans)]
+            owners = [sorted({*a, *b}) for a, b in zip(seen, owners)]
+            batch = batch.select([c for c in batch.schema.names if c not in columns])
         yield pa.RecordBatch.from_arrays(
             [*batch.columns, pa.array(counts, pa.int64()),
              pa.array([[dict(zip(SPAN.names, s)) for s in row] for row in spans], pa.list_(kind)),
              pa.array(owners, pa.list_(pa.int64()))],
-            names=[*batch.schema.names, "_block_words", "_block_spans", "_block_items"],
+            names=[*batch.schema.names, *columns],
         )
 
 
@@ -131,24 +153,17 @@ def find_contamination(
     ).withColumn("b", F.octet_length("t"))
     total = sizes.agg(F.sum("b")).first()[0] or 0
     blocks = max(1, -(-int(total) // block_bytes))
-    out = docs.select(
-        "*", F.lit(0).cast("long").alias(columns[0]), F.lit(None).cast(T.ArrayType(SPAN)).alias(columns[1]),
-        F.lit(None).cast("array<bigint>").alias(columns[2]),
-    )
+    schema = T.StructType([
+        *docs.schema.fields, T.StructField(columns[0], T.LongType()), T.StructField(columns[1], T.ArrayType(SPAN)),
+        T.StructField(columns[2], T.ArrayType(T.LongType())),
+    ])
+    out = docs
     for number in range(blocks):
         own = sizes.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == number).select("i", "t")
-        items = [(r["i"], r["t"]) for r in own.collect()]
-        schema = T.StructType([
-            *out.schema.fields, T.StructField("_block_words", T.LongType()), T.StructField("_block_spans", T.ArrayType(SPAN)),
-            T.StructField("_block_items", T.ArrayType(T.LongType())),
-        ])
-        found = out.mapInArrow(lambda batches, items=items: _scan(batches, items, text, size), schema)
-        if number:
-            merge = F.udf(_merge, T.ArrayType(SPAN))
-            spans, hit = merge(F.concat(columns[1], "_block_spans")), F.array_sort(F.array_union(columns[2], "_block_items"))
-        else:
-            spans, hit = F.col("_block_spans"), F.col("_block_items")
-        out = found.withColumns({columns[0]: F.col("_block_words"), columns[1]: spans, columns[2]: hit}).drop("_block_words", "_block_spans", "_block_items")
+        items = sorted((r["i"], r["t"]) for r in own.where("i is not null").collect())
+        digest = hashlib.sha256(repr(items).encode()).hexdigest()
+        scan = partial(_scan, digest=digest, items=items, text=text, size=size, columns=columns)
+        out = out.mapInArrow(scan, schema)
     return out
 
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.cells import store, with_fields
+from textloom.llm.cells import free_name, store, with_fields
 from textloom.llm.words import BLANKS, Words, grams
 
 WINDOW = 8
@@ -137,9 +137,10 @@ def estimate(votes: np.ndarray, counts: np.ndarray, turns: int = 200, right: flo
 
 
 def judge(stats: DataFrame, rules: dict[str, Column] | None = None, threshold: float = 0.5) -> DataFrame:
-    """``stats`` plus ``base_failed``, ``p_good`` and ``kept``."""
-    rules = rules or default_rules()
-    names = [f"_vote_{name}" for name in rules]
+    """``stats`` plus ``base_failed``, ``p_good`` and ``kept``; input columns of these names are replaced."""
+    rules, stats = rules or default_rules(), stats.drop("base_failed", "p_good", "kept")
+    prefix = free_name(stats, "_vote")
+    names = [f"{prefix}{number}" for number in range(len(rules))]
     voted = store(stats.withColumn("base_failed", base_failed()).withColumns(dict(zip(names, rules.values()))), "votes")
     patterns = voted.where("not base_failed").groupBy(*names).count().toPandas()  # at most 3 ** rules rows
     votes = patterns[names].to_numpy().reshape(-1, len(names))
