@@ -5,7 +5,9 @@ kept and returns a DataFrame; all but the last return the columns of ``documents
 
 Defined cases: null texts pass the stages as texts without words; a document
 that line de-duplication leaves without a word goes, one that had none stays; rows
-that share an id share the decisions on near duplicates; a row without an id is never a duplicate.
+that share an id share the decisions on near duplicates, so all of them stay or go, and each is packed; a row
+without an id is never a duplicate; texts of any length are worked on whole; an empty table passes as an empty
+table; columns beside those of ``documents`` pass the first four stages unchanged, whatever their names.
 """
 
 from __future__ import annotations
@@ -14,8 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.llm import decontaminate, jaccard, lines, packing, quality
-from textloom.llm.cells import store
-from textloom.llm.registry import TOKENIZERS
+from textloom.llm.cells import free_name, store
+from textloom.llm.registry import tokenizer_path
 
 HAS_WORD = r"[^\x20\x09-\x0D]"
 
@@ -24,14 +26,16 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Documents that the classifier scores 0.5 or more; learned from the labelled rows that are not held out."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
     model = quality.learn(docs, labels)
-    return quality.score(docs, model, out="_quality").where("_quality >= 0.5").drop("_quality")
+    mark = free_name(docs, "_quality")
+    return quality.score(docs, model, out=mark).where(F.col(mark) >= 0.5).select(docs.columns)
 
 
 def without_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Aligned common blocks go from the later document, and a document of which nothing is left goes."""
-    out = lines.dedup_lines(docs, out="_gone")
-    left = F.col("_gone").isNull() | F.col("text").rlike(HAS_WORD)
-    size = F.when(F.col("_gone").isNotNull(), F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
+    mark = free_name(docs, "_gone")
+    out, whole = lines.dedup_lines(docs, out=mark), F.col(mark).isNull()
+    left = whole | F.col("text").rlike(HAS_WORD)
+    size = F.when(~whole, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
     return out.where(left).withColumn("n_chars", size).select(docs.columns)
 
 
@@ -45,14 +49,15 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that benchmark windows do not contaminate."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
-    found = decontaminate.find_contamination(docs, benchmark, columns=("_words", "_spans", "_items"))
-    bad = decontaminate.is_contaminated(decontaminate.hit_words("_spans"), F.col("_words"))
+    words, spans, items = (free_name(docs, name) for name in ("_words", "_spans", "_items"))
+    found = decontaminate.find_contamination(docs, benchmark, columns=(words, spans, items))
+    bad = decontaminate.is_contaminated(decontaminate.hit_words(spans), F.col(words))
     return found.where(~bad).select(docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces with their place in sequences of 4096 tokens."""
-    return packing.pack(packing.token_pieces(docs, f"{TOKENIZERS}/word_bpe_49k.json"))
+    return packing.pack(packing.token_pieces(docs, tokenizer_path("word_bpe_49k.json")))
 
 
 STAGES = [
