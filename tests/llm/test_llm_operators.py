@@ -367,11 +367,11 @@ def test_token_counts_match_the_public_unigram_tokenizer(spark, odd):
     ids = [public.encode(tokencount.MARK + t.replace(" ", tokencount.MARK)).ids if t else [] for t in texts]
     assert any(0 in i for i in ids)
     assert counts.totals(texts) == [len(i) for i in ids] == [tokencount.count_text(counts, t) for t in texts]
-    real = [("<unk>", 0.0), *((p, s / 7) for p, s in pieces[:3000])]
+    real = [("<unk>", 0.0), *[(p, s / 8) for p, s in pieces if s > -10_000][:3000]]  # eighths add up exactly, in 32 and in 64 bits
     other = Tokenizer(models.Unigram(real, 0, False))
     fine = tokencount.SegmentCounts(real[1:], False)
     want = [len(other.encode(tokencount.MARK + t.replace(" ", tokencount.MARK)).ids) if t else 0 for t in texts]
-    assert sum(a != b for a, b in zip(fine.totals(texts), want)) <= 2  # the public one sums in 64 bits
+    assert fine.totals(texts) == want
     assert tokencount.token_counts(odd.limit(0), registry.tokenizer_path("piece_bpe_32k.model")).count() == 0
     out = tokencount.token_counts(odd, registry.tokenizer_path("piece_bpe_32k.model"))
     got = {(r["doc_id"], r["text"]): r["n_tokens"] for r in out.collect()}

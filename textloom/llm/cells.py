@@ -4,18 +4,20 @@ A *cell* is a hash group of documents, a *bucket* a hash group of keys.  Cells
 send their distinct keys to buckets as packed arrays (a few bytes a key instead
 of a row), a bucket sees what all cells sent for its keys and answers in the
 order of the question.  A key that a third of all rows hold is sent once a cell.
-Both counts follow ``spark.sql.shuffle.partitions``, the setting that is sized to
-the data, so a group stays a few MB at any scale.
+Both counts follow the counted bytes of the data and not a setting.  Each cell sends
+to each bucket, so messages grow with the square of the cells; a cell therefore grows with the root of the
+data, which keeps some hundreds of keys in a message, up to what one task should hold.
 """
 
 from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,12 +27,20 @@ MESSAGE = pa.schema([("to", pa.int32()), ("cell", pa.int32()), ("kind", pa.int32
 MESSAGE_DDL = "to int, cell int, kind int, data binary"
 
 
-def cell_count(spark: SparkSession) -> int:
-    return max(64, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+#: Cells and buckets at least, and bytes of text in a cell: at least, and at most.
+LEAST, CELL_BYTES = 64, (8 << 20, 64 << 20)
+_MESSAGE_BYTES = 3072  # some 500 keys of six bytes
 
 
-def bucket_count(spark: SparkSession) -> int:
-    return max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
+def group_counts(size: int | None) -> tuple[int, int]:
+    """Cells and buckets for so many bytes of text."""
+    size = int(size or 0)
+    cells = max(LEAST, -(-size // min(max(CELL_BYTES[0], isqrt(_MESSAGE_BYTES * size)), CELL_BYTES[1])))
+    return cells, max(LEAST, cells // 2)
+
+
+def text_bytes(docs: DataFrame, text: str) -> int | None:
+    return docs.agg(F.sum(F.octet_length(F.col(text)))).first()[0]
 
 
 def cell_of(count: int, *keys: str | Column) -> Column:

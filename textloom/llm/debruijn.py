@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.cells import MESSAGE_DDL, answered, ask, bucket_count, bucket_of, cell_count, cell_of, heard, messages, split_by, store
+from textloom.llm.cells import LEAST, MESSAGE_DDL, answered, ask, bucket_of, cell_of, group_counts, heard, messages, split_by, store, text_bytes
 from textloom.llm.repeats import Cell, ask_minimisers, cut_words, shared_minimisers, text_cells
 from textloom.llm.words import grams, mix
 
@@ -112,10 +112,9 @@ def _paths(cell: Cell, edges: np.ndarray, said: np.ndarray, places: np.ndarray)
     return first, last
 
 
-def compact_paths(texts: DataFrame, size: int = WINDOW, part: int = PART) -> DataFrame:
+def compact_paths(texts: DataFrame, size: int = WINDOW, part: int = PART, buckets: int = LEAST) -> DataFrame:
     """``key, proof, id, sig, start, edges``: every occurrence of every compacted path."""
-    buckets = bucket_count(texts.sparkSession)
-    shared = ask_minimisers(texts, size, part)
+    shared = ask_minimisers(texts, size, part, buckets)
 
     def tell(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         cell = Cell(left, size, part)
@@ -152,12 +151,12 @@ def compact_paths(texts: DataFrame, size: int = WINDOW, part: int = PART) -> Dat
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = WINDOW) -> DataFrame:
     """``doc_id, n_words, n_removed, kept``: each row without words in windows that start in a document with a smaller id."""
-    texts = text_cells(docs, key, text)
-    paths = store(compact_paths(texts, size), "paths")
+    cells, buckets = group_counts(text_bytes(docs, text))
+    texts = text_cells(docs, key, text, cells)
+    paths = store(compact_paths(texts, size, buckets=buckets), "paths")
     source = paths.groupBy("key", "edges").agg(F.min(F.struct("id", "start", "proof")).alias("source"))
     copies = paths.join(source, ["key", "edges"]).where("id > source.id and proof = source.proof")
-    count = cell_count(docs.sparkSession)
     spans = copies.select(
-        cell_of(count, "id").alias("cell"), "id", "sig", "start", (F.col("start") + F.col("edges") + (size - 1)).alias("stop")
+        cell_of(cells, "id").alias("cell"), "id", "sig", "start", (F.col("start") + F.col("edges") + (size - 1)).alias("stop")
     )
     return cut_words(texts, spans)

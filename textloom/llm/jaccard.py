@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.llm.cells import (
-    MESSAGE_DDL, answered, ask, bucket_count, bucket_of, cell_count, cell_of, heard, in_cells, messages, split_by, store,
+    MESSAGE_DDL, answered, ask, bucket_of, cell_of, group_counts, heard, in_cells, messages, split_by, store,
 )
 from textloom.llm.components import components
 from textloom.llm.words import BLANKS, Words, grams, whole
@@ -160,8 +160,6 @@ def link_components(
     docs: DataFrame, key: str = "doc_id", text: str = "text", num: int = 75, den: int = 100, size: int = SIZE,
 ) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row of ``docs``."""
-    spark = docs.sparkSession
-    count, buckets = cell_count(spark), bucket_count(spark)
     given = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("t"))
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,6 +174,7 @@ def link_components(
             )
 
     rows = store(given.mapInArrow(digest, "id long, n long, d1 long, d2 long"), "sets")
+    count, buckets = group_counts(6 * (rows.agg(F.sum("n")).first()[0] or 0))  # a shingle begins every six bytes or so
     classes = rows.where("n > 0 and id is not null").groupBy("d1", "d2").agg(F.min("id").alias("rep"))
     classes = store(classes, "classes")
     texts = in_cells(given.where("id is not null"), count, "id")

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.cells import MESSAGE, MESSAGE_DDL, ask, bucket_of, bucket_count, cell_count, cell_of, heard, messages, split_by, store
+from textloom.llm.cells import MESSAGE, MESSAGE_DDL, ask, bucket_of, cell_of, group_counts, heard, messages, split_by, store
 from textloom.llm.words import BLANKS, bounds, buffers, mix, word_hashes
 
 MIN_WORDS = 10
@@ -343,8 +343,8 @@ def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_
 
     Nothing is collected but, each round, whether runs are still open.
     """
-    count, buckets = cell_count(docs.sparkSession), bucket_count(docs.sparkSession)
     rows = store(line_table(docs, key, text), "lines")
+    count, buckets = group_counts(6 * (rows.agg(F.sum(F.octet_length("lines"))).first()[0] or 0))  # a hash stands for some fifty bytes
     dealt = rows.withColumn("cell", cell_of(count, "id", "sig")).repartition("cell")
 
     def tell(key: tuple, left: pa.Table) -> pa.Table:

@@ -13,16 +13,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.cells import MESSAGE_DDL, answered, ask, bucket_count, bucket_of, cell_count, heard, in_cells, messages, store
+from textloom.llm.cells import LEAST, MESSAGE_DDL, answered, ask, bucket_of, heard, in_cells, messages, store
 from textloom.llm.words import BLANKS, Words, grams
 
 _LOW = np.uint64(0xFFFFFFFF)
 
 
-def text_cells(docs: DataFrame, key: str, text: str) -> DataFrame:
+def text_cells(docs: DataFrame, key: str, text: str, cells: int = LEAST) -> DataFrame:
     """``cell, id, sig, t``: the rows of ``docs`` dealt to cells."""
     given = docs.select(F.col(key).cast("long").alias("id"), F.xxhash64(text).alias("sig"), F.col(text).alias("t"))
-    return in_cells(given, cell_count(docs.sparkSession), "id")
+    return in_cells(given, cells, "id")
 
 
 class Cell:
@@ -65,10 +65,8 @@ def _twice(group: pa.Table) -> pa.Table:
     return messages(group["to"].to_numpy(), group["cell"].to_numpy(), 0, [np.packbits(p).tobytes() for p in np.split(found, np.cumsum(sizes)[:-1])])
 
 
-def ask_minimisers(texts: DataFrame, size: int, part: int) -> DataFrame:
+def ask_minimisers(texts: DataFrame, size: int, part: int, buckets: int) -> DataFrame:
     """Answers on the minimisers of each cell, to be read with ``shared_minimisers``."""
-    buckets = bucket_count(texts.sparkSession)
-
     def tell(key: tuple, left: pa.Table) -> pa.Table:
         cell = Cell(left, size, part)
         h, doc = cell.least[cell.valid], cell.doc[cell.row[: len(cell.valid)][cell.valid]]

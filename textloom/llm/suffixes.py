@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from textloom.llm.cells import MESSAGE_DDL, answered, ask, bucket_count, bucket_of, heard, messages, split_by, store
+from textloom.llm.cells import MESSAGE_DDL, answered, ask, bucket_of, group_counts, heard, messages, split_by, store, text_bytes
 from textloom.llm.repeats import Cell, ask_minimisers, cut_words, shared_minimisers, text_cells
 from textloom.llm.words import mix
 
@@ -154,9 +154,9 @@ def remove_passages(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     """``doc_id, n_words, n_removed, kept``: rows without the words of passages of ``size`` words or more that a smaller id has."""
     if size - part > 63:
         raise ValueError("an anchor reaches at most 63 words to the left")
-    buckets = bucket_count(docs.sparkSession)
-    texts = text_cells(docs, key, text)
-    shared = ask_minimisers(texts, size, part)
+    cells, buckets = group_counts(text_bytes(docs, text))
+    texts = text_cells(docs, key, text, cells)
+    shared = ask_minimisers(texts, size, part, buckets)
     kind = _record(size, part)
 
     def dealt(left: pa.Table, right: pa.Table) -> tuple[Cell, np.ndarray, np.ndarray]:
