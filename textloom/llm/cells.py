@@ -28,7 +28,7 @@ MESSAGE_DDL = "to int, cell int, kind int, data binary"
 
 
 #: Cells and buckets at least, and bytes of text in a cell: at least, and at most.
-LEAST, CELL_BYTES = 64, (8 << 20, 64 << 20)
+LEAST, CELL_BYTES = 64, (2 << 20, 64 << 20)
 _MESSAGE_BYTES = 3072  # some 500 keys of six bytes
 
 

@@ -32,6 +32,7 @@ from textloom.llm.words import mix
 SIZE = 50
 PART = 10
 _STEP = np.uint64(0xD6E8FEB86659FD93)
+_BACK = np.uint64(pow(int(_STEP), -1, 2**64))
 
 
 def _record(size: int, part: int) -> np.dtype:
@@ -65,32 +66,32 @@ def _suffixes(cell: Cell, anchors: np.ndarray, size: int, part: int) -> np.ndarr
     return out
 
 
-def _alike(suffixes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The first of each kind of equal anchors and words, by the smallest id, and for every suffix the number of its kind."""
-    words, key = suffixes["w"], suffixes["h"].copy()
-    power = np.multiply.accumulate(np.r_[np.uint64(1), np.full(words.shape[1] - 1, _STEP)])
-    for j in range(words.shape[1]):
-        key += mix(words[:, j].astype(np.uint64)) * power[j]
-    order = np.lexsort((suffixes["id"], key))
-    new = np.ones(len(order), bool)
-    same = np.flatnonzero(key[order][1:] == key[order][:-1])
-    x, y = suffixes[order[same + 1]], suffixes[order[same]]
-    new[same + 1] = (x["h"] != y["h"]) | (x["w"] != y["w"]).any(axis=1)
-    kind = np.empty(len(order), np.int64)
-    kind[order] = np.cumsum(new) - 1
-    return order[new], kind
-
-
-def _whole_windows(suffixes: np.ndarray, size: int, part: int) -> np.ndarray:
-    """Bit l of each suffix: the window that begins l words left of the anchor lies in the document."""
-    words, reach = suffixes["w"], size - part
-    inside = words > 0
-    first, stop = inside.argmax(axis=1), words.shape[1] - inside[:, ::-1].argmax(axis=1)
-    bits = np.zeros(len(suffixes), np.uint64)
-    for left in range(reach + 1):
-        a = reach - left
-        bits[(first <= a) & (a + size <= stop)] |= np.uint64(1) << np.uint64(left)
-    return bits
+class _Kinds:
+    """Anchors of a cell with equal words around them, as far as a window around the anchor can reach inside the document.
+
+    ``first``: of each kind the anchor of the smallest id, in rising order of their places; ``kind``: the number of every
+    anchor's kind; ``whole``: bit l tells whether the window that begins l words left of the anchor lies in the document.
+    """
+
+    def __init__(self, cell: Cell, anchors: np.ndarray, size: int, part: int):
+        reach, row = size - part, cell.row[anchors]
+        low = np.maximum(anchors - reach, cell.words.first[row])
+        high = np.minimum(anchors + size, cell.words.first[row + 1])
+        up, down = (np.cumprod(np.r_[np.uint64(1), np.full(len(cell.h), base, np.uint64)], dtype=np.uint64) for base in (_STEP, _BACK))
+        sums = np.r_[np.uint64(0), np.cumsum(mix(cell.h + np.uint64(1)) * up[:-1], dtype=np.uint64)]
+        around = mix((sums[high] - sums[low]) * down[low]) + ((anchors - low) << 8 | high - anchors).astype(np.uint64)
+        key = mix(mix(around) ^ cell.small[anchors])
+        order = np.lexsort((cell.ids[row], key))
+        new = np.ones(len(order), bool)
+        new[1:] = key[order][1:] != key[order][:-1]
+        places = order[new]
+        self.first = np.sort(places)
+        self.kind = np.empty(len(order), np.int64)
+        self.kind[order] = np.searchsorted(self.first, places)[np.cumsum(new) - 1]
+        self.whole = np.zeros(len(anchors), np.uint64)
+        for left in range(reach + 1):
+            inside = (anchors - left >= low) & (anchors - left + size <= high)
+            self.whole[inside] |= np.uint64(1) << np.uint64(left)
 
 
 def _reach_of_neighbours(suffixes: np.ndarray, reach: int) -> np.ndarray:
@@ -167,11 +168,9 @@ def remove_passages(docs: DataFrame, key: str = "doc_id", text: str = "text", si
 
     def tell(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         cell, anchors, buckets = dealt(left, right)
-        _, present, cuts = split_by(buckets)
-        data = []
-        for a, b in zip(cuts, cuts[1:]):
-            own = _suffixes(cell, anchors[a:b], size, part)
-            data.append(own[_alike(own)[0]].tobytes())
+        first = _Kinds(cell, anchors, size, part).first
+        _, present, cuts = split_by(buckets[first])
+        data = [_suffixes(cell, anchors[first[a:b]], size, part).tobytes() for a, b in zip(cuts, cuts[1:])]
         return messages(present, key[0].as_py(), 1, data)
 
     def compare(group: pa.Table) -> pa.Table:
@@ -185,15 +184,11 @@ def remove_passages(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     def spans(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         cell, anchors, buckets = dealt(left, right)
         told = answered(right, 1)
-        _, present, cuts = split_by(buckets)
-        each = [np.zeros(0, np.uint64)]
-        for bucket, a, b in zip(present.tolist(), cuts, cuts[1:]):
-            own = _suffixes(cell, anchors[a:b], size, part)
-            first, number = _alike(own)
-            said = np.frombuffer(told[bucket], "<u8")[number]
-            # what the smallest id of the cell holds too is earlier for all others
-            each.append(np.where(own["id"] > own["id"][first][number], _whole_windows(own, size, part), said))
-        bits = np.concatenate(each)
+        kinds = _Kinds(cell, anchors, size, part)
+        said = np.frombuffer(b"".join(told[b] for b in np.unique(buckets).tolist()), "<u8")[kinds.kind]
+        # what the smallest id of the cell holds too is earlier for all others
+        ids = cell.ids[cell.row[anchors]]
+        bits = np.where(ids > ids[kinds.first][kinds.kind], kinds.whole, said) if len(anchors) else said
         start = [np.zeros(0, np.int64)]
         for left_words in range(size - part + 1):
             start.append(anchors[(bits >> np.uint64(left_words) & np.uint64(1)) > 0] - left_words)
