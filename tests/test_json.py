@@ -147,3 +147,46 @@ def test_failure_lanes(spark):
         lane("fail")
     with pytest.raises(ValueError):
         resolve(checked, "default")
+
+
+def mutated(rng, value, depth=0):
+    """A JSON value with a member dropped, added, nulled or of another kind here and there."""
+    if rng.random() < 0.06:
+        return rng.choice([None, 1, 1.5, 2.0, "1", "x", "true", True, [], {}, [None], [1, "a"], {"a": None}])
+    if isinstance(value, dict):
+        out = {k: mutated(rng, v, depth + 1) for k, v in value.items() if rng.random() > 0.02}
+        return {**out, "extra": 1} if rng.random() < 0.05 else out
+    if isinstance(value, list):
+        return [mutated(rng, rng.choice(value), depth + 1) for _ in range(rng.randrange(4))] if value else value
+    return value
+
+
+def test_whole_records_are_validated_like_their_members(spark, monkeypatch):
+    """The fast lane accepts what the member-by-member check accepts, with the same payload, and nothing else."""
+    import random
+
+    from textloom.functions import jsonx as J
+
+    item = T.StructType([J.required("i", T.LongType()), J.nullable("t", T.StringType()), J.optional("o", T.DoubleType())])
+    schema = T.StructType([
+        J.required("z", T.StringType()), J.required("a", T.LongType()), J.nullable("f", T.DoubleType()), J.optional("b", T.BooleanType()),
+        J.required("words", T.ArrayType(T.StringType(), False)), J.optional("nulls", T.ArrayType(T.LongType(), True)),
+        J.required("items", T.ArrayType(item, False)), J.nullable("part", T.StructType([J.required("deep", T.ArrayType(T.ArrayType(T.LongType(), False), False))])),
+    ])
+    base = {
+        "z": "é", "a": 5, "f": 1.25, "b": True, "words": ["x", "y"], "nulls": [1, 2], "items": [{"i": 1, "t": "q", "o": 2}, {"i": 2, "t": None}],
+        "part": {"deep": [[1, 2], [3]]},
+    }
+    rng = random.Random(8)
+    values = [base, {**base, "part": None, "f": None}] + [mutated(rng, base) for _ in range(500)]
+    texts = [json.dumps(v, ensure_ascii=False) for v in values] + ["", "nope", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "n int, t string").withColumn("v", J.parse_strict(F.col("t")))
+
+    def checked():
+        rows = df.select("n", J.validate("v", schema).alias("c")).orderBy("n").collect()
+        return [(r["c"]["ok"], r["c"]["error"], r["c"]["payload"]) for r in rows]
+
+    fast = checked()
+    assert J._shape(schema) is not None and 50 < sum(ok for ok, _, _ in fast) < 450
+    monkeypatch.setattr(J, "_shape", lambda dtype: None)
+    assert fast == checked()

@@ -239,6 +239,19 @@ def test_hot_prompt_is_answered_once(spark, tmp_path):
         assert len(f.read().split()) == 51
 
 
+def test_calls_are_timed(spark):
+    import time as clock
+
+    def call(batch):
+        clock.sleep(0.05)
+        return [p.upper() for p in batch]
+
+    rows = model_map(prompts(spark, ["a", "b"]), "p", Caller(call, max_tries=2, accept=lambda r: r != "B", batch_rows=2, calls=1)).collect()
+    seconds = {r["p"]: r["seconds"] for r in rows}
+    assert 0.05 <= seconds["a"] < seconds["b"] and seconds["b"] >= 0.1
+    assert model_map(prompts(spark, ["a"]), "p", Rules(F.col("p"))).first()["seconds"] is None
+
+
 def test_long_class_matrix(spark):
     from textloom.operators.matrix import class_matrix, class_matrix_long, class_numbers
 

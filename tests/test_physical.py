@@ -13,7 +13,7 @@ PYTHON_ALLOWED = {
     name for name in QUERIES
     if name in (
         "knn_topk knn_within_label retrieval_metrics metrics_by_k project_metrics weighted_rollup overall_summary "
-        "rollup_levels summary_merge metric_maps retrieve rag_prompt rag_answer evaluate_retrieval "
+        "rollup_levels summary_merge metric_maps retrieve rag_prompt rag_answer evaluate_retrieval evaluate_by_text retrieve_approx "
         "knn_cells knn_blocks knn_approx knn_recall redact_names json_array_records"
     ).split()
 }

@@ -11,6 +11,7 @@ Two divergences from Python's parser remain: repeated object keys and the
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -198,7 +199,69 @@ def validate(column: str, schema: T.StructType) -> Column:
         )
 
     text = _let(column, names, lambda v: _let(problem.replace("{v}", v), names, lambda error: result(v, error)))
-    return F.expr(text)
+    pattern = _shape(schema)
+    return F.expr(text if pattern is None else f"coalesce({_at_once(column, schema, pattern, names)}, {text})")
+
+
+# Records that have exactly the keys and kinds of the schema, nearly all that are right, are told by the text of their own
+# schema and cast in one go; only the others are looked at member by member.
+def _at_once(column: str, schema: T.StructType, pattern: str, names: Iterator[str]) -> str:
+    """The accepted result of a record that fits as it is, else null."""
+
+    def accepted(p: str) -> str:
+        return (
+            f"CASE WHEN {p} IS NOT NULL AND NOT ({_null_inside(p, schema, names)}) "
+            f"THEN named_struct('payload', {p}, 'ok', true, 'error', CAST(NULL AS STRING)) END"
+        )
+
+    def cast(v: str) -> str:
+        whole = _let(_get(v, "$", schema.simpleString()), names, accepted)
+        return f"CASE WHEN schema_of_variant({v}) RLIKE {_quoted('^' + pattern + '$')} THEN {whole} END"
+
+    return _let(column, names, cast)
+
+
+def _shape(dtype: T.DataType) -> str | None:
+    """Pattern of the schema texts whose values need no conversion; None where there is none."""
+    plain = {
+        T.StringType(): "STRING", T.LongType(): "BIGINT", T.BooleanType(): "BOOLEAN",
+        T.DoubleType(): r"(?:BIGINT|DOUBLE|FLOAT|DECIMAL\([0-9]+,[0-9]+\))",
+    }
+    if isinstance(dtype, T.ArrayType):
+        element = _shape(dtype.elementType)
+        return None if element is None else f"ARRAY<(?:VOID|{element})>"
+    if not isinstance(dtype, T.StructType):
+        return plain.get(dtype)
+    members = []
+    for f in sorted(dtype.fields, key=lambda f: f.name):
+        kind = _shape(f.dataType)
+        if kind is None or not re.fullmatch("[A-Za-z_][A-Za-z0-9_]*", f.name):
+            return None
+        member = f"{f.name}: (?:VOID|{kind})" if f.nullable else f"{f.name}: {kind}"
+        members.append(f"(?:{member}(?:, |(?=>)))" + ("?" if f.metadata == OPTIONAL else ""))
+    return f"OBJECT<{''.join(members)}>"
+
+
+def _null_inside(x: str, dtype: T.DataType, names: Iterator[str], listed: bool = False) -> str:
+    """Whether a member of a list lacks what it must have, or may lack it: the schema text of a list tells that of all members together."""
+    tests = []
+    if isinstance(dtype, T.StructType):
+        for f in dtype.fields:
+            child = f"{x}.{f.name}"
+            if listed and f.metadata != OPTIONAL:
+                tests.append(f"{child} IS NULL")
+            deep = _null_inside(child, f.dataType, names, listed)
+            if deep != "false":
+                tests.append(f"({child} IS NOT NULL AND ({deep}))")
+    elif isinstance(dtype, T.ArrayType):
+        e = next(names)
+        inner = [] if dtype.containsNull else [f"{e} IS NULL"]
+        deep = _null_inside(e, dtype.elementType, names, True)
+        if deep != "false":
+            inner.append(f"({e} IS NOT NULL AND ({deep}))")
+        if inner:
+            tests.append(f"exists({x}, {e} -> {' OR '.join(inner)})")
+    return f"coalesce({' OR '.join(tests)}, false)" if tests else "false"
 
 
 def _let(x: str, names: Iterator[str], body: Callable[[str], str]) -> str:

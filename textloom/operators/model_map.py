@@ -1,8 +1,8 @@
 """The one place where a model is called: prompt in, response out.
 
 Three backends share one contract.  Input is any frame with a prompt column;
-output is the same rows plus ``response``, ``attempts``, ``error`` and
-``backend``.  Equal prompts are answered once.
+output is the same rows plus ``response``, ``attempts``, ``error``, ``seconds``
+(the time of the calls it was part of) and ``backend``.  Equal prompts are answered once.
 
 * ``Replay``   - an equi-join with stored responses: deterministic, also the
   cache and the resume point of a job;
@@ -13,6 +13,7 @@ output is the same rows plus ``response``, ``attempts``, ``error`` and
 
 from __future__ import annotations
 
+import time
 import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -23,8 +24,8 @@ from pyspark.sql import functions as F
 
 from textloom.session import ensure_checkpoint_dir
 
-RESPONSE_SCHEMA = "prompt_hash string, response string, attempts int, error string"
-ADDED = ("response", "attempts", "error", "backend")
+RESPONSE_SCHEMA = "prompt_hash string, response string, attempts int, error string, seconds double"
+ADDED = ("response", "attempts", "error", "seconds", "backend")
 
 
 def prompt_hash(prompt: Column) -> Column:
@@ -159,6 +160,7 @@ def model_map(
                 "response": backend.response,
                 "attempts": F.lit(1),
                 "error": F.lit(None).cast("string"),
+                "seconds": F.lit(None).cast("double"),
                 "backend": F.lit("rules"),
             }
         )
@@ -193,14 +195,15 @@ def _attach(df: DataFrame, prompt: str, answers: DataFrame, name: str, unique: b
     have = set(answers.columns)
     attempts = F.col("attempts") if "attempts" in have else F.lit(1)
     error = F.col("error") if "error" in have else F.lit(None).cast("string")
-    right = answers.select("prompt_hash", "response", attempts.alias("attempts"), error.alias("error"))
+    seconds = F.col("seconds") if "seconds" in have else F.lit(None).cast("double")
+    right = answers.select("prompt_hash", "response", attempts.alias("attempts"), error.alias("error"), seconds.alias("seconds"))
     if not unique:
         first = F.min_by(
-            F.struct("response", "attempts", "error"),
+            F.struct("response", "attempts", "error", "seconds"),
             F.struct(F.col("error").isNotNull(), F.coalesce("response", F.lit(""))),
         )
         right = right.groupBy("prompt_hash").agg(first.alias("_a")).select("prompt_hash", "_a.*")
-    right = right.select(F.unhex("prompt_hash").alias("_digest"), "response", "attempts", "error")
+    right = right.select(F.unhex("prompt_hash").alias("_digest"), "response", "attempts", "error", "seconds")
     keyed = df.withColumn("_digest", F.unhex(prompt_hash(F.col(prompt))))
     joined = keyed.join(right, "_digest", "left").drop("_digest")
     missing = F.col("response").isNull() & F.col("error").isNull()
@@ -238,18 +241,22 @@ def _caller(backend: Caller) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.D
                 prompts = part["prompt"].tolist()
                 response: list[str | None] = [None] * len(prompts)
                 error: list[str | None] = ["not asked"] * len(prompts)
-                tries = [0] * len(prompts)
+                tries, seconds = [0] * len(prompts), [0.0] * len(prompts)
                 for _ in range(backend.max_tries):
                     open_ = [i for i, e in enumerate(error) if e is not None]
                     if not open_:
                         break
+                    start = time.perf_counter()
                     try:
-                        answers = ask([prompts[i] for i in open_], extra)
+                        answers, failed = ask([prompts[i] for i in open_], extra), None
                     except Exception as exc:
-                        for i in open_:
+                        answers, failed = [], f"{type(exc).__name__}: {exc}"
+                    took = time.perf_counter() - start
+                    for i in open_:
+                        seconds[i] += took
+                        if failed is not None:
                             tries[i] += 1
-                            error[i] = f"{type(exc).__name__}: {exc}"
-                        continue
+                            error[i] = failed
                     for i, answer in zip(open_, answers):
                         tries[i] += 1
                         response[i], error[i] = answer, refuse(answer)
@@ -259,6 +266,7 @@ def _caller(backend: Caller) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.D
                         "response": response,
                         "attempts": tries,
                         "error": error,
+                        "seconds": seconds,
                     }
                 )
 

@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from textloom.functions.jsonx import optional, parse_strict, required
 from textloom.functions.prompts import REDACTION_TEMPLATE, Redaction, redaction_prompt
-from textloom.functions.redact import Gazetteers, postprocess, redact_all
+from textloom.functions.redact import Gazetteers, postprocess, redact, redact_all
 from textloom.functions.text import empty_strings, let, split_sentences
 from textloom.operators.model_map import Caller, Replay, Rules, model_map
 from textloom.operators.once import add_checked, add_once
@@ -90,7 +90,7 @@ def answer_batches(
     """One row per batch with its prompt, response and checked answer."""
     batches = sentence_batches(docs, per_batch=per_batch, pattern=pattern).withColumn(
         "prompt", redaction_prompt(F.col("sentences"), options, template, numbered)
-    )
+    ).withColumn("prompt_chars", F.length("prompt"))  # taken here, so that a prompt need not cross the join with the answers
     answered = model_map(batches, "prompt", backend, response_path)
     checked = add_checked(answered, parse_strict(F.col("response")), BATCH_ANSWER)
     answer = check_indexes(F.col("checked"), F.size("sentences"))
@@ -99,13 +99,15 @@ def answer_batches(
 
 def batch_sentences_out(
     sentences: Column,
-    own: Column,
     answer: Column,
     options: Redaction | None = None,
+    own: Column | None = None,
     missing: str = "keep",
     on_error: str = "keep",
 ) -> Column:
-    """The sentences of a batch after the answer, in order; ``own`` are the same sentences redacted by rule.
+    """The sentences of a batch after the answer, in order.
+
+    ``own`` are the same sentences redacted by rule, where they have been made; else each is redacted when it is needed.
 
     ``missing``: a sentence the answer leaves out becomes ``empty`` text, or
     ``keep`` falls back on the rule-redacted source.  ``on_error``: what a
@@ -113,20 +115,21 @@ def batch_sentences_out(
     """
     if missing not in ("keep", "empty") or on_error not in ("keep", "null", "fail"):
         raise ValueError("missing is keep or empty; on_error is keep, null or fail")
+    source, by_rule = (sentences, lambda s: redact(s, options)) if own is None else (own, lambda s: s)
 
     def fill(found: Column) -> Column:
         def pick(s: Column, i: Column) -> Column:
-            absent = F.lit("") if missing == "empty" else s
+            absent = F.lit("") if missing == "empty" else by_rule(s)
             return postprocess(F.coalesce(F.try_element_at(found, i.cast("bigint")), absent), options)
 
-        return F.transform(own, pick)
+        return F.transform(source, pick)
 
     by_index = F.map_from_entries(
         F.transform(answer["payload"]["sentences"], lambda s: F.struct(s["original_index"], s["text"]))
     )
     given = let(F.when(answer["ok"], by_index), fill)
     refused = {
-        "keep": F.transform(own, lambda s: postprocess(s, options)),
+        "keep": F.transform(source, lambda s: postprocess(by_rule(s), options)),
         "null": F.lit(None).cast("array<string>"),
         "fail": F.raise_error(F.concat(F.lit("batch refused: "), answer["error"])).cast("array<string>"),
     }[on_error]
@@ -152,10 +155,11 @@ def anonymize(
     documents give empty text.
     """
     answered = answer_batches(docs, backend, options, per_batch, **kwargs)
-    own = redact_all(F.col("sentences"), options, gazetteers)
-    if gazetteers != Gazetteers():  # Python must not run inside a higher-order function
-        answered, own = answered.withColumn("_own", own), F.col("_own")
-    out = batch_sentences_out(F.col("sentences"), own, F.col("answer"), options, missing, on_error)
+    own = None
+    if gazetteers != Gazetteers():  # names are found in Python, which must not run inside a higher-order function
+        answered = answered.withColumn("_own", redact_all(F.col("sentences"), options, gazetteers))
+        own = F.col("_own")
+    out = batch_sentences_out(F.col("sentences"), F.col("answer"), options, own, missing, on_error)
     good = F.col("sentences").isNull() | F.col("answer.ok")
     part = F.struct("batch_id", out.alias("out"))
     joined = F.transform(F.array_sort("_parts"), lambda p: p["out"])
@@ -179,13 +183,14 @@ def anonymize(
 
 
 def batch_meta(answered: DataFrame, provider: str | None = None, model: str | None = None) -> DataFrame:
-    """Metrics per batch.  Latency is in Spark's task metrics."""
+    """Metrics per batch; the latency is that of the calls which asked it, null without a caller."""
     done = F.col("answer.payload")
     return answered.filter(F.col("sentences").isNotNull()).select(
         "doc_id",
         "batch_id",
         F.size("sentences").alias("sent_count"),
-        F.length("prompt").alias("prompt_chars"),
+        F.col("seconds").alias("llm_latency_s"),
+        "prompt_chars",
         F.when(F.col("answer.ok"), F.size(done["sentences"])).otherwise(F.lit(0)).alias("returned_count"),
         F.lit(provider).cast("string").alias("provider"),
         F.lit(model).cast("string").alias("model"),

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from textloom.functions.jsonx import as_list, is_list, parse_strict, parse_unfenced, required
 from textloom.functions.prompts import class_system_prompt, class_user_prompt, document_labels_json, with_system
-from textloom.functions.text import is_blank, let, trim_ws
+from textloom.functions.text import empty_strings, is_blank, let, trim_ws
 from textloom.operators.model_map import Caller, Replay, Rules, model_map
 from textloom.operators.once import add_checked, add_once
 
@@ -40,27 +40,25 @@ def clean_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep
 
 
 # Rules backend: overlap of document words with class descriptions ------------
+def lexicon_rows(classes: Sequence[Mapping[str, str]], text_field: str = "description") -> list[tuple[str, str]]:
+    """``(class_id, token)``: the distinct words of each class text."""
+    words = {(c["id"].strip(), word) for c in classes for word in re.split(r"[\W_]+", c[text_field].lower())}
+    return sorted((name, word) for name, word in words if word)
+
+
 def lexicon(spark, classes: Sequence[Mapping[str, str]], text_field: str = "description") -> DataFrame:
-    """``class_id, token``: the distinct words of each class text."""
-    rows = sorted(
-        {
-            (c["id"].strip(), word)
-            for c in classes
-            for word in re.split(r"[\W_]+", c[text_field].lower())
-            if word
-        }
-    )
-    return spark.createDataFrame(rows, "class_id string, token string")
+    return spark.createDataFrame(lexicon_rows(classes, text_field), "class_id string, token string")
 
 
 def lexicon_scores(docs: DataFrame, classes: Sequence[Mapping[str, str]], text_field: str = "description") -> DataFrame:
     """``doc_id, class_id, score``: word occurrences found in the class words.
 
-    The catalogue comes from the driver and is as small as a prompt, so it is
-    broadcast; counts are combined on the map side.
+    The catalogue comes from the driver and is as small as a prompt.  Words that no class has are
+    dropped inside the row, so only hits become rows; counts are combined on the map side.
     """
-    words = docs.select("doc_id", F.explode(F.split(F.lower("text"), WORD_BREAK)).alias("token"))
-    hits = words.join(F.broadcast(lexicon(docs.sparkSession, classes, text_field)), "token")
+    known = sorted({word for _, word in lexicon_rows(classes, text_field)})
+    words = F.filter(F.split(F.lower("text"), WORD_BREAK), lambda w: w.isin(*known)) if known else empty_strings()
+    hits = docs.select("doc_id", F.explode(words).alias("token")).join(lexicon(docs.sparkSession, classes, text_field), "token")
     return hits.groupBy("doc_id", "class_id").agg(F.count(F.lit(1)).alias("score"))
 
 

@@ -12,7 +12,7 @@ from textloom.functions.jsonx import is_object, parse_braces
 from textloom.functions.prompts import judge_prompt, paraphrase_prompt, with_system
 from textloom.functions.text import as_id, let, line_list
 from textloom.operators.knn import KnnSizes
-from textloom.operators.model_map import Caller, Replay, Rules, model_map
+from textloom.operators.model_map import ADDED, Caller, Replay, Rules, model_map
 from textloom.operators.once import add_once
 from textloom.operators.sampling import sample_n
 from textloom.plans.faq import retrieve
@@ -105,6 +105,7 @@ def evaluate_retrieval(
     match_on: Sequence[str] = ("chunk_id",),
     by_text: bool = False,
     sizes: KnnSizes = KnnSizes(),
+    position: str = "faq_id",
 ) -> DataFrame:
     """Retrieve once for all items and score the lists.
 
@@ -112,7 +113,7 @@ def evaluate_retrieval(
     other ``match_on`` columns under the same names.  ``match_on=("course",
     "chunk_id")`` is right where chunk ids restart per course.  ``by_text``
     looks chunk ids up by source text, first entry first, as a plain list of
-    texts would.
+    texts would; the column ``position`` says which entry that is.
     """
     extra = [c for c in match_on if c != "chunk_id"]
     payload = ["chunk_id", "source_text", *extra] if by_text else ["chunk_id", *extra]
@@ -120,9 +121,7 @@ def evaluate_retrieval(
     found = retrieve(items, faq, top_k, within, payload, "item_id", sizes=sizes)
     if by_text:
         scope = [within] if within else []
-        first = faq.select(*scope, "source_text", "chunk_id", "faq_id").groupBy(*scope, "source_text").agg(
-            F.min_by("chunk_id", "faq_id").alias("_first")
-        )
+        first = faq.groupBy(*scope, "source_text").agg(F.min_by("chunk_id", position).alias("_first"))
         digest = F.unhex(F.sha2("source_text", 256)).alias("_digest")  # see model_map: keeps hot texts splittable
         first = first.select(*scope, digest, "_first")
         found = found.select("*", digest).join(first, [*scope, "_digest"], "left")
@@ -210,7 +209,7 @@ def judge(
     prompt = with_system(system, judge_prompt(F.col("question"), F.col("generated_answer"), F.col("answer")))
     answered = model_map(answers.withColumn("prompt", prompt), "prompt", backend, response_path)
     judged = add_once(answered, parse_judgement(F.col("response"), failed_as_zero))
-    return judged.drop("prompt", "response", "attempts", "error", "backend")
+    return judged.drop("prompt", *ADDED)
 
 
 def consistent_judgement() -> Column:

@@ -9,16 +9,17 @@ build the same answers and then read them.
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from textloom.functions import jsonx as J
+from textloom.functions import jsonx as J, prompts as P
 from textloom.functions.text import line_list
 from textloom.operators.matrix import SEVERITY_LEVELS, risk_matrix as risk_matrix_of
 from textloom.operators.model_map import Replay, Rules, model_map, prompt_hash
 from textloom.plans import distill as D, evaluate as E, faq as Q, issues as I, rollup as R, toolstep as S
 from textloom.operators import sets
-from textloom.operators.once import add_once
-from textloom.operators.sampling import sample_n
-from textloom.registry.base import documents, spread, sql_text, table
+from textloom.operators.once import add_checked, add_once, resolve
+from textloom.operators.sampling import first_n, sample_n
+from textloom.registry.base import documents, spread, sql_text, sql_trim, table
 
 FENCE = "```"
 
@@ -175,8 +176,11 @@ def _persona_set(spark, d, lang):
 
 
 def merge_personas(spark, d):
-    """One set per language, and one that does not exist."""
-    found = {lang: _persona_set(spark, d, lang) for lang in ("en", "fr", "de", "es")}
+    """One set per language of the table, and one that does not exist."""
+    langs = table(spark, d, "documents").select("lang").distinct().limit(1001).collect()
+    if len(langs) > 1000:
+        raise ValueError("more than 1000 personas")
+    found = {r["lang"]: _persona_set(spark, d, r["lang"]) for r in langs}
     return sets.merge_personas({**found, "xx": None})
 
 
@@ -428,7 +432,54 @@ def tool_step(spark, d):
     return done.select("event_id", "raw_output", "json_output", "error", "reader")
 
 
+def tool_chain(spark, d):
+    """Two named steps over the same rows; the second one finds no object in every third answer."""
+    n = F.col("event_id")
+    shape = F.when(n % 3 == 0, F.lit("none")).otherwise(F.concat(F.lit('{"n":'), n.cast("string"), F.lit("}")))
+    columns = {c: F.col(c) for c in ("system_prompt", "user_prompt", "input_dict", "output_schema")}
+    other = {**columns, "user_prompt": F.lit("Which number?"), "output_schema": F.lit('{"n": int}')}
+    done = S.tool_chain(_steps(spark, d), {"reader": (columns, Rules(F.col("props"))), "counter": (other, Rules(shape))})
+    return done.select("event_id", "reader", "counter")
+
+
+# Lanes of refused answers, prompts, samples --------------------------------------
+LANE_ANSWER = T.StructType([J.required("doc_id", T.LongType()), J.required("lang", T.StringType()), J.nullable("n", T.LongType())])
+
+
+def answer_lanes(spark, d):
+    """What a refused answer becomes: null, a default, or no row."""
+    checked = add_checked(_answers(spark, d).withColumnRenamed("doc_id", "id"), J.parse_strict(F.col("response")), LANE_ANSWER)
+    kind = checked.schema["checked"].dataType["payload"].dataType
+    default = F.struct(F.lit(-1).cast("long").alias("doc_id"), F.lit("none").alias("lang"), F.lit(0).cast("long").alias("n")).cast(kind)
+    lanes = [resolve(checked, "null"), resolve(checked, "default", default), resolve(checked, "drop")]
+    out = [df.select(F.lit(name).alias("lane"), "id", "payload.lang", "payload.n", "error") for name, df in zip(("null", "default", "drop"), lanes)]
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
+def model_prompts(spark, d):
+    """Prompts that paraphrase, judge, show an example, and ask a trained model."""
+    docs = documents(spark, d, "doc_id", "text", "lang", "source")
+    text = F.col("text")
+    kinds = {
+        "paraphrase": P.paraphrase_prompt(F.col("source"), 3),
+        "judge": P.judge_prompt(F.col("source"), text, F.col("lang")),
+        "example": P.example_system_prompt(F.when(F.col("doc_id") % 2 == 0, F.col("lang")), {"é": 1, "list": ["x"]}),
+        "inference": P.inference_prompt(F.col("lang"), text, preamble=True),
+    }
+    rows = F.array(*[F.struct(F.lit(name).alias("kind"), prompt.alias("prompt")) for name, prompt in kinds.items()])
+    return docs.select("doc_id", F.inline(rows))
+
+
+def first_rows(spark, d):
+    """The first 700 documents by id: more than a partition of a small table holds."""
+    return first_n(table(spark, d, "documents").select("doc_id", "lang", "n_chars"), 700, "doc_id")
+
+
 QUERIES = {
+    "tool_chain": tool_chain,
+    "answer_lanes": answer_lanes,
+    "model_prompts": model_prompts,
+    "first_rows": first_rows,
     "parse_strict": parse_strict,
     "parse_lenient": parse_lenient,
     "parse_unfenced": parse_unfenced,
@@ -467,6 +518,21 @@ QUERIES = {
 }
 
 # Oracles ----------------------------------------------------------------------
+_EXAMPLE = '\n\nAnswer only with a JSON object that has the keys and types of this example:\n{\n  "é": 1,\n  "list": [\n    "x"\n  ]\n}'
+_MARKING = (
+    "\n\nMark the text by what is known to be right. Reply with one JSON object and nothing else. "
+    "Give whole numbers under the keys correctness, completeness and relevance, a decimal number under "
+    "overall_score, and a short reason under justification."
+)
+_PROMPTS_SQL = f"""
+  SELECT doc_id, unnest(['paraphrase', 'judge', 'example', 'inference']) AS kind, unnest([
+    concat({sql_text('Ask the same question in 3 other ways, one per line, without numbering.' + chr(10) * 2 + 'Question: "')}, source, '"'),
+    concat({sql_text('A reader asked:' + chr(10))}, source, {sql_text(chr(10) * 2 + 'The text to mark:' + chr(10))}, text,
+           {sql_text(chr(10) * 2 + 'What is known to be right:' + chr(10))}, lang, {sql_text(_MARKING)}),
+    concat(CASE WHEN doc_id % 2 = 0 THEN lang ELSE '' END, {sql_text(_EXAMPLE)}),
+    concat({sql_text(P.SFT_PREAMBLE + '### Instruction:' + chr(10))}, lang, {sql_text(chr(10) * 2 + '### Input:' + chr(10))}, {sql_trim('text')},
+           {sql_text(chr(10) * 2 + '### Response:' + chr(10))})]) AS prompt
+  FROM documents"""
 _OPEN, _CLOSE = f"concat('{FENCE}json', chr(10))", f"concat(chr(10), '{FENCE}')"
 _BODY = "CAST(to_json({'doc_id': doc_id, 'lang': lang, 'text': text, 'n': n_chars}) AS VARCHAR)"
 _ANSWERS = f"""
@@ -691,6 +757,16 @@ ORACLE = {
       SELECT event_id, concat('Read the event.', {_NL}, {_NL}, 'Write JSON of this shape:', {_NL},
              '{{"k": int}}', {_NL}, {_NL}, 'What is k?', {_NL}, {_NL}, '## type', {_NL}, {_NL}, event_type, {_NL},
              '## props', {_NL}, {_NL}, props) AS prompt FROM events""",
+    "tool_chain": """
+      SELECT event_id, replace(props, ': ', ':') AS reader,
+             CASE WHEN event_id % 3 = 0 THEN '{"raw_output":"none"}' ELSE concat('{"n":', event_id, '}') END AS counter FROM events""",
+    "answer_lanes": f"""
+      WITH a AS (SELECT doc_id AS id, lang, n_chars AS n, CASE doc_id % 7 WHEN 0 THEN NULL WHEN 5 THEN '$.doc_id: missing' ELSE 'not JSON' END AS error FROM documents)
+      SELECT 'null' AS lane, id, CASE WHEN error IS NULL THEN lang END AS lang, CASE WHEN error IS NULL THEN n END AS n, error FROM a
+      UNION ALL SELECT 'default', id, CASE WHEN error IS NULL THEN lang ELSE 'none' END, CASE WHEN error IS NULL THEN n ELSE 0 END, error FROM a
+      UNION ALL SELECT 'drop', id, lang, n, error FROM a WHERE error IS NULL""",
+    "model_prompts": _PROMPTS_SQL,
+    "first_rows": "SELECT doc_id, lang, n_chars FROM documents ORDER BY doc_id LIMIT 700",
     "tool_step": """
       SELECT event_id, raw AS raw_output, CASE event_id % 4 WHEN 0 THEN compact WHEN 1 THEN '{}' END AS json_output,
              CASE event_id % 4 WHEN 2 THEN 'not an object' WHEN 3 THEN 'not JSON' END AS error,

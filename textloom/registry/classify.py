@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from textloom.operators.matrix import class_matrix as class_matrix_of
+from textloom.operators.matrix import class_matrix as class_matrix_of, class_matrix_long as class_matrix_long_of
 from textloom.operators.model_map import Replay, Rules, prompt_hash
 from textloom.plans import classify as C
 from textloom.registry.base import documents, sql_text
@@ -53,6 +53,10 @@ def class_matrix(spark, d):
     return class_matrix_of(_multilabel(spark, d), [c["id"] for c in CLASSES])
 
 
+def class_matrix_long(spark, d):
+    return class_matrix_long_of(_multilabel(spark, d))
+
+
 def _two_stage(spark, d):
     """The generalist answers from the lexicon; the specialist keeps shares of
     at least a fifth.  Some first answers are unusable."""
@@ -106,6 +110,7 @@ QUERIES = {
     "label_prompts": label_prompts,
     "classify_multilabel": classify_multilabel,
     "class_matrix": class_matrix,
+    "class_matrix_long": class_matrix_long,
     "two_stage": two_stage,
     "two_stage_status": two_stage_status,
     "specialist_prompts": specialist_prompts,
@@ -176,6 +181,9 @@ ORACLE = {
         for c in CLASSES
     )
     + f" FROM ({_LABELS})",
+    "class_matrix_long": f"""
+      SELECT doc_id, dense_rank() OVER (ORDER BY class_id) AS class_no
+      FROM (SELECT DISTINCT doc_id, unnest(string_split(labels, ',')) AS class_id FROM ({_LABELS}) WHERE coalesce(labels, '') <> '')""",
     "two_stage": f"""
       SELECT doc_id, status, CASE WHEN status <> 'success' THEN concat('no usable answer: ', status) END AS error,
              CASE WHEN status <> 'generalist_failed' THEN first END AS candidates,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from textloom.functions.paths import parent_path, project_folder
@@ -13,8 +14,9 @@ from textloom.operators.once import add_once
 from textloom.operators.sets import add_unseen, distinct_chunks as distinct_chunks_of
 from textloom.plans import evaluate as E, rollup as R
 from textloom.operators.model_map import Rules
+from textloom.operators.numbering import written
 from textloom.operators.tfidf import tfidf_topk
-from textloom.plans.faq import contexts, rag_answer, retrieve
+from textloom.plans.faq import contexts, embed, rag_answer, retrieve
 from textloom.registry.base import documents, table
 
 KS = (1, 3, 5)
@@ -172,17 +174,29 @@ def project_paths(spark, d):
     return e.select("vec_id", parent_path(path).alias("parent"), project_folder(path).alias("folder"))
 
 
+#: Characters that the encoder below counts.
+LETTERS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ .,éèàçüöñß"
+
+
+def letter_counts(texts: list[str]) -> np.ndarray:
+    """A plain encoder: how often each letter occurs, and one for the text itself."""
+    return np.array([[1.0, *(t.count(c) for c in LETTERS)] for t in texts])
+
+
 def _faq(spark, d):
-    """A question-answer table: document texts as sources, labels as chunks."""
+    """A question-answer table of all documents: texts as sources, labels as chunks.
+
+    A document has the vector of its id, or is encoded where there is none.
+    """
     docs = table(spark, d, "documents").select(
-        F.col("doc_id").alias("faq_id"), F.col("text").alias("source_text"),
+        F.col("doc_id").alias("faq_id"), F.col("text").alias("source_text"), F.col("source").alias("_source"),
         F.concat(F.lit("About "), "source", F.lit(" in "), "lang", F.lit("?")).alias("question"),
         F.concat(F.lit("It has "), F.col("n_chars").cast("string"), F.lit(" characters.")).alias("answer"),
     )
-    vec = _vectors(spark, d).select(
-        F.col("vec_id").alias("faq_id"), F.col("label").cast("string").alias("chunk_id"), "embedding"
-    )
-    return vec.join(docs, "faq_id")
+    vec = _vectors(spark, d).select(F.col("vec_id").alias("faq_id"), F.col("label").cast("string").alias("chunk_id"), "embedding")
+    known = docs.join(vec, "faq_id")
+    other = docs.join(vec, "faq_id", "left_anti").withColumn("chunk_id", F.col("_source"))
+    return written(known.unionByName(embed(other, letter_counts, "source_text")).drop("_source"), "faq")
 
 
 def _retrieved(spark, d, k=3):
@@ -196,6 +210,18 @@ def retrieve_q(spark, d):
     return found.withColumn("score", F.round("score", 6))
 
 
+#: Entries that are to be found lie at a cosine of 0.9 or more.
+FAQ_BANDS = A.Bands.reaching(recall=0.95, similarity=0.9, bits=12)
+
+
+def retrieve_approx(spark, d):
+    """The three best entries of the same course among those that share a band with the question."""
+    faq = _faq(spark, d)
+    asked = faq.select(F.col("faq_id").alias("question_id"), "embedding", "chunk_id")
+    found = retrieve(asked, faq, 3, within="chunk_id", payload=("question", "answer"), exclude_self=True, bands=FAQ_BANDS)
+    return found.withColumn("score", F.round("score", 6))
+
+
 def rag_prompt(spark, d):
     asked, found = _retrieved(spark, d)
     joined = asked.select("question_id", "question").join(contexts(found), "question_id")
@@ -223,6 +249,17 @@ def evaluate_retrieval(spark, d):
     return _rounded(done.withColumn("retrieved_chunks", F.array_join("retrieved_chunks", ",")))
 
 
+def evaluate_by_text(spark, d):
+    """The same with chunk ids looked up by source text: of equal texts the first entry counts."""
+    faq = _faq(spark, d)
+    items = faq.select(
+        F.col("faq_id").alias("item_id"), F.col("chunk_id").alias("correct_chunk_id"),
+        (F.col("faq_id") % 4 == 0).alias("is_original"), "embedding",
+    )
+    done = E.evaluate_retrieval(items, faq.drop("question", "answer"), KS, 5, by_text=True, position="faq_id")
+    return done.select("item_id", F.array_join("retrieved_chunks", ",").alias("retrieved_chunks"), "correct_chunk_position", F.round("mrr", 6).alias("mrr"))
+
+
 def distinct_chunks(spark, d):
     return distinct_chunks_of(_faq(spark, d))
 
@@ -252,9 +289,11 @@ QUERIES = {
     "metric_maps": metric_maps,
     "project_paths": project_paths,
     "retrieve": retrieve_q,
+    "retrieve_approx": retrieve_approx,
     "rag_prompt": rag_prompt,
     "rag_answer": rag_answer_q,
     "evaluate_retrieval": evaluate_retrieval,
+    "evaluate_by_text": evaluate_by_text,
     "distinct_chunks": distinct_chunks,
     "tfidf_retrieval": tfidf_retrieval,
 }
@@ -273,8 +312,12 @@ def _pairs(extra: str, k: int, base: str = "embeddings") -> str:
         FROM {base} q JOIN {base} e ON {extra}) WHERE r <= {k}"""
 
 
-#: Vectors whose id is also a document: the question-answer table.
-_KNOWN = "(SELECT v.* FROM embeddings v JOIN documents ON doc_id = v.vec_id)"
+#: All documents, with the vector of their id or their letter counts scaled to length one.
+_COUNTS = f"list_prepend(1.0::DOUBLE, list_transform({list(LETTERS)}, lambda c: CAST(length(text) - length(replace(text, c, '')) AS DOUBLE)))"
+_KNOWN = f"""(
+  SELECT doc_id AS vec_id, coalesce(CAST(label AS VARCHAR), source) AS label, text, source, lang, n_chars, coalesce(embedding, list_transform(
+    {_COUNTS}, lambda x: CAST(x / sqrt(list_sum(list_transform({_COUNTS}, lambda y: y * y))) AS FLOAT))) AS embedding
+  FROM documents LEFT JOIN embeddings ON doc_id = vec_id)"""
 _TOP5 = _pairs("q.vec_id <> e.vec_id", 5)
 _AT = ", ".join(
     [f"coalesce(pos <= {k}, false) AS hit_at_{k}" for k in KS]
@@ -309,10 +352,10 @@ _WEIGHTED = ", ".join(
     f"round(sum({m} * total_questions) / sum(total_questions), 6) AS {m}" for m in METRICS
 )
 _PARENT = r"regexp_replace(project_path, '/(individual|unificado)$', '')"
-_FAQ = """
-  SELECT vec_id AS faq_id, CAST(label AS VARCHAR) AS chunk_id, embedding, text AS source_text,
+_FAQ = f"""
+  SELECT vec_id AS faq_id, label AS chunk_id, embedding, text AS source_text,
          concat('About ', source, ' in ', lang, '?') AS question, concat('It has ', n_chars, ' characters.') AS answer
-  FROM embeddings JOIN documents ON doc_id = vec_id"""
+  FROM {_KNOWN}"""
 _FOUND = f"""
   SELECT query_id AS question_id, rank, faq_id, source_text, chunk_id, question, answer, cos
   FROM ({_pairs('q.vec_id <> e.vec_id', 3, _KNOWN)}) JOIN ({_FAQ}) ON faq_id = vec_id"""
@@ -324,20 +367,26 @@ _CONTEXT = (
 )
 
 _COSINE = "round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])), 9)"
-#: Plane components by the digest rule; a pair is found when it agrees in all bits of a band.
-_BANDED = f"""
-  WITH dims AS (SELECT max(len(embedding)) AS dim FROM embeddings),
+
+
+def _banded(bands: A.Bands, k: int, base: str, extra: str) -> str:
+    """Plane components by the digest rule; a pair is found when it agrees in all bits of a band."""
+    return f"""
+  WITH base AS (SELECT * FROM {base}), dims AS (SELECT max(len(embedding)) AS dim FROM base),
   planes AS (
-    SELECT band, bit, list(CASE WHEN instr('13579bdf', md5(concat({BANDS.seed}, ':', band, ':', bit, ':', i))[1]) > 0 THEN -1.0::DOUBLE ELSE 1.0::DOUBLE END ORDER BY i) AS plane
-    FROM dims, range({BANDS.count}) AS a(band), range({BANDS.bits}) AS b(bit), unnest(range(dim)) AS c(i) GROUP BY 1, 2),
+    SELECT band, bit, list(CASE WHEN instr('13579bdf', md5(concat({bands.seed}, ':', band, ':', bit, ':', i))[1]) > 0 THEN -1.0::DOUBLE ELSE 1.0::DOUBLE END ORDER BY i) AS plane
+    FROM dims, range({bands.count}) AS a(band), range({bands.bits}) AS b(bit), unnest(range(dim)) AS c(i) GROUP BY 1, 2),
   codes AS (
-    SELECT vec_id, embedding, label, band, sum(CASE WHEN list_dot_product(CAST(embedding AS DOUBLE[]), plane) >= 0 THEN 1 << bit ELSE 0 END) AS code
-    FROM embeddings, planes GROUP BY ALL),
-  met AS (SELECT DISTINCT q.vec_id AS query_id, e.vec_id FROM codes q JOIN codes e USING (band, code) WHERE q.vec_id <> e.vec_id),
+    SELECT vec_id, embedding, label, band, sum(CASE WHEN list_dot_product(CAST(embedding AS DOUBLE[]), plane) >= -1e-9 THEN 1 << bit ELSE 0 END) AS code
+    FROM base, planes GROUP BY ALL),
+  met AS (SELECT DISTINCT q.vec_id AS query_id, e.vec_id FROM codes q JOIN codes e USING (band, code) WHERE q.vec_id <> e.vec_id {extra}),
   found AS (SELECT * FROM (
     SELECT query_id, vec_id, e.label, {_COSINE} AS cos,
            CAST(row_number() OVER (PARTITION BY query_id ORDER BY {_COSINE} DESC, e.vec_id) AS INTEGER) AS rank
-    FROM met JOIN embeddings e USING (vec_id) JOIN embeddings q ON q.vec_id = query_id) WHERE rank <= 5)"""
+    FROM met JOIN base e USING (vec_id) JOIN base q ON q.vec_id = query_id) WHERE rank <= {k})"""
+
+
+_BANDED = _banded(BANDS, 5, "embeddings", "")
 _TFIDF = r"""
   WITH t AS (
     SELECT kind, id, term, 1 + ln(count(*)) AS w FROM (
@@ -410,6 +459,10 @@ ORACLE = {
     "retrieve": f"""
       SELECT question_id, rank, faq_id, source_text, chunk_id, question, answer, round(cos, 6) AS score
       FROM ({_FOUND})""",
+    "retrieve_approx": f"""{_banded(FAQ_BANDS, 3, _KNOWN, "AND q.label = e.label")}
+      SELECT query_id AS question_id, found.label AS chunk_id, rank, found.vec_id AS faq_id, concat('About ', source, ' in ', lang, '?') AS question,
+             concat('It has ', n_chars, ' characters.') AS answer, round(cos, 6) AS score
+      FROM found JOIN base USING (vec_id)""",
     "rag_prompt": f"""
       SELECT question_id, concat('Context:', chr(10), {_CONTEXT}, chr(10), chr(10), 'User question:', chr(10),
              any_value(q.question)) AS prompt
@@ -428,5 +481,12 @@ ORACLE = {
                min(rank) FILTER (WHERE label = wanted) AS pos,
                {", ".join(f"CAST(count(*) FILTER (WHERE label = wanted AND rank <= {k}) AS DOUBLE) AS in_{k}" for k in KS)}
         FROM ({_pairs('true', 5, _KNOWN)}) GROUP BY query_id, wanted))""",
+    "evaluate_by_text": f"""
+      WITH known AS (SELECT * FROM {_KNOWN}), first AS (SELECT text, min_by(label, vec_id) AS first FROM known GROUP BY 1),
+      found AS ({_pairs('true', 5, 'known')})
+      SELECT query_id AS item_id, string_agg(first, ',' ORDER BY rank) AS retrieved_chunks,
+             CAST(min(rank) FILTER (WHERE first = wanted) AS INTEGER) AS correct_chunk_position,
+             round(coalesce(1.0::DOUBLE / min(rank) FILTER (WHERE first = wanted), 0.0), 6) AS mrr
+      FROM found JOIN known k ON k.vec_id = found.vec_id JOIN first USING (text) GROUP BY 1""",
     "distinct_chunks": f"SELECT DISTINCT source_text AS text, chunk_id FROM ({_FAQ})",
 }

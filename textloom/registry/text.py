@@ -8,7 +8,7 @@ from textloom.functions import text as X
 from textloom.functions.prompts import Redaction, redaction_frame, redaction_prompt
 from textloom.functions.redact import EMAIL, ID, PHONE, Gazetteers, redact, redaction_counts
 from textloom.operators.chunking import chunk_pages, clean_pages
-from textloom.operators.model_map import Replay, prompt_hash
+from textloom.operators.model_map import Replay, Rules, prompt_hash
 from textloom.plans import anonymize as A
 from textloom.plans.classify import clean_rows
 from textloom.registry.base import documents, spread, sql_sentences, sql_text, sql_trim, table
@@ -103,6 +103,20 @@ def redact_roundtrip(spark, d):
     return A.anonymize(docs, Replay(_stored(docs)), Redaction())
 
 
+def redact_refused(spark, d):
+    """Answers that are good, short, doubled, no JSON, or in another order; refused batches null their document."""
+    say = lambda s: F.concat(F.lit("> "), s)
+    good = F.transform("sentences", lambda s, i: F.struct(i.cast("int").alias("original_index"), say(s).alias("text")))
+    doubled = F.transform("sentences", lambda s: F.struct(F.lit(0).alias("original_index"), say(s).alias("text")))
+    listed = lambda a: F.to_json(F.struct(a.alias("sentences")))
+    shape = F.col("doc_id") % 5
+    response = (
+        F.when(shape == 1, listed(F.slice(good, 1, 1))).when(shape == 2, listed(doubled)).when(shape == 3, F.lit("I cannot."))
+        .when(shape == 4, listed(F.reverse(good))).otherwise(listed(good))
+    )
+    return A.anonymize(documents(spark, d, "doc_id", "text"), Rules(response), Redaction(), on_error="null")
+
+
 def batch_meta(spark, d):
     docs = documents(spark, d, "doc_id", "text")
     answered = A.answer_batches(docs, Replay(_stored(docs)), Redaction())
@@ -129,6 +143,7 @@ QUERIES = {
     "redact_counts": redact_counts,
     "redact_names": redact_names,
     "redact_roundtrip": redact_roundtrip,
+    "redact_refused": redact_refused,
     "batch_meta": batch_meta,
     "dry_run_prompt": dry_run_prompt,
 }
@@ -241,6 +256,16 @@ ORACLE = {
       SELECT doc_id, string_agg({sql_trim(_sub(sql_redact('sentence'), _GAPS, ' '))},
              ' ' ORDER BY sent_idx) AS text, true AS ok, CAST(max(sent_idx) // 8 + 1 AS BIGINT) AS batches
       FROM ({_SENTENCES}) GROUP BY doc_id""",
+    "redact_refused": f"""
+      WITH s AS (
+        SELECT doc_id, sent_idx, sentence, doc_id % 5 AS shape, sent_idx % 8 AS place,
+               count(*) OVER (PARTITION BY doc_id, sent_idx // 8) AS n FROM ({_SENTENCES})),
+      t AS (
+        SELECT *, shape = 3 OR shape = 2 AND n > 1 AS refused,
+               CASE WHEN shape = 1 AND place > 0 THEN {sql_redact('sentence')} ELSE concat('> ', sentence) END AS said FROM s)
+      SELECT doc_id, CASE WHEN NOT bool_or(refused) THEN string_agg({sql_trim(_sub('said', _GAPS, ' '))}, ' ' ORDER BY sent_idx) END AS text,
+             NOT bool_or(refused) AS ok, CAST(max(sent_idx) // 8 + 1 AS BIGINT) AS batches
+      FROM t GROUP BY doc_id""",
     "batch_meta": f"""
       SELECT doc_id, CAST(sent_idx // 8 AS INTEGER) AS batch_id, CAST(count(*) AS INTEGER) AS sent_count,
              CAST(length({_PROMPT.replace("@BLOCK@", _NUMBERED)}) AS INTEGER) AS prompt_chars,
