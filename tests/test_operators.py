@@ -257,7 +257,7 @@ def test_long_class_matrix(spark):
 
     kind = "doc_id string, relevant_classes array<struct<class_id:string,justification:string>>"
     df = spark.createDataFrame([("1", [("b", "x"), ("a", "y"), ("b", "z")]), ("2", []), ("3", None), ("4", [("é", None), (None, "q")])], kind)
-    numbers = {r["class_id"]: r["class_no"] for r in class_numbers(df).collect()}
+    numbers = {r["class_id"]: r["class_no"] for r in class_numbers(df.select(F.explode("relevant_classes.class_id").alias("class_id"))).collect()}
     assert numbers == {"a": 1, "b": 2, "é": 3}
     wide = {(r["doc_id"], numbers[c]) for r in class_matrix(df, list(numbers)).collect() for c in numbers if r[c]}
     assert {tuple(r) for r in class_matrix_long(df).collect()} == wide == {("1", 1), ("1", 2), ("4", 3)}

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.operators.numbering import number_rows
+from textloom.operators.numbering import number_rows, written
 
 # Fixed value: severity levels from mild to severe
 SEVERITY_LEVELS = ("low", "moderate", "high", "critical")
@@ -39,10 +39,9 @@ def class_matrix(results: DataFrame, class_ids: Sequence[str] | None = None) ->
     )
 
 
-def class_numbers(results: DataFrame) -> DataFrame:
-    """``class_id, class_no`` (from 1, in the order of the ids) of every class that occurs; any number of them."""
-    ids = results.select(F.explode("relevant_classes.class_id").alias("class_id")).where("class_id IS NOT NULL").distinct()
-    return number_rows(ids, [], "class_id", "class_no")
+def class_numbers(ids: DataFrame) -> DataFrame:
+    """``class_id, class_no`` (from 1, in the order of the ids) of the classes in ``class_id``; any number of them."""
+    return number_rows(ids.select("class_id").where("class_id IS NOT NULL").distinct(), [], "class_id", "class_no")
 
 
 def class_matrix_long(results: DataFrame, numbers: DataFrame | None = None) -> DataFrame:
@@ -51,8 +50,10 @@ def class_matrix_long(results: DataFrame, numbers: DataFrame | None = None) -> D
     For catalogues too large for columns.  Ids are numbered by a distributed sort and
     joined; no list of classes is on the driver.  Documents without labels have no ones.
     """
-    numbers = class_numbers(results) if numbers is None else numbers
     ones = results.select("doc_id", F.explode(F.array_distinct("relevant_classes.class_id")).alias("class_id"))
+    if numbers is None:
+        ones = written(ones, "class-ones")
+        numbers = class_numbers(ones)
     return ones.join(numbers, "class_id").select("doc_id", "class_no")
 
 

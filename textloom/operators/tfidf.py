@@ -32,32 +32,34 @@ def terms(text: Column) -> Column:
 
 
 def term_weights(text: Column) -> Column:
-    """``array<struct<term, weight>>`` of the distinct terms; equal terms stand side by side once sorted."""
+    """``array<struct<term, weight>>``: the hash and weight of the distinct terms; equal terms stand side by side once sorted."""
 
-    def runs(sorted_terms: Column) -> Column:
-        n = F.size(sorted_terms)
-        at = F.sequence(F.lit(0), n - 1)
-        starts = F.filter(at, lambda i: (i == 0) | (F.get(sorted_terms, i) != F.get(sorted_terms, i - 1)))
+    def runs(ordered: Column) -> Column:
+        n = F.size(ordered)
+        starts = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.get(ordered, i) != F.get(ordered, i - 1)))
 
         def weigh(first: Column) -> Column:
             ends = F.concat(F.slice(first, 2, F.size(first)), F.array(n))
             return F.zip_with(
-                F.slice(first, 1, F.size(first)), F.slice(ends, 1, F.size(first)),
-                lambda a, b: F.struct(F.get(sorted_terms, a).alias("term"), (1 + F.log((b - a).cast("double"))).alias("weight")),
+                first, ends,
+                lambda a, b: F.struct(F.get(ordered, a).alias("term"), (1 + F.log((b - a).cast("double"))).alias("weight")),
             )
 
-        kind = "array<struct<term:string,weight:double>>"
+        kind = "array<struct<term:bigint,weight:double>>"
         return F.when(n == 0, F.array().cast(kind)).otherwise(let(starts, weigh).cast(kind))
 
-    return let(F.array_sort(F.coalesce(terms(text), F.array().cast("array<string>"))), runs)
+    found = F.coalesce(terms(text), F.array().cast("array<string>"))
+    return let(F.sort_array(F.transform(found, lambda t: F.xxhash64(t))), runs)
 
 
 def postings(df: DataFrame, key: str, text: str) -> DataFrame:
     """``id, term, weight``: a row for each distinct term of each text; the weights of a text have length one."""
-    length = F.sqrt(F.aggregate("_terms", F.lit(0.0), lambda s, t: s + t["weight"] * t["weight"]))
-    held = df.select(F.col(key).alias("id"), term_weights(F.col(text)).alias("_terms")).select("id", "_terms", length.alias("_length"))
-    rows = held.select("id", "_length", F.explode("_terms").alias("_t"))
-    return rows.select("id", F.xxhash64("_t.term").alias("term"), (F.col("_t.weight") / F.col("_length")).alias("weight"))
+    def scaled(terms: Column) -> Column:
+        length = F.sqrt(F.aggregate(terms, F.lit(0.0), lambda s, t: s + t["weight"] * t["weight"]))
+        unit = lambda by: F.transform(terms, lambda t: F.struct(t["term"].alias("term"), (t["weight"] / by).alias("weight")))
+        return let(length, unit)
+
+    return df.select(F.col(key).alias("id"), F.inline(let(term_weights(F.col(text)), scaled)))
 
 
 def tfidf_topk(
@@ -78,7 +80,8 @@ def tfidf_topk(
     if k < 1 or lead_terms < 1:
         raise ValueError("k and lead_terms must be at least 1")
     asked = written(postings(questions, question_id, question), "tfidf-questions")
-    wanted = asked.select("term").distinct()
+    # written, so that their size is known before the corpus is read: few terms reach the scan without a shuffle of the postings
+    wanted = written(asked.select("term").distinct(), "tfidf-wanted")
     lists = written(postings(corpus, corpus_id, text).join(wanted, "term", "left_semi"), "tfidf-lists")
     n = corpus.count()
     known = lists.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.max("weight").alias("top"))
@@ -94,9 +97,7 @@ def tfidf_topk(
     by_impact = mine.orderBy(F.desc("impact"), "term")
     # reach: what this term and all after it can add to a text
     reach = F.sum("impact").over(by_impact.rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    ordered = written(
-        impact.select("q", "term", "weight", F.row_number().over(by_impact).alias("place"), reach.alias("reach")), "tfidf-terms"
-    )
+    ordered = impact.select("q", "term", "weight", F.row_number().over(by_impact).alias("place"), reach.alias("reach"))
 
     def sums(part: DataFrame) -> DataFrame:
         products = part.select("q", "term", F.col("weight").alias("_w")).join(lists, "term")

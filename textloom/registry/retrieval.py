@@ -210,8 +210,8 @@ def retrieve_q(spark, d):
     return found.withColumn("score", F.round("score", 6))
 
 
-#: Entries that are to be found lie at a cosine of 0.9 or more.
-FAQ_BANDS = A.Bands.reaching(recall=0.95, similarity=0.9, bits=12)
+#: Entries that are to be found lie at a cosine of 0.95 or more.
+FAQ_BANDS = A.Bands.reaching(recall=0.95, similarity=0.95, bits=8)
 
 
 def retrieve_approx(spark, d):

@@ -35,8 +35,8 @@ def _accept(response: str) -> bool:
 
 
 def caller_retries(spark, d):
-    """Three tries in slices of 200 prompts; a fourth of the texts would need a fourth try."""
-    caller = Caller(_answer, max_tries=3, accept=_accept, setup=_first_asked, calls=4, slice_rows=200)
+    """Three tries in slices of 500 prompts; a fourth of the texts would need a fourth try."""
+    caller = Caller(_answer, max_tries=3, accept=_accept, setup=_first_asked, calls=4, slice_rows=500)
     out = model_map(documents(spark, d, "doc_id", "text"), "text", caller, _fresh(spark, "responses"))
     return out.select("doc_id", "response", "attempts", "error", "backend")
 
