@@ -303,7 +303,7 @@ def test_word_ids_are_those_of_the_tokenizer():
 
     path = registry.tokenizer_path("word_bpe_49k.json")
     tokenizer, rng = Tokenizer.from_file(path), random.Random(7)
-    parts = ["a", "B", "don't", "'S", "<|endoftext|>", "<|ENDOFTEXT|>", "<|startoftext|>", "<|", "|>", "é", "e\u0301", "Σ", "ß", "12", "\u00a0", "\u2028", "\x1c", "☃", "İ", " ", " ", "\n", "\t"]
+    parts = ["a", "B", "don't", "'S", "<|endoftext|>", "<|ENDOFTEXT|>", "<|startoftext|>", "<|", "|>", "é", "e\u0301", "Σ", "ß", "12", "\u00a0", "\u2028", "\x1c", "☃", "İ", "É", "ÿ", "\u0301", "×", "ɏ", "ɐ", "ſ", "½", "—", "x<", "3.14", "!", "(", " ", " ", "\n", "\t"]
     texts = ["".join(rng.choices(parts, k=rng.randrange(12))) for _ in range(600)] + ["a<|endoftext|>b", "<|endoftext|>", None, "", "x<|endoftext|> <|EndOfText|>"]
     own = packing.WordIds(path)
     for memory in (packing._MEMORY, 100):

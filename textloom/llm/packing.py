@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm.cells import store, with_fields
-from textloom.llm.words import BLANKS, Words, buffers, mix, word_hashes
+from textloom.llm.words import BLANKS, bounds, buffers, mix, word_hashes
 
 CAPACITY = 4096
 GROUP_ROWS = 8192
@@ -52,75 +52,120 @@ class FirstFit:
         return own, offset
 
 
-#: Bytes of text that are worked on together, and bytes of words and ids that a Python worker remembers.
-_TEXT_BYTES, _MEMORY = 4 << 20, 256 << 20
+#: Bytes of text that are worked on together, and bytes of units and ids that a Python worker remembers.
+_TEXT_BYTES, _MEMORY = 2 << 20, 96 << 20
 _TOKENIZERS: dict = {}
+#: Kinds of bytes: blanks, letters, digits, other ASCII, and the rest.
+_KIND = np.full(256, 4, np.uint8)
+_KIND[:0x80] = 3
+_KIND[list(BLANKS)] = 0
+_KIND[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = 1
+_KIND[0x30:0x3A] = 2
+
+
+def _units(body: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First byte and end of the pieces of text that the tokenizer works on one by one.
+
+    A word of ASCII characters and precomposed Latin letters is cut where letters, digits and other characters meet and
+    between digits, as the tokenizer itself does.  A word with anything else, with an apostrophe (contractions) or with ``<``
+    (special tokens) is one unit.
+    """
+    starts, ends = bounds(body, at, BLANKS)
+    kind = _KIND[body]
+    # the two bytes of U+00C0 to U+024F, but for two signs and the one letter whose lower case is two characters
+    lead, tail = body[:-1], body[1:]
+    latin = (lead >= 0xC3) & (lead <= 0xC9) & (tail >= 0x80) & (tail < 0xC0)
+    latin &= ~((lead == 0xC3) & ((tail == 0x97) | (tail == 0xB7))) & ~((lead == 0xC4) & (tail == 0xB0)) & ~((lead == 0xC9) & (tail >= 0x90))
+    places = np.flatnonzero(latin)
+    kind[places] = 1
+    kind[places + 1] = 1
+    odd = np.r_[0, np.cumsum((kind == 4) | (body == 0x27) | (body == 0x3C))]
+    whole = odd[ends] > odd[starts]
+    inner = np.flatnonzero((kind[1:] > 0) & (kind[:-1] > 0) & ((kind[1:] != kind[:-1]) | (kind[1:] == 2))) + 1
+    word = np.searchsorted(starts, inner, side="right") - 1
+    inner = inner[~whole[word] & (inner > starts[word])] if len(inner) else inner
+    return np.sort(np.r_[starts, inner], kind="stable"), np.sort(np.r_[ends, inner], kind="stable")
+
+
+class _Known:
+    """Ids of units: those of the unit with the hash ``keys[i]`` are ``ids[cuts[i]:cuts[i + 1]]``; keys rise."""
+
+    def __init__(self, keys: np.ndarray, cuts: np.ndarray, ids: np.ndarray):
+        self.keys, self.cuts, self.ids = keys, cuts, ids
+
+    @classmethod
+    def none(cls) -> _Known:
+        return cls(np.zeros(0, np.uint64), np.zeros(1, np.int64), np.zeros(0, "<u4"))
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Where each key is, or -1."""
+        if not len(self.keys):
+            return np.full(len(keys), -1)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, at, -1)
+
+    def with_more(self, keys: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> _Known:
+        keys, sizes, pool = np.r_[self.keys, keys], np.r_[np.diff(self.cuts), sizes], np.r_[self.ids, ids]
+        order = np.argsort(keys, kind="stable")
+        begins, sizes = (np.cumsum(sizes) - sizes)[order], sizes[order]
+        cuts = np.r_[0, np.cumsum(sizes)]
+        return _Known(keys[order], cuts, pool[np.repeat(begins - cuts[:-1], sizes) + np.arange(len(pool))])
+
+    def bytes(self) -> int:
+        return 16 * len(self.keys) + 4 * len(self.ids)
 
 
 class WordIds:
-    """Ids of the blank-separated words of texts, each distinct word worked out when first met.
+    """Ids of texts, each distinct unit of which is worked out when first met.
 
-    For tokenizers that drop white space, never look across it and lower-case: the ids of a text are
-    those of its words, one after the other.  Words that differ in the case of ASCII letters are one, but
-    for those that may hold a special token, which is told by its exact letters.
+    For tokenizers that drop white space, never look across it and lower-case.  Units that differ in the case of ASCII
+    letters are one, but for those that may hold a special token, which is told by its exact letters.  What is new joins a
+    small table and that, now and then, the large one; when both are too large, the small one takes its place.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self._keep(np.zeros(0, np.uint64), np.zeros(1, np.int64), np.zeros(0, "<u4"))
-
-    def _keep(self, keys: np.ndarray, cuts: np.ndarray, ids: np.ndarray) -> None:
-        """The ids of the word with the hash ``keys[i]`` are ``ids[cuts[i]:cuts[i + 1]]``; keys rise."""
-        self.keys, self.cuts, self.ids = keys, cuts, ids
+        self.large, self.small = _Known.none(), _Known.none()
 
     def of(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a text column, and the cuts between its rows."""
-        words = Words(column, BLANKS, fold=True)
-        keys = words.h
-        marks = np.flatnonzero((words.body[:-1] == ord("<")) & (words.body[1:] == ord("|"))) if len(words.body) > 1 else np.zeros(0, np.int64)
-        exact = np.unique(np.searchsorted(words.starts, marks, side="right") - 1)
+        body, rows = buffers(column)
+        starts, ends = _units(body, rows) if len(body) else (np.zeros(0, np.int64),) * 2
+        keys = word_hashes(body, starts, ends, True)
+        marks = np.flatnonzero((body[:-1] == ord("<")) & (body[1:] == ord("|")))
+        exact = np.unique(np.searchsorted(starts, marks, side="right") - 1)
         if len(exact):
-            keys = keys.copy()
-            keys[exact] = mix(word_hashes(words.body, words.starts[exact], words.ends[exact], False) + np.uint64(1))
+            keys[exact] = mix(word_hashes(body, starts[exact], ends[exact], False) + np.uint64(1))
         distinct, first, place = np.unique(keys, return_index=True, return_inverse=True)
-        at = self._find(distinct)
-        new = np.flatnonzero(at < 0)
+        begins, sizes, pool = self._ids_of(distinct, body, starts[first], ends[first])
+        begins, sizes = begins[place], sizes[place]
+        stops = np.cumsum(sizes)
+        out = pool[np.repeat(begins - (stops - sizes), sizes) + np.arange(int(stops[-1]) if len(stops) else 0)]
+        return out, np.r_[0, stops][np.searchsorted(starts, rows)]
+
+    def _ids_of(self, keys: np.ndarray, body: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where the ids of each key begin, how many there are, and the ids."""
+        old = self.large.find(keys)
+        new = np.flatnonzero(old < 0)
+        new = new[self.small.find(keys[new]) < 0]
         if len(new):
-            self._learn(distinct, new, words, first[new])
-            at = self._find(distinct)
-        at = at[place]
-        sizes = self.cuts[at + 1] - self.cuts[at]
-        ends = np.cumsum(sizes)
-        out = self.ids[np.repeat(self.cuts[at] - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)]
-        return out, np.r_[0, ends][words.first]
-
-    def _find(self, keys: np.ndarray) -> np.ndarray:
-        """Where each key is kept, or -1."""
-        if not len(self.keys):
-            return np.full(len(keys), -1)
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return np.where(self.keys[at] == keys, at, -1)
-
-    def _learn(self, wanted: np.ndarray, new: np.ndarray, words: Words, at: np.ndarray) -> None:
-        """Ids of new words, kept beside what is known; beyond the memory only the ``wanted`` words stay."""
-        body, starts, ends = words.body.tobytes(), words.starts[at].tolist(), words.ends[at].tolist()
-        found = [e.ids for e in self.tokenizer.encode_batch_fast([body[a:b].decode() for a, b in zip(starts, ends)], add_special_tokens=False)]
-        keys, cuts, ids = self.keys, self.cuts, self.ids
-        if 16 * len(keys) + 4 * len(ids) > _MEMORY:
-            old = np.flatnonzero(np.isin(keys, wanted))
-            sizes = np.diff(cuts)[old]
-            ids = ids[np.repeat(cuts[old] - np.r_[0, np.cumsum(sizes)[:-1]], sizes) + np.arange(int(sizes.sum()))] if len(old) else ids[:0]
-            keys, cuts = keys[old], np.r_[0, np.cumsum(sizes)]
-        sizes = np.r_[np.diff(cuts), [len(x) for x in found]].astype(np.int64)
-        pool = np.concatenate([ids, np.fromiter((i for x in found for i in x), "<u4")])
-        keys = np.r_[keys, wanted[new]]
-        order = np.argsort(keys, kind="stable")
-        begins = (np.cumsum(sizes) - sizes)[order]
-        sizes = sizes[order]
-        cuts = np.r_[0, np.cumsum(sizes)]
-        self._keep(keys[order], cuts, pool[np.repeat(begins - cuts[:-1], sizes) + np.arange(len(pool))])
+            raw = body.tobytes()
+            units = [raw[a:b].decode() for a, b in zip(starts[new].tolist(), ends[new].tolist())]
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(units, add_special_tokens=False)]
+            ids = np.fromiter((i for x in found for i in x), "<u4")
+            self.small = self.small.with_more(keys[new], np.array([len(x) for x in found], np.int64), ids)
+        at = self.small.find(keys)
+        young = at >= 0
+        begins, sizes = (np.where(young, self.small.cuts[at + lag] + len(self.large.ids), self.large.cuts[old + lag]) for lag in (0, 1))
+        out = begins, sizes - begins, np.concatenate([self.large.ids, self.small.ids])
+        if self.large.bytes() + self.small.bytes() > _MEMORY:
+            self.large, self.small = self.small, _Known.none()
+        elif 4 * len(self.small.keys) > len(self.large.keys):
+            self.large = self.large.with_more(self.small.keys, np.diff(self.small.cuts), self.small.ids)
+            self.small = _Known.none()
+        return out
 
 
 def _word_ids(path: str) -> WordIds:
