@@ -19,7 +19,8 @@ sets are one class, kept by its smallest id.  Between classes:
 
 Defined cases: null and empty texts and texts without words have an empty set and
 link with nothing; fewer than five words are one shingle; rows with one id are one node of
-the graph, each row keeping its own set size; a null id has a null component.
+the graph, each row keeping its own set size; a null id has a null component; texts of any length are read whole; an empty
+table gives an empty table.
 """
 
 from __future__ import annotations

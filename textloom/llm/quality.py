@@ -14,7 +14,8 @@ or two tokens said two or three times in a row are n-grams whatever their wordin
 
 Defined cases: null and empty texts have no features and get the score of the
 bias; rows without a label are not learned from; an id labelled twice counts once,
-with the larger label; with one class or no rows to learn from every score is the share of label 1 (0.5 for none).
+with the larger label; repeated rows are learned from and scored one by one; texts of any length are read whole; with one class or
+no rows to learn from every score is the share of label 1 (0.5 for none); an empty table gives an empty table.
 Other columns of the input never reach the model.
 """
 

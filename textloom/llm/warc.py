@@ -12,7 +12,8 @@ and number, and one running digest is carried along the rows.
 
 Defined cases: a null payload is empty; empty payloads are responses without a
 block; rows with equal ids are separate records, told apart by a number; a null id is written as an empty field and
-read back as null; equal payloads under one id: one of them is the response.
+read back as null, and such a row is always a response; of equal payloads under the largest id each is a response; payloads of any
+length are written in chunks; an empty table gives an empty table.
 """
 
 from __future__ import annotations
