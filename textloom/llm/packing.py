@@ -13,8 +13,10 @@ table gives an empty table.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -54,6 +56,7 @@ class FirstFit:
 
 #: Bytes of text that are worked on together, and bytes of units and ids that a Python worker remembers.
 _TEXT_BYTES, _MEMORY = 2 << 20, 96 << 20
+_TOGETHER = 4096  # units that the tokenizer gets at once
 _TOKENIZERS: dict = {}
 #: Kinds of bytes: blanks, letters, digits, other ASCII, and the rest.
 _KIND = np.full(256, 4, np.uint8)
@@ -124,6 +127,7 @@ class WordIds:
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; threads of its own would each hold memory
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -153,8 +157,10 @@ class WordIds:
         if len(new):
             raw = body.tobytes()
             units = [raw[a:b].decode() for a, b in zip(starts[new].tolist(), ends[new].tolist())]
-            found = [e.ids for e in self.tokenizer.encode_batch_fast(units, add_special_tokens=False)]
-            ids = np.fromiter((i for x in found for i in x), "<u4")
+            found: list[list[int]] = []
+            for a in range(0, len(units), _TOGETHER):
+                found += [e.ids for e in self.tokenizer.encode_batch_fast(units[a : a + _TOGETHER], add_special_tokens=False)]
+            ids = np.fromiter(chain.from_iterable(found), "<u4")
             self.small = self.small.with_more(keys[new], np.array([len(x) for x in found], np.int64), ids)
         at = self.small.find(keys)
         young = at >= 0
