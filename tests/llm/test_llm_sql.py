@@ -22,7 +22,11 @@ def test_matches_sql(spark, name):
     assert sorted(map(tuple, df.collect()), key=repr) == want
 
 
-@pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLE)))
+#: Searches vectors, not documents; its rows are compared with brute force in test_audit_merkle_polytope.
+OF_VECTORS = {"op13_neighbours"}
+
+
+@pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLE) - OF_VECTORS))
 def test_one_row_a_document_or_piece(spark, name):
     n = spark.read.parquet(f"{SF}/documents.parquet").count()
     df = registry.QUERIES[name](spark, SF)
