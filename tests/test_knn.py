@@ -97,6 +97,42 @@ def test_empty_sides(spark):
         assert run(spark, one, [], 2, sizes) == []
 
 
+def watched_products(monkeypatch, *modules):
+    """Rows on either side of the tiles of each search that runs after this."""
+    from textloom.operators import knn
+
+    seen, plain = [], knn.products
+
+    def watched(routed, tiled, *args, **kwargs):
+        seen.append((routed.count(), tiled.count()))
+        return plain(routed, tiled, *args, **kwargs)
+
+    for module in (knn, *modules):
+        monkeypatch.setattr(module, "products", watched)
+    return seen
+
+
+@pytest.mark.parametrize("method, cells", [("cells", 100_000), ("cells", 0), ("scan", 100_000)])
+def test_small_blocks_do_not_multiply_what_is_shuffled(spark, monkeypatch, method, cells):
+    """Rows go once to each tile or pack of the other side; their number follows from bytes and slots, not from block_rows."""
+    seen = watched_products(monkeypatch)
+    rows = clustered(600)
+    q = spark.createDataFrame(rows, "id bigint, grp string, embedding array<float>").withColumnRenamed("id", "query_id")
+    c = q.withColumnRenamed("query_id", "faq_id")
+    sizes = KnnSizes(broadcast_bytes=0, block_rows=4, pack_rows=4, max_cells=cells)
+    got = knn_topk(q, c, 3, within="grp", exclude_self=True, sizes=sizes, method=method).collect()
+    assert sorted((r["query_id"], r["grp"], r["rank"], r["faq_id"], round(r["score"], 6) + 0.0) for r in got) == brute(rows, rows, 3, True)
+    assert len(seen) == 1 and max(seen[0]) <= 600 * 8
+
+
+def test_many_copies_and_zero_vectors_in_tiles(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, "a", [1.0, 2.0, 3.0]) for i in range(80)] + [(i, "a", [0.0] * 3) for i in range(80, 95)]
+    rows += [(i, "a", rng.normal(size=3).tolist()) for i in range(95, 140)]
+    for sizes in (SPLIT, KnnSizes(broadcast_bytes=0, block_rows=9, pack_rows=7, max_cells=0)):
+        assert run(spark, rows, rows, 4, sizes, True) == brute(rows, rows, 4, True)
+
+
 def test_vectors_helpers(spark):
     from textloom.functions.vectors import cosine, l2_normalize
 
