@@ -256,6 +256,27 @@ def faq_table(spark):
     return spark.createDataFrame(rows, "faq_id int, source_text string, chunk_id string, course string, embedding array<float>")
 
 
+def test_texts_do_not_follow_the_found_rows(spark, monkeypatch):
+    """Chunk ids by text are looked up once for each entry; the search hands on no text."""
+    seen, plain = [], E.retrieve
+
+    def watched(items, faq, *args, **kwargs):
+        found = plain(items, faq, *args, **kwargs)
+        seen.append((sorted(faq.columns), found.columns))
+        return found
+
+    monkeypatch.setattr(E, "retrieve", watched)
+    faq = spark.createDataFrame(
+        [(1, "a", "x", [1.0, 0.0]), (2, "b", "x", [1.0, 0.1]), (3, "c", None, [0.0, 1.0])],
+        "faq_id long, chunk_id string, source_text string, embedding array<float>",
+    )
+    items = faq.select(F.col("faq_id").alias("item_id"), F.col("chunk_id").alias("correct_chunk_id"), F.lit(False).alias("is_original"), "embedding")
+    got = {r["item_id"]: r for r in E.evaluate_retrieval(items, faq, (1, 3), 3, by_text=True).collect()}
+    assert [got[i]["retrieved_chunks"] for i in (1, 2, 3)] == [["a", "a", None], ["a", "a", None], [None, "a", "a"]]
+    assert [got[i]["correct_chunk_position"] for i in (1, 2, 3)] == [1, None, None]
+    assert all("source_text" not in columns for pair in seen for columns in pair)
+
+
 def test_evaluate_retrieval_matching(spark):
     items = spark.createDataFrame(
         [("i1", "1", "art", False, [1.0, 0.0]), ("i2", "9", "math", True, [0.0, 1.0])],

@@ -12,6 +12,7 @@ from textloom.functions.jsonx import is_object, parse_braces
 from textloom.functions.prompts import judge_prompt, paraphrase_prompt, with_system
 from textloom.functions.text import as_id, let, line_list
 from textloom.operators.knn import KnnSizes
+from textloom.operators.numbering import written
 from textloom.operators.model_map import ADDED, Caller, Replay, Rules, model_map
 from textloom.operators.once import add_once
 from textloom.operators.sampling import sample_n
@@ -116,16 +117,17 @@ def evaluate_retrieval(
     texts would; the column ``position`` says which entry that is.
     """
     extra = [c for c in match_on if c != "chunk_id"]
-    payload = ["chunk_id", "source_text", *extra] if by_text else ["chunk_id", *extra]
-    payload = [c for c in payload if c != within]
-    found = retrieve(items, faq, top_k, within, payload, "item_id", sizes=sizes)
+    payload = [c for c in ("chunk_id", *extra) if c != within]
     if by_text:
+        # Looked up once for each entry, before the search, and written, as the search reads its table more
+        # than once: no text is shuffled, neither for the lookup nor with the found rows.
         scope = [within] if within else []
-        first = faq.groupBy(*scope, "source_text").agg(F.min_by("chunk_id", position).alias("_first"))
         digest = F.unhex(F.sha2("source_text", 256)).alias("_digest")  # see model_map: keeps hot texts splittable
-        first = first.select(*scope, digest, "_first")
-        found = found.select("*", digest).join(first, [*scope, "_digest"], "left")
-        found = found.withColumn("chunk_id", F.col("_first")).drop("_first", "_digest")
+        first = faq.groupBy(*scope, digest).agg(F.min_by("chunk_id", position).alias("_first"))
+        first = first.select(*scope, F.unhex(F.hex("_digest")).alias("_digest"), "_first")
+        entries = faq.select("faq_id", "embedding", *scope, *[c for c in extra if c != within], digest)
+        faq = written(entries.join(first, [*scope, "_digest"], "left").withColumnRenamed("_first", "chunk_id").drop("_digest"), "entries")
+    found = retrieve(items, faq, top_k, within, payload, "item_id", sizes=sizes)
     found = found.withColumn("chunk_id", as_id(F.col("chunk_id")))
     truth = items.select("item_id", "correct_chunk_id", *[F.col(c).alias(f"_true_{c}") for c in extra])
     match = F.col("chunk_id") == as_id(F.col("correct_chunk_id"))
