@@ -199,3 +199,44 @@ def test_large_groups_get_more_files_and_small_ones_one(spark, tmp_path):
     assert back.count() == len(rows) and back.where("project is null").count() == 1
     OUT.write_faq(df.selectExpr("project AS course", "i AS persona", "t"), str(tmp_path / "f"))
     assert spark.read.parquet(str(tmp_path / "f")).count() == len(rows)
+
+
+def test_array_scans_take_bounded_steps(monkeypatch):
+    """A batch is scanned in steps of bounded bytes; strings, runs of backslashes and brackets go on over their bounds."""
+    import json
+    import random
+
+    import numpy as np
+    import pyarrow as pa
+
+    from textloom.sources import json_array as J
+
+    monkeypatch.setattr(J, "_STEP", 7)
+    rng = random.Random(3)
+    values = ["".join(rng.choices('\\"{}[],aé', k=rng.randrange(60))) for _ in range(300)]
+    text = json.dumps([{"a": v, "b": [v]} for v in values], ensure_ascii=False)
+    pieces = text.split("}")
+    batch = pa.RecordBatch.from_pydict({"file": ["f"] * len(pieces), "start": [0] * len(pieces), "size": [len(text)] * len(pieces), "value": pieces})
+    steps = [body for _, _, body in J._bodies(iter([batch]))]
+    assert b"".join(steps) == (text + "}").encode() and max(map(len, steps)) <= 7
+    whole, cut = J._Scan(), J._Scan()
+    outside, depth = whole.step(np.frombuffer(b"".join(steps), np.uint8))
+    parts = [cut.step(np.frombuffer(body, np.uint8)) for body in steps]
+    assert np.array_equal(np.concatenate([o for o, _ in parts]), outside) and np.array_equal(np.concatenate([d for _, d in parts]), depth)
+
+
+def test_elements_longer_than_a_step(spark, tmp_path):
+    import json
+
+    from textloom.sources import json_array as J
+
+    values = [{"a": "\\" * (i % 5) + '"},{' * (i % 7) + "é" * (400_000 if i == 40 else i), "b": [i, {"c": []}]} for i in range(90)]
+    (tmp_path / "one.json").write_text(json.dumps(values, ensure_ascii=False), encoding="utf-8")
+    (tmp_path / "two.json").write_text("[]", encoding="utf-8")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100000")
+    try:
+        got = [json.loads(r["raw"]) for r in J.json_array_elements(spark, str(tmp_path)).collect()]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    key = lambda v: v["b"][0]
+    assert sorted(got, key=key) == values

@@ -27,14 +27,17 @@ _KINDS[[ord("["), ord("{")]] = 1
 _KINDS[[ord("]"), ord("}")]] = -1
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 13, 32]] = True
+#: Bytes that are scanned at once; the arrays of a scan take about a hundred bytes for each.
+_STEP = 1 << 19
 
 
 @dataclass
 class _Scan:
-    """State of a scan: inside a string, and the depth of brackets."""
+    """State of a scan: inside a string, the depth of brackets, and whether an odd run of backslashes came last."""
 
     inside: bool = False
     depth: int = 0
+    odd: bool = False
 
     def step(self, body: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Whether each byte lies outside strings, and the depth after it; moves the state on."""
@@ -42,26 +45,39 @@ class _Scan:
         other = np.maximum.accumulate(np.where(body != ord("\\"), at, -1))
         slashes = np.zeros(len(body), np.int64)
         slashes[1:] = at[:-1] - other[:-1]  # an unbroken run of them before each byte
+        if self.odd:  # the run goes on from the bytes before
+            slashes[: int(np.argmax(np.r_[body != ord("\\"), True])) + 1] += 1
         quote = (body == ord('"')) & (slashes % 2 == 0)
         parity = np.cumsum(quote) + self.inside
         outside = ((parity - quote) % 2 == 0) & ~quote
         depth = self.depth + np.cumsum(np.where(outside, _KINDS[body], 0))
         if len(body):
-            self.inside, self.depth = bool(parity[-1] % 2), int(depth[-1])
+            last = body[-1] == ord("\\")
+            self.inside, self.depth, self.odd = bool(parity[-1] % 2), int(depth[-1]), bool(last and slashes[-1] % 2 == 0)
         return outside, depth
 
 
-def _bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, int, bytes]]:
-    """``file, start of the split, size of the file, bytes`` of the rows of one split in a batch."""
+def _bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, bytes]]:
+    """``file, start of the split, bytes`` of the rows of one split, at most ``_STEP`` bytes at once."""
     for batch in batches:
-        files, starts, sizes, texts = (batch.column(i).to_pylist() for i in range(4))
-        at = 0
-        while at < len(files):
-            end = at
-            while end < len(files) and files[end] == files[at] and starts[end] == starts[at]:
-                end += 1
-            yield files[at], starts[at], sizes[at], (_CUT.join(texts[at:end]) + _CUT).encode()
-            at = end
+        files, starts, texts = batch.column(0), batch.column(1).to_pylist(), batch.column(3)
+        now, held, size = None, [], 0
+        for i, start in enumerate(starts):
+            split = (files[i].as_py(), start)
+            if held and (split != now or size > _STEP):
+                yield from _steps(now, held)
+                held, size = [], 0
+            body = texts[i].as_py().encode()
+            now, size = split, size + len(body)
+            held += [body, _CUT.encode()]
+        if held:
+            yield from _steps(now, held)
+
+
+def _steps(split: tuple[str, int], held: list[bytes]) -> Iterator[tuple[str, int, bytes]]:
+    body = b"".join(held)
+    for at in range(0, len(body), _STEP):
+        yield *split, body[at : at + _STEP]
 
 
 def _pieces(spark: SparkSession, path: str) -> DataFrame:
@@ -74,7 +90,7 @@ def _pieces(spark: SparkSession, path: str) -> DataFrame:
 
 def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen: dict[tuple[str, int], list] = {}
-    for file, start, size, body in _bodies(batches):
+    for file, start, body in _bodies(batches):
         scans = seen.setdefault((file, start), [_Scan(False), _Scan(True), 0])
         raw = np.frombuffer(body, np.uint8)
         for scan in scans[:2]:
@@ -157,7 +173,7 @@ def json_array_elements(spark: SparkSession, path: str) -> DataFrame:
             rows.clear()
             return done
 
-        for file, start, _, body in _bodies(batches):
+        for file, start, body in _bodies(batches):
             if (file, start) != now:
                 close()
                 now, held = (file, start), b""
