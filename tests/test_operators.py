@@ -292,3 +292,27 @@ def test_a_failed_slice_asks_only_its_own_prompts_again(spark, tmp_path):
     assert {r["response"] for r in out} == {f"P{i}" for i in range(60)}
     after = log.read_text().split()[len(before):]
     assert sorted(p.upper() for p in after) == sorted({f"P{i}" for i in range(60)} - stored)
+
+
+def test_slices_share_the_calls_in_flight(spark, tmp_path):
+    """Slices are asked at once, and never more calls than allowed are in flight."""
+    import time
+
+    folder = tmp_path / "times"
+    folder.mkdir()
+
+    def call(batch):
+        start = time.time()
+        time.sleep(0.3)
+        (folder / f"{batch[0]}.txt").write_text(f"{start} {time.time()}")
+        return [p.upper() for p in batch]
+
+    names = [f"p{i}" for i in range(40)]
+    backend = Caller(call, slice_rows=8, calls=3, batch_rows=4)
+    out = model_map(prompts(spark, names), "p", backend, str(tmp_path / "r"))
+    assert sorted(r["response"] for r in out.collect()) == sorted(n.upper() for n in names)
+    assert spark.read.parquet(str(tmp_path / "r")).count() == 40
+    spans = [tuple(map(float, f.read_text().split())) for f in folder.iterdir()]
+    most = max(sum(a <= at < b for a, b in spans) for at, _ in spans)
+    assert 1 < most <= 3
+    assert not [f for f in (tmp_path / "r").iterdir() if f.is_dir()]
