@@ -236,3 +236,24 @@ def test_tfidf_equals_brute_force(spark, lead):
     got = tfidf_topk(q, d, 4, lead_terms=lead).collect()
     assert sorted((r["question_id"], r["rank"], r["faq_id"], round(r["score"], 6)) for r in got) == brute_tfidf(questions, docs, 4)
     assert tfidf_topk(q.limit(0), d, 4).count() == tfidf_topk(q, d.limit(0), 4).count() == 0
+
+
+@pytest.mark.parametrize("limit", [0, 32 << 20])
+def test_tfidf_with_and_without_the_matrix(spark, monkeypatch, limit):
+    """Few questions are answered in a scan, without the lists of terms; both ways give the same rows."""
+    import random
+
+    from textloom.operators import tfidf
+
+    seen, plain = [], tfidf.written
+    monkeypatch.setattr(tfidf, "written", lambda df, name: seen.append(name) or plain(df, name))
+    rng = random.Random(1)
+    words = ["the"] * 40 + [f"w{i % 90}" for i in range(200)]
+    docs = [(f"d{i:03d}é", " ".join(rng.choices(words, k=rng.randrange(0, 40)))) for i in range(700)]
+    docs += [("x", docs[3][1]), ("y", None), ("z", "")]
+    questions = [(i, " ".join(rng.choices(words, k=rng.randrange(0, 9)))) for i in range(30)] + [(90, None), (91, "nowhere")]
+    q = spark.createDataFrame(questions, "question_id bigint, question string")
+    d = spark.createDataFrame(docs, "faq_id string, source_text string").repartition(3)
+    got = tfidf.tfidf_topk(q, d, 4, matrix_bytes=limit).collect()
+    assert sorted((r["question_id"], r["rank"], r["faq_id"], round(r["score"], 6)) for r in got) == brute_tfidf(questions, docs, 4)
+    assert ("tfidf-lists" in seen) == (limit == 0)
