@@ -125,6 +125,41 @@ def test_small_blocks_do_not_multiply_what_is_shuffled(spark, monkeypatch, metho
     assert len(seen) == 1 and max(seen[0]) <= 600 * 8
 
 
+def test_tiles_follow_from_bytes_and_grow_with_the_pairs():
+    """Three million rows on twelve slots go to few tiles; a row is sent once to each of them."""
+    from textloom.operators.knn import tile_rows
+
+    rows, packs = tile_rows(9e12, 64, KnnSizes(), 12)
+    assert -(-3_000_000 // rows) <= 8 and -(-3_000_000 // packs) <= 8
+    assert rows * 64 * 4 <= KnnSizes().tile_bytes
+
+
+@pytest.mark.parametrize("kind", ["main axes", "none", "both"])
+def test_large_tiles_look_at_few_pairs(monkeypatch, kind):
+    """Parts and pairs that bounds rule out are not scored; copies, zero vectors and own rows are as in brute force."""
+    from textloom.operators import knn
+
+    rng = np.random.default_rng(8)
+    flat = rng.normal(size=(5000, 6)) @ rng.normal(size=(6, 64)) + rng.normal(size=(5000, 64)) * 0.02 + 4.0
+    m = {"main axes": flat, "none": rng.normal(size=(5000, 64)), "both": np.where(np.arange(5000)[:, None] % 4, flat, rng.normal(size=(5000, 64)))}[kind]
+    m[100:140], m[200:220], m[300:310] = m[100], 0.0, m[300:301] * np.linspace(0.5, 2, 10)[:, None]
+    m = m.astype(np.float32)
+    length, place, k = np.linalg.norm(m.astype(float), axis=1), rng.permutation(5000), 4
+    own = np.where(np.arange(5000) % 3, np.arange(5000), -1)
+    looked, plain = [], np.matmul
+    monkeypatch.setattr(knn.np, "matmul", lambda a, b, **how: looked.append(a.size * b.shape[1]) or plain(a, b, **how))
+    places, scores = knn._tile_best(m, length, m, length, place, own, k)
+    monkeypatch.undo()
+    unit = np.divide(m.astype(float), length[:, None], out=np.zeros((5000, 64)), where=length[:, None] > 0)
+    for i in [*range(0, 5000, 37), 100, 120, 200, 219, 300, 305]:
+        s = np.round(unit @ unit[i], 9) + 0.0
+        if own[i] >= 0:
+            s[own[i]] = -9.0
+        best = np.lexsort((place, -s))[:k]
+        assert list(places[i]) == list(place[best]) and np.allclose(scores[i], s[best], atol=2e-9)
+    assert sum(looked) < 5000 * 5000 * 64 * {"main axes": 0.5, "none": 1.3, "both": 0.8}[kind]
+
+
 def test_many_copies_and_zero_vectors_in_tiles(spark):
     rng = np.random.default_rng(2)
     rows = [(i, "a", [1.0, 2.0, 3.0]) for i in range(80)] + [(i, "a", [0.0] * 3) for i in range(80, 95)]
