@@ -220,6 +220,46 @@ def test_embedding(spark):
     assert {(r["question_id"], r["faq_id"]) for r in top} == {(10, 1), (11, 2)}
 
 
+def test_known_vectors_are_left_alone(spark):
+    import numpy as np
+
+    rows = [("aa", [0.5, 0.5], True), (None, None, True), ("bbb", [9.0, 9.0], None), ("c", None, False)]
+    df = spark.createDataFrame(rows, "question string, embedding array<float>, held boolean")
+    got = Q.embed(df, lambda texts: np.array([[0.0, len(t)] for t in texts]), known="held").collect()
+    assert {r["question"]: r["embedding"] for r in got} == {"aa": [0.5, 0.5], None: None, "bbb": [0.0, 1.0], "c": [0.0, 1.0]}
+
+
+def test_letters_are_counted():
+    import numpy as np
+
+    from textloom.registry.retrieval import LETTERS, letter_counts
+
+    texts = ["", "abcz Z.,", "éèß\u00ff\u0100😀a", *["x" * i for i in range(150)], "ñ" * 9]
+    assert np.array_equal(letter_counts(texts), [[1.0, *(t.count(c) for c in LETTERS)] for t in texts])
+    assert letter_counts([]).shape == (0, len(LETTERS) + 1)
+
+
+@pytest.mark.parametrize("name", ["retrieve", "rag_prompt", "rag_answer", "evaluate_retrieval"])
+def test_the_search_reads_a_table_without_texts(spark, monkeypatch, tmp_path, name):
+    """The written table has vectors and no texts, and rows with and without a vector, twice where ids come twice."""
+    from textloom.registry import retrieval as R
+
+    docs = [(i, "abc" * i if i < 7 else "z" * i, "en", "web", 3 * i) for i in [*range(1, 12), 5]]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    vecs = [(i, 7, [1.0] + [float(i == j) for j in range(len(R.LETTERS))]) for i in (2, 3, 50)]
+    spark.createDataFrame(vecs, "vec_id long, label int, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    seen, plain = [], R.written
+    monkeypatch.setattr(R, "written", lambda df, name: seen.append(plain(df, name)) or seen[-1])
+    rows = R.QUERIES[name](spark, str(tmp_path)).collect()
+    assert len(seen) == 1 and not {"source_text", "answer"} & set(seen[0].columns)
+    held = sorted((r["faq_id"], r["chunk_id"], len(r["embedding"])) for r in seen[0].collect())
+    assert held == sorted((d[0], "7" if d[0] in (2, 3) else "web", len(R.LETTERS) + 1) for d in docs)
+    if name == "retrieve":
+        text = {d[0]: d[1] for d in docs}
+        assert all(r["source_text"] == text[r["faq_id"]] and r["chunk_id"] == ("7" if r["faq_id"] in (2, 3) else "web") for r in rows)
+        assert {r["question_id"] for r in rows} == set(text)
+
+
 def test_rag_answer_without_context(spark):
     asked = spark.createDataFrame([(1, "why?"), (2, "how?")], "question_id int, question string")
     found = spark.createDataFrame(
