@@ -249,11 +249,13 @@ def test_the_search_reads_a_table_without_texts(spark, monkeypatch, tmp_path, na
     vecs = [(i, 7, [1.0] + [float(i == j) for j in range(len(R.LETTERS))]) for i in (2, 3, 50)]
     spark.createDataFrame(vecs, "vec_id long, label int, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
     seen, plain = [], R.written
-    monkeypatch.setattr(R, "written", lambda df, name: seen.append(plain(df, name)) or seen[-1])
+    monkeypatch.setattr(R, "written", lambda df, name, *apart: seen.append(plain(df, name, *apart)) or seen[-1])
     rows = R.QUERIES[name](spark, str(tmp_path)).collect()
     assert len(seen) == 1 and not {"source_text", "answer"} & set(seen[0].columns)
     held = sorted((r["faq_id"], r["chunk_id"], len(r["embedding"])) for r in seen[0].collect())
     assert held == sorted((d[0], "7" if d[0] in (2, 3) else "web", len(R.LETTERS) + 1) for d in docs)
+    files = seen[0].select((F.col("faq_id").isin(2, 3)).alias("own"), F.input_file_name().alias("file")).distinct().collect()
+    assert not {r["file"] for r in files if r["own"]} & {r["file"] for r in files if not r["own"]}
     if name == "retrieve":
         text = {d[0]: d[1] for d in docs}
         assert all(r["source_text"] == text[r["faq_id"]] and r["chunk_id"] == ("7" if r["faq_id"] in (2, 3) else "web") for r in rows)
